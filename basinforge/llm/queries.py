@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basinforge.llm import packing, simhash
+from basinforge.llm import packing, piece_bpe, progressive_jpeg, simhash
 
 #: Where the public vocabulary files are; None asks the module ``public_tokenizers``.
 TOKENIZER_DIR: str | None = None
@@ -36,9 +36,20 @@ def op5_cost_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), spec, with_ids=False)
 
 
+def op7_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    outputs = ("n_tokens", "ids_sha256", "decoded_sha256")
+    return piece_bpe.encode_documents(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"), outputs)
+
+
+def op8_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return progressive_jpeg.describe_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op5_cost_balanced_packing": op5_cost_balanced_packing,
+    "op7_piece_bpe": op7_piece_bpe,
+    "op8_progressive_jpeg": op8_progressive_jpeg,
 }
 
 ORACLE_SQL: dict[str, str] = {}
