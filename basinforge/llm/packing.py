@@ -48,35 +48,46 @@ class PackingSpec:
 class WordIds(dict):
     """Ids of a text's space-led parts as little-endian 32-bit bytes, encoded once each."""
 
-    MOST, LONGEST = 300_000, 64
+    MOST, LONGEST = 500_000, 64
 
     def __init__(self, path: str):
         super().__init__()
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
+        # a byte-level token that holds a space has it in front
+        self._led = np.zeros(self._tokenizer.get_vocab_size(), bool)
+        self._led[[i for t, i in self._tokenizer.get_vocab().items() if t.startswith("\u0120")]] = True
 
-    def encode(self, text: str) -> bytes:
-        return np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    def encode(self, text: str) -> np.ndarray:
+        return np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
-    def __missing__(self, part: str) -> bytes:
-        out = self.encode(" " + part)
-        if len(part) <= self.LONGEST:
-            if len(self) >= self.MOST:
-                self.clear()
-            self[part] = out
-        return out
+    def learn(self, parts: list[str]) -> None:
+        """Encodes new parts at once; each starts at the token that holds its space."""
+        ids = self.encode(" " + " ".join(parts))
+        edges = [*(4 * np.flatnonzero(self._led[ids])).tolist(), 4 * len(ids)]
+        data = ids.tobytes()
+        self.update(zip(parts, [data[i:j] for i, j in zip(edges, edges[1:])], strict=True))
 
     def document(self, text: str) -> bytes:
         """Ids of the whole text, as encoding it at once gives them."""
         if "<|" in text:  # may name a special token
-            return self.encode(text)
+            return self.encode(text).tobytes()
         if _UNSAFE.search(text):
             parts = _CUT.split(text)
             head, tail = parts[0], [p[1:] for p in parts[1:]]
         else:
             head, *tail = text.split(" ")
-        return (self.encode(head) if head else b"") + b"".join(map(self.__getitem__, tail))
+        if new := [p for p in set(tail) if p not in self]:
+            if len(self) >= self.MOST:
+                self.clear()
+                new = [*set(tail)]
+            self.learn(new)
+        out = (self.encode(head).tobytes() if head else b"") + b"".join(map(self.__getitem__, tail))
+        for part in new:
+            if len(part) > self.LONGEST:
+                del self[part]
+        return out
 
 
 _word_ids: dict[str, WordIds] = {}
