@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basinforge.llm import packing, piece_bpe, progressive_jpeg, simhash
+from basinforge.llm import interpolation_lm, packing, piece_bpe, progressive_jpeg, simhash
 
 #: Where the public vocabulary files are; None asks the module ``public_tokenizers``.
 TOKENIZER_DIR: str | None = None
@@ -31,6 +31,10 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op2_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interpolation_lm.score(table(spark, sf_dir, "documents"))
+
+
 def op5_cost_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     spec = packing.PackingSpec(vocabulary("byte_bpe_50k.json"))
     return packing.pack(table(spark, sf_dir, "documents"), spec, with_ids=False)
@@ -47,6 +51,7 @@ def op8_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
+    "op2_deleted_interpolation": op2_deleted_interpolation,
     "op5_cost_balanced_packing": op5_cost_balanced_packing,
     "op7_piece_bpe": op7_piece_bpe,
     "op8_progressive_jpeg": op8_progressive_jpeg,
