@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basinforge.llm import interpolation_lm, packing, piece_bpe, progressive_jpeg, simhash
+from basinforge.llm import compression_rules, interpolation_lm, packing, piece_bpe, progressive_jpeg, simhash, zdict_quality
 
 #: Where the public vocabulary files are; None asks the module ``public_tokenizers``.
 TOKENIZER_DIR: str | None = None
@@ -40,6 +40,11 @@ def op5_cost_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), spec, with_ids=False)
 
 
+def op6_compression_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return zdict_quality.score(docs, zdict_quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op7_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     outputs = ("n_tokens", "ids_sha256", "decoded_sha256")
     return piece_bpe.encode_documents(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"), outputs)
@@ -49,12 +54,18 @@ def op8_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return progressive_jpeg.describe_documents(table(spark, sf_dir, "documents"))
 
 
+def op9_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compression_rules.apply_rules(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_deleted_interpolation": op2_deleted_interpolation,
     "op5_cost_balanced_packing": op5_cost_balanced_packing,
+    "op6_compression_classifier": op6_compression_classifier,
     "op7_piece_bpe": op7_piece_bpe,
     "op8_progressive_jpeg": op8_progressive_jpeg,
+    "op9_compression_bands": op9_compression_bands,
 }
 
 ORACLE_SQL: dict[str, str] = {}
