@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basinforge.llm import compression_rules, interpolation_lm, packing, piece_bpe, progressive_jpeg, simhash, zdict_quality
+from basinforge.llm import compression_rules, interpolation_lm, packing, pii_crf, piece_bpe, progressive_jpeg, simhash, zdict_quality
 
 #: Where the public vocabulary files are; None asks the module ``public_tokenizers``.
 TOKENIZER_DIR: str | None = None
@@ -35,6 +35,12 @@ def op2_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interpolation_lm.score(table(spark, sf_dir, "documents"))
 
 
+def op3_skip_chain_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    outputs = ("n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
+    return pii_crf.find_documents(docs, pii_crf.fit(docs), outputs)
+
+
 def op5_cost_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     spec = packing.PackingSpec(vocabulary("byte_bpe_50k.json"))
     return packing.pack(table(spark, sf_dir, "documents"), spec, with_ids=False)
@@ -61,6 +67,7 @@ def op9_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_deleted_interpolation": op2_deleted_interpolation,
+    "op3_skip_chain_pii": op3_skip_chain_pii,
     "op5_cost_balanced_packing": op5_cost_balanced_packing,
     "op6_compression_classifier": op6_compression_classifier,
     "op7_piece_bpe": op7_piece_bpe,
