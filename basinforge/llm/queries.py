@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basinforge.llm import compression_rules, interpolation_lm, packing, pii_crf, piece_bpe, progressive_jpeg, simhash, zdict_quality
+from basinforge.llm import compression_rules, interpolation_lm, line_winnow, oracle, packing, pii_crf, piece_bpe, progressive_jpeg, simhash, zdict_quality
 
 #: Where the public vocabulary files are; None asks the module ``public_tokenizers``.
 TOKENIZER_DIR: str | None = None
@@ -41,6 +41,11 @@ def op3_skip_chain_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_crf.find_documents(docs, pii_crf.fit(docs), outputs)
 
 
+def op4_line_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_winnow.drop_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), least_words=50)
+    return found.select("doc_id", "n_deleted_lines", "n_deleted_words", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op5_cost_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     spec = packing.PackingSpec(vocabulary("byte_bpe_50k.json"))
     return packing.pack(table(spark, sf_dir, "documents"), spec, with_ids=False)
@@ -68,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_deleted_interpolation": op2_deleted_interpolation,
     "op3_skip_chain_pii": op3_skip_chain_pii,
+    "op4_line_winnowing": op4_line_winnowing,
     "op5_cost_balanced_packing": op5_cost_balanced_packing,
     "op6_compression_classifier": op6_compression_classifier,
     "op7_piece_bpe": op7_piece_bpe,
@@ -75,4 +81,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_compression_bands": op9_compression_bands,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op4_line_winnowing": oracle.LINE_WINNOWING,
+}
