@@ -45,3 +45,49 @@ SELECT d.doc_id, CAST(coalesce(k.n, 0) AS BIGINT) AS n_deleted_lines, CAST(coale
        sha256(k.text) AS kept_sha256
 FROM documents d LEFT JOIN kept k ON d.doc_id IS NOT DISTINCT FROM k.doc_id AND md5(d.text) = k.th
 """
+
+#: The capture log made of pages, joined by ASOF JOIN.
+REVISIT_RESOLUTION = r"""
+WITH p AS (
+  SELECT page_id, url, sha256(html) AS sha, strlen(html) AS size,
+         1700000000 + (page_id * 7919) % 100003 * 60 AS start,
+         '"' || substr(md5(html), 1, 16) || '"' AS tag,
+         CAST(1700000000 + (page_id * 7919) % 100003 * 60 - page_id % 977 * 3600 AS VARCHAR) AS modified
+  FROM pages),
+r AS (
+  SELECT page_id * 3 AS record_id, url, start AS captured, 'response' AS kind, tag, modified, sha, size, start, page_id FROM p
+  UNION ALL
+  SELECT page_id * 3 + 1, regexp_replace(url, '^https?://', 'http://') || '#again', start + 3600, 'by_tag',
+         CASE WHEN page_id % 5 = 0 THEN '"stale"' ELSE tag END, NULL, NULL, NULL, start, page_id FROM p
+  UNION ALL
+  SELECT page_id * 3 + 2, regexp_replace(url, '^https?://', 'HTTPS://www.'), start + 86400 * (page_id % 40), 'by_date',
+         NULL, modified, NULL, NULL, start, page_id FROM p),
+s AS (
+  SELECT *, regexp_replace(regexp_replace(url, '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS bare FROM r),
+t AS (
+  SELECT *, regexp_extract(bare, '^[^/?]*', 0) AS authority, regexp_extract(substr(bare, length(regexp_extract(bare, '^[^/?]*', 0)) + 1), '^[^?]*', 0) AS path,
+         regexp_replace(regexp_extract(bare, '\?.*$', 0), '^\?', '') AS query FROM s),
+u AS (
+  SELECT *, regexp_replace(regexp_replace(lower(regexp_replace(authority, '^[^@]*@', '')), ':(80|443)$', ''), '^www[0-9]*\.', '') AS host,
+         list_sort(list_filter(string_split(query, '&'), lambda x: x <> '' AND NOT regexp_matches(lower(x), '^(utm_[a-z]+|gclid|fbclid|msclkid|mc_eid|sessionid|phpsessid|jsessionid)(=|$)'))) AS params FROM t),
+c AS (
+  SELECT *, host || regexp_replace(path, '/+$', '') || CASE WHEN len(params) > 0 THEN '?' || array_to_string(params, '&') ELSE '' END AS canonical FROM u),
+full_response AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY canonical, captured ORDER BY record_id DESC) AS k FROM c WHERE kind = 'response') WHERE k = 1),
+j AS (
+  SELECT v.*, f.record_id AS f_id, f.tag AS f_tag, f.modified AS f_modified, f.sha AS f_sha, f.size AS f_size, f.start AS f_start, f.page_id AS f_page
+  FROM (SELECT * FROM c WHERE kind <> 'response') v ASOF LEFT JOIN full_response f ON v.canonical = f.canonical AND v.captured > f.captured),
+k AS (
+  SELECT *, CASE WHEN f_id IS NULL THEN 'no response'
+                 WHEN kind = 'by_tag' THEN CASE WHEN tag = f_tag THEN 'resolved' ELSE 'changed' END
+                 ELSE CASE WHEN modified = f_modified THEN 'resolved' ELSE 'changed' END END AS resolution FROM j)
+SELECT record_id, canonical AS canonical_url, captured, resolution,
+       CASE WHEN resolution = 'resolved' THEN f_id END AS response_id,
+       CASE WHEN resolution = 'resolved' THEN f_sha END AS payload_sha256,
+       CASE WHEN resolution = 'resolved' THEN f_size END AS payload_bytes,
+       CASE WHEN resolution = 'resolved' THEN
+         CASE WHEN kind = 'by_tag'
+              THEN 'Content-Type=text/html;Last-Modified=' || f_modified || ';Server=s' || (f_page % 9) || ';etag=W/' || tag || ';Date=' || (start + 3600)
+              ELSE 'Content-Type=text/html;ETag=' || f_tag || ';Date=' || f_start || ';Server=s' || (f_page % 9) || ';last-modified=' || modified || ';Expires=' || (start + 90000) END END AS headers
+FROM k
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basinforge.llm import compression_rules, interpolation_lm, line_winnow, oracle, packing, pii_crf, piece_bpe, progressive_jpeg, simhash, zdict_quality
+from basinforge.llm import compression_rules, interpolation_lm, line_winnow, oracle, packing, pii_crf, piece_bpe, progressive_jpeg, simhash, warc_revisit, zdict_quality
 
 #: Where the public vocabulary files are; None asks the module ``public_tokenizers``.
 TOKENIZER_DIR: str | None = None
@@ -69,6 +69,45 @@ def op9_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression_rules.apply_rules(table(spark, sf_dir, "documents"))
 
 
+def capture_log(pages: DataFrame) -> DataFrame:
+    """WARC records made of ``pages``: each page gives a response and two later revisits.
+
+    The revisits spell the URL otherwise; one names an entity tag and one a date, and
+    some of both are stale.
+    """
+    page, url = F.col("page_id"), F.col("url")
+    start = F.lit(1_700_000_000) + F.pmod(page * 7919, F.lit(100_003)) * 60
+    tag = F.concat(F.lit('"'), F.substring(F.md5("html"), 1, 16), F.lit('"'))
+    modified = (start - F.pmod(page, F.lit(977)) * 3600).cast("string")
+    field = lambda name, value: F.struct(F.lit(name).alias("name"), value.alias("value"))
+    stale = F.pmod(page, F.lit(5)) == 0
+    full = F.array(
+        field("Content-Type", F.lit("text/html")), field("ETag", tag), field("Last-Modified", modified), field("Date", start.cast("string")), field("Server", F.concat(F.lit("s"), F.pmod(page, F.lit(9)).cast("string")))
+    )
+    by_tag = F.array(field("etag", F.when(stale, F.lit('"stale"')).otherwise(F.concat(F.lit("W/"), tag))), field("Date", (start + 3600).cast("string")), field("Server", F.lit("cache")))
+    by_date = F.array(field("last-modified", modified), field("Expires", (start + 90000).cast("string")))
+    body = F.col("html").cast("binary")
+    record = lambda n, u, t, kind, h, sha, size: F.struct(
+        (page * 3 + n).alias("record_id"), u.alias("url"), t.cast("long").alias("captured"), F.lit(kind).alias("kind"), h.alias("headers"), sha.alias("payload_sha256"), size.cast("long").alias("payload_bytes")
+    )
+    none = F.lit(None).cast("string")
+    return pages.select(
+        F.explode(
+            F.array(
+                record(0, url, start, "response", full, F.sha2(body, 256), F.length(body)),
+                record(1, F.concat(F.regexp_replace(url, "^https?://", "http://"), F.lit("#again")), start + 3600, "revisit", by_tag, none, F.lit(None)),
+                record(2, F.regexp_replace(url, "^https?://", "HTTPS://www."), start + 86400 * F.pmod(page, F.lit(40)), "revisit", by_date, none, F.lit(None)),
+            )
+        ).alias("r")
+    ).select("r.*")
+
+
+def op10_revisit_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc_revisit.resolve_revisits(capture_log(table(spark, sf_dir, "pages")))
+    line = F.array_join(F.transform("headers", lambda h: F.concat(h["name"], F.lit("="), h["value"])), ";")
+    return found.withColumn("headers", line)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_deleted_interpolation": op2_deleted_interpolation,
@@ -79,8 +118,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_piece_bpe": op7_piece_bpe,
     "op8_progressive_jpeg": op8_progressive_jpeg,
     "op9_compression_bands": op9_compression_bands,
+    "op10_revisit_resolution": op10_revisit_resolution,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op4_line_winnowing": oracle.LINE_WINNOWING,
+    "op10_revisit_resolution": oracle.REVISIT_RESOLUTION,
 }
