@@ -4,8 +4,566 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from basinforge.functions import energy, sequence
+from basinforge.operators import analysis, ctmc, graph, hybrid, landscape
+from basinforge.plans import bindings as B
+from basinforge.plans import sql as S
+from basinforge.sources import exports
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 FLAGSHIP = "basin_equilibrium"
+SITE = landscape.SITE
+
+
+def tidy(df: DataFrame, digits: int = 8) -> DataFrame:
+    """Whole numbers as long and fractions rounded, so that rows compare across engines."""
+
+    def one(f: T.StructField) -> Column:
+        c = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, (T.IntegerType, T.ShortType, T.ByteType)):
+            c = c.cast("long")
+        elif isinstance(f.dataType, (T.DoubleType, T.FloatType)):
+            c = F.round(c, digits)
+        return c.alias(f.name)
+
+    return df.select(*map(one, df.schema.fields))
+
+
+def query(name: str, sql: str | None = None, digits: int = 8):
+    def register(fn: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[name] = lambda spark, sf_dir: tidy(fn(spark, sf_dir), digits)
+        if sql:
+            ORACLE_SQL[name] = sql
+        return fn
+
+    return register
+
+
+# sequences and states
+
+_TEXT = "translate(regexp_replace(text, '[^A-Za-z]', '', 'g'), 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ')"
+
+
+@query("seq_normalize", "SELECT doc_id, sha256(replace(translate(text, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ'), 'T', 'U')) AS normalized FROM documents")
+def seq_normalize(spark, sf):
+    return B.table(spark, sf, "documents").select("doc_id", F.sha2(sequence.normalize(F.col("text")), 256).alias("normalized"))
+
+
+@query("seq_revcomp", f"SELECT doc_id, sha256(reverse(translate(translate({_TEXT}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', '{B.BASES[:26]}'), 'ACGTU', 'UGCAA'))) AS revcomp FROM documents")
+def seq_revcomp(spark, sf):
+    letters = F.regexp_replace("text", "[^A-Za-z]", "")
+    letters = F.translate(letters, B.LETTERS[:26].lower() + B.LETTERS[:26], B.BASES[:26] * 2)
+    return B.table(spark, sf, "documents").select("doc_id", F.sha2(sequence.reverse_complement(letters), 256).alias("revcomp"))
+
+
+@query("seq_validate", "SELECT page_id, coalesce(regexp_full_match(split_part(url, '/', -1), '[ACGUacgu]+'), false) AS tail_valid, false AS url_valid FROM pages")
+def seq_validate(spark, sf):
+    tail = F.split_part(F.col("url"), F.lit("/"), F.lit(-1))
+    return B.table(spark, sf, "pages").select("page_id", sequence.is_sequence(tail).alias("tail_valid"), sequence.is_sequence(F.col("url")).alias("url_valid"))
+
+
+@query("pairable_positions", f"WITH {S.GRID} SELECT run_id, i1, i2 FROM grid WHERE pairs")
+def pairable_positions(spark, sf):
+    return landscape.pairable_positions(B.runs(spark, sf))
+
+
+def _sites(spark, sf):
+    return landscape.enumerate_sites(B.runs(spark, sf))
+
+
+def _ranked(spark, sf):
+    from basinforge.operators.lineage import checkpointed
+
+    r = B.runs(spark, sf)
+    return checkpointed(landscape.rank_states(landscape.with_open_state(r, landscape.enumerate_sites(r))))
+
+
+@query("enumerate_single_sites", f"WITH {S.SITES} SELECT * FROM sites")
+def enumerate_single_sites(spark, sf):
+    return _sites(spark, sf)
+
+
+@query("enumerate_double_sites", f"""WITH {S.SITES} SELECT x.run_id, x.i1, x.i2, x.j1, x.j2, y.i1 AS k1, y.i2 AS k2, y.j1 AS l1, y.j2 AS l2
+FROM sites x JOIN sites y ON x.run_id = y.run_id AND y.i1 >= x.j1 + 2 AND y.i2 >= x.j2 + 2""")
+def enumerate_double_sites(spark, sf):
+    return landscape.enumerate_double_sites(_sites(spark, sf), landscape.SiteLimits(distance=1))
+
+
+@query("state_validity", f"""WITH {S.GRID} SELECT l.run_id, l.i1, l.i2, r.i1 AS j1, r.i2 AS j2,
+  r.i1 - l.i1 >= 2 AND r.i2 - l.i2 >= 2 AS valid
+FROM grid l JOIN grid r ON l.run_id = r.run_id AND r.i1 - l.i1 BETWEEN 0 AND 3 AND r.i2 - l.i2 BETWEEN 0 AND 3 WHERE l.pairs AND r.pairs""")
+def state_validity(spark, sf):
+    r = B.runs(spark, sf)
+    pairs = landscape.pairable_positions(r)
+    step = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x in range(4) for y in range(4)])
+    left = pairs.select("run_id", "i1", "i2", F.explode(step).alias("d")).select("run_id", "i1", "i2", (F.col("i1") + F.col("d.x")).alias("j1"), (F.col("i2") + F.col("d.y")).alias("j2"))
+    both = left.join(pairs.select("run_id", F.col("i1").alias("j1"), F.col("i2").alias("j2")), ["run_id", "j1", "j2"]).join(r, "run_id")
+    return both.select("run_id", *SITE, landscape.is_valid(F.length("seq_a"), F.length("seq_b")).alias("valid"))
+
+
+@query("rank_states", f"WITH {S.RANKED} SELECT run_id, coalesce(i1, 0) AS i1, coalesce(i2, 0) AS i2, coalesce(j1, 0) AS j1, coalesce(j2, 0) AS j2, energy, rank FROM ranked")
+def rank_states(spark, sf):
+    return _ranked(spark, sf).select("run_id", *[F.coalesce(c, F.lit(0)).alias(c) for c in SITE], "energy", "rank")
+
+
+@query("dotbracket", f"""WITH {S.SITES} SELECT s.run_id, i1, i2, j1, j2,
+  repeat('.', i1 - 1) || '(' || repeat('.', j1 - i1 - 1) || '(' || repeat('.', length(seq_a) - j1) || '&' ||
+  repeat('.', i2 - 1) || ')' || repeat('.', j2 - i2 - 1) || ')' || repeat('.', length(seq_b) - j2) AS brackets,
+  '{{(' || i1 || ',' || i2 || ')-(' || j1 || ',' || j2 || ')}}' AS name
+FROM sites s JOIN runs r ON s.run_id = r.run_id""")
+def dotbracket(spark, sf):
+    both = _sites(spark, sf).join(B.runs(spark, sf), "run_id")
+    brackets = sequence.dot_bracket(F.length("seq_a"), F.length("seq_b"), *[F.col(c) for c in SITE])
+    return both.select("run_id", *SITE, brackets.alias("brackets"), sequence.state_text(F.array(F.struct(*SITE))).alias("name"))
+
+
+@query("symmetric_states", f"WITH {S.SITES} SELECT s.run_id, length(seq_a) - j2 + 1 AS i1, length(seq_a) - j1 + 1 AS i2, length(seq_a) - i2 + 1 AS j1, length(seq_a) - i1 + 1 AS j2 FROM sites s JOIN runs r ON s.run_id = r.run_id")
+def symmetric_states(spark, sf):
+    both = _sites(spark, sf).join(B.runs(spark, sf), "run_id")
+    return both.select("run_id", *[c.alias(n) for c, n in zip(sequence.symmetric(*[F.col(c) for c in SITE], F.length("seq_a")), SITE)])
+
+
+@query("reorient_states", f"WITH {S.SITES} SELECT s.run_id, i1, length(seq_b) - j2 + 1 AS i2, j1, length(seq_b) - i2 + 1 AS j2 FROM sites s JOIN runs r ON s.run_id = r.run_id")
+def reorient_states(spark, sf):
+    both = _sites(spark, sf).join(B.runs(spark, sf), "run_id")
+    return both.select("run_id", *[c.alias(n) for c, n in zip(sequence.reorient(*[F.col(c) for c in SITE], F.length("seq_b")), SITE)])
+
+
+@query("region_filter", f"WITH {S.SITES} SELECT * FROM sites WHERE i1 >= 9 AND j1 <= 16 AND i2 >= 1 AND j2 <= 7")
+def region_filter(spark, sf):
+    return _sites(spark, sf).where((F.col("i1") >= 9) & (F.col("j1") <= 16) & (F.col("i2") >= 1) & (F.col("j2") <= 7))
+
+
+@query("encode_states", f"WITH {S.SITES} SELECT run_id, (i1 << 48) | (i2 << 32) | (j1 << 16) | j2 AS code, i1, j2, greatest(j1 - i1, j2 - i2) + 1 AS max_size FROM sites")
+def encode_states(spark, sf):
+    code = sequence.encode_site(*[F.col(c) for c in SITE])
+    decoded = sequence.decode_site(F.col("code"))
+    coded = _sites(spark, sf).select("run_id", code.alias("code"), (F.greatest(F.col("j1") - F.col("i1"), F.col("j2") - F.col("i2")) + 1).alias("max_size"))
+    return coded.select("run_id", "code", decoded[0].alias("i1"), decoded[3].alias("j2"), "max_size")
+
+
+@query("state_energy", f"WITH {S.RANKED} SELECT run_id, rank, energy / 100.0 AS energy, round(exp(-energy / 1000.0 / {S.RT!r}), 8) AS scaled_weight FROM ranked")
+def state_energy(spark, sf):
+    e = F.col("energy") / 100.0
+    return _ranked(spark, sf).select("run_id", "rank", e.alias("energy"), energy.boltzmann(e / 10).alias("scaled_weight"))
+
+
+@query("boltzmann_weights", f"SELECT s_suppkey, round(exp(-s_acctbal / 1000 / {S.RT!r}), 8) AS weight FROM supplier")
+def boltzmann_weights(spark, sf):
+    return B.table(spark, sf, "supplier").select("s_suppkey", energy.boltzmann(F.col("s_acctbal") / 1000).alias("weight"))
+
+
+_PATHS = f"""WITH RECURSIVE {S.GRID},
+path AS (
+  SELECT run_id, i1, i2, i1 AS j1, i2 AS j2, CAST(1 AS DOUBLE) AS w FROM grid WHERE pairs
+  UNION ALL
+  SELECT p.run_id, p.i1, p.i2, r.i1, r.i2,
+         p.w * exp(-CASE WHEN r.i1 = p.j1 + 1 AND r.i2 = p.j2 + 1 THEN k.e ELSE 100 + 20 * (r.i1 - p.j1 + r.i2 - p.j2 - 2) + 50 * abs((r.i1 - p.j1) - (r.i2 - p.j2)) END / 100.0 / {S.RT!r})
+  FROM path p JOIN grid l ON l.run_id = p.run_id AND l.i1 = p.j1 AND l.i2 = p.j2
+  JOIN grid r ON r.run_id = p.run_id AND r.pairs AND r.i1 > p.j1 AND r.i2 > p.j2 AND r.i1 - p.j1 + r.i2 - p.j2 - 2 <= 6 AND r.i1 - p.i1 <= 7 AND r.i2 - p.i2 <= 7
+  LEFT JOIN stack k ON k.k = l.a || l.b || r.a || r.b),
+hybrid AS (SELECT run_id, i1, i2, j1, j2, sum(w) AS q FROM path GROUP BY ALL)"""
+
+
+def _hybrid(spark, sf):
+    r = B.runs(spark, sf)
+    return hybrid.hybrid_partition(r, landscape.pairable_positions(r))
+
+
+@query("hybrid_pf", f"{_PATHS} SELECT run_id, i1, i2, j1, j2, round(-{S.RT!r} * ln(q), 6) AS energy FROM hybrid", 6)
+def hybrid_pf(spark, sf):
+    return _hybrid(spark, sf).select("run_id", *SITE, energy.free_energy(F.col("q")).alias("energy"))
+
+
+@query("interaction_probability", f"""{_PATHS}
+SELECT l.run_id, l.i1, l.i2, w.j1, w.j2, l.j1 AS k1, l.j2 AS k2, round(l.q * r.q / w.q, 6) AS p
+FROM hybrid l JOIN hybrid r ON l.run_id = r.run_id AND l.j1 = r.i1 AND l.j2 = r.i2
+JOIN hybrid w ON w.run_id = l.run_id AND w.i1 = l.i1 AND w.i2 = l.i2 AND w.j1 = r.j1 AND w.j2 = r.j2""", 6)
+def interaction_probability(spark, sf):
+    from basinforge.operators.lineage import checkpointed
+
+    return hybrid.interaction_probability(checkpointed(_hybrid(spark, sf)))
+
+
+@query("unpaired_probabilities", None, 8)
+def unpaired_probabilities(spark, sf):
+    return hybrid.unpaired_probabilities(B.runs(spark, sf))
+
+
+# moves and basins
+
+_MOVE = "SELECT run_id, src, dst, CAST(kind AS BIGINT) AS kind, e_src, e_dst, CAST(e_ts AS BIGINT) AS e_ts FROM"
+
+
+@query("moves_grow_shrink", f"WITH {S.RANKED} {_MOVE} ({S.GROW})")
+def moves_grow_shrink(spark, sf):
+    return landscape.grow_shrink_moves(_ranked(spark, sf))
+
+
+@query("moves_shift", f"WITH {S.RANKED}, m(run_id, src, dst, kind, e_src, e_dst, e_ts) AS ({S.SHIFT}) {_MOVE} m")
+def moves_shift(spark, sf):
+    return landscape.shift_moves(_ranked(spark, sf))
+
+
+@query("moves_open_close", f"WITH {S.RANKED} {_MOVE} ({S.OPEN_CLOSE})")
+def moves_open_close(spark, sf):
+    return landscape.open_close_moves(_ranked(spark, sf))
+
+
+@query("moves_merge_split", f"""WITH {S.SITES} SELECT x.run_id, x.i1, x.i2, x.j1, x.j2, y.i1 AS k1, y.i2 AS k2, y.j1 AS l1, y.j2 AS l2, m.energy AS merged_energy
+FROM sites x JOIN sites y ON x.run_id = y.run_id AND y.i1 = x.j1 + 1 AND y.i2 = x.j2 + 1
+JOIN sites m ON m.run_id = x.run_id AND m.i1 = x.i1 AND m.i2 = x.i2 AND m.j1 = y.j1 AND m.j2 = y.j2""")
+def moves_merge_split(spark, sf):
+    sites, near = _sites(spark, sf), landscape.SiteLimits(distance=0)
+    return landscape.merge_split_moves(landscape.enumerate_double_sites(sites, near), sites, near)
+
+
+@query("gradient_parent", f"WITH {S.PARENTS} SELECT * FROM parents")
+def gradient_parent(spark, sf):
+    ranked = _ranked(spark, sf)
+    return landscape.gradient_parents(ranked, landscape.moves(ranked))
+
+
+def _basins(spark, sf):
+    from basinforge.operators.lineage import checkpointed
+
+    ranked = _ranked(spark, sf)
+    edges = checkpointed(landscape.moves(ranked))
+    members = checkpointed(landscape.basin_members(landscape.resolve_parents(landscape.gradient_parents(ranked, edges))))
+    return ranked, edges, members
+
+
+_RECURSIVE = S.BASINS.replace("runs AS (", "RECURSIVE runs AS (", 1)
+_SUMMARY = S.SUMMARY.replace("runs AS (", "RECURSIVE runs AS (", 1)
+
+
+@query("gradient_basins", f"WITH {_RECURSIVE} SELECT * FROM members")
+def gradient_basins(spark, sf):
+    return _basins(spark, sf)[2]
+
+
+@query("basin_summary", f"WITH {_SUMMARY} SELECT run_id, basin, n_states, round(-{S.RT!r} * ln(z), 6) AS free_energy, min_energy, min_rank FROM summary", 6)
+def basin_summary(spark, sf):
+    ranked, _, members = _basins(spark, sf)
+    return landscape.basin_summary(ranked, members).select("run_id", "basin", "n_states", energy.free_energy(F.col("z")).alias("free_energy"), "min_energy", "min_rank")
+
+
+@query("basin_equilibrium", f"WITH {_SUMMARY} SELECT run_id, basin, n_states, round(z / sum(z) OVER (PARTITION BY run_id), 8) AS p FROM summary")
+def basin_equilibrium(spark, sf):
+    ranked, _, members = _basins(spark, sf)
+    summary = landscape.basin_summary(ranked, members)
+    return ctmc.stationary(summary.select("run_id", F.col("basin").alias("b"), "z")).withColumnRenamed("b", "basin").join(summary.select("run_id", "basin", "n_states"), ["run_id", "basin"])
+
+
+@query("basin_transitions", f"""WITH {_RECURSIVE} SELECT e.run_id, least(s.basin, t.basin) AS a, greatest(s.basin, t.basin) AS b,
+  round(-{S.RT!r} * ln(sum(exp(-greatest(e_src, e_dst, e_ts) / 100.0 / {S.RT!r}))), 6) AS barrier
+FROM edges e JOIN members s ON e.run_id = s.run_id AND e.src = s.rank JOIN members t ON e.run_id = t.run_id AND e.dst = t.rank
+WHERE dst < src AND s.basin <> t.basin GROUP BY ALL""", 6)
+def basin_transitions(spark, sf):
+    _, edges, members = _basins(spark, sf)
+    return landscape.basin_transitions(edges, members).select("run_id", "a", "b", energy.free_energy(F.col("z")).alias("barrier"))
+
+
+@query("basin_kinetics", None, 6)
+def basin_kinetics(spark, sf):
+    ranked, edges, members = _basins(spark, sf)
+    nodes = landscape.basin_summary(ranked, members).select("run_id", F.col("basin").alias("b"), "z")
+    weights = landscape.basin_transitions(edges, members).withColumnRenamed("z", "w")
+    return ctmc.until_converged(ctmc.solve(nodes, weights, ctmc.SolveSpec()), ctmc.stationary(nodes))
+
+
+@query("basin_pair_probs", f"""{_PATHS},
+w AS (
+  SELECT l.run_id, l.j1 AS k1, l.j2 AS k2, sum(l.q * r.q) AS z FROM hybrid l JOIN hybrid r ON l.run_id = r.run_id AND l.j1 = r.i1 AND l.j2 = r.i2 GROUP BY ALL),
+total AS (SELECT run_id, sum(q) AS z FROM hybrid GROUP BY run_id)
+SELECT w.run_id, k1, k2, round(round(w.z / total.z / 0.01) * 0.01, 6) AS p FROM w JOIN total USING (run_id) WHERE w.z / total.z > 0.01""", 6)
+def basin_pair_probs(spark, sf):
+    from basinforge.operators.lineage import checkpointed
+
+    q = checkpointed(_hybrid(spark, sf))
+    left = q.select("run_id", F.col("j1").alias("k1"), F.col("j2").alias("k2"), F.col("q").alias("ql"))
+    # the sums over left and over right parts factor, so no row per site is made
+    ends = left.groupBy("run_id", "k1", "k2").agg(F.sum("ql").alias("ql"))
+    starts = q.groupBy("run_id", F.col("i1").alias("k1"), F.col("i2").alias("k2")).agg(F.sum("q").alias("qr"))
+    z = ends.join(starts, ["run_id", "k1", "k2"]).select("run_id", "k1", "k2", (F.col("ql") * F.col("qr")).alias("z"))
+    total = q.groupBy("run_id").agg(F.sum("q").alias("total"))
+    return exports.quantised(z.join(total, "run_id").select("run_id", "k1", "k2", (F.col("z") / F.col("total")).alias("p")), 0.01)
+
+
+# graphs
+
+
+def _trade(spark, sf):
+    from basinforge.operators.lineage import checkpointed
+
+    nodes, edges = B.trade_edges(spark, sf)
+    return checkpointed(nodes), checkpointed(edges)
+
+
+@query("outflow", f"WITH {S.TRADE} SELECT b, z, out_w, round(out_rate, 8) AS out_rate, round(max_rate, 8) AS max_rate FROM rates")
+def outflow(spark, sf):
+    return graph.outflow(*_trade(spark, sf))
+
+
+@query("p_equ", f"WITH {S.TRADE} SELECT b, z, round(p, 8) AS p FROM shares")
+def p_equ(spark, sf):
+    return graph.equilibrium(_trade(spark, sf)[0])
+
+
+@query("max_outflow_by_quantile", f"WITH {S.TRADE} SELECT round(out_rate, 8) AS threshold FROM (SELECT out_rate, row_number() OVER (ORDER BY out_rate) AS k, count(*) OVER () AS n FROM rates) WHERE k = trunc(90 * (n - 1) / 100.0) + 1")
+def max_outflow_by_quantile(spark, sf):
+    return graph.max_outflow_by_quantile(graph.outflow(*_trade(spark, sf)), 90)
+
+
+@query("min_pequ_by_number", f"WITH {S.TRADE} SELECT round(p, 8) AS threshold FROM (SELECT p, row_number() OVER (ORDER BY p) AS k, count(*) OVER () AS n FROM shares) WHERE k = n - 5 + 1")
+def min_pequ_by_number(spark, sf):
+    return graph.min_equilibrium_by_number(graph.equilibrium(_trade(spark, sf)[0]), 5)
+
+
+@query("graph_stats", f"WITH {S.TRADE} SELECT (SELECT count(*) FROM nodes) AS basins, (SELECT count(*) FROM ends) AS transitions, round((SELECT avg(out_rate) FROM rates), 8) AS mean_outflow, round((SELECT max(max_rate) FROM rates), 8) AS max_rate")
+def graph_stats(spark, sf):
+    nodes, edges = _trade(spark, sf)
+    return exports.graph_stats(graph.outflow(nodes, edges), edges)
+
+
+@query("min_rate_filter", f"WITH {S.TRADE} SELECT e.a, e.b, w FROM edges e JOIN nodes x ON e.a = x.b JOIN nodes y ON e.b = y.b WHERE w / least(x.z, y.z) >= 0.04")
+def min_rate_filter(spark, sf):
+    return graph.filter_by_rate(*_trade(spark, sf), 0.04)
+
+
+@query("merge_candidates", f"WITH {S.TRADE} SELECT r.b, round(out_rate, 8) AS out_rate, round(p, 8) AS p FROM rates r JOIN shares s ON r.b = s.b WHERE r.b <> 0 AND (p < 0.039 OR out_rate > 0.97)")
+def merge_candidates(spark, sf):
+    nodes, edges = _trade(spark, sf)
+    return graph.merge_candidates(graph.outflow(nodes, edges), graph.equilibrium(nodes), 0.97, 0.039)
+
+
+@query("association_prefactor", f"WITH {S.TRADE} SELECT a, b, CASE WHEN a = 0 OR b = 0 THEN w * 2.5 ELSE w END AS w FROM edges")
+def association_prefactor(spark, sf):
+    return graph.with_prefactor(_trade(spark, sf)[1], 0, 2.5)
+
+
+_DISSOLVED = f"""WITH {S.TRADE},
+near AS (SELECT t AS b, w AS g, w / sum(w) OVER () AS f FROM ends WHERE s = 3),
+z0 AS (SELECT z FROM nodes WHERE b = 3)"""
+
+
+@query("dissolve_nodes", f"{_DISSOLVED} SELECT n.b, round(n.z + coalesce(f, 0) * (SELECT z FROM z0), 6) AS z FROM nodes n LEFT JOIN near ON n.b = near.b WHERE n.b <> 3", 6)
+def dissolve_nodes(spark, sf):
+    return graph.dissolve(*_trade(spark, sf), 3)[0]
+
+
+@query("dissolve_edges", f"""{_DISSOLVED} SELECT a, b, round(sum(w), 6) AS w FROM (
+  SELECT a, b, w FROM edges WHERE a <> 3 AND b <> 3
+  UNION ALL SELECT x.b, y.b, x.g * y.f + y.g * x.f FROM near x JOIN near y ON x.b < y.b) GROUP BY a, b""", 6)
+def dissolve_edges(spark, sf):
+    return graph.dissolve(*_trade(spark, sf), 3)[1]
+
+
+def _one_run(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    return nodes.withColumn("run_id", F.lit(0).cast("long")), edges.withColumn("run_id", F.lit(0).cast("long"))
+
+
+@query("prune_graph", None, 6)
+def prune_graph(spark, sf):
+    pruned = graph.prune(*_one_run(*_trade(spark, sf)), graph.PruneLimits(min_share=0.041))
+    return pruned.where("kind <> 'part'").select("kind", "a", "b", "value")
+
+
+@query("prune_contributions", None, 6)
+def prune_contributions(spark, sf):
+    pruned = graph.prune(*_one_run(*_trade(spark, sf)), graph.PruneLimits(min_share=0.041))
+    return pruned.where("kind = 'part'").select(F.col("a").alias("final"), F.col("b").alias("basin"), F.col("value").alias("part"))
+
+
+def _sparse(spark, sf):
+    nodes, edges = _trade(spark, sf)
+    return nodes, graph.filter_by_rate(nodes, edges, S.SPARSE)
+
+
+_COMPONENTS = "WITH RECURSIVE " + S.COMPONENTS
+
+
+@query("connected_components", f"{_COMPONENTS} SELECT * FROM components")
+def connected_components(spark, sf):
+    return graph.connected_components(*_sparse(spark, sf))
+
+
+@query("keep_component", f"{_COMPONENTS} SELECT n.b, n.z FROM nodes n JOIN components c ON n.b = c.b WHERE c.component = (SELECT component FROM components WHERE b = 1)")
+def keep_component(spark, sf):
+    nodes, edges = _sparse(spark, sf)
+    return graph.keep_component(nodes, edges, graph.connected_components(nodes, edges), 1)[0]
+
+
+@query("connect_components", f"""{_COMPONENTS},
+heads AS (SELECT component, arg_max(n.b, (n.z, -n.b)) AS b, max(n.z) AS z FROM nodes n JOIN components c ON n.b = c.b GROUP BY component)
+SELECT x.b AS a, y.b AS b, round(1e-3 * least(x.z, y.z), 8) AS w FROM heads x JOIN heads y ON x.b < y.b""")
+def connect_components(spark, sf):
+    nodes, edges = _sparse(spark, sf)
+    return graph.connect_components(nodes, graph.connected_components(nodes, edges), 1e-3)
+
+
+@query("reindex_basins", f"""WITH {S.TRADE}, kept AS (SELECT b, row_number() OVER (ORDER BY b) - 1 AS new FROM shares WHERE p >= 0.04)
+SELECT x.new AS a, y.new AS b, w FROM edges e JOIN kept x ON e.a = x.b JOIN kept y ON e.b = y.b""")
+def reindex_basins(spark, sf):
+    nodes, edges = _trade(spark, sf)
+    return graph.reindex(graph.equilibrium(nodes).where("p >= 0.04"), edges)[1]
+
+
+# Markov chains
+
+
+@query("symmetrize", f"WITH {S.CHAIN} SELECT * FROM sym")
+def symmetrize(spark, sf):
+    return ctmc.symmetrize(B.event_chain(spark, sf))
+
+
+@query("rate_matrix", f"""WITH {S.TRADE}, r AS (SELECT s AS i, t AS j, w / z AS rate FROM ends JOIN nodes ON s = b)
+SELECT i, j, round(rate, 8) AS rate FROM r UNION ALL SELECT i, i, round(-sum(rate), 8) FROM r GROUP BY i""")
+def rate_matrix(spark, sf):
+    return ctmc.rate_matrix(*_trade(spark, sf))
+
+
+@query("stationary_distribution", f"WITH {S.CHAIN} SELECT i AS state, round(sum(v) / (SELECT sum(v) FROM sym), 8) AS p FROM sym GROUP BY i")
+def stationary_distribution(spark, sf):
+    weight = ctmc.symmetrize(B.event_chain(spark, sf)).groupBy(F.col("i").alias("b")).agg(F.sum("v").alias("z"))
+    return graph.equilibrium(weight).select(F.col("b").alias("state"), "p")
+
+
+@query("time_grid", "SELECT k, round(log10(0.1 * pow(1.2, k)), 8) AS log_t FROM (SELECT unnest(range(0, 300)) AS k) WHERE 0.1 * pow(1.2, k) < 1e15")
+def time_grid(spark, sf):
+    return ctmc.time_grid(spark, end=1e15).select("k", F.log10("t").alias("log_t"))
+
+
+@query("solve_kinetics", None, 8)
+def solve_kinetics(spark, sf):
+    return ctmc.solve(*_one_run(*_trade(spark, sf)), ctmc.SolveSpec(t0=0.01, end=1e3)).drop("run_id")
+
+
+@query("mfpt", None, 6)
+def mfpt(spark, sf):
+    return ctmc.passage_times(*_one_run(*_trade(spark, sf))).drop("run_id")
+
+
+@query("absorption_times", None, 6)
+def absorption_times(spark, sf):
+    return ctmc.passage_times(*_one_run(*_trade(spark, sf)), target=0).select("a", "time")
+
+
+@query("convergence_time", f"""WITH {S.KINETICS}, pi AS (SELECT state, avg(p) AS q FROM kin GROUP BY state),
+gap AS (SELECT t, sum(abs(p - q)) AS gap FROM kin JOIN pi USING (state) GROUP BY t)
+SELECT t, state, round(p, 8) AS p FROM kin WHERE t <= coalesce((SELECT min(t) FROM gap WHERE gap < 0.1), 1e9)""")
+def convergence_time(spark, sf):
+    kin = B.kinetics(spark, sf).withColumn("run_id", F.lit(0)).withColumnRenamed("state", "b")
+    mean = kin.groupBy("run_id", "b").agg(F.avg("p").alias("p"))
+    return ctmc.until_converged(kin, mean, 0.1).select("t", F.col("b").alias("state"), "p")
+
+
+# analysis
+
+
+@query("max_prob_over_time", f"WITH {S.KINETICS} SELECT state, round(max(p), 8) AS max_p FROM kin GROUP BY state HAVING max(p) >= 0.02")
+def max_prob_over_time(spark, sf):
+    return analysis.max_over_time(B.kinetics(spark, sf), 0.02)
+
+
+@query("prominent_states", f"WITH {S.KINETICS} SELECT state FROM kin GROUP BY state HAVING max(p) >= 0.22")
+def prominent_states(spark, sf):
+    return analysis.prominent_states(B.kinetics(spark, sf), 0.22)
+
+
+@query("event_prob_over_time", f"WITH {S.KINETICS} SELECT t, i, j, round(sum(kin.p * ev.p), 8) AS p FROM kin JOIN ev USING (state) GROUP BY t, i, j")
+def event_prob_over_time(spark, sf):
+    return analysis.event_probability(B.kinetics(spark, sf), B.events(spark, sf))
+
+
+@query("positional_marginals", f"WITH {S.KINETICS} SELECT state, pos, round(sum(p), 8) AS p FROM (SELECT state, i AS pos, p FROM ev UNION ALL SELECT state, j, p FROM ev) GROUP BY state, pos")
+def positional_marginals(spark, sf):
+    return analysis.positional_marginals(B.events(spark, sf))
+
+
+@query("positional_matrix", f"WITH {S.KINETICS} SELECT t, j AS pos, round(sum(kin.p * ev.p), 8) AS p FROM kin JOIN ev USING (state) GROUP BY t, j")
+def positional_matrix(spark, sf):
+    over_time = analysis.event_probability(B.kinetics(spark, sf), B.events(spark, sf))
+    return over_time.groupBy("t", F.col("j").alias("pos")).agg(F.sum("p").alias("p"))
+
+
+@query("dotplot_maxsp", f"WITH {S.KINETICS} SELECT i, j, round(sum(ev.p * m), 8) AS p FROM ev JOIN (SELECT state, max(p) AS m FROM kin GROUP BY state) USING (state) GROUP BY i, j")
+def dotplot_maxsp(spark, sf):
+    return analysis.dotplot_max_states(B.kinetics(spark, sf), B.events(spark, sf))
+
+
+@query("dotplot_integrate", f"""WITH {S.KINETICS},
+area AS (SELECT state, sum(a) / greatest(count(*) - 1, 1) AS m FROM (SELECT state, (p + lag(p) OVER (PARTITION BY state ORDER BY t)) / 2 AS a FROM kin) GROUP BY state)
+SELECT i, j, round(sum(ev.p * coalesce(m, 0)), 8) AS p FROM ev JOIN area USING (state) GROUP BY i, j""")
+def dotplot_integrate(spark, sf):
+    return analysis.dotplot_integrated(B.kinetics(spark, sf), B.events(spark, sf))
+
+
+@query("dotplot_maxbpp", f"WITH {S.KINETICS} SELECT i, j, round(max(p), 8) AS p FROM (SELECT t, i, j, sum(kin.p * ev.p) AS p FROM kin JOIN ev USING (state) WHERE t >= 3 AND t < 20 GROUP BY t, i, j) GROUP BY i, j")
+def dotplot_maxbpp(spark, sf):
+    return analysis.dotplot_max_events(B.kinetics(spark, sf), B.events(spark, sf), 3, 20)
+
+
+@query("coarse_grained_pf", f"WITH {S.COARSE} SELECT coarse, total AS z FROM total")
+def coarse_grained_pf(spark, sf):
+    return analysis.coarse_weights(B.contributions(spark, sf), B.nation_weights(spark, sf))
+
+
+@query("backpropagate", f"""WITH {S.COARSE} SELECT fine AS state, round(sum(part * z / total * p), 8) AS p
+FROM part JOIN fine ON fine = state JOIN total USING (coarse) JOIN cp USING (coarse) GROUP BY fine""")
+def backpropagate(spark, sf):
+    most = analysis.max_over_time(B.region_kinetics(spark, sf), 0.01).select(F.col("state").alias("coarse"), F.col("max_p").alias("p"))
+    return analysis.backpropagate(B.contributions(spark, sf), B.nation_weights(spark, sf), most)
+
+
+@query("relevant_states", f"""WITH {S.COARSE} SELECT fine AS state, round(sum(part * z / total * p), 8) AS p
+FROM part JOIN fine ON fine = state JOIN total USING (coarse) JOIN cp USING (coarse) GROUP BY fine HAVING sum(part * z / total * p) >= 0.01""")
+def relevant_states(spark, sf):
+    return analysis.relevant_states(B.region_kinetics(spark, sf), B.contributions(spark, sf), B.nation_weights(spark, sf))
+
+
+@query("coarse_grained_events", f"""WITH {S.COARSE} SELECT coarse AS state, i, j, round(sum(part * ne.p * z / total), 8) AS p
+FROM part JOIN fine ON fine = state JOIN total USING (coarse) JOIN ne ON ne.state = fine GROUP BY coarse, i, j""")
+def coarse_grained_events(spark, sf):
+    return analysis.coarse_events(B.contributions(spark, sf), B.nation_weights(spark, sf), B.nation_events(spark, sf))
+
+
+@query("average_trajectories", f"""WITH d AS (SELECT event_type AS species, {S._DAY} AS t, count(*) AS n FROM events GROUP BY 1, 2)
+SELECT t, species, round(sum(n) OVER (PARTITION BY species ORDER BY t) / (SELECT count(DISTINCT user_id) FROM events), 8) AS mean FROM d""")
+def average_trajectories(spark, sf):
+    users = B.table(spark, sf, "events").select("user_id").distinct().count()
+    return analysis.average_trajectories(B.trajectories(spark, sf), users)
+
+
+# exports
+
+
+@query("rxns_export", f"WITH {S.TRADE} SELECT 'S' || (s + 1) || ' -> S' || (t + 1) || ', ' || printf('%.8e', w / z) AS line FROM ends JOIN nodes ON s = b")
+def rxns_export(spark, sf):
+    nodes, edges = _trade(spark, sf)
+    return exports.reactions(nodes, edges, "S")
+
+
+@query("spcs_export", f"WITH {S.TRADE} SELECT 'S' || (b + 1) || ' ' || CASE WHEN b = 1 THEN 1 ELSE 0 END AS line FROM nodes")
+def spcs_export(spark, sf):
+    return exports.species(_trade(spark, sf)[0], "S", 1)
+
+
+@query("pf_matrix", f"WITH {S.TRADE} SELECT s AS i, t AS j, w AS v FROM ends UNION ALL SELECT b, b, z FROM nodes")
+def pf_matrix(spark, sf):
+    return exports.weight_matrix(*_trade(spark, sf))
+
+
+@query("pseudo_bar", f"WITH {S.TRADE} SELECT b + 1 AS rank, '-' AS structure, round(-ln(z), 6) AS energy FROM nodes", 6)
+def pseudo_bar(spark, sf):
+    return exports.pseudo_bar(_trade(spark, sf)[0])
+
+
+@query("prune_track", f"WITH {S.COARSE} SELECT coarse AS final, string_agg(fine || ':' || printf('%.3g', part), chr(9) ORDER BY fine) AS track FROM part GROUP BY coarse")
+def prune_track(spark, sf):
+    return exports.prune_track(B.contributions(spark, sf).select(F.col("coarse").alias("final"), F.col("fine").alias("basin"), "part"))
