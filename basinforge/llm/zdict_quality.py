@@ -90,12 +90,20 @@ def calibrate(features: np.ndarray, labels: np.ndarray, ridge: float = 0.1) -> n
     mean[0], spread[spread < 1e-9] = 0.0, 1.0
     z = (x - mean) / spread
     w = np.zeros(z.shape[1])
-    for _ in range(50):
+
+    def objective(w: np.ndarray) -> float:
+        m = z @ w
+        return float((labels * m - np.logaddexp(0, m)).sum() - ridge * (w @ w) / 2)
+
+    for _ in range(100):  # Newton steps, halved until they gain: nearly separable labels overshoot otherwise
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
         hessian = (z * (p * (1 - p))[:, None]).T @ z + ridge * np.eye(len(w))
-        step = np.linalg.solve(hessian, z.T @ (labels - p) - ridge * w)
-        w = w + step
-        if np.abs(step).max() < 1e-8:
+        step, now = np.linalg.solve(hessian, z.T @ (labels - p) - ridge * w), objective(w)
+        scale = 1.0
+        while scale > 1e-6 and objective(w + scale * step) < now:
+            scale /= 2
+        w = w + scale * step
+        if np.abs(scale * step).max() < 1e-8 or scale <= 1e-6:
             break
     w = w / spread
     w[0] -= (w[1:] * mean[1:]).sum()
