@@ -18,6 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -51,6 +52,7 @@ def chunks(text: bytes, size: int) -> list[bytes]:
 
 def build_dictionary(pieces: list[bytes], size: int) -> bytes:
     """A trained dictionary; where there is too little text for one, the text itself."""
+    pieces = sorted(set(pieces), key=xxhash.xxh64_intdigest)  # the trainer needs a mixed order, and gains nothing from copies
     try:
         return zstandard.train_dictionary(min(size, max(256, sum(map(len, pieces)) // 4)), pieces).as_bytes()
     except (zstandard.ZstdError, ValueError):
@@ -169,7 +171,7 @@ def fit(docs: DataFrame, labels: DataFrame, spec: QualitySpec = QualitySpec(), i
         return text.join(F.broadcast(rows.select("__id", "label")), "__id").select("text", "label")
 
     pieces = texts(for_dictionary[0].unionByName(for_dictionary[1])).mapInArrow(_pieces_of(spec), "label int, piece binary").toArrow().to_pydict()
-    good, bad = (build_dictionary(sorted(bytes(p) for p, k in zip(pieces["piece"], pieces["label"]) if k == want), spec.dictionary_bytes) for want in (1, 0))
+    good, bad = (build_dictionary([bytes(p) for p, k in zip(pieces["piece"], pieces["label"]) if k == want], spec.dictionary_bytes) for want in (1, 0))
     found = texts(for_calibration).mapInArrow(_features_of(good, bad, spec, True), "label int, d double, r double, n double").toArrow().to_pydict()
     rows = np.array(sorted(zip(found["d"], found["r"], found["n"], found["label"])), np.float64).reshape(-1, 4)
     # without labelled rows every text scores one half
