@@ -63,7 +63,11 @@ class WordIds(dict):
         return np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
     def learn(self, parts: list[str]) -> None:
-        """Encodes new parts at once; each starts at the token that holds its space."""
+        """Encodes new parts at once; each starts at the token that holds its space, and those with spaces inside on their own."""
+        for part in [p for p in parts if " " in p]:
+            self[part] = self.encode(" " + part).tobytes()
+        if not (parts := [p for p in parts if " " not in p]):
+            return
         ids = self.encode(" " + " ".join(parts))
         edges = [*(4 * np.flatnonzero(self._led[ids])).tolist(), 4 * len(ids)]
         data = ids.tobytes()
