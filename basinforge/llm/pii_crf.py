@@ -381,4 +381,4 @@ def find_documents(
             kinds = [pa.int64() if o.startswith("n_") else pa.string() for o in outputs]
             yield pa.RecordBatch.from_arrays([*batch.columns[:k], *(pa.array(c, t) for c, t in zip(zip(*rows), kinds))], names=schema.names)
 
-    return docs.select(*[docs[c].alias(c) for c in columns], docs[text_col].cast("string").cast("binary").alias("__text")).mapInArrow(run, schema)
+    return docs.select(*[docs[f"`{c}`"].alias(f"__k{i}") for i, c in enumerate(columns)], docs[text_col].cast("string").cast("binary").alias("__text")).mapInArrow(run, schema)

@@ -492,7 +492,7 @@ def decode_column(df: DataFrame, media_col: str, keys: list[str]) -> DataFrame:
             kinds = (pa.int32(), pa.int32(), pa.binary(), pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], *(pa.array(c, k) for c, k in zip(columns, kinds))], names=schema.names)
 
-    return df.select(*[df[k].alias(k) for k in keys], df[media_col].cast("binary").alias("__media")).mapInArrow(run, schema)
+    return df.select(*[df[f"`{k}`"].alias(f"__k{i}") for i, k in enumerate(keys)], df[media_col].cast("binary").alias("__media")).mapInArrow(run, schema)
 
 
 def store_column(df: DataFrame, text_col: str, keys: list[str]) -> DataFrame:
@@ -504,7 +504,7 @@ def store_column(df: DataFrame, text_col: str, keys: list[str]) -> DataFrame:
             media = [store_bytes(padded(x)) for x in batch.column(len(keys)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], pa.array(media, pa.binary())], names=schema.names)
 
-    return df.select(*[df[k].alias(k) for k in keys], text_bytes(df, text_col).alias("__text")).mapInArrow(run, schema)
+    return df.select(*[df[f"`{k}`"].alias(f"__k{i}") for i, k in enumerate(keys)], text_bytes(df, text_col).alias("__text")).mapInArrow(run, schema)
 
 
 def padded(data: bytes) -> bytes:

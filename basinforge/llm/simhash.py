@@ -148,12 +148,13 @@ def near_links(fps: DataFrame, max_bits: int = MAX_BITS, segment_bits: int = 4)
     crowded = crowded.select(F.explode(F.array("p", "q")).alias("point")).distinct()
     fine = (
         at.join(crowded, "point", "left_semi")
-        .select("fp", F.explode(grid_cells(F.col("fp"), 1) if max_bits == 2 else F.array("fp")).alias("cell"))
-        .where(F.col("cell").isNotNull())
+        .select("fp", F.explode(grid_cells(F.col("fp"), 1)).alias("cell"))
         .groupBy("cell")
         .agg(F.collect_list("fp").alias("fps"))
         .where(F.size("fps") > 1)
-        .select(F.array_min("fps").alias("a"), F.explode("fps").alias("b"))
+        # the members are one bit from the cell: two bits join them all, one bit only with the cell's own fingerprint
+        .where(F.lit(max_bits == 2) | F.array_contains("fps", F.col("cell")))
+        .select((F.array_min("fps") if max_bits == 2 else F.col("cell")).alias("a"), F.explode("fps").alias("b"))
         .where((F.col("a") != F.col("b")) & (bit_distance(F.col("a"), F.col("b")) <= max_bits))
         .select("a", "b")
     )

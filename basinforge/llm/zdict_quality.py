@@ -198,4 +198,4 @@ def score(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col
             yield pa.RecordBatch.from_arrays([*batch.columns[:k], batch.column(k + 1), pa.array(p), pa.array(predicted)], names=schema.names)
 
     held = crc_bucket(docs[id_col], model.spec.folds) == model.spec.held_out
-    return docs.select(*[docs[c].alias(c) for c in columns], text_bytes(docs, text_col).alias("__text"), held.alias("__held")).mapInArrow(run, schema)
+    return docs.select(*[docs[f"`{c}`"].alias(f"__k{i}") for i, c in enumerate(columns)], text_bytes(docs, text_col).alias("__text"), held.alias("__held")).mapInArrow(run, schema)
