@@ -193,3 +193,17 @@ def prune(nodes: DataFrame, edges: DataFrame, limits: PruneLimits = PruneLimits(
         return pd.DataFrame({"run_id": pdf["run_id"].iloc[0], "kind": kinds, "a": ids[np.r_[kept, x, p].astype(int)], "b": ids[np.r_[kept, y, q].astype(int)], "value": np.r_[z[kept], w[x, y], share[p, q]]})
 
     return rows.groupBy("run_id").applyInPandas(run, "run_id long, kind string, a long, b long, value double")
+
+
+def swap_first_two(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Basins 0 and 1 exchanged, if there are two: the open state then has number 1."""
+    if nodes.where("b < 2").limit(2).count() < 2:
+        return nodes, edges
+    swapped = lambda c: F.when(F.col(c) < 2, 1 - F.col(c)).otherwise(F.col(c))
+    ends = edges.select(swapped("a").alias("x"), swapped("b").alias("y"), "w")
+    return nodes.withColumn("b", swapped("b")), ends.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "w")
+
+
+def strictest(max_outflows: list[float], min_shares: list[float]) -> tuple[float, float]:
+    """The limits that hold when several are given."""
+    return min(max_outflows, default=float("inf")), max(min_shares, default=0.0)

@@ -118,3 +118,59 @@ def unpaired_probabilities(runs: DataFrame, most: int = 4, celsius: float = 37.0
             yield pd.DataFrame(out, columns=["strand", "i", "j", "p"])
 
     return strands.mapInPandas(run, "strand string, i int, j int, p double")
+
+
+def fold_pairs(seq: str, celsius: float = 37.0, least_loop: int = 3) -> list[tuple[int, int, float]]:
+    """(k, l, p): base-pair probabilities of one strand; positions written "." can't pair.
+
+    The inside recursion is differentiated backwards: a pair's probability is its
+    weight times the derivative of the whole by it, over the whole.
+    """
+    n, rt = len(seq), energy.thermal_energy(celsius)
+    if n < least_loop + 2:
+        return []
+    q, b = fold_tables(seq, celsius, least_loop)
+    dq, db = np.zeros_like(q), np.zeros_like(b)
+    dq[1, n] = 1.0
+    for d in range(n - 1, least_loop, -1):
+        for i in range(1, n - d + 1):
+            j = i + d
+            if dq[i, j]:
+                dq[i, j - 1] += dq[i, j]
+                for k in range(i, j - least_loop):
+                    if b[k, j]:
+                        dq[i, k - 1] += dq[i, j] * b[k, j]
+                        db[k, j] += dq[i, j] * q[i, k - 1]
+            if db[i, j]:
+                dq[i + 1, j - 1] += db[i, j] * math.exp(-4.0 / rt)
+                if b[i + 1, j - 1]:
+                    db[i + 1, j - 1] += db[i, j] * math.exp(-_STACK[seq[i - 1] + seq[j - 1] + seq[i] + seq[j - 2]] / 100 / rt)
+    k, l = np.nonzero(b * db)
+    return [(int(x), int(y), float(b[x, y] * db[x, y] / q[1, n])) for x, y in zip(k, l)]
+
+
+def region_pair_probabilities(regions: DataFrame, celsius: float = 37.0, threshold: float = 0.0) -> DataFrame:
+    """(strand, i, j, k, l, p): base pairs of a strand whose region i..j is held by the other strand.
+
+    ``regions`` has strand (its letters), i and j; each distinct one is folded once.
+    """
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for s, i, j in zip(pdf.strand, pdf.i, pdf.j):
+                masked = s[: i - 1] + "." * (j - i + 1) + s[j:]
+                out += [(s, i, j, *x) for x in fold_pairs(masked, celsius) if x[2] >= threshold]
+            yield pd.DataFrame(out, columns=["strand", "i", "j", "k", "l", "p"])
+
+    return regions.select("strand", "i", "j").distinct().mapInPandas(run, "strand string, i int, j int, k int, l int, p double")
+
+
+def basin_pair_weights(members: DataFrame, hybrid: DataFrame) -> DataFrame:
+    """(run_id, basin, k1, k2, w): weight of each pair between the strands over a basin's states.
+
+    ``members`` has run_id, basin, the site and its weight z; states of one site.
+    """
+    inner = interaction_probability(hybrid)
+    both = members.join(inner, ["run_id", "i1", "i2", "j1", "j2"])
+    return both.groupBy("run_id", "basin", "k1", "k2").agg(F.sum(F.col("z") * F.col("p")).alias("w"))

@@ -229,3 +229,90 @@ def merge_symmetric(ranked: DataFrame, parents: DataFrame, lengths: DataFrame) -
     image = ranked.select("run_id", *SITE, F.col("rank").alias("image"))
     found = mirror.join(image, ["run_id", *SITE]).where("image < rank").select("run_id", "rank", "image")
     return parents.join(found, ["run_id", "rank"], "left").select("run_id", "rank", F.coalesce("image", "parent").alias("parent"))
+
+
+SECOND = ("k1", "k2", "l1", "l2")
+
+
+def double_states(sites: DataFrame, limits: SiteLimits = SiteLimits()) -> DataFrame:
+    """(run_id, both sites, hybrid, unpaired, energy): states of two sites.
+
+    Spans are taken to be unpaired independently of each other, so both parts of the energy add up.
+    """
+    keys = ["run_id", *SITE]
+    one = sites.select(*keys, F.col("hybrid").alias("h1"), F.col("energy").alias("e1"))
+    two = sites.select("run_id", *[F.col(a).alias(b) for a, b in zip(SITE, SECOND)], F.col("hybrid").alias("h2"), F.col("energy").alias("e2"))
+    both = enumerate_double_sites(sites, limits).join(one, keys).join(two, ["run_id", *SECOND])
+    h, e = F.col("h1") + F.col("h2"), F.col("e1") + F.col("e2")
+    return both.select(*keys, *SECOND, h.alias("hybrid"), (e - h).alias("unpaired"), e.alias("energy"), "h1", "h2")
+
+
+def grow_shrink_double(double: DataFrame, second: bool, left: bool, limits: SiteLimits = SiteLimits()) -> DataFrame:
+    """Moves of one end of one site of two-site states, the other site fixed: run_id, the source's sites, the moved end's target, e_ts."""
+    site = SECOND if second else SITE
+    ends = site[:2] if left else site[2:]
+    keys = ["run_id", *[c for c in (*SITE, *SECOND) if c not in ends]]
+    side = lambda p: double.select(*keys, *[F.col(c).alias(f"{p}_{c}") for c in ends], *[F.col(c).alias(f"{p}_{c}") for c in ("hybrid", "unpaired")])
+    pairs = side("s").join(side("t"), keys)
+    d = [F.col(f"t_{c}") - F.col(f"s_{c}") for c in ends]
+    a, b, most = F.abs(d[0]), F.abs(d[1]), limits.unpaired_in_loop + 1
+    shrinks = d[0] * (1 if left else -1) > 0
+    saddle = F.when(shrinks, F.col("t_hybrid") + F.col("s_unpaired")).otherwise(F.col("s_hybrid") + F.col("t_unpaired")) + energy.loop_energy(a, b)
+    moved = pairs.where((d[0] * d[1] > 0) & (a <= most) & (b <= most))
+    return moved.select(*keys, *[F.col(f"{p}_{c}") for p in "st" for c in ends], saddle.cast("long").alias("e_ts"))
+
+
+def new_site_moves(double: DataFrame, left: bool, limits: SiteLimits = SiteLimits()) -> DataFrame:
+    """From one site to two: the new one, left or right of the old, is short; run_id, both sites, e_ts.
+
+    The saddle pays for both spans, the loop of the new site's ends and the old site.
+    """
+    new, old = (SITE, "h2") if left else (SECOND, "h1")
+    d1, d2 = F.col(new[2]) - F.col(new[0]), F.col(new[3]) - F.col(new[1])
+    most = limits.unpaired_in_loop + 1
+    saddle = F.col("unpaired") + energy.loop_energy(d1, d2) + F.col(old)
+    return double.where((d1 <= most) & (d2 <= most)).select("run_id", *SITE, *SECOND, saddle.cast("long").alias("e_ts"))
+
+
+def merge_split_saddles(double: DataFrame, sites: DataFrame, limits: SiteLimits = SiteLimits()) -> DataFrame:
+    """Saddles of merging two near sites and of splitting them again: run_id, both sites, merged_energy, e_ts.
+
+    Paid are the merged site's spans, the loop between the sites and both sites.
+    """
+    gap = limits.distance + 1
+    near = double.where((F.col("k1") == F.col("j1") + gap) & (F.col("k2") == F.col("j2") + gap))
+    over = sites.select("run_id", "i1", "i2", F.col("j1").alias("l1"), F.col("j2").alias("l2"), F.col("energy").alias("merged_energy"), (F.col("energy") - F.col("hybrid")).alias("span"))
+    loop = energy.loop_energy(F.lit(gap), F.lit(gap))
+    return near.join(over, ["run_id", "i1", "i2", "l1", "l2"]).select("run_id", *SITE, *SECOND, "merged_energy", (F.col("span") + loop + F.col("hybrid")).cast("long").alias("e_ts"))
+
+
+def distinct_regions(sites: DataFrame) -> DataFrame:
+    """(run_id, strand, i, j): the different spans of sites on each strand."""
+    spans = F.array(F.struct(F.lit("a").alias("strand"), F.col("i1").alias("i"), F.col("j1").alias("j")), F.struct(F.lit("b").alias("strand"), F.col("i2").alias("i"), F.col("j2").alias("j")))
+    return sites.select("run_id", F.explode(spans).alias("s")).select("run_id", "s.*").distinct()
+
+
+def outside_region(first: tuple[int, int], second: tuple[int, int], site: tuple[str, ...] = SITE) -> Column:
+    """Whether a site leaves the region of either strand; states of two sites ask it of both."""
+    i1, i2, j1, j2 = (F.col(c) for c in site)
+    return (i1 < first[0]) | (j1 > first[1]) | (i2 < second[0]) | (j2 > second[1])
+
+
+def recover_members(members: DataFrame, ranked: DataFrame, edges: DataFrame, max_energy: int) -> DataFrame:
+    """(run_id, rank, root, basin) with the states that a walk down the lowest saddles leads to a basin's member.
+
+    ``edges`` may start at states that ``members`` lacks; those up to ``max_energy`` are
+    looked up, step by step, until no walk arrives anew.
+    """
+    from basinforge.operators.lineage import checkpointed
+
+    missing = ranked.where(F.col("energy") <= max_energy).select("run_id", "rank").join(members.select("run_id", "rank"), ["run_id", "rank"], "left_anti")
+    best = edges.where("e_dst < e_src").groupBy("run_id", F.col("src").alias("rank")).agg(F.min(F.struct("e_ts", "kind", "dst")).alias("best"))
+    steps = checkpointed(missing.join(best, ["run_id", "rank"]).select("run_id", "rank", F.col("best.dst").alias("next")))
+    found = checkpointed(members.select("run_id", "rank", "root", "basin"))
+    while True:
+        known = found.select("run_id", F.col("rank").alias("next"), "root", "basin")
+        fresh = checkpointed(steps.join(known, ["run_id", "next"]).select("run_id", "rank", "root", "basin").join(found.select("run_id", "rank"), ["run_id", "rank"], "left_anti"))
+        if not fresh.limit(1).count():
+            return found
+        found = checkpointed(found.unionByName(fresh))

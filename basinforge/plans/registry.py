@@ -295,6 +295,79 @@ def basin_pair_probs(spark, sf):
     return exports.quantised(z.join(total, "run_id").select("run_id", "k1", "k2", (F.col("z") / F.col("total")).alias("p")), 0.01)
 
 
+_DOUBLE = f"""{S.SITES},
+double AS (
+  SELECT x.run_id, x.i1, x.i2, x.j1, x.j2, y.i1 AS k1, y.i2 AS k2, y.j1 AS l1, y.j2 AS l2, x.hybrid + y.hybrid AS hybrid,
+         x.energy - x.hybrid + y.energy - y.hybrid AS unpaired, x.energy + y.energy AS energy, x.hybrid AS h1, y.hybrid AS h2
+  FROM sites x JOIN sites y ON x.run_id = y.run_id AND y.i1 >= x.j1 + 1 AND y.i2 >= x.j2 + 1)"""
+_NEAR = landscape.SiteLimits(distance=0)
+_BOTH = "run_id, i1, i2, j1, j2, k1, k2, l1, l2"
+
+
+@query("double_state_energy", f"WITH {_DOUBLE} SELECT {_BOTH}, hybrid, unpaired, energy FROM double")
+def double_state_energy(spark, sf):
+    return landscape.double_states(_sites(spark, sf), _NEAR).drop("h1", "h2")
+
+
+@query("moves_double_left", f"""WITH {_DOUBLE} SELECT s.run_id, s.i1, s.i2, s.j1, s.j2, s.l1, s.l2, s.k1 AS s_k1, s.k2 AS s_k2, t.k1 AS t_k1, t.k2 AS t_k2,
+  CAST(CASE WHEN t.k1 > s.k1 THEN t.hybrid + s.unpaired ELSE s.hybrid + t.unpaired END + {S._LOOP.format("(t.k1 - s.k1)", "(t.k2 - s.k2)")} AS BIGINT) AS e_ts
+FROM double s JOIN double t ON s.run_id = t.run_id AND s.i1 = t.i1 AND s.i2 = t.i2 AND s.j1 = t.j1 AND s.j2 = t.j2 AND s.l1 = t.l1 AND s.l2 = t.l2
+WHERE (t.k1 - s.k1) * (t.k2 - s.k2) > 0 AND abs(t.k1 - s.k1) <= 7 AND abs(t.k2 - s.k2) <= 7""")
+def moves_double_left(spark, sf):
+    return landscape.grow_shrink_double(landscape.double_states(_sites(spark, sf), _NEAR), second=True, left=True)
+
+
+@query("moves_double_right", f"""WITH {_DOUBLE} SELECT s.run_id, s.i1, s.i2, s.k1, s.k2, s.l1, s.l2, s.j1 AS s_j1, s.j2 AS s_j2, t.j1 AS t_j1, t.j2 AS t_j2,
+  CAST(CASE WHEN t.j1 < s.j1 THEN t.hybrid + s.unpaired ELSE s.hybrid + t.unpaired END + {S._LOOP.format("(t.j1 - s.j1)", "(t.j2 - s.j2)")} AS BIGINT) AS e_ts
+FROM double s JOIN double t ON s.run_id = t.run_id AND s.i1 = t.i1 AND s.i2 = t.i2 AND s.k1 = t.k1 AND s.k2 = t.k2 AND s.l1 = t.l1 AND s.l2 = t.l2
+WHERE (t.j1 - s.j1) * (t.j2 - s.j2) > 0 AND abs(t.j1 - s.j1) <= 7 AND abs(t.j2 - s.j2) <= 7""")
+def moves_double_right(spark, sf):
+    return landscape.grow_shrink_double(landscape.double_states(_sites(spark, sf), _NEAR), second=False, left=False)
+
+
+@query("moves_new_site", f"""WITH {_DOUBLE} SELECT 'left' AS side, {_BOTH}, CAST(unpaired + h2 + {S._LOOP.format("(j1 - i1)", "(j2 - i2)")} AS BIGINT) AS e_ts FROM double WHERE j1 - i1 <= 7 AND j2 - i2 <= 7
+UNION ALL SELECT 'right', {_BOTH}, CAST(unpaired + h1 + {S._LOOP.format("(l1 - k1)", "(l2 - k2)")} AS BIGINT) FROM double WHERE l1 - k1 <= 7 AND l2 - k2 <= 7""")
+def moves_new_site(spark, sf):
+    double = landscape.double_states(_sites(spark, sf), _NEAR)
+    sides = [landscape.new_site_moves(double, left).withColumn("side", F.lit(name)) for name, left in (("left", True), ("right", False))]
+    return sides[0].unionByName(sides[1])
+
+
+@query("merge_split_saddles", f"""WITH {_DOUBLE} SELECT d.run_id, d.i1, d.i2, d.j1, d.j2, k1, k2, l1, l2, m.energy AS merged_energy, CAST(m.energy - m.hybrid + d.hybrid AS BIGINT) AS e_ts
+FROM double d JOIN sites m ON m.run_id = d.run_id AND m.i1 = d.i1 AND m.i2 = d.i2 AND m.j1 = d.l1 AND m.j2 = d.l2 WHERE k1 = d.j1 + 1 AND k2 = d.j2 + 1""")
+def merge_split_saddles(spark, sf):
+    sites = _sites(spark, sf)
+    return landscape.merge_split_saddles(landscape.double_states(sites, _NEAR), sites, _NEAR)
+
+
+@query("distinct_regions", f"WITH {S.SITES} SELECT DISTINCT run_id, 'a' AS strand, i1 AS i, j1 AS j FROM sites UNION SELECT run_id, 'b', i2, j2 FROM sites")
+def distinct_regions(spark, sf):
+    return landscape.distinct_regions(_sites(spark, sf))
+
+
+@query("region_pair_probabilities", None, 6)
+def region_pair_probabilities(spark, sf):
+    r = B.runs(spark, sf)
+    regions = landscape.distinct_regions(_sites(spark, sf)).where("strand = 'a'").join(r, "run_id")
+    return hybrid.region_pair_probabilities(regions.select(F.col("seq_a").alias("strand"), "i", "j"))
+
+
+@query("basin_pair_weights", f"""{_PATHS.replace("hybrid AS (", S.SITES.replace(S.GRID + ",", "").lstrip() + "," + S.BASINS.replace(S.SITES + ",", "") + ", hybrid AS (", 1)}
+SELECT m.run_id, basin, l.j1 AS k1, l.j2 AS k2, round(-{S.RT!r} * ln(sum(exp(-r.energy / 100.0 / {S.RT!r}) * l.q * h.q / w.q)), 6) AS energy
+FROM members m JOIN ranked r ON m.run_id = r.run_id AND m.rank = r.rank
+JOIN hybrid w ON w.run_id = r.run_id AND w.i1 = r.i1 AND w.i2 = r.i2 AND w.j1 = r.j1 AND w.j2 = r.j2
+JOIN hybrid l ON l.run_id = r.run_id AND l.i1 = r.i1 AND l.i2 = r.i2
+JOIN hybrid h ON h.run_id = r.run_id AND h.i1 = l.j1 AND h.i2 = l.j2 AND h.j1 = r.j1 AND h.j2 = r.j2
+GROUP BY m.run_id, basin, l.j1, l.j2""", 6)
+def basin_pair_weights(spark, sf):
+    from basinforge.operators.lineage import checkpointed
+
+    ranked, _, members = _basins(spark, sf)
+    states = members.join(ranked.where("i1 is not null"), ["run_id", "rank"]).select("run_id", "basin", *SITE, energy.boltzmann(F.col("energy") / 100.0).alias("z"))
+    weights = hybrid.basin_pair_weights(states, checkpointed(_hybrid(spark, sf)))
+    return weights.select("run_id", "basin", "k1", "k2", energy.free_energy(F.col("w")).alias("energy"))
+
+
 # graphs
 
 
@@ -414,6 +487,11 @@ def reindex_basins(spark, sf):
     return graph.reindex(graph.equilibrium(nodes).where("p >= 0.04"), edges)[1]
 
 
+@query("swap_basins", f"WITH {S.TRADE}, s AS (SELECT CASE WHEN a < 2 THEN 1 - a ELSE a END AS x, CASE WHEN b < 2 THEN 1 - b ELSE b END AS y, w FROM edges) SELECT least(x, y) AS a, greatest(x, y) AS b, w FROM s")
+def swap_basins(spark, sf):
+    return graph.swap_first_two(*_trade(spark, sf))[1]
+
+
 # Markov chains
 
 
@@ -543,6 +621,12 @@ def average_trajectories(spark, sf):
 # exports
 
 
+@query("states_export", f"WITH {S.SITES} SELECT run_id, concat_ws(chr(9), printf('%.6f', energy / 100.0), i1, i2, j1, j2) AS line FROM sites")
+def states_export(spark, sf):
+    sites = _sites(spark, sf)
+    return sites.select("run_id", landscape.state_line().alias("line"))
+
+
 @query("rxns_export", f"WITH {S.TRADE} SELECT 'S' || (s + 1) || ' -> S' || (t + 1) || ', ' || printf('%.8e', w / z) AS line FROM ends JOIN nodes ON s = b")
 def rxns_export(spark, sf):
     nodes, edges = _trade(spark, sf)
