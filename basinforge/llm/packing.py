@@ -15,6 +15,7 @@ Repeated rows are packed each on its own.  An empty table gives no rows.
 
 from __future__ import annotations
 
+import contextlib
 import re
 import zlib
 from collections.abc import Iterator
@@ -48,30 +49,79 @@ class PackingSpec:
 class WordIds(dict):
     """Ids of a text's space-led parts as little-endian 32-bit bytes, encoded once each."""
 
-    MOST, LONGEST = 500_000, 64
+    MOST, LONGEST = 800_000, 64
 
     def __init__(self, path: str):
         super().__init__()
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
+        with contextlib.suppress(AttributeError):  # words are kept here, so a second store only costs
+            self._tokenizer.model._resize_cache(0)
         # a byte-level token that holds a space has it in front
         self._led = np.zeros(self._tokenizer.get_vocab_size(), bool)
         self._led[[i for t, i in self._tokenizer.get_vocab().items() if t.startswith("\u0120")]] = True
+        self._marks = {c: self.encode(c).tobytes() for c in ".,"}
+        newline = self.encode("\n")
+        self._newline, self._newline_id = newline.tobytes(), int(newline[0]) if len(newline) == 1 else -1
 
     def encode(self, text: str) -> np.ndarray:
-        return np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
-
-    def learn(self, parts: list[str]) -> None:
-        """Encodes new parts at once; each starts at the token that holds its space, and those with spaces inside on their own."""
-        for part in [p for p in parts if " " in p]:
-            self[part] = self.encode(" " + part).tobytes()
-        if not (parts := [p for p in parts if " " not in p]):
-            return
-        ids = self.encode(" " + " ".join(parts))
-        edges = [*(4 * np.flatnonzero(self._led[ids])).tolist(), 4 * len(ids)]
+        return np.array(self._tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def _stem(self, word: str) -> tuple[str, bytes]:
+        """A word without the stop or comma behind its last letter, which is always a token of its own."""
+        if len(word) > 1 and word[-1] in self._marks and word[-2].isalpha():
+            return word[:-1], self._marks[word[-1]]
+        return word, b""
+
+    def _stem_of(self, word: str) -> str:
+        return self._stem(word)[0]
+
+    def _cut(self, ids: np.ndarray, edges: np.ndarray, parts: list[str], skip: int) -> None:
+        at = [*edges.tolist(), len(ids) + skip]
         data = ids.tobytes()
-        self.update(zip(parts, [data[i:j] for i, j in zip(edges, edges[1:])], strict=True))
+        self.update(zip(parts, [data[4 * i : 4 * (j - skip)] for i, j in zip(at, at[1:])], strict=True))
+
+    def learn(self, parts: list[str]) -> list[str]:
+        """Encodes new parts, all words among them at once.
+
+        A part is a word, or two on both sides of a line end, each with a stop or
+        comma perhaps; any other is encoded on its own.  Words behind a line end are kept
+        under their text with the line end in front.  Returns what isn't worth keeping.
+        """
+        led, bare, made, rare = set(), set(), [], []
+        for part in parts:
+            words = part.split()
+            if len(words) == 1 and len(words[0]) == len(part):
+                stem, mark = self._stem(part)
+                if stem not in self:
+                    led.add(stem)
+                if mark:
+                    made.append((part, stem, mark, None, b""))
+            elif len(words) == 2 and self._newline_id >= 0 and part == f"{words[0]}\n{words[1]}":
+                (stem, mark), (tail, end) = map(self._stem, words)
+                if stem not in self:
+                    led.add(stem)
+                if (key := "\n" + tail) not in self:
+                    bare.add(key)
+                made.append((part, stem, mark, key, end))
+                rare.append(part)
+            else:
+                self[part] = self.encode(" " + part).tobytes()
+                rare.append(part)
+            if len(part) > self.LONGEST:
+                rare += [part, *map(self._stem_of, words), *("\n" + self._stem_of(w) for w in words)]
+        if led:  # each word starts at the token that holds its space
+            words = [*led]
+            ids = self.encode(" " + " ".join(words))
+            self._cut(ids, np.flatnonzero(self._led[ids]), words, 0)
+        if bare:
+            words = [*bare]
+            ids = self.encode("".join(words))
+            self._cut(ids, np.flatnonzero(ids == self._newline_id) + 1, words, 1)
+        for part, stem, mark, key, end in made:
+            self[part] = self[stem] + mark + (self._newline + self[key] + end if key else b"")
+        return rare
 
     def document(self, text: str) -> bytes:
         """Ids of the whole text, as encoding it at once gives them."""
@@ -82,15 +132,15 @@ class WordIds(dict):
             head, tail = parts[0], [p[1:] for p in parts[1:]]
         else:
             head, *tail = text.split(" ")
+        rare = []
         if new := [p for p in set(tail) if p not in self]:
             if len(self) >= self.MOST:
                 self.clear()
                 new = [*set(tail)]
-            self.learn(new)
+            rare = self.learn(new)
         out = (self.encode(head).tobytes() if head else b"") + b"".join(map(self.__getitem__, tail))
-        for part in new:
-            if len(part) > self.LONGEST:
-                del self[part]
+        for part in rare:
+            self.pop(part, None)
         return out
 
 
