@@ -132,13 +132,14 @@ class WordIds(dict):
             head, tail = parts[0], [p[1:] for p in parts[1:]]
         else:
             head, *tail = text.split(" ")
-        rare = []
-        if new := [p for p in set(tail) if p not in self]:
+        rare, got = [], list(map(self.get, tail))  # one look at each word
+        if None in got:
             if len(self) >= self.MOST:
                 self.clear()
-                new = [*set(tail)]
-            rare = self.learn(new)
-        out = (self.encode(head).tobytes() if head else b"") + b"".join(map(self.__getitem__, tail))
+                got = [None] * len(tail)
+            rare = self.learn([*{p for p, g in zip(tail, got) if g is None}])
+            got = [self[p] if g is None else g for p, g in zip(tail, got)]
+        out = (self.encode(head).tobytes() if head else b"") + b"".join(got)
         for part in rare:
             self.pop(part, None)
         return out
