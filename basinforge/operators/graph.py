@@ -6,6 +6,7 @@ graphs at once the elimination kernel takes ``run_id`` as a further column.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,21 +32,27 @@ def outflow(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def equilibrium(nodes: DataFrame) -> DataFrame:
     """(b, z, p): shares of the total weight."""
-    total = nodes.agg(F.sum("z").alias("total"))
-    return nodes.crossJoin(F.broadcast(total)).select("b", "z", (F.col("z") / F.col("total")).alias("p"))
+    total = nodes.agg(F.sum("z")).first()[0]
+    return nodes.select("b", "z", (F.col("z") / F.lit(total)).alias("p"))
 
 
-def _nth_least(values: DataFrame, column: str, nth: Column) -> DataFrame:
-    """The value that has ``nth`` values before it, found by counts of distinct values, with no sort in one task."""
+def _dealt_in_order(df: DataFrame, column: str, size: Column) -> DataFrame:
+    """``df`` with ``upto``: the sum of ``size`` over all rows up to and with this one, in order of distinct ``column`` values.
+
+    Rows are dealt by range; a partition looks at its own rows and at one number from those before it.
+    """
+    dealt = checkpointed(df.withColumn("size", size).repartitionByRange(column).withColumn("part", F.spark_partition_id()))
+    sums = dealt.groupBy("part").agg(F.sum("size").alias("s"))
+    before = sums.select("part", F.coalesce(F.sum("s").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    within = dealt.withColumn("here", F.sum("size").over(Window.partitionBy("part").orderBy(column)))
+    return within.join(F.broadcast(before), "part").withColumn("upto", F.col("before") + F.col("here")).drop("part", "here", "before")  # a row for each partition
+
+
+def _nth_least(values: DataFrame, column: str, nth: Callable[[int], int]) -> DataFrame:
+    """The value that has ``nth(n)`` of the n values before it."""
     counts = values.groupBy(column).agg(F.count(F.lit(1)).alias("c"))
-    ordered = counts.repartitionByRange(column).sortWithinPartitions(column).withColumn("part", F.spark_partition_id())
-    ordered = checkpointed(ordered)
-    sizes = ordered.groupBy("part").agg(F.sum("c").alias("size"))
-    before = sizes.withColumn("before", F.coalesce(F.sum("size").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("part", "before")
-    within = ordered.withColumn("here", F.sum("c").over(Window.partitionBy("part").orderBy(column)))
-    placed = within.join(F.broadcast(before), "part").withColumn("upto", F.col("before") + F.col("here"))
-    n = values.agg(F.count(F.lit(1)).alias("n")).first()[0]
-    target = nth(n)
+    placed = _dealt_in_order(counts, column, F.col("c"))
+    target = nth(values.count())
     return placed.where((F.col("upto") > target) & (F.col("upto") - F.col("c") <= target)).select(F.col(column).alias("threshold"))
 
 
@@ -82,11 +89,11 @@ def with_prefactor(edges: DataFrame, basin: int, factor: float) -> DataFrame:
 def dissolve(nodes: DataFrame, edges: DataFrame, gone: int) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges without basin ``gone``: its weight and its paths go to its neighbours in proportion."""
     near = both_directions(edges).where(F.col("s") == gone).select(F.col("t").alias("b"), F.col("w").alias("to_gone"))
-    total = near.agg(F.sum("to_gone").alias("total"))
-    share = near.crossJoin(F.broadcast(total)).select("b", "to_gone", (F.col("to_gone") / F.col("total")).alias("f"))
-    z0 = nodes.where(F.col("b") == gone).select(F.col("z").alias("z0"))
-    left = nodes.where(F.col("b") != gone).join(share.select("b", "f"), "b", "left").crossJoin(F.broadcast(z0))
-    new_nodes = left.select("b", (F.col("z") + F.coalesce("f", F.lit(0.0)) * F.col("z0")).alias("z"))
+    total = near.agg(F.sum("to_gone")).first()[0]
+    share = near.select("b", "to_gone", (F.col("to_gone") / F.lit(total)).alias("f"))
+    z0 = nodes.where(F.col("b") == gone).agg(F.sum("z")).first()[0]
+    left = nodes.where(F.col("b") != gone).join(share.select("b", "f"), "b", "left")
+    new_nodes = left.select("b", (F.col("z") + F.coalesce("f", F.lit(0.0)) * F.lit(z0 or 0.0)).alias("z"))
     # the pairs of one basin's neighbours are what elimination makes
     x, y = share.select(F.col("b").alias("a"), F.col("to_gone").alias("wa"), F.col("f").alias("fa")), share.select("b", "to_gone", "f")
     made = x.join(y, F.col("a") < F.col("b")).select("a", "b", (F.col("wa") * F.col("f") + F.col("to_gone") * F.col("fa")).alias("w"))
@@ -125,7 +132,7 @@ def connect_components(nodes: DataFrame, components: DataFrame, min_rate: float)
 
 def reindex(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Basins numbered from 0 in their order; all edges between kept basins stay."""
-    ids = nodes.select(F.col("b").alias("old"), "z").withColumn("new", F.row_number().over(Window.orderBy("old")).cast("long") - 1)
+    ids = checkpointed(_dealt_in_order(nodes.select(F.col("b").alias("old"), "z"), "old", F.lit(1)).withColumn("new", F.col("upto") - 1))
     a, b = ids.select(F.col("old").alias("a"), F.col("new").alias("na")), ids.select(F.col("old").alias("b"), F.col("new").alias("nb"))
     return ids.select(F.col("new").alias("b"), "old", "z"), edges.join(a, "a").join(b, "b").select(F.col("na").alias("a"), F.col("nb").alias("b"), "w")
 

@@ -15,9 +15,8 @@ def quantised(probabilities: DataFrame, least: float) -> DataFrame:
 
 def graph_stats(rates: DataFrame, edges: DataFrame) -> DataFrame:
     """One row: basins, directed transitions, mean outflow, greatest rate."""
-    n = edges.agg((2 * F.count(F.lit(1))).alias("transitions"))
-    stats = rates.agg(F.count(F.lit(1)).alias("basins"), F.avg("out_rate").alias("mean_outflow"), F.max("max_rate").alias("max_rate"))
-    return stats.crossJoin(n).select("basins", "transitions", "mean_outflow", "max_rate")
+    n = F.lit(2 * edges.count())
+    return rates.agg(F.count(F.lit(1)).alias("basins"), n.alias("transitions"), F.avg("out_rate").alias("mean_outflow"), F.max("max_rate").alias("max_rate"))
 
 
 def weight_matrix(nodes: DataFrame, edges: DataFrame) -> DataFrame:
