@@ -85,3 +85,15 @@ def test_empty_graph(spark):
     nodes, edges = spark.createDataFrame([], "b long, z double"), spark.createDataFrame([], "a long, b long, w double")
     assert graph.outflow(nodes, edges).count() == 0 and graph.connected_components(nodes, edges).count() == 0
     assert graph.min_equilibrium_by_number(graph.equilibrium(nodes), 0).first()[0] == 1.0
+
+
+def test_limits_and_exchange(spark):
+    assert graph.strictest([3.0, 2.0], [0.1, 0.2]) == (2.0, 0.2) and graph.strictest([], []) == (float("inf"), 0.0)
+    nodes = spark.createDataFrame([(0, 1.0), (1, 2.0), (5, 3.0)], "b long, z double")
+    edges = spark.createDataFrame([(0, 1, 1.0), (0, 5, 2.0)], "a long, b long, w double")
+    n, e = graph.swap_first_two(nodes, edges)
+    assert {r.b: r.z for r in n.collect()} == {1: 1.0, 0: 2.0, 5: 3.0} and {(r.a, r.b): r.w for r in e.collect()} == {(0, 1): 1.0, (1, 5): 2.0}
+    one = nodes.where("b = 0")
+    assert graph.swap_first_two(one, edges)[0].collect() == one.collect()
+    ids, moved = graph.reindex(nodes, edges)
+    assert sorted((r.b, r.old) for r in ids.collect()) == [(0, 0), (1, 1), (2, 5)] and (0, 2) in {(r.a, r.b) for r in moved.collect()}

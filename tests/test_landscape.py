@@ -124,3 +124,69 @@ def test_mirror_images(spark):
 
 def test_bindings(spark):
     assert bindings.runs(spark, TINY).where("seq_a = '' or seq_b = ''").count() == 0
+
+
+def structures(seq, least_loop=3):
+    """All sets of nested pairs of a strand, as lists of pairs."""
+
+    def of(i, j):
+        if j - i < least_loop + 1:
+            return [[]]
+        out = list(of(i, j - 1))
+        for k in range(i, j - least_loop):
+            if seq[k - 1] + seq[j - 1] in PAIRS:
+                out += [a + b + [(k, j)] for a in of(i, k - 1) for b in of(k + 1, j - 1)]
+        return out
+
+    return of(1, len(seq))
+
+
+def structure_weight(seq, pairs, rt):
+    """Each pair costs its closing; a pair right inside another may also stack, as two ways of one structure."""
+    import math
+
+    held, w = set(pairs), 1.0
+    for k, l in pairs:
+        stacked = (k + 1, l - 1) in held
+        table = energy.stack_table()
+        w *= math.exp(-4.0 / rt) + (math.exp(-table[seq[k - 1] + seq[l - 1] + seq[k] + seq[l - 2]] / 100 / rt) if stacked else 0.0)
+    return w
+
+
+@pytest.mark.parametrize("seq", ["GGGAAAACCC", "GCGCAAAAGCGC", "GGGA.AACCCU", "AAAA"])
+def test_folded_pairs_against_all_structures(seq):
+    rt = energy.thermal_energy()
+    weights = [(s, structure_weight(seq, s, rt)) for s in structures(seq)]
+    total = sum(w for _, w in weights)
+    want = {}
+    for s, w in weights:
+        for p in s:
+            want[p] = want.get(p, 0) + w / total
+    got = {(k, l): p for k, l, p in hybrid.fold_pairs(seq)}
+    assert got.keys() == {k for k, v in want.items() if v > 0} and all(abs(got[k] - want[k]) < 1e-9 for k in got)
+    assert abs(hybrid.fold_tables(seq)[0][1, len(seq)] - total) < 1e-9 * total
+
+
+def test_two_site_moves(spark):
+    runs = spark.createDataFrame([(0, "GCAUGCGCAUGCA", "CGUACGCGUACGU")], "run_id long, seq_a string, seq_b string")
+    sites = landscape.enumerate_sites(runs, landscape.SiteLimits(most=5)).cache()
+    near = landscape.SiteLimits(distance=0, most=5)
+    double = landscape.double_states(sites, near).cache()
+    assert double.count() and double.where("energy <> hybrid + unpaired or k1 <= j1 or k2 <= j2").count() == 0
+    for second in (False, True):
+        for left in (False, True):
+            site = landscape.SECOND if second else landscape.SITE
+            a, b = site[:2] if left else site[2:]
+            rows = landscape.grow_shrink_double(double, second, left).collect()
+            forth = {(tuple(r[c] for c in (*landscape.SITE, *landscape.SECOND) if c not in (a, b)), r[f"s_{a}"], r[f"s_{b}"], r[f"t_{a}"], r[f"t_{b}"], r.e_ts) for r in rows}
+            assert {(k, u, v, x, y, e) for k, x, y, u, v, e in forth} == forth
+    merged = landscape.merge_split_saddles(double, landscape.enumerate_sites(runs, landscape.SiteLimits(most=12)), near)
+    assert merged.where("k1 <> j1 + 1 or k2 <> j2 + 1").count() == 0
+
+
+def test_recovery_walks_down(spark):
+    ranked = spark.createDataFrame([(0, r, -100 + 10 * r) for r in range(6)], "run_id long, rank int, energy long")
+    edges = spark.createDataFrame([(0, r, r - 1, 0, -100 + 10 * r, -110 + 10 * r, -100 + 10 * r) for r in range(1, 6)], "run_id long, src int, dst int, kind int, e_src long, e_dst long, e_ts long")
+    members = spark.createDataFrame([(0, 0, 0, 0), (0, 1, 0, 0)], "run_id long, rank int, root int, basin int")
+    got = landscape.recover_members(members, ranked, edges, -60).collect()
+    assert sorted(r["rank"] for r in got) == [0, 1, 2, 3, 4] and {r.basin for r in got} == {0}
