@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from basinforge.llm.textcols import checkpointed, crc_bucket, slices, text_bytes
+from basinforge.llm.textcols import checkpointed, crc_bucket, release, slices, text_bytes
 
 END, START = 0, 1  # local ids; words follow
 _END_KEY, _START_KEY = (xxhash.xxh64_intdigest(x) for x in (b" end", b" start"))  # no word holds a space
@@ -179,6 +179,7 @@ def _tokenise(block_bytes: int):
     """Tokenised blocks; the deleted part's documents have blocks of their own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         first, done = TaskContext.get().partitionId() << 32, 0
         open_blocks = {False: _Block(), True: _Block()}
 
@@ -204,6 +205,7 @@ def _tokenise(block_bytes: int):
 
 def _ask(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             for block, deleted, payload in zip(*(c.to_pylist() for c in batch.columns)):
                 c = _Counts(payload, buckets)

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from basinforge.llm.textcols import slices, text_bytes
+from basinforge.llm.textcols import held, slices, text_bytes
 
 #: A text may be cut before a space that something other than white space follows:
 #: the splitting pattern of byte-level BPE always starts a token there.
@@ -145,14 +145,9 @@ class WordIds(dict):
         return out
 
 
-_word_ids: dict[str, WordIds] = {}
-
-
 def word_ids(path: str) -> WordIds:
     """The worker's encoder of that file; it outlives a task."""
-    if path not in _word_ids:
-        _word_ids[path] = WordIds(path)
-    return _word_ids[path]
+    return held("words", path, lambda: WordIds(path))
 
 
 def pack_group(lengths: np.ndarray, capacity: int, linear: float = 1.0, quadratic: float = 1.0 / 1024) -> list[tuple[int, int, int, int, int]]:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from basinforge.llm.textcols import slices, text_bytes
+from basinforge.llm.textcols import held, slices, text_bytes
 
 MARK = "▁"
 _WORD = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
@@ -238,13 +238,9 @@ class Encoder:
         return self.model.library.decode(ids)
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    """The worker's encoder of that file; it outlives a task."""
+    return held("pieces", path, lambda: Encoder(path))
 
 
 _OUTPUTS = {

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from basinforge.llm.textcols import slices, text_bytes
+from basinforge.llm.textcols import release, slices, text_bytes
 
 KINDS = ("email", "ip", "card", "phone")
 NONE = 0  # labels: none, then the kinds
@@ -371,6 +371,7 @@ def find_documents(
         return tuple(values[o] for o in outputs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in slices(batches, k):
             known: dict[bytes | None, tuple] = {}
             rows = []

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from basinforge.llm.textcols import slices, text_bytes
+from basinforge.llm.textcols import release, slices, text_bytes
 
 #: Bytes of a block, and the format's limit of width and height.
 BLOCK, LARGEST = 64, 65500
@@ -487,6 +487,7 @@ def decode_column(df: DataFrame, media_col: str, keys: list[str]) -> DataFrame:
         return rgb.shape[0], rgb.shape[1], rgb.tobytes(), None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in slices(batches, len(keys), 1 << 20):
             columns = list(zip(*map(one, batch.column(len(keys)).to_pylist())))
             kinds = (pa.int32(), pa.int32(), pa.binary(), pa.string())
@@ -500,6 +501,7 @@ def store_column(df: DataFrame, text_col: str, keys: list[str]) -> DataFrame:
     schema = T.StructType([T.StructField(k, df.schema[k].dataType) for k in keys] + [T.StructField("media", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in slices(batches, len(keys), 4 << 20):
             media = [store_bytes(padded(x)) for x in batch.column(len(keys)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], pa.array(media, pa.binary())], names=schema.names)
@@ -534,6 +536,7 @@ def describe_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType)] + [T.StructField(n, T.StringType() if k == pa.string() else T.LongType()) for n, k in zip(names, kinds)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in slices(batches, 1, 4 << 20):
             known: dict[bytes, tuple] = {}
             rows = []

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from basinforge.llm.components import connected_components
-from basinforge.llm.textcols import checkpointed, slices, text_bytes
+from basinforge.llm.textcols import checkpointed, release, slices, text_bytes
 
 #: The grid join needs a cell one step from both points.
 MAX_BITS = 2
@@ -63,6 +63,7 @@ def fingerprints(docs: DataFrame, shingle: int, id_col: str = "doc_id", text_col
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("fp", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in slices(batches, 1):
             known: dict[bytes, int] = {}  # copies often stand together
             fps = []

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +38,22 @@ def crc_bucket(id_col: Column, modulus: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")), F.lit(modulus)).cast("int")
 
 
+_held: dict[tuple, object] = {}
+
+
+def held(kind: str, key: str, make: Callable[[], object]) -> object:
+    """What a kernel keeps in its worker from task to task; a worker holds one such thing at a time."""
+    if (kind, key) not in _held:
+        _held.clear()
+        _held[kind, key] = make()
+    return _held[kind, key]
+
+
+def release() -> None:
+    """Frees what another kernel left in the worker."""
+    _held.clear()
+
+
 def slices(
     batches: Iterator[pa.RecordBatch], column: int, max_bytes: int = SLICE_BYTES, max_rows: int = SLICE_ROWS
 ) -> Iterator[pa.RecordBatch]:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from basinforge.llm.textcols import crc_bucket, slices, text_bytes
+from basinforge.llm.textcols import crc_bucket, release, slices, text_bytes
 
 
 @dataclass(frozen=True)
@@ -127,7 +127,7 @@ class QualityModel:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def _features_of(good: bytes, bad: bytes, spec: QualitySpec, with_label: bool):
+def _features_of(good: bytes, bad: bytes, spec: QualitySpec):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         measure = SizeDifference(good, bad, spec.chunk, spec.level)
         for batch in slices(batches, 0):
@@ -172,7 +172,7 @@ def fit(docs: DataFrame, labels: DataFrame, spec: QualitySpec = QualitySpec(), i
 
     pieces = texts(for_dictionary[0].unionByName(for_dictionary[1])).mapInArrow(_pieces_of(spec), "label int, piece binary").toArrow().to_pydict()
     good, bad = (build_dictionary([bytes(p) for p, k in zip(pieces["piece"], pieces["label"]) if k == want], spec.dictionary_bytes) for want in (1, 0))
-    found = texts(for_calibration).mapInArrow(_features_of(good, bad, spec, True), "label int, d double, r double, n double").toArrow().to_pydict()
+    found = texts(for_calibration).mapInArrow(_features_of(good, bad, spec), "label int, d double, r double, n double").toArrow().to_pydict()
     rows = np.array(sorted(zip(found["d"], found["r"], found["n"], found["label"])), np.float64).reshape(-1, 4)
     # without labelled rows every text scores one half
     weights = calibrate(rows[:, :3], rows[:, 3]) if len(rows) else np.zeros(6)
@@ -185,17 +185,22 @@ def score(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col
     A null text is scored as an empty one; a null id counts as empty text in the
     split.  Repeated rows are scored each.  An empty table gives no rows.
     """
-    columns = [id_col, *keep]
-    fields = [T.StructField(c, docs.schema[c].dataType) for c in columns]
-    fields += [T.StructField("held_out", T.BooleanType()), T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]
-    schema, k = T.StructType(fields), len(columns)
+    text = text_bytes(docs, text_col)
+    scored = _scorer(model)(text)  # only the text goes to Python and only the score comes back
+    held = crc_bucket(docs[id_col], model.spec.folds) == model.spec.held_out
+    columns = (id_col, *keep)
+    out = docs.select(*[docs[f"`{c}`"].alias(f"__k{i}") for i, c in enumerate(columns)], held.alias("__held"), scored.alias("__score"))
+    kept = [F.col(f"__k{i}").alias(c) for i, c in enumerate(columns)]
+    return out.select(*kept, F.col("__held").alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= model.spec.threshold).cast("int").alias("predicted"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _scorer(model: QualityModel):
+    @F.arrow_udf(T.DoubleType())
+    def score_texts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        release()
         measure = SizeDifference(model.good, model.bad, model.spec.chunk, model.spec.level)
-        for batch in slices(batches, k):
-            p = model.scores(batch.column(k).to_pylist(), measure)
-            predicted = (p >= model.spec.threshold).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:k], batch.column(k + 1), pa.array(p), pa.array(predicted)], names=schema.names)
+        for batch in batches:
+            parts = [model.scores([x.as_py() for x in batch.slice(k, 512)], measure) for k in range(0, len(batch), 512)]
+            yield pa.array(np.concatenate(parts) if parts else np.zeros(0), pa.float64())
 
-    held = crc_bucket(docs[id_col], model.spec.folds) == model.spec.held_out
-    return docs.select(*[docs[f"`{c}`"].alias(f"__k{i}") for i, c in enumerate(columns)], text_bytes(docs, text_col).alias("__text"), held.alias("__held")).mapInArrow(run, schema)
+    return score_texts
