@@ -54,8 +54,6 @@ def test_stages(spark, tmp_path):
 
 
 def test_odd_documents(spark, odd_docs, no_docs):
-    from basinforge.llm import simhash_similarity  # noqa: F401
-
     for docs in (odd_docs.select(*corpus_pipeline.COLUMNS), no_docs.select(*corpus_pipeline.COLUMNS)):
         for _, stage in corpus_pipeline.STAGES:
             out = stage(spark, docs, TINY)
