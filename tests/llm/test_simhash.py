@@ -120,3 +120,20 @@ def test_similar_groups(spark, odd_docs, no_docs):
     assert kept.columns == odd_docs.columns and kept.where("text like '%漢字%'").count() == 1
     assert kept.where("doc_id in (2, 3)").count() == 0
     assert simhash_similarity.drop_near_duplicates(no_docs).count() == 0
+
+
+def changed_pairs(n_pairs, run, seed):
+    """Texts of 300 words and copies with a run of words changed: run + 4 of 296 shingles differ."""
+    rng, rows = random.Random(seed), []
+    for k in range(n_pairs):
+        words = [f"w{rng.randrange(10**9)}" for _ in range(300)]
+        rows.append((2 * k, " ".join(words)))
+        rows.append((2 * k + 1, " ".join(words[:100] + [f"c{rng.randrange(10**9)}" for _ in range(run)] + words[100 + run :])))
+    return rows
+
+
+def test_every_pair_at_the_limit_is_found(spark):
+    rows = changed_pairs(60, 28, 1)  # 264 of 328 shingles are common
+    rows += [(1000 + k, f"a text of its own {k} {k * k}") for k in range(3000)]  # the size of the table tells nothing
+    first = {r.id: r.first_id for r in simhash_similarity.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(first[2 * k + 1] == 2 * k for k in range(60)) and len(set(first.values())) == 3060
