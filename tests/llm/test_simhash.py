@@ -1,5 +1,6 @@
 """SimHash: fingerprints and groups against brute force."""
 
+import itertools
 import random
 
 import numpy as np
@@ -137,3 +138,16 @@ def test_every_pair_at_the_limit_is_found(spark):
     rows += [(1000 + k, f"a text of its own {k} {k * k}") for k in range(3000)]  # the size of the table tells nothing
     first = {r.id: r.first_id for r in simhash_similarity.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert all(first[2 * k + 1] == 2 * k for k in range(60)) and len(set(first.values())) == 3060
+
+
+def test_pairs_in_crowded_blocks(spark):
+    rng = random.Random(2)
+    passages = [[f"p{k}w{i}" for i in range(60)] for k in range(10)]
+    rows = []
+    for chosen in itertools.combinations(range(10), 5):  # pages of common passages, at most 0.7 alike
+        words = [w for k in chosen for w in passages[k]]
+        rows += [(len(rows), " ".join(words))]
+        words[rng.randrange(len(words))] = f"changed{len(rows)}"
+        rows += [(len(rows), " ".join(words))]
+    first = {r.id: r.first_id for r in simhash_similarity.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert first == {i: i - i % 2 for i in range(504)}
