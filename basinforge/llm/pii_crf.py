@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -148,16 +149,31 @@ def shape(text: str) -> list[float]:
     ]
 
 
-def likeness_keys(text: str) -> tuple[list[str], str]:
-    """Keys that similar texts have in common, and the form that is compared."""
+def form_of(text: str) -> str:
+    """What is compared of a node's text."""
     if _AT.search(text):
-        form = text.lower().replace("(at)", "@").replace("[at]", "@").replace("(dot)", ".").replace("[dot]", ".")
-    elif "." in text and _DOTTED.fullmatch(text):
-        form = text
-    else:
-        form = _NOT_DIGITS.sub("", text)
-    half = len(form) // 2
-    return [f"={form}", f"<{len(form)}:{form[:half]}", f">{len(form)}:{form[half:]}", f"${form[-9:]}"], form
+        return text.lower().replace("(at)", "@").replace("[at]", "@").replace("(dot)", ".").replace("[dot]", ".")
+    if "." in text and _DOTTED.fullmatch(text):
+        return text
+    return _NOT_DIGITS.sub("", text)
+
+
+_PRIME, _BASE = (1 << 61) - 1, 0x1B873593CC9E2D51
+
+
+def likeness_keys(form: str) -> list[tuple]:
+    """Keys of a form; two forms that are alike and not equal have one in common."""
+    keys: list[tuple] = []
+    if len(form) >= 7:  # a hash of the form without the character at each place
+        power, total, parts = 1, 0, []
+        for c in form:
+            parts.append(ord(c) * power % _PRIME)
+            total += parts[-1]
+            power = power * _BASE % _PRIME
+        keys = [(len(form), i, (total - x) % _PRIME) for i, x in enumerate(parts)]
+    if len(form) >= 9:
+        keys += [(rest,) for d in range(4) if len(rest := form[d:]) >= 9 and rest.isdigit()]
+    return keys
 
 
 def alike(a: str, b: str) -> bool:
@@ -170,29 +186,50 @@ def alike(a: str, b: str) -> bool:
     return len(short) >= 9 and len(long) - len(short) <= 3 and short.isdigit() and long.endswith(short)
 
 
+def alike_forms(forms: list[str]) -> set[tuple[str, str]]:
+    """All pairs of distinct forms that are alike.
+
+    Those that share a key differ in one character or by a country code, so that
+    a key has few forms, except that very many numbers may end in the same one.
+    """
+    sharing: dict[tuple, list[str]] = defaultdict(list)
+    for f in forms:
+        for k in likeness_keys(f):
+            sharing[k].append(f)
+    out: set[tuple[str, str]] = set()
+    for key, members in sharing.items():
+        if len(members) > 1:
+            # under an ending just the form that it is can be alike to the others by it
+            heads = members if len(key) > 1 else [f for f in members if f == key[0]]
+            out |= {(min(f, g), max(f, g)) for f in heads for g in members if f != g and alike(f, g)}
+    return out
+
+
 def skip_edges(texts: list[str], base: list[bool]) -> list[tuple[int, int]]:
-    """Edges between similar nodes, linear in their number.
+    """Edges between similar nodes.
 
-    Of the nodes that share a key each is joined with the one before and with the
-    first base span, which holds a group together without all of its pairs.
+    All distinct forms that are alike are joined.  Of the nodes of one form each is joined
+    with the one before and with the first base span; of two forms that are alike
+    each with the last node of the other form before it and with the other form's first base span.
     """
-    groups: dict[str, list[int]] = defaultdict(list)
-    forms = []
+    if len(texts) < 2:
+        return []
+    places: dict[str, list[int]] = defaultdict(list)
     for i, t in enumerate(texts):
-        keys, form = likeness_keys(t)
-        forms.append(form)
-        for k in keys:
-            groups[k].append(i)
+        places[form_of(t)].append(i)
+    first = {f: next((i for i in at if base[i]), None) for f, at in places.items()}
     out: set[tuple[int, int]] = set()
-    for members in groups.values():
-        if len(members) < 2:
-            continue
-        first = next((i for i in members if base[i]), None)
-        for a, b in zip(members, members[1:]):
-            if alike(forms[a], forms[b]):
-                out.add((a, b))
-        if first is not None:
-            out |= {(min(first, i), max(first, i)) for i in members if i != first and alike(forms[first], forms[i])}
+    for f, at in places.items():
+        out |= set(zip(at, at[1:]))
+        if first[f] is not None:
+            out |= {(min(first[f], i), max(first[f], i)) for i in at if i != first[f]}
+    for f, g in alike_forms(list(places)) if len(places) > 1 else ():
+        for mine, other, head in ((places[f], places[g], first[g]), (places[g], places[f], first[f])):
+            for i in mine:
+                if k := bisect_left(other, i):
+                    out.add((other[k - 1], i))
+                if head is not None:
+                    out.add((min(head, i), max(head, i)))
     return sorted(out)
 
 

@@ -100,3 +100,27 @@ def test_odd_documents(odd_docs, no_docs):
     assert all(r.base_sha256 == hashlib.sha256(b"").hexdigest() for r in rows)
     assert {r.redacted for r in rows if r.doc_id == 4} == {None}
     assert crf.find_documents(no_docs, crf.fit(no_docs)).count() == 0
+
+
+def test_skip_edges_join_all_alike_forms():
+    rng = random.Random(11)
+    texts = []
+    for _ in range(60):  # many numbers with the same half, and slips in both halves
+        digits = "41111111" + str(rng.randrange(10**8)).zfill(8)
+        texts.append(digits)
+        if rng.random() < 0.7:
+            k = rng.randrange(16)
+            texts.append(digits[:k] + str((int(digits[k]) + 1) % 10) + digits[k + 1 :])
+        if rng.random() < 0.3:
+            texts.append("+49 " + digits)
+    rng.shuffle(texts)
+    forms = [crf.form_of(t) for t in texts]
+    base = [rng.random() < 0.5 for _ in texts]
+    joined = {(min(forms[a], forms[b]), max(forms[a], forms[b])) for a, b in crf.skip_edges(texts, base)}
+    want = {(min(a, b), max(a, b)) for i, a in enumerate(forms) for b in forms[:i] if crf.alike(a, b)}
+    assert joined == want and all(crf.alike(forms[a], forms[b]) for a, b in crf.skip_edges(texts, base))
+
+
+def test_a_slip_among_cards_of_one_issuer_is_joined():
+    cards = ["4111 1111 1111 1111", "4111 1111 2345 6785", "4111 1111 9999 9999", "4111 1111 2345 6786"]
+    assert crf.skip_edges(cards, [True, True, True, False]) == [(1, 3)]
