@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from basinforge.llm import compression_rules, zdict_quality
@@ -83,3 +84,14 @@ def test_odd_documents(odd_docs, no_docs):
     rows = compression_rules.apply_rules(odd_docs).collect()
     assert len(rows) == odd_docs.count() and not any(r.kept for r in rows if r.doc_id in (4, 5, 6, 10, 12))
     assert compression_rules.apply_rules(no_docs).count() == 0
+
+
+def test_the_tail_after_the_last_whole_chunk_counts():
+    rng = random.Random(7)
+    rules, compressor = compression_rules.CompressionRules(), zstandard.ZstdCompressor(level=3, write_content_size=False, write_checksum=False)
+    clean = prose(rng, 3000).encode()
+    noise = "".join(chr(rng.randint(33, 126)) + (" " if rng.random() < 0.1 else "") for _ in range(9000)).encode()
+    assert compression_rules.measure(clean[:7996], rules, compressor)[6:] == (0.0, False, True)
+    for tail, share in ((3900, 3900 / 7996), (4096, 0.5), (100, 0.0)):
+        ratio, outside, failed, kept = compression_rules.measure(clean[:4096] + noise[:tail], rules, compressor)[5:]
+        assert outside == share and not failed and kept == (share == 0 and ratio <= 0.74)
