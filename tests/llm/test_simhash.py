@@ -151,3 +151,12 @@ def test_pairs_in_crowded_blocks(spark):
         rows += [(len(rows), " ".join(words))]
     first = {r.id: r.first_id for r in simhash_similarity.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert first == {i: i - i % 2 for i in range(504)}
+
+
+def test_pairs_below_the_limit_are_not_linked(spark):
+    rows = changed_pairs(40, 29, 4)  # 263 of 329 shingles are common: 0.799
+    rng = random.Random(9)
+    line = "one long line again " * 300  # repeats of a shingle count once
+    rows += [(k, line + " ".join(f"o{rng.randrange(10**9)}" for _ in range(300))) for k in (500, 501)]
+    first = {r.id: r.first_id for r in simhash_similarity.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert first == {i: i for i, _ in rows}
