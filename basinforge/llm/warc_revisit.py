@@ -156,10 +156,15 @@ def parse_warc(data: bytes) -> Iterator[dict]:
                 return
             continue
         fields = {k.lower(): v for k, v in head}
-        try:
-            block = stream.read(int(fields.get("content-length", "0")))
-        except ValueError:
-            return
+        length = fields.get("content-length", "0")
+        if not (length.isascii() and length.isdigit()):  # the record's end is unknown: on with the next one
+            while line := stream.readline():
+                if line.startswith(b"WARC/"):
+                    stream.seek(-len(line), io.SEEK_CUR)
+                    break
+            nth += 1
+            continue
+        block = stream.read(int(length))
         kind = fields.get("warc-type", "")
         not_modified = kind == "revisit" and fields.get("warc-profile", "").endswith("server-not-modified")
         if kind == "response" or not_modified:

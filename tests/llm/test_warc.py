@@ -85,3 +85,12 @@ def test_reader(spark, tmp_path):
     out = warc.resolve_revisits(records).collect()
     assert len(out) == 2 and {r.resolution for r in out} == {"resolved"}
     assert ("X-Long", "a b") in [(h.name, h.value) for h in out[0].headers]
+
+
+def test_a_bad_length_costs_one_record():
+    def one(url, length):
+        return f"WARC/1.0\r\nWARC-Type: response\r\nWARC-Target-URI: {url}\r\nContent-Length: {length}\r\n\r\nHTTP/1.1 200 OK\r\n\r\nab\r\n\r\n".encode()
+
+    for bad in ("x", "-1", "-5", ""):
+        data = one("http://a", 21) + one("http://b", bad) + one("http://c", 21)
+        assert [(r["nth"], r["url"], r["payload_bytes"]) for r in warc.parse_warc(data)] == [(0, "http://a", 2), (2, "http://c", 2)]
