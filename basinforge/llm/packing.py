@@ -20,19 +20,29 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from basinforge.llm.textcols import held, slices, text_bytes
+from basinforge.llm.textcols import Recent, held, slices, text_bytes, utf8
 
-#: A text may be cut before a space that something other than white space follows:
-#: the splitting pattern of byte-level BPE always starts a token there.
+#: White space of the splitting pattern but the line end, and whatever else might be taken for it.
+_BLANK = r"\t\x0b-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200b}\x{2028}\x{2029}\x{202f}\x{205f}\x{2060}\x{3000}\x{feff}"
+_WHITE = r"\n" + _BLANK
+#: The pattern starts a token at the first and at the last character of each run of white space that
+#: something follows.  So a text may be cut before every space and line end, but within runs of three and in the run at its end.
+_RUNS = f"[{_WHITE}]{{3}}|[{_WHITE}]{{2}}$"
+#: Before a space that something other than white space follows any text may be cut.
 _CUT = re.compile(r"(?= [^\s])")
-_UNSAFE = re.compile(r" \s| $")
+#: A stop or comma at a word's end, behind a letter, is a token of its own.
+_STOPPED = r"[A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{24f}][.,]$"
+#: Words that must be encoded by themselves: white space alone, or with white space in them.
+_ODD = rf"(?s)^\n?$|^[{_BLANK}]|.[{_WHITE}]"
 
 
 @dataclass(frozen=True)
@@ -46,102 +56,95 @@ class PackingSpec:
     quadratic: float = 1.0 / 1024
 
 
-class WordIds(dict):
-    """Ids of a text's space-led parts as little-endian 32-bit bytes, encoded once each."""
+class WordIds:
+    """Encodes whole slices of texts: each distinct word of a slice once, and recent ones not again."""
 
-    MOST, LONGEST = 500_000, 64
+    MOST, AT_ONCE = 200_000, 2000
 
     def __init__(self, path: str):
-        super().__init__()
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
         with contextlib.suppress(AttributeError):  # words are kept here, so a second store only costs
             self._tokenizer.model._resize_cache(0)
-        # a byte-level token that holds a space has it in front
-        self._led = np.zeros(self._tokenizer.get_vocab_size(), bool)
-        self._led[[i for t, i in self._tokenizer.get_vocab().items() if t.startswith("\u0120")]] = True
+        # byte-level tokens that start with a space or a line end
+        self._first = np.zeros(self._tokenizer.get_vocab_size(), bool)
+        self._first[[i for t, i in self._tokenizer.get_vocab().items() if t[0] in "\u0120\u010a"]] = True
         self._marks = {c: self.encode(c).tobytes() for c in ".,"}
-        newline = self.encode("\n")
-        self._newline, self._newline_id = newline.tobytes(), int(newline[0]) if len(newline) == 1 else -1
+        self._newline = self.encode("\n").nbytes
+        self._store = Recent(self.MOST)
 
     def encode(self, text: str) -> np.ndarray:
         return np.array(self._tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
-    def _stem(self, word: str) -> tuple[str, bytes]:
-        """A word without the stop or comma behind its last letter, which is always a token of its own."""
-        if len(word) > 1 and word[-1] in self._marks and word[-2].isalpha():
-            return word[:-1], self._marks[word[-1]]
-        return word, b""
-
-    def _stem_of(self, word: str) -> str:
-        return self._stem(word)[0]
-
-    def _cut(self, ids: np.ndarray, edges: np.ndarray, parts: list[str], skip: int) -> None:
-        at = [*edges.tolist(), len(ids) + skip]
-        data = ids.tobytes()
-        self.update(zip(parts, [data[4 * i : 4 * (j - skip)] for i, j in zip(at, at[1:])], strict=True))
-
-    def learn(self, parts: list[str]) -> list[str]:
-        """Encodes new parts, all words among them at once.
-
-        A part is a word, or two on both sides of a line end, each with a stop or
-        comma perhaps; any other is encoded on its own.  Words behind a line end are kept
-        under their text with the line end in front.  Returns what isn't worth keeping.
-        """
-        led, bare, made, rare = set(), set(), [], []
-        for part in parts:
-            words = part.split()
-            if len(words) == 1 and len(words[0]) == len(part):
-                stem, mark = self._stem(part)
-                if stem not in self:
-                    led.add(stem)
-                if mark:
-                    made.append((part, stem, mark, None, b""))
-            elif len(words) == 2 and self._newline_id >= 0 and part == f"{words[0]}\n{words[1]}":
-                (stem, mark), (tail, end) = map(self._stem, words)
-                if stem not in self:
-                    led.add(stem)
-                if (key := "\n" + tail) not in self:
-                    bare.add(key)
-                made.append((part, stem, mark, key, end))
-                rare.append(part)
-            else:
-                self[part] = self.encode(" " + part).tobytes()
-                rare.append(part)
-            if len(part) > self.LONGEST:
-                rare += [part, *map(self._stem_of, words), *("\n" + self._stem_of(w) for w in words)]
-        if led:  # each word starts at the token that holds its space
-            words = [*led]
-            ids = self.encode(" " + " ".join(words))
-            self._cut(ids, np.flatnonzero(self._led[ids]), words, 0)
-        if bare:
-            words = [*bare]
-            ids = self.encode("".join(words))
-            self._cut(ids, np.flatnonzero(ids == self._newline_id) + 1, words, 1)
-        for part, stem, mark, key, end in made:
-            self[part] = self[stem] + mark + (self._newline + self[key] + end if key else b"")
-        return rare
-
-    def document(self, text: str) -> bytes:
-        """Ids of the whole text, as encoding it at once gives them."""
-        if "<|" in text:  # may name a special token
-            return self.encode(text).tobytes()
-        if _UNSAFE.search(text):
-            parts = _CUT.split(text)
-            head, tail = parts[0], [p[1:] for p in parts[1:]]
-        else:
-            head, *tail = text.split(" ")
-        rare, got = [], list(map(self.get, tail))  # one look at each word
-        if None in got:
-            if len(self) >= self.MOST:
-                self.clear()
-                got = [None] * len(tail)
-            rare = self.learn([*{p for p, g in zip(tail, got) if g is None}])
-            got = [self[p] if g is None else g for p, g in zip(tail, got)]
-        out = (self.encode(head).tobytes() if head else b"") + b"".join(got)
-        for part in rare:
-            self.pop(part, None)
+    @staticmethod
+    def _spelt(word: str) -> str:
+        """The text that a word stands for: a line end is in front of it, or else a space."""
+        return word if word[:1] == "\n" else " " + word
+
+    def _learn(self, words: list[str]) -> list[bytes]:
+        """Ids of words without white space in them; a word starts at the token with its space or line end."""
+        out: list[bytes] = []
+        for k in range(0, len(words), self.AT_ONCE):
+            some = words[k : k + self.AT_ONCE]
+            ids = self.encode("".join(map(self._spelt, some)))
+            at = [*(np.flatnonzero(self._first[ids]) * 4).tolist(), ids.nbytes]
+            if len(at) != len(some) + 1:
+                raise ValueError("the tokenizer joins words")
+            data = ids.tobytes()
+            out += [data[i:j] for i, j in zip(at, at[1:])]
+        return out
+
+    def _words(self, words: pa.Array) -> pa.Array:
+        """Ids of each word."""
+        found = words.dictionary_encode()
+        distinct = found.dictionary
+        stopped = pc.match_substring_regex(distinct, _STOPPED)
+        stems = pc.if_else(stopped, pc.utf8_slice_codeunits(distinct, 0, -1), distinct).dictionary_encode()
+        keys = stems.dictionary.to_pylist()
+        values = self._store.get_all(keys)
+        new = [k for k, v in enumerate(values) if v is None]
+        if new:
+            odd = pc.match_substring_regex(stems.dictionary, _ODD).to_numpy(zero_copy_only=False)
+            plain = [k for k in new if not odd[k]]
+            for k, ids in zip(plain, self._learn([keys[k] for k in plain])):
+                values[k] = ids
+            for k in new:
+                if odd[k]:
+                    values[k] = self.encode(self._spelt(keys[k])).tobytes()
+        again = np.bincount(stems.indices.to_numpy(zero_copy_only=False)[found.indices.to_numpy()], minlength=len(keys)) > 1
+        self._store.keep(compress(keys, again), compress(values, again))
+        ends = pc.if_else(stopped, pc.utf8_slice_codeunits(distinct, -1), "").dictionary_encode()
+        marks = pa.array([self._marks.get(c, b"") for c in ends.dictionary.to_pylist()], pa.large_binary()).take(ends.indices)
+        stem_ids = pa.array(values, pa.large_binary()).take(stems.indices)
+        return pc.binary_join_element_wise(stem_ids, marks, pa.scalar(b"", pa.large_binary())).take(found.indices)
+
+    def documents(self, texts: pa.Array) -> list[bytes]:
+        """Ids of each whole text as little-endian 32-bit bytes, as encoding it at once gives them."""
+        led = pc.binary_join_element_wise(pa.scalar("\n", pa.large_string()), texts, pa.scalar("", pa.large_string()))
+        special = pc.match_substring(texts, "<|")  # may name a special token
+        runs = pc.and_not(pc.match_substring_regex(led, _RUNS), special)
+        out = [b""] * len(texts)
+
+        def fill(rows: list[int], lists: pa.Array, heads: list[bytes] | None) -> None:
+            ids = self._words(lists.flatten())
+            ends = np.frombuffer(ids.buffers()[1], "<i8")[ids.offset : ids.offset + len(ids) + 1]
+            at = ends[np.asarray(lists.offsets) - lists.offsets[0].as_py()].tolist()
+            data = memoryview(ids.buffers()[2] or b"")
+            for k, (row, i, j) in enumerate(zip(rows, at, at[1:])):
+                out[row] = heads[k] + data[i:j] if heads else bytes(data[i + self._newline : j])
+
+        if (rows := np.flatnonzero(pc.invert(pc.or_(special, runs)).to_numpy(zero_copy_only=False)).tolist()):
+            # a line end in front of the text makes its first word one like others
+            spaced = pc.replace_substring(texts.take(pa.array(rows)), "\n", " \n")
+            led = pc.binary_join_element_wise(pa.scalar("\n", pa.large_string()), spaced, pa.scalar("", pa.large_string()))
+            fill(rows, pc.split_pattern(led, " "), None)
+        if (rows := np.flatnonzero(runs.to_numpy(zero_copy_only=False)).tolist()):
+            parts = [_CUT.split(t) for t in texts.take(pa.array(rows)).to_pylist()]
+            heads = [self.encode(p[0]).tobytes() for p in parts]
+            fill(rows, pa.array([[w[1:] for w in p[1:]] for p in parts], pa.large_list(pa.large_string())), heads)
+        for row in np.flatnonzero(special.to_numpy(zero_copy_only=False)).tolist():
+            out[row] = self.encode(texts[row].as_py()).tobytes()
         return out
 
 
@@ -211,7 +214,7 @@ def pack(docs: DataFrame, spec: PackingSpec, id_col: str = "doc_id", text_col: s
         encoder, end = word_ids(spec.tokenizer), np.array([spec.end_id], "<u4").tobytes()
         first = TaskContext.get().partitionId() << 40
         for batch in slices(batches, 1):
-            ids = [encoder.document(t.decode("utf-8", "replace")) + end for t in batch.column(1).to_pylist()]
+            ids = [x + end for x in encoder.documents(utf8(batch.column(1)))]
             lengths = np.array([len(x) // 4 for x in ids], np.int64)
             pieces = pack_group(lengths, spec.capacity, spec.linear, spec.quadratic)
             doc, start, n, seq, offset = (np.array(c, np.int64) for c in zip(*pieces))

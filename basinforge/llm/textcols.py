@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -54,6 +54,37 @@ def release() -> None:
     _held.clear()
 
 
+class Recent:
+    """What a kernel has worked out for keys, in two generations: what is still asked for outlives a full store."""
+
+    def __init__(self, most: int, longest: int = 64):
+        self.most, self.longest = most, longest
+        self._young: dict = {}
+        self._old: dict = {}
+
+    def get_all(self, keys: list) -> list:
+        """The value of each key, None where it isn't kept."""
+        young = list(map(self._young.get, keys))
+        if not self._old:
+            return young
+        return [self._old.get(k) if v is None else v for k, v in zip(keys, young)]
+
+    def keep(self, keys: Iterable, values: Iterable) -> None:
+        """Keeps them at least until as many others as a generation holds have come; long keys aren't kept."""
+        self._young.update((k, v) for k, v in zip(keys, values) if len(k) <= self.longest)
+        if len(self._young) >= self.most:
+            self._old, self._young = self._young, {}
+
+
+def utf8(column: pa.Array) -> pa.Array:
+    """A binary column as text; what is not UTF-8 is replaced, a null is empty."""
+    try:
+        out = column.cast(pa.large_string())
+    except pa.ArrowInvalid:
+        out = pa.array([x if x is None else x.decode("utf-8", "replace") for x in column.to_pylist()], pa.large_string())
+    return pc.fill_null(out, "")
+
+
 def slices(
     batches: Iterator[pa.RecordBatch], column: int, max_bytes: int = SLICE_BYTES, max_rows: int = SLICE_ROWS
 ) -> Iterator[pa.RecordBatch]:
