@@ -7,30 +7,29 @@ those two, and a text whose adjacent pieces all pass is the text's encoding.
 Where no piece fits, the last one is taken back and the position is marked as
 failed in a bitfield, so no position is tried twice.
 
-Texts are cut before runs of word marks, which no piece of a model built that
-way crosses (checked when the model is loaded), and each distinct word is encoded once
-in a worker, within a bound on its memory.
-
-Nulls: a null text is empty and encodes to the end id alone; a null id is kept.
+A slice of documents is cut wherever two characters meet that no piece holds side by
+side, so that no piece crosses a cut; what is between two cuts is a unit.  Each distinct unit of a slice is
+encoded once, and recent ones are kept in the worker within a bound on its memory.
 """
 
 from __future__ import annotations
 
 import hashlib
-import re
 import struct
+from array import array
 from collections.abc import Iterator
-from itertools import chain
+from itertools import compress
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from basinforge.llm.textcols import held, slices, text_bytes
+from basinforge.llm.textcols import Recent, held, slices, text_bytes, utf8
 
 MARK = "▁"
-_WORD = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 _NONE: dict[str, bool] = {}
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
@@ -67,8 +66,8 @@ def _fields(data: bytes) -> Iterator[tuple[int, bytes | int | float]]:
 class PieceModel:
     """A merge-type model file: its pieces, its way to normalise, and the backtracking encoder."""
 
-    #: Bounds of a worker's memory: words kept, their length, and pairs of pieces kept.
-    MOST, LONGEST, MOST_PAIRS = 400_000, 64, 500_000
+    #: Pairs of pieces that a worker keeps, and the binary logarithm of the table of pairs of characters.
+    MOST_PAIRS, PAIR_BITS = 500_000, 20
 
     def __init__(self, path: str):
         with open(path, "rb") as f:
@@ -85,7 +84,9 @@ class PieceModel:
         self.unknown, self.end, self.length = 0, -1, {}
         for i, piece in enumerate(dict(_fields(v)) for k, v in fields if k == 1):
             text, kind = piece[1].decode("utf-8"), piece.get(3, NORMAL)
-            if kind in (NORMAL, UNUSED):
+            if kind == UNUSED:
+                raise ValueError("unused pieces are not supported")
+            if kind == NORMAL:
                 self.ids[text], self.rank[text] = i, piece.get(2, 0.0)
             elif kind == BYTE:
                 self.bytes[int(text[1:-1], 16)] = i
@@ -95,7 +96,11 @@ class PieceModel:
                 if kind == USER_DEFINED:
                     raise ValueError("user-defined pieces are not supported")
                 self.end = i
-        self.splits = all(MARK not in p.lstrip(MARK) for p in self.ids)
+        inside = np.concatenate([self._pairs(np.frombuffer(p.encode("utf-32-le"), "<u4")) for p in self.ids])
+        self._joined = np.zeros(1 << self.PAIR_BITS, bool)
+        self._joined[inside] = True
+        self._single = np.zeros(0x110000, bool)
+        self._single[[ord(p) for p in self.ids if len(p) == 1]] = True
         self._automaton = ahocorasick.Automaton()
         for p in self.ids:
             if len(p) > 1:
@@ -113,10 +118,35 @@ class PieceModel:
             self._library = sentencepiece.SentencePieceProcessor(model_file=self.path)
         return self._library
 
-    def normalize(self, text: str) -> str:
+    @classmethod
+    def _pairs(cls, points: np.ndarray) -> np.ndarray:
+        """Places of the adjacent characters in the table of pairs; others that share a place only leave a cut out."""
+        return (points[:-1] * np.uint32(8191) + points[1:]) & np.uint32((1 << cls.PAIR_BITS) - 1)
+
+    def normalize(self, texts: pa.Array) -> pa.Array:
         if self.plain:
-            return MARK + text.replace(" ", MARK) if text else ""
-        return self.library.normalize(text)
+            marked = pc.replace_substring(texts, " ", MARK)
+            led = pc.binary_join_element_wise(pa.scalar(MARK, pa.large_string()), marked, pa.scalar("", pa.large_string()))
+            return pc.if_else(pc.equal(pc.binary_length(texts), 0), "", led)
+        return pa.array([self.library.normalize(t) for t in texts.to_pylist()], pa.large_string())
+
+    def units(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """All units of normalised texts, and how many units stand before each text and in all."""
+        edges = np.frombuffer(texts.buffers()[1], "<i8")[texts.offset : texts.offset + len(texts) + 1]
+        data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[edges[0] : edges[-1]]
+        edges = edges - edges[0]
+        if not len(data):
+            return pa.array([], pa.large_string()), np.zeros(len(edges), np.int64)
+        starts = np.flatnonzero((data & 0xC0) != 0x80)
+        points = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), "<u4")
+        cut = np.r_[True, ~self._joined[self._pairs(points)]]
+        if not self.bytes:  # what the model lacks is one unknown piece as far as it goes
+            lacks = ~self._single[points]
+            cut[1:] &= ~(lacks[1:] & lacks[:-1])
+        cut[np.searchsorted(starts, edges[:-1][edges[:-1] < len(data)])] = True
+        at = np.append(starts[cut], len(data)).astype("<i8")
+        units = pa.Array.from_buffers(pa.large_string(), len(at) - 1, [None, pa.py_buffer(at.tobytes()), pa.py_buffer(data.tobytes())])
+        return units, np.searchsorted(at, edges)
 
     def merge(self, text: str) -> list[str]:
         """Merges a short text's characters: best rank first, then leftmost."""
@@ -196,43 +226,49 @@ class PieceModel:
         return out
 
 
-class WordCache(dict):
-    """Encoded words of a worker: ids in decimal, joined by spaces, and the ids."""
-
-    def __init__(self, model: PieceModel, lead: str):
-        super().__init__()
-        self.model, self.lead = model, lead
-        self.shared = list(range(70_000))  # one object for each id
-
-    def __missing__(self, word: str) -> tuple[str, tuple[int, ...]]:
-        ids = self.model.word(self.lead + word)
-        out = " ".join(map(str, ids)), tuple(self.shared[i] if i < 70_000 else i for i in ids)
-        if len(word) <= self.model.LONGEST:
-            if len(self) >= self.model.MOST:
-                self.clear()
-            self[word] = out
-        return out
-
-
 class Encoder:
+    #: Units of a worker's store in each of its two generations.
+    MOST = 150_000
+
     def __init__(self, path: str):
         self.model = PieceModel(path)
-        self.led, self.whole = WordCache(self.model, MARK), WordCache(self.model, "")
-
-    def parts(self, text: str) -> list[tuple[str, tuple[int, ...]]]:
-        """Encodings of the text's words in order; together they are the text's."""
-        if not text:
-            return []
-        if self.model.plain and self.model.splits and MARK not in text:
-            words = text.split(" ")
-            if "" not in words:
-                return list(map(self.led.__getitem__, words))
-        text = self.model.normalize(text)
-        words = _WORD.findall(text) if self.model.splits else [text]
-        return list(map(self.whole.__getitem__, words))
+        self._store = Recent(self.MOST)
+        self._decimals = [b"%d " % i for i in range(1 + max([*self.model.ids.values(), *self.model.bytes.values(), self.model.unknown, self.model.end]))]
+
+    def _encoded(self, unit: str) -> tuple[bytes, bytes]:
+        ids = self.model.word(unit)
+        return array("I", ids).tobytes(), b"".join([self._decimals[i] for i in ids])
+
+    def documents(self, texts: pa.Array, end: bool = True, decimal: bool = False) -> tuple[list[memoryview], list[memoryview]]:
+        """Ids of each text as little-endian 32-bit integers, and, if ``decimal``, as decimals with a space behind each.
+
+        ``end`` adds the end id.  Both are views, of one buffer for all texts.
+        """
+        units, bounds = self.model.units(self.model.normalize(texts))
+        found = units.dictionary_encode()
+        keys = found.dictionary.to_pylist()
+        values = self._store.get_all(keys)
+        for k, v in enumerate(values):
+            if v is None:
+                values[k] = self._encoded(keys[k])
+        indices = found.indices.to_numpy(zero_copy_only=False)
+        again = np.bincount(indices, minlength=len(keys)) > 1
+        self._store.keep(compress(keys, again), compress(values, again))
+        last = len(values)  # the end id is one more unit, behind each text
+        values.append((array("I", [self.model.end]).tobytes(), self._decimals[self.model.end]) if end else (b"", b""))
+        order = pa.array(np.insert(indices.astype(np.int64), bounds[1:], last))
+        bounds = bounds + np.arange(len(bounds))
+
+        def gathered(of: list[bytes]) -> list[memoryview]:
+            out = pa.array(of, pa.large_binary()).take(order)
+            at = np.frombuffer(out.buffers()[1], "<i8")[bounds].tolist()
+            data = memoryview(out.buffers()[2] or b"")
+            return [data[i:j] for i, j in zip(at, at[1:])]
+
+        return gathered([v[0] for v in values]), gathered([v[1] for v in values]) if decimal else []
 
     def encode(self, text: str, end: bool = True) -> list[int]:
-        return [*chain.from_iterable(p[1] for p in self.parts(text)), *[self.model.end] * end]
+        return np.frombuffer(self.documents(pa.array([text], pa.large_string()), end)[0][0], "<u4").tolist()
 
     def decode(self, ids: list[int]) -> str:
         return self.model.library.decode(ids)
@@ -258,33 +294,33 @@ def encode_documents(
     """The id and the ``outputs`` wanted of: n_tokens, ids, decoded, ids_sha256, decoded_sha256.
 
     The ids end with the model's end id; the decoded text is that of all ids.
+
+    Nulls: a null text is empty and encodes to the end id alone; a null id is kept.
+    Repeated rows give repeated results, equal texts equal ones.  An empty table gives no rows.
     """
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType)] + [T.StructField(o, _OUTPUTS[o]) for o in outputs])
     decodes = any(o.startswith("decoded") for o in outputs)
+    hashes = "ids_sha256" in outputs
+    kinds = {"n_tokens": pa.int64(), "ids": pa.list_(pa.int32())}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(model)
-        end = enc.model.end
-        kinds = {"n_tokens": pa.int64(), "ids": pa.list_(pa.int32())}
-        for batch in slices(batches, 1, 2 << 20):
-            known: dict[bytes, tuple] = {}
-            rows = []
-            for raw in batch.column(1).to_pylist():
-                row = known.get(raw)
-                if row is None:
-                    parts = enc.parts(raw.decode("utf-8", "replace"))
-                    ids = [*chain.from_iterable([p[1] for p in parts]), end]
-                    text = enc.decode(ids) if decodes else ""
-                    values = {
-                        "n_tokens": len(ids),
-                        "ids": ids if "ids" in outputs else None,
-                        "decoded": text,
-                        "ids_sha256": hashlib.sha256(" ".join([*[p[0] for p in parts], str(end)]).encode()).hexdigest() if "ids_sha256" in outputs else "",
-                        "decoded_sha256": hashlib.sha256(text.encode("utf-8")).hexdigest() if "decoded_sha256" in outputs else "",
-                    }
-                    row = known[raw] = tuple(values[o] for o in outputs)
-                rows.append(row)
-            columns = list(zip(*rows))
-            yield pa.RecordBatch.from_arrays([batch.column(0)] + [pa.array(c, kinds.get(o, pa.string())) for o, c in zip(outputs, columns)], names=schema.names)
+        for batch in slices(batches, 1, 8 << 20):
+            texts = utf8(batch.column(1)).dictionary_encode()
+            packed, decimals = enc.documents(texts.dictionary, decimal=hashes)
+            made: dict[str, list] = {o: [] for o in outputs}
+            for k, raw in enumerate(packed):
+                values = {"n_tokens": len(raw) // 4}
+                if decodes or "ids" in outputs:
+                    values["ids"] = np.frombuffer(raw, "<u4").tolist()
+                if decodes:
+                    values["decoded"] = enc.decode(values["ids"])
+                    values["decoded_sha256"] = hashlib.sha256(values["decoded"].encode("utf-8")).hexdigest()
+                if hashes:
+                    values["ids_sha256"] = hashlib.sha256(decimals[k][:-1]).hexdigest()
+                for o in outputs:
+                    made[o].append(values[o])
+            rows = [pa.array(made[o], kinds.get(o, pa.string())).take(texts.indices) for o in outputs]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *rows], names=schema.names)
 
     return docs.select(docs[id_col].alias(id_col), text_bytes(docs, text_col).alias("__text")).mapInArrow(run, schema)

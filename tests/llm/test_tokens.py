@@ -5,10 +5,12 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from basinforge.llm import packing, piece_bpe
 from basinforge.llm.queries import vocabulary
+from basinforge.llm.textcols import Recent
 
 STRANGE = ["", " ", "  ", "   a", "    ", "a    b     c ", "▁x▁▁y", "日本語 漢字", "x" * 200, " " * 100 + "z", "\n\n\n  \t a", "éèê ñ", "😀👍🏽 ok", "\x00a", "1234567890 " * 5, "<s></s><unk><0x0A>", "it's 's 're\n 's", "<|endoftext|> x", "a \nb\n c\t d"]
 
@@ -23,8 +25,10 @@ def test_pieces_are_the_library_s():
 
     path = vocabulary("piece_bpe_32k.model")
     library, ours = sentencepiece.SentencePieceProcessor(model_file=path), piece_bpe.Encoder(path)
-    for t in texts():
-        assert ours.encode(t) == library.encode(t, add_eos=True), t
+    packed, decimals = ours.documents(pa.array(texts(), pa.large_string()), decimal=True)
+    for t, ids, decimal in zip(texts(), packed, decimals):
+        assert np.frombuffer(ids, "<u4").tolist() == library.encode(t, add_eos=True), t
+        assert bytes(decimal).decode().split() == list(map(str, library.encode(t, add_eos=True)))
         assert ours.encode(t, end=False) == library.encode(t)
     assert ours.decode(ours.encode("A  b é")) == "A  b é"
 
@@ -54,8 +58,31 @@ def test_words_give_the_tokenizer_s_ids():
 
     path = vocabulary("byte_bpe_50k.json")
     library, ours = Tokenizer.from_file(path), packing.WordIds(path)
-    for t in texts():
-        assert np.frombuffer(ours.document(t), "<u4").tolist() == library.encode(t, add_special_tokens=False).ids, t
+    for t, ids in zip(texts(), ours.documents(pa.array(texts(), pa.large_string()))):
+        assert np.frombuffer(ids, "<u4").tolist() == library.encode(t, add_special_tokens=False).ids, t
+    again = ours.documents(pa.array(["", *texts()], pa.large_string()).slice(1))  # from the store, and from a slice of an array
+    assert again == ours.documents(pa.array(texts(), pa.large_string()))
+
+
+def test_runs_of_white_space():
+    from tokenizers import Tokenizer
+
+    path = vocabulary("byte_bpe_50k.json")
+    rng = random.Random(5)
+    parts = ["a", "Bc", " ", " ", "\n", "\n", "\t", "\r", "\u00a0", "\u3000", "\x0b", "\x1c", "\x85", ".", ",", "'s", "1", "\u0301", "<|"]
+    runs = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 9))) + rng.choice(["", " ", "  ", " \n", "\n\n"]) for _ in range(4000)]
+    library, ours = Tokenizer.from_file(path), packing.WordIds(path)
+    for t, ids in zip(runs, ours.documents(pa.array(runs, pa.large_string()))):
+        assert np.frombuffer(ids, "<u4").tolist() == library.encode(t, add_special_tokens=False).ids, repr(t)
+
+
+def test_store_keeps_what_is_asked_for():
+    store = Recent(3, longest=4)
+    store.keep(["a", "b", "long one"], [1, 2, 3])
+    assert store.get_all(["a", "b", "long one"]) == [1, 2, None]
+    store.keep(["c"], [3])
+    store.keep(["a", "d", "e"], [1, 4, 5])  # b, not asked for again, goes with its generation
+    assert store.get_all(["a", "b", "d"]) == [1, None, 4]
 
 
 @pytest.mark.parametrize("seed", range(5))
