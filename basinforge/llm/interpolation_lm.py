@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from basinforge.llm.textcols import checkpointed, crc_bucket, release, slices, text_bytes
+from basinforge.llm.textcols import checkpointed, crc_bucket, release, slices, text_bytes, tidied
 
 END, START = 0, 1  # local ids; words follow
 _END_KEY, _START_KEY = (xxhash.xxh64_intdigest(x) for x in (b" end", b" start"))  # no word holds a space
@@ -319,10 +319,10 @@ def score(
     buckets = max(1, min(-(-size // spec.bucket_bytes), spec.most_buckets))
     block_bytes = max(spec.block_bytes, size // spec.most_buckets)
 
-    blocks = checkpointed(docs.select(docs[id_col].alias("__id"), text_bytes(docs, text_col).alias("__text"), part.alias("__part")).mapInArrow(_tokenise(block_bytes), _BLOCKS))
+    blocks = checkpointed(docs.select(docs[id_col].alias("__id"), text_bytes(docs, text_col).alias("__text"), part.alias("__part")).mapInArrow(tidied(_tokenise(block_bytes)), _BLOCKS))
     learned, retained = (x or 0 for x in blocks.agg(F.sum("learned"), F.sum("retained")).first())
-    requests = blocks.select("block", "deleted", "payload").mapInArrow(_ask(buckets), _REQUESTS)
-    answers = checkpointed(requests.groupBy("bucket").applyInArrow(_answer, _ANSWERS))
+    requests = blocks.select("block", "deleted", "payload").mapInArrow(tidied(_ask(buckets)), _REQUESTS)
+    answers = checkpointed(requests.groupBy("bucket").applyInArrow(tidied(_answer), _ANSWERS))
     words = answers.agg(F.sum("words")).first()[0] or 0
     uniform = 1.0 / (words + 1)
     joined = blocks.select("block", "deleted", F.lit(None).cast("int").alias("bucket"), "payload").unionByName(answers.select("block", "deleted", "bucket", "payload"))
@@ -337,7 +337,7 @@ def score(
         return pa.Table.from_batches([_rows(_BINS, list(zip((found >> 16).tolist(), (found >> 8 & 255).tolist(), (found & 255).tolist(), n.tolist())))])
 
     # at most 64 * 256 * 256 rows come to the driver, whatever the input
-    binned = joined.where("deleted").groupBy("block").applyInArrow(bins, _BINS).groupBy("band", "pair_bin", "word_bin").agg(F.sum("n")).collect()
+    binned = joined.where("deleted").groupBy("block").applyInArrow(tidied(bins), _BINS).groupBy("band", "pair_bin", "word_bin").agg(F.sum("n")).collect()
     weights = band_weights(learn_weights([tuple(r) for r in binned], spec.rounds))
 
     names = [("held_out", T.BooleanType()), ("n_tokens", T.LongType()), ("n_known", T.LongType()), ("train_tokens", T.LongType()), ("base_score", T.DoubleType()), ("score", T.DoubleType())]
@@ -355,4 +355,4 @@ def score(
         columns = [c.parts == HELD_OUT, c.lengths, total((count > 0).astype(np.int64)), np.full(len(starts), learned), total(base), total(np.log10(p))]
         return pa.table([pa.array(c.ids, id_kind), *map(pa.array, columns)], names=schema.names)
 
-    return joined.select("block", "bucket", "payload").groupBy("block").applyInArrow(scored, schema)
+    return joined.select("block", "bucket", "payload").groupBy("block").applyInArrow(tidied(scored), schema)

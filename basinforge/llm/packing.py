@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from basinforge.llm.textcols import Recent, held, slices, text_bytes, utf8
+from basinforge.llm.textcols import Recent, held, slices, text_bytes, tidied, utf8
 
 #: White space of the splitting pattern but the line end, and whatever else might be taken for it.
 _BLANK = r"\t\x0b-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200b}\x{2028}\x{2029}\x{202f}\x{205f}\x{2060}\x{3000}\x{feff}"
@@ -227,4 +227,4 @@ def pack(docs: DataFrame, spec: PackingSpec, id_col: str = "doc_id", text_col: s
             )
             first += int(seq.max()) + 1
 
-    return docs.select(docs[id_col].alias(id_col), text_bytes(docs, text_col).alias("__text")).mapInArrow(run, schema)
+    return docs.select(docs[id_col].alias(id_col), text_bytes(docs, text_col).alias("__text")).mapInArrow(tidied(run), schema)

@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from basinforge.llm.textcols import Recent, held, slices, text_bytes, utf8
+from basinforge.llm.textcols import Recent, held, slices, text_bytes, tidied, utf8
 
 MARK = "▁"
 _NONE: dict[str, bool] = {}
@@ -323,4 +323,4 @@ def encode_documents(
             rows = [pa.array(made[o], kinds.get(o, pa.string())).take(texts.indices) for o in outputs]
             yield pa.RecordBatch.from_arrays([batch.column(0), *rows], names=schema.names)
 
-    return docs.select(docs[id_col].alias(id_col), text_bytes(docs, text_col).alias("__text")).mapInArrow(run, schema)
+    return docs.select(docs[id_col].alias(id_col), text_bytes(docs, text_col).alias("__text")).mapInArrow(tidied(run), schema)

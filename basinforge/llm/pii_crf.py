@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from basinforge.llm.textcols import release, slices, text_bytes
+from basinforge.llm.textcols import release, slices, text_bytes, tidied
 
 KINDS = ("email", "ip", "card", "phone")
 NONE = 0  # labels: none, then the kinds
@@ -419,4 +419,4 @@ def find_documents(
             kinds = [pa.int64() if o.startswith("n_") else pa.string() for o in outputs]
             yield pa.RecordBatch.from_arrays([*batch.columns[:k], *(pa.array(c, t) for c, t in zip(zip(*rows), kinds))], names=schema.names)
 
-    return docs.select(*[docs[f"`{c}`"].alias(f"__k{i}") for i, c in enumerate(columns)], docs[text_col].cast("string").cast("binary").alias("__text")).mapInArrow(run, schema)
+    return docs.select(*[docs[f"`{c}`"].alias(f"__k{i}") for i, c in enumerate(columns)], docs[text_col].cast("string").cast("binary").alias("__text")).mapInArrow(tidied(run), schema)

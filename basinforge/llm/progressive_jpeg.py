@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from basinforge.llm.textcols import release, slices, text_bytes
+from basinforge.llm.textcols import release, slices, text_bytes, tidied
 
 #: Bytes of a block, and the format's limit of width and height.
 BLOCK, LARGEST = 64, 65500
@@ -493,7 +493,7 @@ def decode_column(df: DataFrame, media_col: str, keys: list[str]) -> DataFrame:
             kinds = (pa.int32(), pa.int32(), pa.binary(), pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], *(pa.array(c, k) for c, k in zip(columns, kinds))], names=schema.names)
 
-    return df.select(*[df[f"`{k}`"].alias(f"__k{i}") for i, k in enumerate(keys)], df[media_col].cast("binary").alias("__media")).mapInArrow(run, schema)
+    return df.select(*[df[f"`{k}`"].alias(f"__k{i}") for i, k in enumerate(keys)], df[media_col].cast("binary").alias("__media")).mapInArrow(tidied(run), schema)
 
 
 def store_column(df: DataFrame, text_col: str, keys: list[str]) -> DataFrame:
@@ -506,7 +506,7 @@ def store_column(df: DataFrame, text_col: str, keys: list[str]) -> DataFrame:
             media = [store_bytes(padded(x)) for x in batch.column(len(keys)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], pa.array(media, pa.binary())], names=schema.names)
 
-    return df.select(*[df[f"`{k}`"].alias(f"__k{i}") for i, k in enumerate(keys)], text_bytes(df, text_col).alias("__text")).mapInArrow(run, schema)
+    return df.select(*[df[f"`{k}`"].alias(f"__k{i}") for i, k in enumerate(keys)], text_bytes(df, text_col).alias("__text")).mapInArrow(tidied(run), schema)
 
 
 def padded(data: bytes) -> bytes:
@@ -546,4 +546,4 @@ def describe_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 rows.append(known[data])
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(zip(*rows), kinds))], names=schema.names)
 
-    return docs.select(docs[id_col].alias(id_col), text_bytes(docs, text_col).alias("__text")).mapInArrow(run, schema)
+    return docs.select(docs[id_col].alias(id_col), text_bytes(docs, text_col).alias("__text")).mapInArrow(tidied(run), schema)

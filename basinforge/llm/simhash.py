@@ -27,8 +27,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from basinforge.llm.components import connected_components
-from basinforge.llm.textcols import checkpointed, release, slices, text_bytes
+from basinforge.llm.components import connected_components, spread_join
+from basinforge.llm.textcols import checkpointed, release, slices, text_bytes, tidied
 
 #: The grid join needs a cell one step from both points.
 MAX_BITS = 2
@@ -74,7 +74,7 @@ def fingerprints(docs: DataFrame, shingle: int, id_col: str = "doc_id", text_col
                 fps.append(fp)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], names=schema.names)
 
-    return docs.select(docs[id_col].alias(id_col), text_bytes(docs, text_col).alias("__text")).mapInArrow(run, schema)
+    return docs.select(docs[id_col].alias(id_col), text_bytes(docs, text_col).alias("__text")).mapInArrow(tidied(run), schema)
 
 
 def segment_counts(fp: Column, segment_bits: int = 4) -> Column:
@@ -176,5 +176,5 @@ def near_duplicates(
     groups = connected_components(near_links(fps, max_bits, segment_bits), "a", "b").withColumnRenamed("node", "fp")
     grouped = fps.join(groups, "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
     firsts = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
-    ids = grouped.join(firsts, "component").select("fp", "component_id")
+    ids = spread_join(grouped, firsts, "component").select("fp", "component_id")
     return rows.join(ids, "fp").select(id_col, "fp", "component_id")

@@ -2,30 +2,53 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import inspect
+import re
 import tempfile
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes and rows that one step of a Python kernel holds at once.
-SLICE_BYTES = 12 << 20
+SLICE_BYTES = 8 << 20
 SLICE_ROWS = 4096
 
+_PATH = "_basinforge_kept_at"
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the shared checkpoint folder.
 
-    The folder is the session's ``spark.checkpoint.dir``; only a session that
-    names none (a test on one machine) gets a temporary one.
-    """
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder, ``spark.checkpoint.dir``; only a session on one machine that names none gets a temporary one."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint(eager=True)
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
+    return sc.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` computed once and kept as a table in the shared checkpoint folder, so that a lost executor costs no more than this step."""
+    path = f"{shared_folder(df.sparkSession)}/step-{uuid.uuid4()}"
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.__dict__[_PATH] = path
+    return out
+
+
+def forget(df: DataFrame) -> None:
+    """Deletes what ``checkpointed`` has kept, once nothing reads it any more."""
+    if path := df.__dict__.pop(_PATH, None):
+        sc = df.sparkSession.sparkContext
+        at = sc._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def text_bytes(df: DataFrame, text_col: str) -> Column:
@@ -85,6 +108,36 @@ def utf8(column: pa.Array) -> pa.Array:
     return pc.fill_null(out, "")
 
 
+def tidied(kernel: Callable) -> Callable:
+    """A kernel (of batches, or of one table) whose worker gives free memory back to the machine at its end.
+
+    Workers outlive tasks and run one kernel after another; what each has freed would add up.
+    """
+    if inspect.isgeneratorfunction(kernel):
+
+        def run(batches):
+            try:
+                yield from kernel(batches)
+            finally:
+                _give_back()
+
+    else:
+
+        def run(table):
+            try:
+                return kernel(table)
+            finally:
+                _give_back()
+
+    return run
+
+
+def _give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def slices(
     batches: Iterator[pa.RecordBatch], column: int, max_bytes: int = SLICE_BYTES, max_rows: int = SLICE_ROWS
 ) -> Iterator[pa.RecordBatch]:

@@ -86,19 +86,6 @@ def test_components_of_paths_and_stars(spark):
     assert got == {i: 0 for i in range(201)} | {i: 1000 for i in range(1000, 1300)}
 
 
-def test_hyperplanes_tell_the_similarity():
-    rng = random.Random(3)
-    words = [f"w{rng.randrange(10**6)}" for _ in range(600)]
-    changed = words[:]
-    for k in range(0, 600, 60):
-        changed[k] = "other"
-    texts = [" ".join(x).encode() for x in (words, changed)]
-    shingles = [{tuple(x[i : i + 5]) for i in range(len(x) - 4)} for x in (words, changed)]
-    similarity = len(shingles[0] & shingles[1]) / len(shingles[0] | shingles[1])
-    a, b = simhash_similarity.hyperplane_bits(np.stack([simhash_similarity.sketch(t, 5) for t in texts]))
-    assert abs(int((a != b).sum()) - simhash_similarity.distance_limit(similarity, 0)) < 50
-
-
 def test_similar_groups(spark, odd_docs, no_docs):
     rng = random.Random(5)
     rows, families = [], []
@@ -160,3 +147,25 @@ def test_pairs_below_the_limit_are_not_linked(spark):
     rows += [(k, line + " ".join(f"o{rng.randrange(10**9)}" for _ in range(300))) for k in (500, 501)]
     first = {r.id: r.first_id for r in simhash_similarity.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert first == {i: i for i, _ in rows}
+
+
+def test_families_of_edited_copies(spark):
+    """Copies with none to a dozen changed, dropped or added words: just the groups that all pairs give."""
+    rng, rows = random.Random(11), []
+    for family in range(3):
+        base = [f"f{family}w{rng.randrange(10**6)}" for _ in range(120)]
+        for _ in range(90):
+            words = base[:]
+            for _ in range(rng.randint(0, 12)):
+                at = rng.randrange(len(words))
+                words[at : at + rng.randint(0, 1)] = [f"e{rng.randrange(10**6)}"] * rng.randint(0, 1)
+            rows.append((len(rows), " ".join(words)))
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for _, t in rows for w in [t.split()]]
+    first = list(range(len(rows)))
+    for a, b in itertools.combinations(range(len(rows)), 2):
+        common = len(sets[a] & sets[b])
+        if common >= 0.8 * (len(sets[a]) + len(sets[b]) - common) - 1e-9 and first[a] != first[b]:
+            old, new = max(first[a], first[b]), min(first[a], first[b])
+            first = [new if f == old else f for f in first]
+    found = {r.id: r.first_id for r in simhash_similarity.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == dict(enumerate(first)) and 30 < len(set(first)) < 250
