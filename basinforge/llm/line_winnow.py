@@ -3,16 +3,17 @@
 A document is its lines that hold a word.  From each line a window runs over
 the fewest lines with ``least_words`` words.  The least line hash of each window
 is its fingerprint (winnowing, with windows measured in words): two equal runs
-of lines with that many words contain two equal windows, and those have the same
-fingerprint, so a window whose fingerprint stands at one place only can't be
-repeated.  Positions of the others are joined by window content with the
-content's first place, in order of id and line; a window at a later place
-is a repeat.  Runs are extended both ways by every repeated window that overlaps
-or adjoins them, and the runs of later places are deleted, with the blank lines
+of lines with that many words contain two equal windows, and those select the same
+line.  Only selected lines are kept as rows, each with the lines about it as far as the windows
+that selected it reach.  Their positions are joined by fingerprint; one that stands at a single place is no
+repeat.  From each of the others the match is extended to the left and the right, line hash by line hash, and must
+fill a window; the window's first place, in order of id and line, is kept, and at a later place
+it is a repeat.  Repeats that overlap or adjoin make one run, which is deleted with the blank lines
 inside.
 
 So a line is deleted just if it lies in a run of at least ``least_words`` words
-that stands earlier in the table and does not overlap that earlier place.
+that stands earlier in the table and does not overlap that earlier place.  Lines are
+equal if two hashes of theirs are (96 bits).
 
 Nulls: a null text has no lines and stays null; a null id sorts first.  Rows with
 equal id and equal text are one document and get the same result.  Extra columns are
@@ -25,6 +26,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from basinforge.llm.components import spread_join
+from basinforge.llm.textcols import checkpointed, forget
+
 #: Words as in all contracts of this subpackage.
 WORD = "[^\\x20\\x09-\\x0D]+"
 _KEY = ("__id", "__hash")
@@ -35,53 +39,69 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFr
     return docs.select(docs[id_col].alias("__id"), F.xxhash64(text).alias("__hash"), *more)
 
 
-def line_windows(docs: DataFrame, least_words: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The windows: key of the document, first and last line, words before and at the end, fingerprint, content."""
-    text = docs[text_col].cast("string")
+def selected_lines(docs: DataFrame, least_words: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The lines that windows select: key of the document, fingerprint, the windows, and the lines about it.
+
+    ``windows`` is in order; each has its first and last line, among all lines and among those
+    with words (``_nth``), and the words before it and up to its end.  ``about`` has
+    the hashes of the lines with words from the first window's start to the last one's end.
+    """
+    line = F.struct(F.xxhash64("__line").alias("h"), F.crc32(F.col("__line").cast("binary")).alias("c"))
     lines = (
-        _keyed(docs, id_col, text_col, F.posexplode(F.split(text, "\n")).alias("__at", "__line"))
+        _keyed(docs, id_col, text_col, F.posexplode(F.split(docs[text_col].cast("string"), "\n")).alias("__at", "__line"))
         .withColumn("__words", F.regexp_count("__line", F.lit(WORD)))
         .where("__words > 0")
-        .select(*_KEY, "__at", F.xxhash64("__line").alias("__line"), "__words")
+        .select(*_KEY, "__at", line.alias("__line"), "__words")
     )
     of = Window.partitionBy(*_KEY)
     lines = lines.dropDuplicates([*_KEY, "__at"])  # repeated rows are one document
     order = of.orderBy("__at")
     lines = lines.withColumn("__before", F.sum("__words").over(order) - F.col("__words")).withColumn("__nth", F.row_number().over(order))
     # the last line of a window is the last that starts before the window has its words
-    window = of.orderBy("__before").rangeBetween(0, least_words - 1)
-    return (
-        lines.withColumn("last", F.max("__at").over(window))
-        .withColumn("last_nth", F.max("__nth").over(window))
-        .withColumn("end", F.max(F.col("__before") + F.col("__words")).over(window))
-        .withColumn("least", F.min(F.struct(F.col("__line").alias("h"), (-F.col("__at")).alias("at"))).over(window))
-        .withColumn("content", F.xxhash64(F.collect_list("__line").over(window)))
+    frame = of.orderBy("__before").rangeBetween(0, least_words - 1)
+    windows = (
+        lines.withColumn("last", F.max("__at").over(frame))
+        .withColumn("last_nth", F.max("__nth").over(frame))
+        .withColumn("end", F.max(F.col("__before") + F.col("__words")).over(frame))
+        .withColumn("least", F.min(F.struct(F.col("__line.h").alias("h"), (-F.col("__at")).alias("at"))).over(frame))
+        .withColumn("lines", F.collect_list("__line").over(frame))
         .where(F.col("end") >= F.col("__before") + least_words)
-        .select(*_KEY, F.col("__at").alias("first"), "last", F.col("__nth").alias("first_nth"), "last_nth", F.col("__before").alias("start"), "end", F.col("least.h").alias("fingerprint"), (-F.col("least.at")).alias("chosen"), "content")
     )
+    window = F.struct(F.col("__nth").alias("first_nth"), "last_nth", F.col("__at").alias("first"), "last", F.col("__before").alias("start"), "end")
+    # windows of one line follow each other, and all hold it: the first one's lines and the rest of the last one's are all
+    marks = windows.groupBy(*_KEY, F.col("least.at").alias("chosen")).agg(
+        F.first("least.h").alias("fingerprint"), F.sort_array(F.collect_list(window)).alias("windows"), F.min_by("lines", "__nth").alias("head"), F.max_by("lines", "__nth").alias("tail")
+    )
+    one, other = F.element_at("windows", 1), F.element_at("windows", -1)
+    rest = F.slice("tail", one["last_nth"] - other["first_nth"] + 2, other["last_nth"] - one["last_nth"])
+    return marks.select(*_KEY, "fingerprint", "windows", F.concat("head", rest).alias("about"))
 
 
 def repeated_runs(docs: DataFrame, least_words: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(key of the document, first, last, lines, words) of each run to delete; lines count from 0."""
-    windows = line_windows(docs, least_words, id_col, text_col)
-    places = windows.select("fingerprint", *_KEY, "chosen").distinct()
-    common = places.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("fingerprint")
-    suspects = windows.join(common, "fingerprint", "left_semi")
+    marks = checkpointed(selected_lines(docs, least_words, id_col, text_col))
+    common = marks.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("fingerprint")
+    met = spread_join(marks, common, "fingerprint").select(*_KEY, "fingerprint", "about", F.element_at("windows", 1)["first_nth"].alias("from"), F.explode("windows").alias("w"))
+    # the selected line's neighbours to the left and to the right, as far as the window reaches
+    run = F.slice("about", F.col("w.first_nth") - F.col("from") + 1, F.col("w.last_nth") - F.col("w.first_nth") + 1)
+    met = met.select(*_KEY, "w.*", run.alias("run")).withColumn("content", F.xxhash64("run"))
     place = F.struct(*_KEY, "first", "last")
-    # grouped by the complement: the join then has an exchange on both sides, so that very common content can be split
-    firsts = suspects.groupBy(F.bitwise_not("content").alias("__not")).agg(F.min(place).alias("origin"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    firsts = firsts.select(F.bitwise_not("__not").alias("content"), "origin")
+    firsts = met.groupBy("content", "run").agg(F.min(place).alias("origin"), F.count(F.lit(1)).alias("n")).where("n > 1").select("content", F.col("run").alias("first_run"), "origin")
     same_doc = F.col("origin.__id").eqNullSafe(F.col("__id")) & (F.col("origin.__hash") == F.col("__hash"))
-    later = suspects.join(firsts, "content").where(~same_doc | (F.col("first") > F.col("origin.last")))
+    later = spread_join(met, firsts, "content").where(F.col("run") == F.col("first_run")).where(~same_doc | (F.col("first") > F.col("origin.last")))
     of = Window.partitionBy(*_KEY).orderBy("first")
     reach = F.max("last_nth").over(of.rowsBetween(Window.unboundedPreceding, -1))
     runs = later.withColumn("__new", F.when(F.col("first_nth") <= reach + 1, 0).otherwise(1)).withColumn("__run", F.sum("__new").over(of.rowsBetween(Window.unboundedPreceding, 0)))
-    return runs.groupBy(*_KEY, "__run").agg(
-        F.min("first").alias("first"),
-        F.max("last").alias("last"),
-        (F.max("last_nth") - F.min("first_nth") + 1).cast("long").alias("lines"),
-        (F.max("end") - F.min("start")).cast("long").alias("words"),
+    found = checkpointed(
+        runs.groupBy(*_KEY, "__run").agg(
+            F.min("first").alias("first"),
+            F.max("last").alias("last"),
+            (F.max("last_nth") - F.min("first_nth") + 1).cast("long").alias("lines"),
+            (F.max("end") - F.min("start")).cast("long").alias("words"),
+        )
     )
+    forget(marks)
+    return found
 
 
 def drop_repeated_lines(docs: DataFrame, least_words: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
