@@ -118,7 +118,8 @@ def drop_repeated_lines(docs: DataFrame, least_words: int = 50, id_col: str = "d
     # the row travels as one struct, so that no name of its columns can clash
     whole = docs.select(F.struct(*[docs[f"`{c}`"] for c in others]).alias("__row"), text.alias("__body"), F.xxhash64(text).alias("__hash"), docs[id_col].alias("__doc"))
     whole = whole.withColumn("__text_id", F.coalesce(F.col("__doc").cast("string"), F.lit("")))
-    both = whole.join(cuts, (F.col("__text_id") == F.col("__cut_text_id")) & (F.col("__hash") == F.col("__cut_hash")) & F.col("__doc").eqNullSafe(F.col("__cut_id")), "left")
+    # dealt alike at every size: where the cuts are few they would be sent to all instead
+    both = whole.join(cuts.hint("merge"), (F.col("__text_id") == F.col("__cut_text_id")) & (F.col("__hash") == F.col("__cut_hash")) & F.col("__doc").eqNullSafe(F.col("__cut_id")), "left")
     lines, runs = F.split("__body", "\n"), F.col("__runs")
     # kept stretches: from behind a run (or the start) to before the next (or the end)
     starts = F.concat(F.array(F.lit(0)), F.transform(runs, lambda r: r["last"] + 1))
