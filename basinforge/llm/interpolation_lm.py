@@ -14,10 +14,15 @@ that is a context only.
 How it scales.  Documents are tokenised in blocks.  A block asks for the
 counts of its distinct words and word pairs only, in one request for each
 bucket of the 64-bit key space; a bucket merges the requests of all blocks and
-answers each in its order.  So what moves is linear in the input, a frequent
+answers each in its order.  So the keys that move are linear in the input, a frequent
 word counts once per block, no count table goes to the driver or to all tasks,
 and no task holds more than one block or one bucket.  Words and pairs are known
 by 64-bit hashes.
+
+The messages, though, are as many as blocks times buckets: about 150 bytes of each are not
+keys.  At 30 GB those are 3 % of what moves.  Past 2 TB blocks and buckets
+grow with the input, so that there are at most 2 ** 36 messages: at 100 TB a block stands for
+400 MB of text (some 3 GB in its task) and the messages' own bytes come to 10 TB.
 """
 
 from __future__ import annotations

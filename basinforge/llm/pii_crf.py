@@ -10,14 +10,20 @@ in full is also found where it is written without its plus sign or with a slip.
 Base spans keep their label; a candidate whose best label is not "none" with a
 probability over one half is added.
 
-The field's weights (of a node's shape, of chain and of skip edges) maximise the
-pseudo-likelihood of base spans and candidates in a bounded sample of documents.
+The field's weights (of a node's shape, of chain and of skip edges) maximise a
+pseudo-likelihood over a bounded sample of documents.  Each base span is held out in turn and told from its
+shape and its neighbours; beside them stand repeats of base spans in another form, which only the skip edge to
+their base span gives away, and decoys, numbers like them that are none.  What the candidates are is not
+known: their labels are latent, and expectation-maximisation fills them in.
 """
 
 from __future__ import annotations
 
 import hashlib
+import pickle
+import random
 import re
+import zlib
 from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
@@ -45,6 +51,7 @@ _NOT_DIGITS = re.compile(r"[^0-9]+")
 
 _NUMBER = re.compile(r"(?<![0-9])\+?[0-9](?:[ ().-]{0,2}[0-9]){6,}+")
 _DOTTED = re.compile(r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){2,}+")
+_LONE = re.compile(r"(?<![0-9])[0-9]{12,}+")
 _AT = re.compile(r"@|\(at\)|\[at\]")
 _HOST = re.compile(r"[A-Za-z0-9-]++(?:(?:\.|\(dot\)|\[dot\])[A-Za-z0-9-]++)*")
 
@@ -93,12 +100,27 @@ def base_spans(text: str) -> list[Span]:
     return out
 
 
+def _pieces(text: str, start: int, stop: int) -> Iterator[tuple[int, int]]:
+    """A run of numbers cut about each long number that stands by itself; pieces of under seven digits are left out."""
+    cuts = [start]
+    for m in _LONE.finditer(text, start, stop):
+        if (m.start() == start or text[m.start() - 1] == " ") and (m.end() == stop or text[m.end()] == " "):
+            cuts += m.span()
+    for a, b in zip(cuts, [*cuts[1:], stop]):
+        while a < b and text[a] in " ().-":
+            a += 1
+        while a < b and text[b - 1] in " ().-":
+            b -= 1
+        if len(_NOT_DIGITS.sub("", text[a:b])) >= 7:
+            yield a, b
+
+
 def candidates(text: str, base: list[Span]) -> list[tuple[int, int]]:
     """Places that may hold personal data and that no base span touches; leftmost first, not overlapping."""
     found: list[tuple[int, int]] = []
     if _DIGIT.search(text):
         found += [m.span() for m in _DOTTED.finditer(text)]
-        found += [m.span() for m in _NUMBER.finditer(text)]
+        found += [p for m in _NUMBER.finditer(text) for p in _pieces(text, *m.span())]
     last = 0
     for m in _AT.finditer(text):
         start = _local_start(text, m.start(), last)
@@ -121,11 +143,11 @@ def candidates(text: str, base: list[Span]) -> list[tuple[int, int]]:
     return out
 
 
-N_FEATURES = 15
+N_FEATURES = 16
 
 
-def shape(text: str) -> list[float]:
-    """Features of a node's text; none of them asks whether a pattern matched."""
+def shape(text: str, glued: bool = False) -> list[float]:
+    """Features of a node's text, and whether it is part of a word; none of them asks whether a pattern matched."""
     digits = _NOT_DIGITS.sub("", text)
     n = len(digits)
     parts = text.split(".")
@@ -146,9 +168,37 @@ def shape(text: str) -> list[float]:
         float(numeric and len(parts) > 2 and all(len(p) < 4 and int(p) < 256 for p in parts)),
         float("(" in text),
         float(" " in text or "-" in text),
+        float(glued),
     ]
 
 
+def varied(text: str, kind: int, rng: random.Random) -> str:
+    """Another way to write a base span: an address spelt out, a number without its marks, a card with a slip."""
+    if KINDS[kind] == "email":
+        return text.replace("@", rng.choice(["(at)", "[at]"]))
+    if KINDS[kind] == "phone":
+        digits = _NOT_DIGITS.sub("", text)
+        return digits[-10:] if rng.random() < 0.5 else " ".join(_NOT_DIGITS.sub(" ", text).split())
+    if KINDS[kind] == "card":
+        at = rng.choice([i for i, c in enumerate(text) if c.isdigit()])
+        return text[:at] + str((int(text[at]) + rng.randint(1, 9)) % 10) + text[at + 1 :]
+    return text
+
+
+def decoy(text: str, kind: int, rng: random.Random) -> str:
+    """Something like a base span that is none: a name without a host's dot, a version, or other digits."""
+    if KINDS[kind] == "email":
+        return text.rpartition("@")[0] + "@" + rng.choice(["home", "noon", "all"])
+    if KINDS[kind] == "ip":
+        return ".".join(str(rng.randint(0, 999)) for _ in range(rng.choice([3, 5])))
+    n = rng.choice([7, 8, len(_NOT_DIGITS.sub("", text)), rng.randint(9, 20)])
+    while True:
+        digits = "".join(rng.choice("0123456789") for _ in range(n))
+        if not (12 <= n <= 19 and luhn(digits)):
+            width = rng.choice([n, n, 1, 2, 3, 4])
+            return rng.choice(" -").join(digits[i : i + width] for i in range(0, n, width))
+
+
 def form_of(text: str) -> str:
     """What is compared of a node's text."""
     if _AT.search(text):
@@ -253,22 +303,37 @@ class Graph:
     features: np.ndarray
     chain: list[tuple[int, int]]
     skip: list[tuple[int, int]]
+    known: np.ndarray | None = None  # nodes that keep their label; those with one unless told
 
 
-def graph(text: str, base: list[Span], found: list[tuple[int, int]]) -> Graph:
+def graph(text: str, base: list[Span], found: list[tuple[int, int]], learning: bool = False) -> Graph:
+    """The field's graph of a text; for ``learning`` with a varied repeat and a decoy of each base span behind it."""
     nodes = sorted([(s, e, k + 1) for s, e, k in base] + [(s, e, NONE) for s, e in found])
     spans = [(s, e) for s, e, _ in nodes]
     texts = [text[s:e] for s, e in spans]
+    glued = [text[max(s - 1, 0) : s].isalnum() or text[e : e + 1].isalnum() for s, e in spans]
     chain = [(i, i + 1) for i in range(len(nodes) - 1) if spans[i + 1][0] - spans[i][1] <= CHAIN_REACH]
-    labels = np.array([k for *_, k in nodes], np.int64)
-    return Graph(spans, labels, np.array([shape(t) for t in texts]).reshape(-1, N_FEATURES), chain, skip_edges(texts, (labels > 0).tolist()))
+    labels = [k for *_, k in nodes]
+    known = [k != NONE for k in labels]
+    marked = list(known)
+    if learning:
+        rng = random.Random(zlib.crc32(text.encode("utf-8", "replace")))
+        for s, e, k in base:
+            for made, label in ((varied(text[s:e], k, rng), k + 1), (decoy(text[s:e], k, rng), NONE)):
+                texts.append(made)
+                labels.append(label)
+                glued.append(label == NONE and rng.random() < 0.5)
+        known += [True] * (len(labels) - len(known))
+        marked += [False] * (len(labels) - len(marked))
+    features = np.array([shape(t, g) for t, g in zip(texts, glued)]).reshape(-1, N_FEATURES)
+    return Graph(spans, np.array(labels, np.int64), features, chain, skip_edges(texts, marked), np.array(known, bool))
 
 
 def marginals(g: Graph, field: Field, rounds: int = 30, damping: float = 0.5) -> np.ndarray:
     """Label probabilities by loopy sum-product; base spans are held to their label."""
     n, k = len(g.labels), len(KINDS) + 1
     unary = g.features @ np.array(field.unary).T
-    held = np.flatnonzero(g.labels)
+    held = np.flatnonzero(g.labels if g.known is None else g.known)
     unary[held] = -50.0
     unary[held, g.labels[held]] = 0.0
     pairs = g.chain + g.skip
@@ -309,60 +374,82 @@ def find(text: str, field: Field) -> tuple[list[Span], list[Span]]:
 
 @dataclass(frozen=True)
 class FieldSpec:
-    """``rows`` bounds the documents that weights are learned from, in order of a hash of their text; ``length`` their size."""
+    """``rows`` bounds the distinct texts that weights are learned from: those with the least hashes."""
 
     rows: int = 3000
-    length: int = 20_000
     ridge: float = 0.05
     skip_prior: float = 4.0
     chain_prior: float = 0.0
     prior_weight: float = 20.0
-    rounds: int = 300
+    rounds: int = 150
+    filled_in: int = 4
 
 
 def learn(graphs: list[Graph], spec: FieldSpec) -> Field:
-    """Maximises the pseudo-likelihood; the edges' weights have Gaussian priors about those of the spec."""
+    """Maximises the pseudo-likelihood, given neighbours' labels, by expectation-maximisation over the latent ones.
+
+    The edges' weights have Gaussian priors about those of the spec.
+    """
     k = len(KINDS) + 1
-    rows, labels, chain, skip = [], [], [], []
-    for g in graphs:
-        near = np.zeros((2, len(g.labels), k))
-        for which, edges in enumerate((g.chain, g.skip)):
-            for a, b in edges:
-                near[which, a, g.labels[b]] += 1
-                near[which, b, g.labels[a]] += 1
-        rows.append(g.features)
-        labels.append(g.labels)
-        chain.append(near[0])
-        skip.append(near[1])
     w, edge = np.zeros((k, N_FEATURES)), np.array([spec.chain_prior, spec.skip_prior])
     w[NONE, 0] = 4.0
-    if not rows or not sum(map(len, rows)):
-        return Field(tuple(map(tuple, w.tolist())), *edge.tolist())
-    x, y, near = np.concatenate(rows), np.concatenate(labels), np.stack([np.concatenate(chain), np.concatenate(skip)])
-    target = np.eye(k)[y]
+    field = Field(tuple(map(tuple, w.tolist())), *edge.tolist())
+    graphs = [g for g in graphs if len(g.labels)]
+    if not graphs:
+        return field
+    x = np.concatenate([g.features for g in graphs])
+    starts = np.cumsum([0, *(len(g.labels) for g in graphs)])
+    target = np.eye(k)[np.concatenate([g.labels for g in graphs])]
+    latent = [(i, g) for i, g in zip(starts, graphs) if not g.known.all()]
+    edges = [np.array([(i + a, i + b) for i, g in zip(starts, graphs) for a, b in pairs(g)], np.int64).reshape(-1, 2) for pairs in (lambda g: g.chain, lambda g: g.skip)]
     prior, n = edge.copy(), len(x)
-    speed_w, speed_e = np.zeros_like(w), np.zeros(2)
-    for _ in range(spec.rounds):  # gradient ascent with momentum
-        z = x @ w.T + np.tensordot(edge, near, 1)
-        p = np.exp(z - z.max(axis=1, keepdims=True))
-        p /= p.sum(axis=1, keepdims=True)
-        rest = target - p
-        speed_w = 0.9 * speed_w + (rest.T @ x - spec.ridge * w) / n
-        speed_e = 0.9 * speed_e + ((near * rest).sum(axis=(1, 2)) - spec.prior_weight * (edge - prior)) / (n + spec.prior_weight)
-        w, edge = w + speed_w, edge + speed_e
-    return Field(tuple(map(tuple, w.tolist())), *np.maximum(edge, 0.0).tolist())
+    for _ in range(spec.filled_in):
+        for i, g in latent:
+            open_ = np.flatnonzero(~g.known)
+            target[i + open_] = marginals(g, field)[open_]
+        near = np.zeros((2, n, k))
+        for which, pairs in enumerate(edges):
+            np.add.at(near[which], pairs[:, 0], target[pairs[:, 1]])
+            np.add.at(near[which], pairs[:, 1], target[pairs[:, 0]])
+        speed_w, speed_e = np.zeros_like(w), np.zeros(2)
+        for _ in range(spec.rounds):  # gradient ascent with momentum
+            z = x @ w.T + np.tensordot(edge, near, 1)
+            p = np.exp(z - z.max(axis=1, keepdims=True))
+            p /= p.sum(axis=1, keepdims=True)
+            rest = target - p
+            speed_w = 0.9 * speed_w + (rest.T @ x - spec.ridge * w) / n
+            speed_e = 0.9 * speed_e + ((near * rest).sum(axis=(1, 2)) - spec.prior_weight * (edge - prior)) / (n + spec.prior_weight)
+            w, edge = w + speed_w, np.maximum(edge + speed_e, 0.0)
+        field = Field(tuple(map(tuple, w.tolist())), *edge.tolist())
+    return field
+
+
+def _graphs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    release()
+    for batch in batches:
+        made = []
+        for data in batch.column(0).to_pylist():
+            text = data.decode("utf-8", "replace")
+            base = base_spans(text)
+            found = candidates(text, base)
+            if base or found:
+                made.append(pickle.dumps(graph(text, base, found, learning=True)))
+        yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], names=["graph"])
 
 
 def fit(docs: DataFrame, spec: FieldSpec = FieldSpec(), text_col: str = "text") -> Field:
-    """Learns the field from at most ``spec.rows`` documents that hold a digit or an at sign."""
+    """Learns the field from at most ``spec.rows`` distinct texts that hold a digit or an at sign, of any length.
+
+    The texts are chosen by their hashes alone, and only their graphs leave the executors.  Nulls
+    and texts without either are not learned from; an empty table gives the field of the priors.
+    """
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
-    some = docs.select(text.alias("text")).where((F.length("text") <= spec.length) & F.col("text").rlike("[0-9@]|[(\\[]at[)\\]]"))
-    sample = some.select(F.xxhash64("text").alias("h"), "text").orderBy("h", "text").limit(spec.rows)
-    graphs = []
-    for row in sample.select("text").toLocalIterator():
-        base = base_spans(row[0])
-        if found := candidates(row[0], base) or base:
-            graphs.append(graph(row[0], base, found if found is not base else []))
+    some = docs.select(text.alias("text")).where(F.col("text").rlike("[0-9@]|[(\\[]at[)\\]]")).withColumn("h", F.xxhash64("text"))
+    last = some.select("h").distinct().orderBy("h").limit(spec.rows).agg(F.max("h")).first()[0]
+    if last is None:
+        return learn([], spec)
+    sample = some.where(F.col("h") <= last).dropDuplicates(["h"]).select(text_bytes(some, "text").alias("text"))
+    graphs = [pickle.loads(r[0]) for r in sample.mapInArrow(tidied(_graphs), "graph binary").toLocalIterator()]
     return learn(graphs, spec)
 
 
@@ -393,7 +480,8 @@ def find_documents(
 
     n_email, n_ip, n_card, n_phone and base_sha256 (of kind:start:end, in code points)
     tell of the base spans; ``spans`` of all; ``redacted`` is the text without them.
-    A null text has no spans and is redacted to a null; repeated rows give repeated results.
+    A null text has no spans and is redacted to a null; a null id is kept; repeated rows give
+    repeated results; an empty table gives no rows.
     """
     columns = [id_col, *keep]
     schema = T.StructType([T.StructField(c, docs.schema[c].dataType) for c in columns] + [T.StructField(o, _OUTPUTS[o]) for o in outputs])
