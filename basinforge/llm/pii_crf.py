@@ -388,7 +388,8 @@ class FieldSpec:
 def learn(graphs: list[Graph], spec: FieldSpec) -> Field:
     """Maximises the pseudo-likelihood, given neighbours' labels, by expectation-maximisation over the latent ones.
 
-    The edges' weights have Gaussian priors about those of the spec.
+    The first of ``filled_in`` turns learns from the known nodes alone.  The edges'
+    weights have Gaussian priors about those of the spec.
     """
     k = len(KINDS) + 1
     w, edge = np.zeros((k, N_FEATURES)), np.array([spec.chain_prior, spec.skip_prior])
@@ -403,10 +404,12 @@ def learn(graphs: list[Graph], spec: FieldSpec) -> Field:
     latent = [(i, g) for i, g in zip(starts, graphs) if not g.known.all()]
     edges = [np.array([(i + a, i + b) for i, g in zip(starts, graphs) for a, b in pairs(g)], np.int64).reshape(-1, 2) for pairs in (lambda g: g.chain, lambda g: g.skip)]
     prior, n = edge.copy(), len(x)
-    for _ in range(spec.filled_in):
-        for i, g in latent:
+    weight = np.concatenate([g.known for g in graphs]).astype(np.float64)[:, None]
+    for turn in range(spec.filled_in):  # at first the known nodes alone
+        for i, g in latent if turn else ():
             open_ = np.flatnonzero(~g.known)
             target[i + open_] = marginals(g, field)[open_]
+            weight[i + open_] = 1.0
         near = np.zeros((2, n, k))
         for which, pairs in enumerate(edges):
             np.add.at(near[which], pairs[:, 0], target[pairs[:, 1]])
@@ -416,7 +419,7 @@ def learn(graphs: list[Graph], spec: FieldSpec) -> Field:
             z = x @ w.T + np.tensordot(edge, near, 1)
             p = np.exp(z - z.max(axis=1, keepdims=True))
             p /= p.sum(axis=1, keepdims=True)
-            rest = target - p
+            rest = weight * (target - p)
             speed_w = 0.9 * speed_w + (rest.T @ x - spec.ridge * w) / n
             speed_e = 0.9 * speed_e + ((near * rest).sum(axis=(1, 2)) - spec.prior_weight * (edge - prior)) / (n + spec.prior_weight)
             w, edge = w + speed_w, np.maximum(edge + speed_e, 0.0)
