@@ -62,7 +62,7 @@ class InterpolationSpec:
     folds: int = 7
     held_out: int = 2
     deleted: int = 5
-    block_bytes: int = 16 << 20
+    block_bytes: int = 12 << 20
     bucket_bytes: int = 8 << 20
     most_buckets: int = 1 << 18
     rounds: int = 40
@@ -324,10 +324,10 @@ def score(
     buckets = max(1, min(-(-size // spec.bucket_bytes), spec.most_buckets))
     block_bytes = max(spec.block_bytes, size // spec.most_buckets)
 
-    blocks = checkpointed(docs.select(docs[id_col].alias("__id"), text_bytes(docs, text_col).alias("__text"), part.alias("__part")).mapInArrow(tidied(_tokenise(block_bytes)), _BLOCKS))
+    blocks = checkpointed(docs.select(docs[id_col].alias("__id"), text_bytes(docs, text_col).alias("__text"), part.alias("__part")).mapInArrow(tidied(_tokenise(block_bytes)), _BLOCKS), packed=True)
     learned, retained = (x or 0 for x in blocks.agg(F.sum("learned"), F.sum("retained")).first())
     requests = blocks.select("block", "deleted", "payload").mapInArrow(tidied(_ask(buckets)), _REQUESTS)
-    answers = checkpointed(requests.groupBy("bucket").applyInArrow(tidied(_answer), _ANSWERS))
+    answers = checkpointed(requests.groupBy("bucket").applyInArrow(tidied(_answer), _ANSWERS), packed=True)
     words = answers.agg(F.sum("words")).first()[0] or 0
     uniform = 1.0 / (words + 1)
     joined = blocks.select("block", "deleted", F.lit(None).cast("int").alias("bucket"), "payload").unionByName(answers.select("block", "deleted", "bucket", "payload"))

@@ -34,10 +34,13 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept as a table in the shared checkpoint folder, so that a lost executor costs no more than this step."""
+def checkpointed(df: DataFrame, packed: bool = False) -> DataFrame:
+    """``df`` computed once and kept as a table in the shared checkpoint folder, so that a lost executor costs no more than this step.
+
+    ``packed``: its columns are compressed already.
+    """
     path = f"{shared_folder(df.sparkSession)}/step-{uuid.uuid4()}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression="uncompressed" if packed else None)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.__dict__[_PATH] = path
     return out
