@@ -66,7 +66,8 @@ def op8_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return compression_rules.apply_rules(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
+    return compression_rules.apply_rules(docs, compression_rules.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def capture_log(pages: DataFrame) -> DataFrame:

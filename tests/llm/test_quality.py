@@ -95,3 +95,23 @@ def test_the_tail_after_the_last_whole_chunk_counts():
     for tail, share in ((3900, 3900 / 7996), (4096, 0.5), (100, 0.0)):
         ratio, outside, failed, kept = compression_rules.measure(clean[:4096] + noise[:tail], rules, compressor)[5:]
         assert outside == share and not failed and kept == (share == 0 and ratio <= 0.74)
+
+
+def test_bands_are_learned_from_good_rows(spark):
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    rules = compression_rules.fit(docs, labels)
+    assert len(rules.bands) > 1 and rules != compression_rules.CompressionRules()
+    out = compression_rules.apply_rules(docs, rules).where("not base_failed").join(labels, "doc_id").where(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0)
+    kept = {r.quality: (r.n, r.kept) for r in out.groupBy("quality").agg(F.count("*").alias("n"), F.sum(F.col("kept").cast("int")).alias("kept")).collect()}
+    assert kept[1][1] >= 0.98 * kept[1][0]
+
+
+def test_bands_without_labels_or_with_odd_ones(spark, odd_docs):
+    rules = compression_rules.CompressionRules()
+    assert compression_rules.fit(odd_docs, spark.createDataFrame([(1, 1), (1, 0), (2, None), (None, 1), (8, 1)], "doc_id long, quality int")) == rules
+    sizes = np.repeat([100, 1000, 9000], 60)
+    ratios = np.tile(np.linspace(0.5, 0.6, 60), 3)
+    learned = compression_rules.learn_bands(sizes, ratios, np.zeros(0), rules, compression_rules.BandSpec(per_class=60))
+    assert [b[0] for b in learned.bands] == [0, 1000, 9000] and learned.chunk_band == rules.chunk_band
+    assert all(low <= 0.5 and high >= 0.6 for _, low, high in learned.bands)
+    assert learned.band(50)[1] > learned.band(100)[1] and learned.band(90_000)[0] < learned.band(9000)[0]
