@@ -18,6 +18,7 @@ import hashlib
 import io
 from collections.abc import Iterator
 from datetime import datetime, timezone
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -82,7 +83,8 @@ def latest_earlier(records: DataFrame) -> DataFrame:
     # a URL has one row here for each partition that it spans
     across = Window.partitionBy("canonical").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     carried = parts.withColumn("__carried", F.last("__last", ignorenulls=True).over(across)).where("__carried is not null").select("__part", "canonical", "__carried")
-    revisits = near.where("__response = 0").join(carried, ["__part", "canonical"], "left")
+    # the windows have dealt the revisits by these keys already, so nothing need be sent to all
+    revisits = near.where("__response = 0").join(carried.hint("merge"), ["__part", "canonical"], "left")
     return revisits.select("canonical", "captured", "row", F.coalesce("__near.row", "__carried").alias("found"))
 
 
@@ -95,6 +97,7 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     "no response" or "no key" (null URL or time); only the first two have a payload.
     The entity tag, compared weakly, decides before the date.  Null headers are
     none.  Repeated records are resolved each.  Kinds but response and revisit are ignored.
+    An empty table gives no rows.
     """
     headers = F.coalesce(F.col("headers"), F.array().cast(HEADERS))
     row = F.struct("record_id", "url", "captured", headers.alias("headers"), "payload_sha256", "payload_bytes")
@@ -130,10 +133,27 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     )
 
 
-def _lines(stream: io.BufferedReader) -> list[tuple[str, str]]:
+class _Part(io.RawIOBase):
+    """The next ``size`` bytes of a stream as a stream of its own."""
+
+    def __init__(self, stream: io.BufferedReader, size: int):
+        self._stream, self._left = stream, size
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, into) -> int:
+        data = self._stream.read(min(len(into), self._left))
+        into[: len(data)] = data
+        self._left -= len(data)
+        return len(data)
+
+
+def _lines(stream: io.BufferedReader, first: bytes = b"") -> list[tuple[str, str]]:
     """Header fields up to the empty line; a first line without a colon is named "". Continued lines are joined."""
     out: list[tuple[str, str]] = []
-    while (line := stream.readline()) not in (b"", b"\r\n", b"\n"):
+    line = first or stream.readline()
+    while line not in (b"", b"\r\n", b"\n"):
         text = line.decode("utf-8", "replace").rstrip("\r\n")
         if text[:1] in " \t" and out:
             out[-1] = (out[-1][0], f"{out[-1][1]} {text.strip()}")
@@ -142,54 +162,76 @@ def _lines(stream: io.BufferedReader) -> list[tuple[str, str]]:
         else:
             name, _, value = text.partition(":")
             out.append((name.strip(), value.strip()))
+        line = stream.readline()
     return out
 
 
 def parse_warc(data: bytes) -> Iterator[dict]:
-    """Response and not-modified revisit records of a file, plain or gzipped (by record or as a whole)."""
-    stream = io.BufferedReader(io.BytesIO(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data))
-    nth = 0
+    """Response and not-modified revisit records of a file, plain or gzipped (by record or as a whole).
+
+    The file is unpacked and hashed as it is read, so no record need fit in memory.  Records of
+    other kinds are passed over, among them revisits for an identical digest, which name their
+    payload themselves.  After a record without a length reading goes on at the next one.
+    """
+    source = io.BytesIO(data)
+    stream = io.BufferedReader(gzip.GzipFile(fileobj=source) if data[:2] == b"\x1f\x8b" else source)
+    nth, first = 0, b""
     while True:
-        head = _lines(stream)
+        head, first = _lines(stream, first), b""
         if not head:
             if not stream.peek(1):
                 return
             continue
         fields = {k.lower(): v for k, v in head}
         length = fields.get("content-length", "0")
-        if not (length.isascii() and length.isdigit()):  # the record's end is unknown: on with the next one
-            while line := stream.readline():
-                if line.startswith(b"WARC/"):
-                    stream.seek(-len(line), io.SEEK_CUR)
-                    break
+        if not (length.isascii() and length.isdigit()):  # the record's end is unknown
+            while (first := stream.readline()) and not first.startswith(b"WARC/"):
+                pass
             nth += 1
             continue
-        block = stream.read(int(length))
+        block = io.BufferedReader(_Part(stream, int(length)))
         kind = fields.get("warc-type", "")
         not_modified = kind == "revisit" and fields.get("warc-profile", "").endswith("server-not-modified")
         if kind == "response" or not_modified:
-            body = io.BufferedReader(io.BytesIO(block))
-            http = [(k, v) for k, v in _lines(body) if k]
-            payload = body.read()
+            http = [(k, v) for k, v in _lines(block) if k]
+            payload, size = hashlib.sha256(), 0
+            while part := block.read(1 << 20):
+                payload.update(part)
+                size += len(part)
             try:
                 when = int(datetime.fromisoformat(fields.get("warc-date", "").replace("Z", "+00:00")).astimezone(timezone.utc).timestamp())
             except ValueError:
                 when = None
-            yield {"nth": nth, "url": fields.get("warc-target-uri", "").strip("<>") or None, "captured": when, "kind": kind, "headers": [{"name": k, "value": v} for k, v in http],
-                   "payload_sha256": hashlib.sha256(payload).hexdigest() if kind == "response" else None, "payload_bytes": len(payload) if kind == "response" else None}
+            yield {
+                "nth": nth,
+                "url": fields.get("warc-target-uri", "").strip("<>") or None,
+                "captured": when,
+                "kind": kind,
+                "headers": [{"name": k, "value": v} for k, v in http],
+                "payload_sha256": payload.hexdigest() if kind == "response" else None,
+                "payload_bytes": size if kind == "response" else None,
+            }
+        while block.read(1 << 20):
+            pass
         nth += 1
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """Records of the WARC files under ``path``; record_id is made of the file's name and the record's place in it."""
+    """Records of the WARC files under ``path``; record_id is made of the file's name and the record's place in it.
+
+    A file as it is stored, unpacked or not, is one row of Spark's binary reader, and so at most 2 GB.
+    """
     schema = "path string, nth long, " + RECORDS.partition(", ")[2]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         headers = pa.list_(pa.struct([("name", pa.string()), ("value", pa.string())]))
-        kinds = [("path", pa.string()), ("nth", pa.int64()), ("url", pa.string()), ("captured", pa.int64()), ("kind", pa.string()), ("headers", headers), ("payload_sha256", pa.string()), ("payload_bytes", pa.int64())]
+        kinds = {"path": pa.string(), "nth": pa.int64(), "url": pa.string(), "captured": pa.int64(), "kind": pa.string()}
+        kinds |= {"headers": headers, "payload_sha256": pa.string(), "payload_bytes": pa.int64()}
         for batch in batches:
-            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                yield pa.RecordBatch.from_pylist([{"path": name} | r for r in parse_warc(content)], schema=pa.schema(kinds))
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1)):
+                records = ({"path": name} | r for r in parse_warc(content.as_py()))
+                while some := list(islice(records, 1000)):
+                    yield pa.RecordBatch.from_pylist(some, schema=pa.schema(list(kinds.items())))
 
     rows = spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, schema)
     return rows.select(F.xxhash64("path", "nth").alias("record_id"), "url", "captured", "kind", "headers", "payload_sha256", "payload_bytes")
