@@ -119,6 +119,8 @@ def near_links(fps: DataFrame, max_bits: int = MAX_BITS, segment_bits: int = 4)
         raise ValueError(f"max_bits must be 0 to {MAX_BITS}")
     at = fps.select("fp", segment_counts(F.col("fp"), segment_bits).alias("point"))
     points = at.groupBy("point").agg(F.count(F.lit(1)).alias("n"))
+    # few bytes come before the explosion into cells and many behind it, so the partitions must not be merged
+    points = points.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "point")
     met = (
         points.select(F.struct("point", "n").alias("p"), F.explode(grid_cells(F.col("point"), segment_bits)).alias("cell"))
         .where(F.col("cell").isNotNull())
