@@ -102,15 +102,61 @@ def _together(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select("run_id", F.col("b").alias("a"), "b", F.col("z").alias("value")).unionByName(edges.select("run_id", "a", "b", F.col("w").alias("value")))
 
 
+def _place(ids: np.ndarray, basin: int) -> int:
+    """Where a basin stands among the run's; a basin that the run lacks is an error."""
+    at = int(np.searchsorted(ids, basin))
+    if at == len(ids) or ids[at] != basin:
+        raise ValueError(f"the run has no basin {basin}")
+    return at
+
+
+def _components(w: np.ndarray) -> list[np.ndarray]:
+    left, out = np.ones(len(w), bool), []
+    while left.any():
+        reached = np.zeros(len(w), bool)
+        reached[np.flatnonzero(left)[0]] = True
+        while True:
+            more = reached | (w[reached] > 0).any(axis=0)
+            if (more == reached).all():
+                break
+            reached = more
+        out.append(np.flatnonzero(reached))
+        left &= ~reached
+    return out
+
+
+def mean_passage(z: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """(from, to) mean first passage times, by one inversion for each component; what can't be reached is NaN."""
+    out = np.full((len(z), len(z)), np.nan)
+    for own in _components(w):
+        share = z[own] / z[own].sum()
+        fundamental = np.linalg.inv(share[None, :] - generator(z[own], w[np.ix_(own, own)]))
+        times = (np.diag(fundamental)[None, :] - fundamental) / share[None, :]
+        np.fill_diagonal(times, 0.0)
+        out[np.ix_(own, own)] = times
+    return out
+
+
+def symmetry_gap(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(run_id, gap): the greatest violation of detailed balance by a run's rates, relative to the greatest flow.
+
+    ``edges`` may have both directions (a, b, w) of a pair with weights of their own.
+    """
+    flow = edges.where("a <> b").join(nodes.select("run_id", F.col("b").alias("a"), "z"), ["run_id", "a"]).select("run_id", "a", "b", "w", "z")
+    pair = flow.groupBy("run_id", F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).agg(
+        F.sum(F.when(F.col("a") < F.col("b"), F.col("w")).otherwise(0.0)).alias("up"), F.sum(F.when(F.col("a") > F.col("b"), F.col("w")).otherwise(0.0)).alias("down")
+    )
+    return pair.groupBy("run_id").agg((F.max(F.abs(F.col("up") - F.col("down"))) / F.max(F.greatest("up", "down"))).alias("gap"))
+
+
 def solve(nodes: DataFrame, edges: DataFrame, spec: SolveSpec = SolveSpec()) -> DataFrame:
-    """(run_id, t, b, p): state probabilities of each run over the time grid."""
+    """(run_id, t, b, p): state probabilities of each run over the time grid; each run must have ``start`` and ``absorb``."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         ids, z, w = _arrays(pdf)
         count = int(np.ceil(np.log(spec.end / spec.t0) / np.log(spec.factor)))
         t = spec.t0 * spec.factor ** np.arange(count)
-        at = lambda b: int(np.searchsorted(ids, b))
-        p = probabilities(z, w, t, at(spec.start), None if spec.absorb is None else at(spec.absorb), spec.mode)
+        p = probabilities(z, w, t, _place(ids, spec.start), None if spec.absorb is None else _place(ids, spec.absorb), spec.mode)
         return pd.DataFrame({"run_id": pdf["run_id"].iloc[0], "t": np.repeat(t, len(ids)), "b": np.tile(ids, count), "p": p.ravel()})
 
     return _together(nodes, edges).groupBy("run_id").applyInPandas(run, "run_id long, t double, b long, p double")
@@ -131,16 +177,16 @@ def passage_times(nodes: DataFrame, edges: DataFrame, target: int | None = None)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         ids, z, w = _arrays(pdf)
-        r, n, rows = generator(z, w), len(ids), []
-        for b in range(n) if target is None else [int(np.searchsorted(ids, target))]:
-            others = np.delete(np.arange(n), b)
-            t = np.zeros(n)
-            try:
-                t[others] = np.linalg.solve(-r[np.ix_(others, others)], np.ones(n - 1))
-            except np.linalg.LinAlgError:
-                t[others] = np.nan
-            rows.append(pd.DataFrame({"run_id": pdf["run_id"].iloc[0], "a": ids, "b": ids[b], "time": t}))
-        return pd.concat(rows)
+        if target is None:
+            to, times = ids, mean_passage(z, w)
+        else:
+            at = _place(ids, target)
+            own = next(c for c in _components(w) if at in c)
+            others = own[own != at]
+            to, times = ids[[at]], np.full((len(ids), 1), np.nan)
+            times[others, 0] = np.linalg.solve(-generator(z[own], w[np.ix_(own, own)])[np.ix_(own != at, own != at)], np.ones(len(others)))
+            times[at, 0] = 0.0
+        return pd.DataFrame({"run_id": pdf["run_id"].iloc[0], "a": np.repeat(ids, len(to)), "b": np.tile(to, len(ids)), "time": times.ravel()})
 
     return _together(nodes, edges).groupBy("run_id").applyInPandas(run, "run_id long, a long, b long, time double")
 

@@ -80,73 +80,108 @@ def interaction_probability(hybrid: DataFrame) -> DataFrame:
     return split.select("run_id", "i1", "i2", "j1", "j2", "k1", "k2", (F.col("ql") * F.col("qr") / F.col("q")).alias("p"))
 
 
-def fold_tables(seq: str, celsius: float = 37.0, least_loop: int = 3) -> tuple[np.ndarray, np.ndarray]:
-    """(inside, pair weights inside) of one strand in a stacking model without pseudoknots: q[i, j] over i..j."""
+def fold_tables(seq: str, celsius: float = 37.0, least_loop: int = 3, span: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(inside, pair weights inside) of one strand in a stacking model without pseudoknots: q[i, j] over i..j.
+
+    Paired positions are less than ``span`` apart, if it is given.
+    """
     n, rt = len(seq), energy.thermal_energy(celsius)
     q, b = np.ones((n + 2, n + 2)), np.zeros((n + 2, n + 2))
+    closing = math.exp(-4.0 / rt)
     for d in range(least_loop + 1, n):
         for i in range(1, n - d + 1):
             j = i + d
-            if seq[i - 1] + seq[j - 1] in PAIRS:
-                w = math.exp(-4.0 / rt) * q[i + 1, j - 1]  # closing what lies inside
+            if seq[i - 1] + seq[j - 1] in PAIRS and (span is None or d < span):
+                w = closing * q[i + 1, j - 1]  # closing what lies inside
                 if b[i + 1, j - 1]:
                     w += b[i + 1, j - 1] * math.exp(-_STACK[seq[i - 1] + seq[j - 1] + seq[i] + seq[j - 2]] / 100 / rt)
                 b[i, j] = w
-            q[i, j] = q[i, j - 1] + sum(q[i, k - 1] * b[k, j] for k in range(i, j - least_loop) if b[k, j])
+            k = slice(i, j - least_loop)
+            q[i, j] = q[i, j - 1] + q[i, i - 1 : j - least_loop - 1] @ b[k, j]
     return q, b
 
 
-def unpaired_windows(seq: str, most: int, celsius: float = 37.0) -> list[tuple[int, int, float]]:
-    """(i, j, p): probability that i..j is unpaired, for windows up to ``most``: weight with the window closed to pairs over the whole."""
+def outside_weights(seq: str, q: np.ndarray, b: np.ndarray, celsius: float = 37.0, least_loop: int = 3) -> np.ndarray:
+    """Derivative of the whole weight by each pair's: what stands around the pair.
+
+    The inside recursion is differentiated backwards.
+    """
+    n, rt = len(seq), energy.thermal_energy(celsius)
+    dq, db = np.zeros_like(q), np.zeros_like(b)
+    dq[1, n] = 1.0
+    closing = math.exp(-4.0 / rt)
+    for d in range(n - 1, least_loop, -1):
+        for i in range(1, n - d + 1):
+            j = i + d
+            if dq[i, j]:
+                k = slice(i, j - least_loop)
+                before = slice(i - 1, j - least_loop - 1)
+                dq[i, j - 1] += dq[i, j]
+                db[k, j] += dq[i, j] * q[i, before]
+                dq[i, before] += dq[i, j] * b[k, j]
+            if db[i, j] and b[i, j]:
+                dq[i + 1, j - 1] += db[i, j] * closing
+                if b[i + 1, j - 1]:
+                    db[i + 1, j - 1] += db[i, j] * math.exp(-_STACK[seq[i - 1] + seq[j - 1] + seq[i] + seq[j - 2]] / 100 / rt)
+    return np.where(b > 0, db, 0.0)
+
+
+def unpaired_windows(seq: str, most: int, celsius: float = 37.0, span: int | None = None, least_loop: int = 3) -> list[tuple[int, int, float]]:
+    """(i, j, p): probability that i..j is unpaired, for windows up to ``most``, from one fold.
+
+    Either no pair is around the window, or there is an innermost one: what stands
+    around that pair, and both sides of the window within it, multiply.
+    """
     n = len(seq)
-    whole = fold_tables(seq, celsius)[0][1, n] if n else 1.0
+    if not n:
+        return []
+    q, b = fold_tables(seq, celsius, least_loop, span)
+    around = outside_weights(seq, q, b, celsius, least_loop) * math.exp(-4.0 / energy.thermal_energy(celsius))
     out = []
     for i in range(1, n + 1):
+        left = q[2 : i + 1, i - 1] @ around[1:i] if i > 1 else np.zeros(n + 2)  # by the pair's right end
         for j in range(i, min(n, i + most - 1) + 1):
-            masked = seq[: i - 1] + "." * (j - i + 1) + seq[j:]
-            out.append((i, j, float(fold_tables(masked, celsius)[0][1, n] / whole)))
+            inner = left[j + 1 : n + 1] @ q[j + 1, j : n]
+            out.append((i, j, float((q[1, i - 1] * q[j + 1, n] + inner) / q[1, n])))
     return out
 
 
-def unpaired_probabilities(runs: DataFrame, most: int = 4, celsius: float = 37.0) -> DataFrame:
-    """(strand, i, j, p) of each distinct strand among the runs."""
+def unpaired_probabilities(runs: DataFrame, most: int = 4, celsius: float = 37.0, span: int | None = None) -> DataFrame:
+    """(strand, i, j, p) of each distinct strand among the runs, read from its 5' end."""
     strands = runs.select(F.explode(F.array("seq_a", "seq_b")).alias("strand")).distinct()
 
     def run(batches):
         for pdf in batches:
-            out = [(s, *x) for s in pdf.strand for x in unpaired_windows(s, most, celsius)]
+            out = [(s, *x) for s in pdf.strand for x in unpaired_windows(s, most, celsius, span)]
             yield pd.DataFrame(out, columns=["strand", "i", "j", "p"])
 
     return strands.mapInPandas(run, "strand string, i int, j int, p double")
 
 
+def strand_windows(runs: DataFrame, most: int, celsius: float = 37.0, span: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(run_id, i, j, p) for the first and for the second strand, in each run's own positions.
+
+    The second strand is counted from its 3' end, and is turned round to be folded.
+    """
+    turned = runs.select("run_id", "seq_a", F.reverse("seq_b").alias("seq_b"))
+    windows = unpaired_probabilities(turned, most, celsius, span)
+    first = turned.join(windows, F.col("seq_a") == F.col("strand")).select("run_id", "i", "j", "p")
+    n = F.length("seq_b")
+    second = turned.join(windows, F.col("seq_b") == F.col("strand")).select("run_id", (n - F.col("j") + 1).alias("i"), (n - F.col("i") + 1).alias("j"), "p")
+    return first, second
+
+
 def fold_pairs(seq: str, celsius: float = 37.0, least_loop: int = 3) -> list[tuple[int, int, float]]:
     """(k, l, p): base-pair probabilities of one strand; positions written "." can't pair.
 
-    The inside recursion is differentiated backwards: a pair's probability is its
-    weight times the derivative of the whole by it, over the whole.
+    A pair's probability is its weight times what stands around it, over the whole.
     """
-    n, rt = len(seq), energy.thermal_energy(celsius)
+    n = len(seq)
     if n < least_loop + 2:
         return []
     q, b = fold_tables(seq, celsius, least_loop)
-    dq, db = np.zeros_like(q), np.zeros_like(b)
-    dq[1, n] = 1.0
-    for d in range(n - 1, least_loop, -1):
-        for i in range(1, n - d + 1):
-            j = i + d
-            if dq[i, j]:
-                dq[i, j - 1] += dq[i, j]
-                for k in range(i, j - least_loop):
-                    if b[k, j]:
-                        dq[i, k - 1] += dq[i, j] * b[k, j]
-                        db[k, j] += dq[i, j] * q[i, k - 1]
-            if db[i, j]:
-                dq[i + 1, j - 1] += db[i, j] * math.exp(-4.0 / rt)
-                if b[i + 1, j - 1]:
-                    db[i + 1, j - 1] += db[i, j] * math.exp(-_STACK[seq[i - 1] + seq[j - 1] + seq[i] + seq[j - 2]] / 100 / rt)
-    k, l = np.nonzero(b * db)
-    return [(int(x), int(y), float(b[x, y] * db[x, y] / q[1, n])) for x, y in zip(k, l)]
+    p = b * outside_weights(seq, q, b, celsius, least_loop) / q[1, n]
+    return [(int(x), int(y), float(p[x, y])) for x, y in zip(*np.nonzero(p))]
 
 
 def region_pair_probabilities(regions: DataFrame, celsius: float = 37.0, threshold: float = 0.0) -> DataFrame:

@@ -1,8 +1,8 @@
 """Interaction landscapes: enumeration, ranking, moves, gradient basins and their transitions.
 
 All tables carry ``run_id``, so a batch of sequence pairs is one job.  Energies are
-integers in hundredths of kcal/mol (the stacking model); a user's own energies can take
-their place in ``enumerate_sites`` through its ``energies`` argument.
+integers in hundredths of kcal/mol: of the diagonal's stacks, or, through the
+``energies`` argument of ``enumerate_sites``, of partition functions.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from basinforge.functions import energy, sequence
+from basinforge.operators import hybrid as hybrid_model
 from basinforge.operators.lineage import checkpointed
 
 SITE = ("i1", "i2", "j1", "j2")
@@ -52,12 +53,48 @@ def diagonal_energies(runs: DataFrame) -> DataFrame:
     return grid.select("run_id", "i1", "i2", sequence.can_pair(F.col("a"), F.col("b")).alias("pairs"), F.sum("step").over(diagonal).alias("along"))
 
 
-def enumerate_sites(runs: DataFrame, limits: SiteLimits = SiteLimits()) -> DataFrame:
+@dataclass(frozen=True)
+class ModelEnergies:
+    """``hybrid`` has run_id, the site and its partition function q; ``first`` and ``second`` have run_id, i, j and the
+    probability p that i..j of that strand is unpaired."""
+
+    hybrid: DataFrame
+    first: DataFrame
+    second: DataFrame
+    celsius: float = 37.0
+
+
+def model_energies(runs: DataFrame, limits: SiteLimits = SiteLimits(), celsius: float = 37.0, span: int | None = None) -> ModelEnergies:
+    """The partition functions that the sites within the limits need."""
+    spec = hybrid_model.HybridSpec(limits.most, limits.difference, limits.unpaired_in_loop, celsius)
+    hybrid = hybrid_model.hybrid_partition(runs, pairable_positions(runs), spec)
+    return ModelEnergies(hybrid, *hybrid_model.strand_windows(runs, limits.most, celsius, span), celsius)
+
+
+def _within(sites: DataFrame, limits: SiteLimits) -> DataFrame:
+    return sites.where((F.col("hybrid") <= limits.max_hybrid) & (F.col("energy") <= limits.max_total)).select("run_id", *SITE, "hybrid", "energy")
+
+
+def sites_by_model(energies: ModelEnergies, limits: SiteLimits = SiteLimits()) -> DataFrame:
+    """Single-site states: the free energy of the hybrid, and of keeping its span unpaired on both strands."""
+    free = lambda q: energy.free_energy(q, energies.celsius) * 100
+    d1, d2 = F.col("j1") - F.col("i1") + 1, F.col("j2") - F.col("i2") + 1
+    sites = energies.hybrid.where((d1 >= limits.least) & (d2 >= limits.least) & (d1 <= limits.most) & (d2 <= limits.most) & (F.abs(d1 - d2) <= limits.difference))
+    for table, i, j, name in ((energies.first, "i1", "j1", "p1"), (energies.second, "i2", "j2", "p2")):
+        sites = sites.join(table.select("run_id", F.col("i").alias(i), F.col("j").alias(j), F.col("p").alias(name)), ["run_id", i, j])
+    sites = sites.withColumn("hybrid", F.round(free(F.col("q"))).cast("long"))
+    return _within(sites.withColumn("energy", F.col("hybrid") + F.round(free(F.col("p1")) + free(F.col("p2"))).cast("long")), limits)
+
+
+def enumerate_sites(runs: DataFrame, limits: SiteLimits = SiteLimits(), energies: ModelEnergies | None = None) -> DataFrame:
     """(run_id, i1, i2, j1, j2, hybrid, energy): single-site states within the limits.
 
     The right end is looked up by equality at each offset within the limits, so no
-    range join over a run's position pairs is needed.
+    range join over a run's position pairs is needed.  With ``energies`` states have
+    the energies of those instead of the diagonal's stacks.
     """
+    if energies is not None:
+        return sites_by_model(energies, limits)
     grid = diagonal_energies(runs)
     span = range(limits.least - 1, limits.most)
     offsets = F.array(*[F.struct(F.lit(x).alias("d1"), F.lit(y).alias("d2")) for x in span for y in span if abs(x - y) <= limits.difference])
@@ -70,7 +107,7 @@ def enumerate_sites(runs: DataFrame, limits: SiteLimits = SiteLimits()) -> DataF
     hybrid = F.col("to") - F.col("from") + 50 * F.abs(d1 - d2)
     sites = sites.join(middle, ["run_id", "e1", "e2"]).withColumn("hybrid", hybrid.cast("long"))
     sites = sites.withColumn("energy", F.col("hybrid") + energy.unpaired_energy(d1 + 1, d2 + 1))
-    return sites.where((F.col("hybrid") <= limits.max_hybrid) & (F.col("energy") <= limits.max_total)).select("run_id", *SITE, "hybrid", "energy")
+    return _within(sites, limits)
 
 
 def enumerate_double_sites(sites: DataFrame, limits: SiteLimits = SiteLimits()) -> DataFrame:

@@ -187,11 +187,43 @@ def interaction_probability(spark, sf):
     return hybrid.interaction_probability(checkpointed(_hybrid(spark, sf)))
 
 
-@query("unpaired_probabilities", None, 8)
+_STRANDS = "SELECT seq_a AS strand FROM runs UNION SELECT seq_b FROM runs"
+
+
+@query("unpaired_probabilities", f"WITH RECURSIVE {S.RUNS}, {S.folds(_STRANDS)}, {S.windows(4)} SELECT strand, i, j, round(p, 8) AS p FROM unpaired", 8)
 def unpaired_probabilities(spark, sf):
     return hybrid.unpaired_probabilities(B.runs(spark, sf))
 
 
+_MODEL_SITES = f"""{S.folds("SELECT seq_a AS strand FROM runs UNION SELECT reverse(seq_b) FROM runs")},
+{S.windows(8)},
+span_a AS (SELECT run_id, i, j, p FROM runs JOIN unpaired ON strand = seq_a),
+span_b AS (SELECT run_id, length(seq_b) - j + 1 AS i, length(seq_b) - i + 1 AS j, p FROM runs JOIN unpaired ON strand = reverse(seq_b)),
+sites AS MATERIALIZED (
+  SELECT * FROM (
+    SELECT h.run_id, h.i1, h.i2, h.j1, h.j2, CAST(round(-100 * {S.RT!r} * ln(q)) AS BIGINT) AS hybrid,
+           CAST(round(-100 * {S.RT!r} * ln(q)) + round(-100 * {S.RT!r} * ln(a.p) - 100 * {S.RT!r} * ln(b.p)) AS BIGINT) AS energy
+    FROM hybrid h JOIN span_a a ON a.run_id = h.run_id AND a.i = h.i1 AND a.j = h.j1 JOIN span_b b ON b.run_id = h.run_id AND b.i = h.i2 AND b.j = h.j2
+    WHERE h.j1 - h.i1 >= 2 AND h.j2 - h.i2 >= 2 AND abs((h.j1 - h.i1) - (h.j2 - h.i2)) <= 3)
+  WHERE hybrid <= 700 AND energy <= 1200)"""
+
+
+def _model_sites(spark, sf):
+    r = B.runs(spark, sf)
+    return r, landscape.enumerate_sites(r, energies=landscape.model_energies(r))
+
+
+@query("state_energy_model", f"{_PATHS}, {_MODEL_SITES} SELECT * FROM sites")
+def state_energy_model(spark, sf):
+    return _model_sites(spark, sf)[1]
+
+
+@query("gradient_basins_model", f"{_PATHS}, {_MODEL_SITES}{S.BASINS.replace(S.SITES, '')} SELECT * FROM members")
+def gradient_basins_model(spark, sf):
+    ranked = checkpointed(landscape.rank_states(landscape.with_open_state(*_model_sites(spark, sf))))
+    return landscape.basin_members(landscape.resolve_parents(landscape.gradient_parents(ranked, landscape.moves(ranked))))
+
+
 # moves and basins
 
 _MOVE = "SELECT run_id, src, dst, CAST(kind AS BIGINT) AS kind, e_src, e_dst, CAST(e_ts AS BIGINT) AS e_ts FROM"
@@ -338,7 +370,12 @@ def distinct_regions(spark, sf):
     return landscape.distinct_regions(_sites(spark, sf))
 
 
-@query("region_pair_probabilities", None, 6)
+@query("region_pair_probabilities", f"""WITH RECURSIVE {S.SITES}, {S.folds("SELECT DISTINCT seq_a AS strand FROM runs")},
+held AS (SELECT DISTINCT seq_a AS strand, i1 AS i, j1 AS j FROM sites JOIN runs USING (run_id)),
+free AS (
+  SELECT h.strand, h.i, h.j, pairs, w, sum(w) OVER (PARTITION BY h.strand, h.i, h.j) AS total
+  FROM held h JOIN fold f ON f.strand = h.strand AND paired & (((1::BIGINT << CAST(h.j - h.i + 1 AS INT)) - 1) << CAST(h.i AS INT)) = 0)
+SELECT strand, i, j, p.k AS k, p.l AS l, round(sum(w / total), 6) AS p FROM (SELECT *, unnest(pairs) AS p FROM free) GROUP BY ALL""", 6)
 def region_pair_probabilities(spark, sf):
     r = B.runs(spark, sf)
     regions = landscape.distinct_regions(_sites(spark, sf)).where("strand = 'a'").join(r, "run_id")
@@ -430,13 +467,14 @@ def _one_run(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     return nodes.withColumn("run_id", F.lit(0).cast("long")), edges.withColumn("run_id", F.lit(0).cast("long"))
 
 
-@query("prune_graph", None, 6)
+@query("prune_graph", f"""WITH RECURSIVE {S.PRUNED} SELECT 'node' AS kind, b AS a, b, round(l.z[k], 6) AS value FROM (SELECT z FROM last) l, ids WHERE l.z[ids.k] > 0
+UNION ALL SELECT 'edge', x.b, y.b, round(l.w[x.k][y.k], 6) FROM last l, ids x, ids y WHERE x.k < y.k AND l.w[x.k][y.k] > 0""", 6)
 def prune_graph(spark, sf):
     pruned = graph.prune(*_one_run(*_trade(spark, sf)), graph.PruneLimits(min_share=0.041))
     return pruned.where("kind <> 'part'").select("kind", "a", "b", "value")
 
 
-@query("prune_contributions", None, 6)
+@query("prune_contributions", f"WITH RECURSIVE {S.PRUNED} SELECT x.b AS final, y.b AS basin, round(l.part[x.k][y.k], 6) AS part FROM last l, ids x, ids y WHERE l.part[x.k][y.k] >= 1e-3", 6)
 def prune_contributions(spark, sf):
     pruned = graph.prune(*_one_run(*_trade(spark, sf)), graph.PruneLimits(min_share=0.041))
     return pruned.where("kind = 'part'").select(F.col("a").alias("final"), F.col("b").alias("basin"), F.col("value").alias("part"))
@@ -506,17 +544,17 @@ def time_grid(spark, sf):
     return ctmc.time_grid(spark, end=1e15).select("k", F.log10("t").alias("log_t"))
 
 
-@query("solve_kinetics", None, 8)
+@query("solve_kinetics", f"WITH RECURSIVE {S.SOLVED} SELECT round(t, 8) AS t, b, round(p, 8) AS p FROM solved", 8)
 def solve_kinetics(spark, sf):
     return ctmc.solve(*_one_run(*_trade(spark, sf)), ctmc.SolveSpec(t0=0.01, end=1e3)).drop("run_id")
 
 
-@query("mfpt", None, 6)
+@query("mfpt", f"WITH RECURSIVE {S.PASSAGE} SELECT a, b, round(time, 6) AS time FROM passage", 6)
 def mfpt(spark, sf):
     return ctmc.passage_times(*_one_run(*_trade(spark, sf))).drop("run_id")
 
 
-@query("absorption_times", None, 6)
+@query("absorption_times", f"WITH RECURSIVE {S.PASSAGE} SELECT a, round(time, 6) AS time FROM passage WHERE b = 0", 6)
 def absorption_times(spark, sf):
     return ctmc.passage_times(*_one_run(*_trade(spark, sf)), target=0).select("a", "time")
 

@@ -30,7 +30,7 @@ grid AS (
   FROM (SELECT *, lag(a) OVER d || lag(b) OVER d || a || b AS k FROM pos WINDOW d AS (PARTITION BY run_id, i1 - i2 ORDER BY i1)) LEFT JOIN stack USING (k))"""
 
 SITES = f"""{GRID},
-sites AS (
+sites AS MATERIALIZED (
   SELECT * FROM (
     SELECT l.run_id, l.i1, l.i2, r.i1 AS j1, r.i2 AS j2,
            CAST(m.along - l.along + 50 * abs((r.i1 - l.i1) - (r.i2 - l.i2)) AS BIGINT) AS hybrid,
@@ -150,3 +150,83 @@ ne AS (
     SELECT CAST(s_nationkey AS BIGINT) AS state, CAST(ascii(l_returnflag) AS BIGINT) AS i, CAST(ascii(l_linestatus) AS BIGINT) AS j, count(*) AS n
     FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2, 3)),
 cp AS (SELECT state AS coarse, max(p) AS p FROM rk GROUP BY state HAVING max(p) >= 0.01)"""
+
+
+
+def folds(strands: str) -> str:
+    """CTEs over ``strands`` (a query of one column, strand): fold has each secondary structure with its weight and the set of its paired positions.
+
+    Structures are derived interval by interval: the first position of an interval is
+    unpaired, or it pairs and leaves the intervals within and behind.  An interval just
+    within a pair is marked, for the stack if its own ends pair.
+    """
+    letter = lambda k: f"substr(strand, CAST({k} AS INT), 1)"
+    close = f"exp(-4.0 / {RT!r})"
+    return f"""stack2 AS (SELECT map_from_entries(list((k, e))) AS m FROM (VALUES {_STACK}) v(k, e)),
+strands AS ({strands}),
+derive AS (
+  SELECT strand, [{{'i': 1, 'j': length(strand), 'f': false}}] AS todo, CAST(0 AS BIGINT) AS paired, CAST([] AS STRUCT(k BIGINT, l BIGINT)[]) AS pairs, CAST(1 AS DOUBLE) AS w FROM strands
+  UNION ALL
+  SELECT strand,
+         CASE WHEN k < 0 THEN [] WHEN k = 0 THEN [{{'i': i + 1, 'j': j, 'f': false}}] ELSE [{{'i': i + 1, 'j': k - 1, 'f': true}}, {{'i': k + 1, 'j': j, 'f': false}}] END || todo[2:],
+         CASE WHEN k <= 0 THEN paired ELSE paired + (1::BIGINT << CAST(i AS INT)) + (1::BIGINT << CAST(k AS INT)) END,
+         CASE WHEN k <= 0 THEN pairs ELSE pairs || [{{'k': i, 'l': k}}] END,
+         CASE WHEN k <= 0 THEN w WHEN f AND k = j THEN w * ({close} + exp(-(SELECT m FROM stack2)[{letter("i - 1")} || {letter("k + 1")} || {letter("i")} || {letter("k")}] / 100.0 / {RT!r})) ELSE w * {close} END
+  FROM (SELECT *, todo[1].i AS i, todo[1].j AS j, todo[1].f AS f, unnest(CASE WHEN todo[1].i > todo[1].j THEN [-1] ELSE [0] || range(todo[1].i + 4, todo[1].j + 1) END) AS k FROM derive WHERE len(todo) > 0)
+  WHERE k <= 0 OR {letter("i")} || {letter("k")} IN ({_PAIRS})),
+fold AS (SELECT strand, paired, pairs, w FROM derive WHERE len(todo) = 0)"""
+
+
+def windows(most: int) -> str:
+    """CTE after ``folds``: unpaired has the probability that a window is unpaired."""
+    return f"""masks AS (SELECT strand, paired, sum(w) AS w FROM fold GROUP BY ALL),
+unpaired AS (
+  SELECT s.strand, s.i, s.i + s.d AS j, sum(w) FILTER (WHERE paired & (((1::BIGINT << CAST(s.d + 1 AS INT)) - 1) << CAST(s.i AS INT)) = 0) / sum(w) AS p
+  FROM (SELECT * FROM (SELECT strand, length(strand) AS n, unnest(range(1, length(strand) + 1)) AS i FROM strands), (SELECT unnest(range(0, {most})) AS d) WHERE i + d <= n) s
+  JOIN masks m ON m.strand = s.strand GROUP BY s.strand, s.i, s.d)"""
+
+
+#: The trade graph as lists: basins in order, rows of rates, and the waiting time and next basin's probabilities of each.
+LISTS = f"""{TRADE},
+ids AS (SELECT b, z, CAST(row_number() OVER (ORDER BY b) AS INT) AS k FROM nodes),
+rate AS (
+  SELECT x.k AS i, y.k AS j, coalesce(e.w, 0) AS w, coalesce(e.w, 0) / x.z AS r
+  FROM ids x CROSS JOIN ids y LEFT JOIN ends e ON e.s = x.b AND e.t = y.b),
+per AS (SELECT i, sum(r) AS o, list(r ORDER BY j) AS r, list(w ORDER BY j) AS w FROM rate GROUP BY i),
+m AS MATERIALIZED (
+  SELECT count(*) AS n, list(1 / o ORDER BY i) AS wait, list(list_transform(r, lambda x: x / o) ORDER BY i) AS hop,
+         list(w ORDER BY i) AS w, max(o) AS most, list(list_transform(r, lambda x: x) ORDER BY i) AS r, list(o ORDER BY i) AS o FROM per)"""
+
+#: First passage times by repeated use of their equations: a wait, and then the times from where the chain goes.
+PASSAGE = f"""{LISTS},
+step AS (
+  SELECT CAST(target AS INT) AS target, 0 AS k, list_transform(range(n), lambda x: CAST(0 AS DOUBLE)) AS v FROM m, (SELECT unnest(range(1, 26)) AS target) WHERE target <= n
+  UNION ALL
+  SELECT target, k + 1, list_transform(range(1, n + 1), lambda i: CASE WHEN i = target THEN 0 ELSE wait[i] + list_dot_product(hop[i], v) END) FROM step, m WHERE k < 5000),
+passage AS (
+  SELECT x.b AS a, y.b AS b, v[x.k] AS time FROM (SELECT * FROM step WHERE k = 5000) s JOIN ids y ON y.k = s.target CROSS JOIN ids x)"""
+
+#: Probabilities over time by uniformisation: jumps at one rate for all basins, some of which stay.
+SOLVED = f"""{LISTS},
+jump AS (
+  SELECT 0 AS k, list_transform(range(n), lambda x: CAST(CASE WHEN x = 0 THEN 1 ELSE 0 END AS DOUBLE)) AS v FROM m
+  UNION ALL
+  SELECT k + 1, list_transform(range(1, n + 1), lambda j: v[j] * (1 - o[j] / most) + list_sum(list_transform(range(1, n + 1), lambda i: v[i] * r[i][j] / most))) FROM jump, m WHERE k < 1600),
+times AS (SELECT 0.01 * pow(1.2, k) AS t FROM (SELECT unnest(range(0, 64)) AS k) WHERE 0.01 * pow(1.2, k) < 1e3),
+poisson AS (SELECT t, j.k, exp(j.k * ln(most * t) - most * t - lgamma(j.k + 1)) AS q FROM times, jump j, m),
+solved AS (SELECT t, x.b, sum(q * v[x.k]) / sum(q) AS p FROM poisson JOIN jump j USING (k) CROSS JOIN ids x GROUP BY t, x.b)"""
+
+#: Elimination of the basins under a share, in ascending order of their first weight; the first basin stays.
+PRUNED = f"""{LISTS},
+turns AS (SELECT list(k ORDER BY z, k) AS turns, sum(z) AS total, list(z ORDER BY k) AS z FROM ids),
+cut AS (
+  SELECT 0 AS k, z, w, list_transform(range(1, n + 1), lambda i: list_transform(range(1, n + 1), lambda j: CAST(CASE WHEN i = j THEN 1 ELSE 0 END AS DOUBLE))) AS part FROM m, turns
+  UNION ALL
+  SELECT k + 1,
+    CASE WHEN go THEN list_transform(range(1, n + 1), lambda i: CASE WHEN i = x THEN 0 ELSE z[i] + f[i] * z[x] END) ELSE z END,
+    CASE WHEN go THEN list_transform(range(1, n + 1), lambda i: list_transform(range(1, n + 1), lambda j: CASE WHEN i = x OR j = x OR i = j THEN 0 ELSE w[i][j] + w[x][i] * f[j] + w[x][j] * f[i] END)) ELSE w END,
+    CASE WHEN go THEN list_transform(range(1, n + 1), lambda i: list_transform(range(1, n + 1), lambda j: CASE WHEN i = x THEN 0 ELSE part[i][j] + CASE WHEN part[x][j] * f[i] < 1e-3 / n THEN 0 ELSE part[x][j] * f[i] END END)) ELSE part END
+  FROM (SELECT c.*, m.n, turns[k + 1] AS x, list_transform(c.w[turns[k + 1]], lambda v: v / list_sum(c.w[turns[k + 1]])) AS f,
+               turns[k + 1] <> 1 AND c.z[turns[k + 1]] / total < 0.041 AND list_sum(c.w[turns[k + 1]]) > 0 AS go
+        FROM cut c, m, turns WHERE k < m.n)),
+last AS (SELECT c.* FROM cut c, m WHERE c.k = m.n)"""
