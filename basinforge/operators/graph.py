@@ -7,7 +7,7 @@ graphs at once the elimination kernel takes ``run_id`` as a further column.
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from basinforge.operators.lineage import checkpointed
+from basinforge.operators.lineage import checkpointed, numbered
 
 
 def both_directions(edges: DataFrame) -> DataFrame:
@@ -68,6 +68,42 @@ def min_equilibrium_by_number(shares: DataFrame, number: int) -> DataFrame:
     return _nth_least(shares, "p", lambda n: n - number)
 
 
+def max_outflow_by_number(rates: DataFrame, number: int) -> DataFrame:
+    """The rate at position number - 1 of the ascending out_rate values."""
+    return _nth_least(rates, "out_rate", lambda n: min(number, n) - 1)
+
+
+def min_equilibrium_by_quantile(shares: DataFrame, quantile: float) -> DataFrame:
+    """The share at position n - trunc(q n / 100) of the ascending p values; 1 for none of them."""
+    if quantile == 0:
+        return shares.limit(0).agg(F.lit(1.0).alias("threshold"))
+    return _nth_least(shares, "p", lambda n: int(n - quantile * n / 100))
+
+
+def run_limits(nodes: DataFrame, edges: DataFrame, number_outflow: int | None = None, quantile_outflow: float | None = None, number_share: int | None = None, quantile_share: float | None = None) -> DataFrame:
+    """(run_id, max_outflow, min_share): each run's strictest limits of those asked for; null where none applies.
+
+    A number larger than the run's basins asks for nothing.
+    """
+    flow = both_directions_by_run(edges).groupBy("run_id", F.col("s").alias("b")).agg(F.sum("w").alias("out"))
+    of = Window.partitionBy("run_id")
+    each = nodes.join(flow, ["run_id", "b"], "left").select("run_id", F.coalesce(F.col("out") / F.col("z"), F.lit(0.0)).alias("rate"), (F.col("z") / F.sum("z").over(of)).alias("p"), F.count(F.lit(1)).over(of).alias("n"))
+    each = numbered(numbered(each, "run_id", [F.col("rate")], "by_rate"), "run_id", [F.col("p")], "by_p")
+    n, none = F.col("n"), F.lit(None).cast("double")
+    at = lambda value, place, where: F.max(F.when((F.col(place) == where[0]) & where[1], F.col(value)))
+    rates = [at("rate", "by_rate", (number_outflow - 1, number_outflow <= n))] if number_outflow else []
+    rates += [at("rate", "by_rate", ((quantile_outflow * (n - 1) / 100).cast("long"), F.lit(True)))] if quantile_outflow is not None else []
+    shares = [at("p", "by_p", (n - number_share, number_share <= n))] if number_share else []
+    shares += [at("p", "by_p", ((n - quantile_share * n / 100).cast("long"), F.lit(True)))] if quantile_share else []
+    return each.groupBy("run_id").agg(F.least(*rates, none, none).alias("max_outflow"), F.greatest(*shares, none, none).alias("min_share"))
+
+
+def both_directions_by_run(edges: DataFrame) -> DataFrame:
+    """(run_id, s, t, w): each edge from both its ends."""
+    ends = F.array(F.struct(F.col("a").alias("s"), F.col("b").alias("t")), F.struct(F.col("b").alias("s"), F.col("a").alias("t")))
+    return edges.select("run_id", F.explode(ends).alias("e"), "w").select("run_id", "e.s", "e.t", "w")
+
+
 def filter_by_rate(nodes: DataFrame, edges: DataFrame, min_rate: float) -> DataFrame:
     """Edges whose weight is at least ``min_rate`` of the lesser basin's."""
     za, zb = nodes.select(F.col("b").alias("a"), F.col("z").alias("za")), nodes.select("b", F.col("z").alias("zb"))
@@ -146,62 +182,94 @@ class PruneLimits:
     min_contribution: float = 1e-3
 
 
-def prune_arrays(z: np.ndarray, w: np.ndarray, limits: PruneLimits) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Eliminates basins in ascending order of their first weight: (kept, z, w, contributions).
+def eliminate(z: np.ndarray, near: list[dict[int, float]], limits: PruneLimits, keep: set[int] | None = None) -> tuple[np.ndarray, np.ndarray, list[dict[int, float]], list[dict[int, float]]]:
+    """Eliminates basins in ascending order of their first weight: (kept, z, neighbours, contributions).
 
+    ``near`` has the weights of each basin's edges by neighbour, and only those are
+    held and touched.  With ``keep`` all basins but those go; else those that the limits say.
     All weights of neighbours are raised before edges are tested against ``min_rate``.
     """
-    z, w, n = z.astype(float).copy(), w.astype(float).copy(), len(z)
-    alive, share = np.ones(n, bool), np.eye(n)
-    total = z.sum()
+    z, near, n = z.astype(float).copy(), [dict(x) for x in near], len(z)
+    alive, parts, total = np.ones(n, bool), [{x: 1.0} for x in range(n)], z.sum()
+
+    def too_slow(x: int, y: int, w: float) -> bool:
+        return limits.min_rate > 0 and w / max(min(z[x], z[y]), 1e-300) < limits.min_rate
+
     for x in np.lexsort((np.arange(n), z)).tolist():
-        if limits.min_rate > 0:
-            w[x, w[x] / np.maximum(np.minimum(z, z[x]), 1e-300) < limits.min_rate] = 0
-            w[:, x] = w[x]
-        out = w[x].sum()
-        if x == 0 and limits.special_first or not (z[x] / total < limits.min_share or out / z[x] > limits.max_outflow) or out <= 0:
+        for y in [y for y, w in near[x].items() if too_slow(x, y, w)]:
+            del near[x][y], near[y][x]
+        out = sum(near[x].values())
+        goes = x not in keep if keep is not None else not (x == 0 and limits.special_first) and (z[x] / total < limits.min_share or out / z[x] > limits.max_outflow)
+        if not goes or out <= 0:
             continue
-        f = w[x] / out
-        near = np.flatnonzero(f)
-        z[near] += f[near] * z[x]
-        add = np.outer(w[x, near], f[near])
-        add = add + add.T
-        np.fill_diagonal(add, 0)
-        new = w[np.ix_(near, near)] + add
-        if limits.min_rate > 0:
-            new[new / np.minimum.outer(z[near], z[near]) < limits.min_rate] = 0
-        w[np.ix_(near, near)] = new
-        moved = share[x] * f[near, None]
-        moved[moved < limits.min_contribution / n] = 0
-        share[near] += moved
-        w[x], w[:, x], share[x], alive[x], z[x] = 0, 0, 0, False, 0
-    share[share < limits.min_contribution] = 0
-    return np.flatnonzero(alive), z, w, share
-
-
-def prune(nodes: DataFrame, edges: DataFrame, limits: PruneLimits = PruneLimits()) -> DataFrame:
+        share = {y: w / out for y, w in near[x].items()}
+        for y, f in share.items():
+            z[y] += f * z[x]
+            del near[y][x]
+        ends = list(share.items())
+        for k, (p, fp) in enumerate(ends):
+            for q, fq in ends[:k]:
+                w = near[p].get(q, 0.0) + near[x][p] * fq + near[x][q] * fp
+                if too_slow(p, q, w):
+                    near[p].pop(q, None)
+                    near[q].pop(p, None)
+                else:
+                    near[p][q] = near[q][p] = w
+            for b, part in parts[x].items():
+                if part * fp >= limits.min_contribution / n:
+                    parts[p][b] = parts[p].get(b, 0.0) + part * fp
+        near[x], parts[x], alive[x], z[x] = {}, {}, False, 0.0
+    return np.flatnonzero(alive), z, near, [{b: v for b, v in p.items() if v >= limits.min_contribution} for p in parts]
+
+
+def prune(nodes: DataFrame, edges: DataFrame, limits: PruneLimits = PruneLimits(), per_run: DataFrame | None = None, keep: tuple[int, ...] | None = None) -> DataFrame:
     """(run_id, kind, a, b, value): what is left of each run's graph.
 
     kind "node" has a = b and the weight, "edge" an edge, "part" the share of input basin b in a.
-    One group is one run's basin graph, which the elimination needs whole.
+    ``per_run`` (run_id, max_outflow, min_share) has stricter limits for single runs, null for none; ``keep``
+    names the basins to reduce the graphs to.  One group is one run's basin graph, as its basins and edges, which the elimination needs whole.
     """
     rows = nodes.select("run_id", F.col("b").alias("a"), "b", F.col("z").alias("value")).unionByName(edges.select("run_id", "a", "b", F.col("w").alias("value")))
+    none = F.lit(None).cast("double")
+    if per_run is None:
+        rows = rows.withColumn("max_outflow", none).withColumn("min_share", none)
+    else:
+        rows = rows.join(per_run.select("run_id", "max_outflow", "min_share"), "run_id", "left")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids = np.unique(pdf["a"][pdf["a"] == pdf["b"]])
+        own = (pdf["a"] == pdf["b"]).to_numpy()
+        ids = np.unique(pdf["a"][own])
         a, b, v = np.searchsorted(ids, pdf["a"]), np.searchsorted(ids, pdf["b"]), pdf["value"].to_numpy()
-        z, w, own = np.zeros(len(ids)), np.zeros((len(ids), len(ids))), (pdf["a"] == pdf["b"]).to_numpy()
+        z, near = np.zeros(len(ids)), [{} for _ in ids]
         z[a[own]] = v[own]
-        np.add.at(w, (a[~own], b[~own]), v[~own])
-        kept, z, w, share = prune_arrays(z, w + w.T, limits)
-        x, y = np.nonzero(np.triu(w, 1))
-        p, q = np.nonzero(share)
-        kinds = ["node"] * len(kept) + ["edge"] * len(x) + ["part"] * len(p)
-        return pd.DataFrame({"run_id": pdf["run_id"].iloc[0], "kind": kinds, "a": ids[np.r_[kept, x, p].astype(int)], "b": ids[np.r_[kept, y, q].astype(int)], "value": np.r_[z[kept], w[x, y], share[p, q]]})
+        for x, y, w in zip(a[~own].tolist(), b[~own].tolist(), v[~own].tolist()):
+            near[x][y] = near[y][x] = near[x].get(y, 0.0) + w
+        asked = pdf[["max_outflow", "min_share"]].iloc[0]
+        strict = replace(limits, max_outflow=np.nanmin([limits.max_outflow, asked["max_outflow"]]), min_share=np.nanmax([limits.min_share, asked["min_share"]]))
+        kept, z, near, parts = eliminate(z, near, strict, None if keep is None else set(np.flatnonzero(np.isin(ids, keep)).tolist()))
+        out = [("node", x, x, z[x]) for x in kept.tolist()]
+        out += [("edge", x, y, w) for x, ys in enumerate(near) for y, w in ys.items() if x < y]
+        out += [("part", x, y, w) for x, ys in enumerate(parts) for y, w in ys.items()]
+        kind, a, b, value = zip(*out) if out else ((), (), (), ())
+        return pd.DataFrame({"run_id": pdf["run_id"].iloc[0], "kind": kind, "a": ids[list(a)], "b": ids[list(b)], "value": value})
 
     return rows.groupBy("run_id").applyInPandas(run, "run_id long, kind string, a long, b long, value double")
 
 
+def component_sizes(nodes: DataFrame, components: DataFrame) -> DataFrame:
+    """(component, basins, z): how many basins each component has and what they weigh."""
+    return nodes.join(components, "b").groupBy("component").agg(F.count(F.lit(1)).alias("basins"), F.sum("z").alias("z"))
+
+
+def pruned_pair_probabilities(parts: DataFrame, weights: DataFrame, pairs: DataFrame, final: DataFrame) -> DataFrame:
+    """(a, i, j, p): pair probabilities of final states, from those of the basins that they are made of.
+
+    ``parts`` has a, b and part; ``weights`` b and z; ``pairs`` b, i, j and p; ``final`` a and its weight z.
+    """
+    summed = parts.join(weights, "b").join(pairs, "b").groupBy("a", "i", "j").agg(F.sum(F.col("part") * F.col("z") * F.col("p")).alias("w"))
+    return summed.join(final, "a").select("a", "i", "j", (F.col("w") / F.col("z")).alias("p"))
+
+
 def swap_first_two(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Basins 0 and 1 exchanged, if there are two: the open state then has number 1."""
     if nodes.where("b < 2").limit(2).count() < 2:

@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 
 from basinforge.functions import energy, sequence
 from basinforge.operators import hybrid as hybrid_model
-from basinforge.operators.lineage import checkpointed
+from basinforge.operators.lineage import checkpointed, numbered
 
 SITE = ("i1", "i2", "j1", "j2")
 
@@ -125,6 +125,23 @@ def is_valid(length_a: Column, length_b: Column, limits: SiteLimits = SiteLimits
     return inside & (j1 - i1 + 1 >= limits.least) & (j2 - i2 + 1 >= limits.least)
 
 
+def input_runs(strands: DataFrame, mode: str = "pair") -> DataFrame:
+    """(run_id, seq_a, seq_b), the second strand from its 3' end.
+
+    "pair" takes it as given in seq_b, read from its 5' end; "homodimer" is the first strand again,
+    "antisense" its reverse complement.
+    """
+    second = {"pair": lambda: F.reverse("seq_b"), "homodimer": lambda: F.reverse("seq_a"), "antisense": lambda: F.translate("seq_a", "ACGU", "UGCA")}
+    if mode not in second:
+        raise ValueError(f"mode must be one of {', '.join(second)}")
+    return strands.select("run_id", "seq_a", second[mode]().alias("seq_b"))
+
+
+def is_homodimer(runs: DataFrame) -> Column:
+    """Whether both strands of a run are the same."""
+    return F.reverse("seq_a") == F.col("seq_b")
+
+
 def with_open_state(runs: DataFrame, sites: DataFrame) -> DataFrame:
     """The sites and each run's open state, whose positions are null."""
     nothing = [F.lit(None).cast("int").alias(c) for c in SITE]
@@ -140,17 +157,45 @@ def state_line() -> Column:
 def rank_states(states: DataFrame) -> DataFrame:
     """``rank`` by energy, ties by the bytes of the line; the open state has rank 0."""
     order = [F.col("i1").isNotNull(), "energy", state_line()]
-    return states.withColumn("rank", F.row_number().over(Window.partitionBy("run_id").orderBy(*order)) - 1)
+    return numbered(states, "run_id", order, "rank")
 
 
 #: Order of the kinds of moves, which decides ties.
 KINDS = ("grow_left", "grow_right", "shift", "remove", "new")
 
 
-def _pairs_of(ranked: DataFrame, keys: list[str]) -> DataFrame:
-    src = ranked.where("i1 is not null").select("run_id", *[F.col(c).alias(c if c in keys else f"s_{c}") for c in SITE], *[F.col(c).alias(f"s_{c}") for c in ("rank", "energy", "hybrid")])
-    dst = ranked.where("i1 is not null").select("run_id", *[F.col(c).alias(c if c in keys else f"t_{c}") for c in SITE], *[F.col(c).alias(f"t_{c}") for c in ("rank", "energy", "hybrid")])
-    return src.join(dst, ["run_id", *keys]).where("s_rank <> t_rank")
+def _shrinks(limits: SiteLimits, kinds: tuple[str, ...]) -> list[tuple]:
+    """(kind, how far each of i1, i2, j1, j2 moves, whether between both moved ends a loop forms) of moves that make a site smaller."""
+    far = range(1, min(limits.unpaired_in_loop + 1, limits.most - limits.least) + 1)
+    near = range(1, limits.unpaired_in_loop // 2 + 1)
+    out = []
+    for kind in kinds:
+        if kind == "shift":
+            out += [(kind, *[d * s if c == k else 0 for c, s in enumerate((1, 1, -1, -1))], False) for k in range(4) for d in near]
+        else:
+            out += [(kind, x, y, 0, 0, True) if kind == "grow_left" else (kind, 0, 0, -x, -y, True) for x in far for y in far]
+    return out
+
+
+def _site_moves(ranked: DataFrame, limits: SiteLimits, kinds: tuple[str, ...]) -> DataFrame:
+    """The edges of both directions between each site and the smaller ones within it.
+
+    The smaller sites are looked up by their whole key, one offset at a time, so no
+    join makes all sites that share an end.
+    """
+    offsets = F.array(*[F.struct(F.lit(KINDS.index(k)).alias("kind"), *[F.lit(d).alias(f"d_{c}") for c, d in zip(SITE, moved)], F.lit(loop).alias("loop")) for k, *moved, loop in _shrinks(limits, kinds)])
+    sites = ranked.where("i1 is not null")
+    target = {c: F.col(c) + F.col(f"d.d_{c}") for c in SITE}
+    large = sites.select("run_id", *[F.col(c).alias(c) for c in SITE], *[F.col(c).alias(f"l_{c}") for c in ("rank", "energy", "hybrid")], F.explode(offsets).alias("d"))
+    large = large.where((target["j1"] - target["i1"] + 1 >= limits.least) & (target["j2"] - target["i2"] + 1 >= limits.least))
+    large = large.select("run_id", "d", "l_rank", "l_energy", "l_hybrid", *[target[c].alias(c) for c in SITE])
+    small = sites.select("run_id", *SITE, *[F.col(c).alias(f"s_{c}") for c in ("rank", "energy", "hybrid")])
+    both = large.join(small, ["run_id", *SITE])
+    d1, d2 = (F.abs(F.col(f"d.d_{i}") + F.col(f"d.d_{j}")) for i, j in (("i1", "j1"), ("i2", "j2")))
+    saddle = F.col("s_hybrid") + F.when(F.col("d.loop"), energy.loop_energy(d1, d2)).otherwise(0) + F.col("l_energy") - F.col("l_hybrid")
+    both = both.withColumn("e_ts", saddle.cast("long"))
+    end = lambda x, y: F.struct(F.col(f"{x}_rank").alias("src"), F.col(f"{y}_rank").alias("dst"), F.col("d.kind").alias("kind"), F.col(f"{x}_energy").alias("e_src"), F.col(f"{y}_energy").alias("e_dst"), "e_ts")
+    return both.select("run_id", F.explode(F.array(end("l", "s"), end("s", "l"))).alias("e")).select("run_id", "e.*")
 
 
 def _edges(pairs: DataFrame, kind: str, saddle: Column) -> DataFrame:
@@ -159,32 +204,12 @@ def _edges(pairs: DataFrame, kind: str, saddle: Column) -> DataFrame:
 
 def grow_shrink_moves(ranked: DataFrame, limits: SiteLimits = SiteLimits()) -> DataFrame:
     """Moves of one end on both strands in the same direction, by what a loop may hold."""
-    most, out = limits.unpaired_in_loop + 1, []
-    for kind, keys, sign in (("grow_left", ["j1", "j2"], 1), ("grow_right", ["i1", "i2"], -1)):
-        ends = [c for c in SITE if c not in keys]
-        pairs = _pairs_of(ranked, keys)
-        d = [F.col(f"t_{c}") - F.col(f"s_{c}") for c in ends]
-        a, b = F.abs(d[0]), F.abs(d[1])
-        moved = (d[0] * d[1] > 0) & (a <= most) & (b <= most)
-        shrinks = d[0] * sign > 0
-        small = F.when(shrinks, F.col("t_hybrid")).otherwise(F.col("s_hybrid"))
-        large = F.when(shrinks, F.col("s_energy") - F.col("s_hybrid")).otherwise(F.col("t_energy") - F.col("t_hybrid"))
-        out.append(_edges(pairs.where(moved), kind, small + energy.loop_energy(a, b) + large))
-    return out[0].unionByName(out[1])
+    return _site_moves(ranked, limits, KINDS[:2])
 
 
 def shift_moves(ranked: DataFrame, limits: SiteLimits = SiteLimits()) -> DataFrame:
     """Moves of one end on one strand by up to half of what a loop may hold."""
-    out = None
-    for c in SITE:
-        pairs = _pairs_of(ranked, [x for x in SITE if x != c])
-        d = F.col(f"t_{c}") - F.col(f"s_{c}")
-        shrinks = d > 0 if c[0] == "i" else d < 0
-        small = F.when(shrinks, F.col("t_hybrid")).otherwise(F.col("s_hybrid"))
-        large = F.when(shrinks, F.col("s_energy") - F.col("s_hybrid")).otherwise(F.col("t_energy") - F.col("t_hybrid"))
-        one = _edges(pairs.where(F.abs(d) <= limits.unpaired_in_loop // 2), "shift", small + large)
-        out = one if out is None else out.unionByName(one)
-    return out
+    return _site_moves(ranked, limits, KINDS[2:3])
 
 
 def open_close_moves(ranked: DataFrame, limits: SiteLimits = SiteLimits()) -> DataFrame:
@@ -209,7 +234,13 @@ def merge_split_moves(double: DataFrame, sites: DataFrame, limits: SiteLimits =
 
 def moves(ranked: DataFrame, limits: SiteLimits = SiteLimits()) -> DataFrame:
     """All moves between states: run_id, src, dst, kind, e_src, e_dst, e_ts."""
-    return grow_shrink_moves(ranked, limits).unionByName(shift_moves(ranked, limits)).unionByName(open_close_moves(ranked, limits))
+    return _site_moves(ranked, limits, KINDS[:3]).unionByName(open_close_moves(ranked, limits))
+
+
+def without_frozen(ranked: DataFrame, edges: DataFrame) -> DataFrame:
+    """The states that some move leaves; those without any take no part in basins. The open state stays."""
+    movable = edges.select("run_id", F.col("src").alias("rank")).distinct().withColumn("moves", F.lit(True))
+    return ranked.join(movable, ["run_id", "rank"], "left").where(F.col("moves") | F.col("i1").isNull()).drop("moves")
 
 
 def gradient_parents(ranked: DataFrame, edges: DataFrame) -> DataFrame:
@@ -237,8 +268,7 @@ def resolve_parents(parents: DataFrame) -> DataFrame:
 def basin_members(roots: DataFrame) -> DataFrame:
     """(run_id, rank, root, basin): basins are numbered in the order of their roots."""
     distinct = roots.select("run_id", "root").distinct()
-    numbered = distinct.withColumn("basin", F.row_number().over(Window.partitionBy("run_id").orderBy("root")) - 1)
-    return roots.join(numbered, ["run_id", "root"]).select("run_id", "rank", "root", "basin")
+    return roots.join(numbered(distinct, "run_id", [F.col("root")], "basin"), ["run_id", "root"]).select("run_id", "rank", "root", "basin")
 
 
 def basin_summary(ranked: DataFrame, members: DataFrame, celsius: float = 37.0) -> DataFrame:

@@ -1,15 +1,36 @@
-"""Cutting lineage in the shared checkpoint folder."""
+"""Cutting lineage in the shared checkpoint folder, and numbering rows without one task for a large group."""
 
 from __future__ import annotations
 
+import re
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the session's ``spark.checkpoint.dir`` (a temporary folder if it names none)."""
+    """``df`` computed once and kept in the session's ``spark.checkpoint.dir``; only a session on one machine that names none gets a temporary folder."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
     return df.checkpoint(eager=True)
+
+
+def numbered(df: DataFrame, group: str, order: list[Column], name: str) -> DataFrame:
+    """``df`` with ``name``: the row's place from 0 in its group, in that order.
+
+    Rows are dealt by range of group and order, so a large group spans partitions; each counts its
+    own rows and takes one number for each group from the partitions before it.
+    """
+    keys = [f"__order{k}" for k in range(len(order))]
+    dealt = checkpointed(df.withColumns(dict(zip(keys, order))).repartitionByRange(group, *keys).withColumn("__part", F.spark_partition_id()))
+    counts = dealt.groupBy(group, "__part").agg(F.count(F.lit(1)).alias("__n"))
+    earlier = Window.partitionBy(group).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select(group, "__part", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
+    here = dealt.withColumn("__here", F.row_number().over(Window.partitionBy(group, "__part").orderBy(*keys)))
+    return here.join(before, [group, "__part"]).withColumn(name, F.col("__before") + F.col("__here") - 1).drop(*keys, "__part", "__here", "__before")

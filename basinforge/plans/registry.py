@@ -82,6 +82,17 @@ def _ranked(spark, sf):
     return checkpointed(landscape.rank_states(landscape.with_open_state(r, landscape.enumerate_sites(r))))
 
 
+@query("input_modes", f"""WITH {S.RUNS}, s AS (SELECT run_id, seq_a AS a, seq_b AS b FROM runs)
+SELECT run_id, 'pair' AS mode, a AS seq_a, reverse(b) AS seq_b, reverse(a) = reverse(b) AS homodimer FROM s
+UNION ALL SELECT run_id, 'homodimer', a, reverse(a), true FROM s
+UNION ALL SELECT run_id, 'antisense', a, translate(a, 'ACGU', 'UGCA'), reverse(a) = translate(a, 'ACGU', 'UGCA') FROM s""")
+def input_modes(spark, sf):
+    strands = B.runs(spark, sf)
+    modes = [landscape.input_runs(strands, m).withColumn("mode", F.lit(m)) for m in ("pair", "homodimer", "antisense")]
+    both = modes[0].unionByName(modes[1]).unionByName(modes[2])
+    return both.withColumn("homodimer", landscape.is_homodimer(both))
+
+
 @query("enumerate_single_sites", f"WITH {S.SITES} SELECT * FROM sites")
 def enumerate_single_sites(spark, sf):
     return _sites(spark, sf)
@@ -252,6 +263,17 @@ def moves_merge_split(spark, sf):
     return landscape.merge_split_moves(landscape.enumerate_double_sites(sites, near), sites, near)
 
 
+@query("movable_states", f"WITH {S.EDGES} SELECT run_id, rank FROM ranked r WHERE i1 IS NULL OR EXISTS (SELECT 1 FROM edges e WHERE e.run_id = r.run_id AND e.src = r.rank)")
+def movable_states(spark, sf):
+    ranked = _ranked(spark, sf)
+    return landscape.without_frozen(ranked, landscape.moves(ranked)).select("run_id", "rank")
+
+
+@query("basin_track", f"WITH {{}} SELECT run_id, basin, string_agg(rank, chr(9) ORDER BY rank) AS track FROM members GROUP BY run_id, basin".format(S.BASINS.replace("runs AS (", "RECURSIVE runs AS (", 1)))
+def basin_track(spark, sf):
+    return exports.basin_track(_basins(spark, sf)[2])
+
+
 @query("gradient_parent", f"WITH {S.PARENTS} SELECT * FROM parents")
 def gradient_parent(spark, sf):
     ranked = _ranked(spark, sf)
@@ -424,6 +446,32 @@ def min_pequ_by_number(spark, sf):
     return graph.min_equilibrium_by_number(graph.equilibrium(_trade(spark, sf)[0]), 5)
 
 
+@query("max_outflow_by_number", f"WITH {S.TRADE} SELECT round(out_rate, 8) AS threshold FROM (SELECT out_rate, row_number() OVER (ORDER BY out_rate) AS k FROM rates) WHERE k = 7")
+def max_outflow_by_number(spark, sf):
+    return graph.max_outflow_by_number(graph.outflow(*_trade(spark, sf)), 7)
+
+
+@query("min_pequ_by_quantile", f"WITH {S.TRADE} SELECT round(p, 8) AS threshold FROM (SELECT p, row_number() OVER (ORDER BY p) AS k, count(*) OVER () AS n FROM shares) WHERE k = trunc(n - 30 * n / 100.0) + 1")
+def min_pequ_by_quantile(spark, sf):
+    return graph.min_equilibrium_by_quantile(graph.equilibrium(_trade(spark, sf)[0]), 30)
+
+
+@query("run_limits", f"""WITH {S.TRADE}, o AS (SELECT out_rate, row_number() OVER (ORDER BY out_rate) AS k, count(*) OVER () AS n FROM rates),
+s AS (SELECT p, row_number() OVER (ORDER BY p) AS k, count(*) OVER () AS n FROM shares)
+SELECT least((SELECT round(out_rate, 8) FROM o WHERE k = 20), (SELECT round(out_rate, 8) FROM o WHERE k = trunc(90 * (n - 1) / 100.0) + 1)) AS max_outflow,
+       greatest((SELECT round(p, 8) FROM s WHERE k = n - 20 + 1), (SELECT round(p, 8) FROM s WHERE k = trunc(n - 70 * n / 100.0) + 1)) AS min_share""")
+def run_limits(spark, sf):
+    return graph.run_limits(*_one_run(*_trade(spark, sf)), 20, 90, 20, 70).drop("run_id")
+
+
+@query("stats_ladder", f"""WITH {S.TRADE}, o AS (SELECT out_rate, row_number() OVER (ORDER BY out_rate) AS k, count(*) OVER () AS n FROM rates),
+s AS (SELECT p, row_number() OVER (ORDER BY p) AS k, count(*) OVER () AS n FROM shares)
+SELECT o.k AS n, round(out_rate, 8) AS max_outflow, round(p, 8) AS min_p FROM o JOIN s ON s.k = s.n - o.k + 1 WHERE o.k > 1 AND list_contains(list_transform(range(0, 20), lambda x: o.n >> CAST(x AS INT)), o.k)""")
+def stats_ladder(spark, sf):
+    nodes, edges = _trade(spark, sf)
+    return exports.stats_ladder(graph.outflow(nodes, edges), graph.equilibrium(nodes))
+
+
 @query("graph_stats", f"WITH {S.TRADE} SELECT (SELECT count(*) FROM nodes) AS basins, (SELECT count(*) FROM ends) AS transitions, round((SELECT avg(out_rate) FROM rates), 8) AS mean_outflow, round((SELECT max(max_rate) FROM rates), 8) AS max_rate")
 def graph_stats(spark, sf):
     nodes, edges = _trade(spark, sf)
@@ -480,6 +528,23 @@ def prune_contributions(spark, sf):
     return pruned.where("kind = 'part'").select(F.col("a").alias("final"), F.col("b").alias("basin"), F.col("value").alias("part"))
 
 
+@query("reduce_basins", f"""WITH RECURSIVE {S.REDUCED} SELECT 'node' AS kind, b AS a, b, round(l.z[k], 6) AS value FROM (SELECT z FROM last) l, ids WHERE l.z[ids.k] > 0
+UNION ALL SELECT 'edge', x.b, y.b, round(l.w[x.k][y.k], 6) FROM last l, ids x, ids y WHERE x.k < y.k AND l.w[x.k][y.k] > 0""", 6)
+def reduce_basins(spark, sf):
+    return graph.prune(*_one_run(*_trade(spark, sf)), keep=S.KEEP).where("kind <> 'part'").select("kind", "a", "b", "value")
+
+
+@query("pruned_pair_probabilities", f"""WITH RECURSIVE {S.PRUNED}, {S.COARSE},
+parts AS (SELECT x.b AS a, y.b AS b, l.part[x.k][y.k] AS part, l.z[x.k] AS final FROM last l, ids x, ids y WHERE l.part[x.k][y.k] >= 1e-3)
+SELECT a, i, j, round(sum(part * n.z * ne.p) / any_value(final), 6) AS p FROM parts JOIN nodes n USING (b) JOIN ne ON ne.state = parts.b GROUP BY a, i, j""", 6)
+def pruned_pair_probabilities(spark, sf):
+    nodes, edges = _trade(spark, sf)
+    pruned = checkpointed(graph.prune(*_one_run(nodes, edges), graph.PruneLimits(min_share=0.041)))
+    parts = pruned.where("kind = 'part'").select("a", "b", F.col("value").alias("part"))
+    final = pruned.where("kind = 'node'").select("a", F.col("value").alias("z"))
+    return graph.pruned_pair_probabilities(parts, nodes, B.nation_events(spark, sf).withColumnRenamed("state", "b"), final)
+
+
 def _sparse(spark, sf):
     nodes, edges = _trade(spark, sf)
     return nodes, graph.filter_by_rate(nodes, edges, S.SPARSE)
@@ -493,6 +558,12 @@ def connected_components(spark, sf):
     return graph.connected_components(*_sparse(spark, sf))
 
 
+@query("component_sizes", f"{_COMPONENTS} SELECT component, count(*) AS basins, round(sum(z), 8) AS z FROM nodes JOIN components USING (b) GROUP BY component")
+def component_sizes(spark, sf):
+    nodes, edges = _sparse(spark, sf)
+    return graph.component_sizes(nodes, graph.connected_components(nodes, edges))
+
+
 @query("keep_component", f"{_COMPONENTS} SELECT n.b, n.z FROM nodes n JOIN components c ON n.b = c.b WHERE c.component = (SELECT component FROM components WHERE b = 1)")
 def keep_component(spark, sf):
     nodes, edges = _sparse(spark, sf)
@@ -533,6 +604,16 @@ def rate_matrix(spark, sf):
     return ctmc.rate_matrix(*_trade(spark, sf))
 
 
+@query("symmetry_gap", f"""WITH {S.CHAIN}, code AS (SELECT i AS s, row_number() OVER (ORDER BY i) AS k FROM (SELECT DISTINCT i FROM sym)),
+flow AS (SELECT x.k AS a, y.k AS b, v FROM chain JOIN code x ON i = x.s JOIN code y ON j = y.s WHERE i <> j),
+pair AS (SELECT least(a, b) AS x, greatest(a, b) AS y, coalesce(sum(v) FILTER (WHERE a < b), 0) AS up, coalesce(sum(v) FILTER (WHERE a > b), 0) AS down FROM flow GROUP BY ALL)
+SELECT round(max(abs(up - down)) / max(greatest(up, down)), 8) AS gap FROM pair""")
+def symmetry_gap(spark, sf):
+    chain = B.event_chain(spark, sf).withColumn("run_id", F.lit(0))
+    nodes = chain.groupBy("run_id", F.col("i").alias("b")).agg(F.sum("v").alias("z"))
+    return ctmc.symmetry_gap(nodes, chain.select("run_id", F.col("i").alias("a"), F.col("j").alias("b"), F.col("v").alias("w"))).select("gap")
+
+
 @query("stationary_distribution", f"WITH {S.CHAIN} SELECT i AS state, round(sum(v) / (SELECT sum(v) FROM sym), 8) AS p FROM sym GROUP BY i")
 def stationary_distribution(spark, sf):
     weight = ctmc.symmetrize(B.event_chain(spark, sf)).groupBy(F.col("i").alias("b")).agg(F.sum("v").alias("z"))
@@ -675,6 +756,27 @@ def pseudo_bar(spark, sf):
     return exports.pseudo_bar(_trade(spark, sf)[0])
 
 
+@query("rate_lines", f"""WITH {S.TRADE}, off AS (SELECT s AS i, t AS j, w / z AS r FROM ends JOIN nodes ON b = s),
+every AS (SELECT i, j, r FROM off UNION ALL SELECT i, i, -sum(r) FROM off GROUP BY i)
+SELECT x.i, string_agg(lpad(printf('%.4g', coalesce(r, 0)), 10, ' '), ' ' ORDER BY y.j) AS line
+FROM (SELECT DISTINCT i FROM every) x CROSS JOIN (SELECT unnest(range((SELECT max(j) + 1 FROM every))) AS j) y LEFT JOIN every e ON e.i = x.i AND e.j = y.j GROUP BY x.i""")
+def rate_lines(spark, sf):
+    return exports.rate_lines(ctmc.rate_matrix(*_trade(spark, sf)))
+
+
+@query("kinetics_lines", f"WITH {S.KINETICS} SELECT t, printf('%.6e', CAST(t AS DOUBLE)) || ' ' || string_agg(printf('%.6g', p), ' ' ORDER BY state) AS line FROM kin GROUP BY t")
+def kinetics_lines(spark, sf):
+    return exports.kinetics_lines(B.kinetics(spark, sf).select(F.col("t").cast("double").alias("t"), F.col("state").alias("b"), "p")).withColumn("t", F.col("t").cast("long"))
+
+
+@query("basin_report", f"""WITH {S.TRADE}, near AS (SELECT s AS b, string_agg(t, ' ' ORDER BY t) AS neighbours FROM ends GROUP BY s)
+SELECT n.b, CAST(length(n_name) AS BIGINT) AS n_states, round(-{S.RT!r} * ln(n.z), 8) AS free_energy, round(p, 8) AS p, round(out_rate, 8) AS out_rate, coalesce(neighbours, '') AS neighbours
+FROM nodes n JOIN shares USING (b) JOIN rates USING (b) JOIN nation ON n_nationkey = n.b LEFT JOIN near USING (b)""")
+def basin_report(spark, sf):
+    sizes = B.table(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("b"), F.length("n_name").cast("long").alias("n_states"))
+    return exports.basin_report(*_trade(spark, sf), sizes)
+
+
 @query("prune_track", f"WITH {S.COARSE} SELECT coarse AS final, string_agg(fine || ':' || printf('%.3g', part), chr(9) ORDER BY fine) AS track FROM part GROUP BY coarse")
 def prune_track(spark, sf):
     return exports.prune_track(B.contributions(spark, sf).select(F.col("coarse").alias("final"), F.col("fine").alias("basin"), "part"))

@@ -217,7 +217,7 @@ poisson AS (SELECT t, j.k, exp(j.k * ln(most * t) - most * t - lgamma(j.k + 1))
 solved AS (SELECT t, x.b, sum(q * v[x.k]) / sum(q) AS p FROM poisson JOIN jump j USING (k) CROSS JOIN ids x GROUP BY t, x.b)"""
 
 #: Elimination of the basins under a share, in ascending order of their first weight; the first basin stays.
-PRUNED = f"""{LISTS},
+_PRUNED = """{lists},
 turns AS (SELECT list(k ORDER BY z, k) AS turns, sum(z) AS total, list(z ORDER BY k) AS z FROM ids),
 cut AS (
   SELECT 0 AS k, z, w, list_transform(range(1, n + 1), lambda i: list_transform(range(1, n + 1), lambda j: CAST(CASE WHEN i = j THEN 1 ELSE 0 END AS DOUBLE))) AS part FROM m, turns
@@ -227,6 +227,11 @@ cut AS (
     CASE WHEN go THEN list_transform(range(1, n + 1), lambda i: list_transform(range(1, n + 1), lambda j: CASE WHEN i = x OR j = x OR i = j THEN 0 ELSE w[i][j] + w[x][i] * f[j] + w[x][j] * f[i] END)) ELSE w END,
     CASE WHEN go THEN list_transform(range(1, n + 1), lambda i: list_transform(range(1, n + 1), lambda j: CASE WHEN i = x THEN 0 ELSE part[i][j] + CASE WHEN part[x][j] * f[i] < 1e-3 / n THEN 0 ELSE part[x][j] * f[i] END END)) ELSE part END
   FROM (SELECT c.*, m.n, turns[k + 1] AS x, list_transform(c.w[turns[k + 1]], lambda v: v / list_sum(c.w[turns[k + 1]])) AS f,
-               turns[k + 1] <> 1 AND c.z[turns[k + 1]] / total < 0.041 AND list_sum(c.w[turns[k + 1]]) > 0 AS go
+               ({goes}) AND list_sum(c.w[turns[k + 1]]) > 0 AS go
         FROM cut c, m, turns WHERE k < m.n)),
 last AS (SELECT c.* FROM cut c, m WHERE c.k = m.n)"""
+PRUNED = _PRUNED.format(lists=LISTS, goes="turns[k + 1] <> 1 AND c.z[turns[k + 1]] / total < 0.041")
+
+#: Basins (from 0) that a graph is reduced to.
+KEEP = (0, 3, 7, 11, 20)
+REDUCED = _PRUNED.format(lists=LISTS, goes=f"turns[k + 1] NOT IN ({', '.join(str(k + 1) for k in KEEP)})")

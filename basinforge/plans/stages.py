@@ -41,16 +41,25 @@ class Stages:
 class KineticsRun:
     """A batch of runs and all that follows from it, each table made when it is asked for.
 
-    ``runs`` has run_id, seq_a and seq_b, the second strand from its 3' end.
+    ``runs`` has run_id, seq_a and seq_b, the second strand from its 3' end.  The settings' temperature
+    holds for all; with ``model`` states have the energies of partition functions, with ``homodimer`` mirror images are
+    one state; basins are pruned by the strictest of the limits given, by value, by number and by quantile.
     """
 
     def __init__(self, runs: DataFrame, stages: Stages, settings: dict | None = None):
         self.runs, self.stages, self.settings = runs, stages, settings or config.load()
+        self.celsius = self.settings["celsius"]
         self.limits = landscape.SiteLimits(**{k: self.settings["enumerate"][k] for k in ("least", "most", "difference", "max_hybrid", "max_total")})
 
     @cached_property
     def states(self) -> DataFrame:
-        return self.stages.stage("states", lambda: landscape.rank_states(landscape.with_open_state(self.runs, landscape.enumerate_sites(self.runs, self.limits))))
+        asked = self.settings["enumerate"]
+
+        def make() -> DataFrame:
+            energies = landscape.model_energies(self.runs, self.limits, self.celsius, asked["span"]) if asked["model"] else None
+            return landscape.rank_states(landscape.with_open_state(self.runs, landscape.enumerate_sites(self.runs, self.limits, energies)))
+
+        return self.stages.stage("states", make)
 
     @cached_property
     def moves(self) -> DataFrame:
@@ -60,24 +69,33 @@ class KineticsRun:
     @cached_property
     def members(self) -> DataFrame:
         states, moves = self.states, self.moves
-        return self.stages.stage("members", lambda: landscape.basin_members(landscape.resolve_parents(landscape.gradient_parents(states, moves))))
+
+        def make() -> DataFrame:
+            active = landscape.without_frozen(states, moves)
+            parents = landscape.gradient_parents(active, moves)
+            if self.settings["enumerate"]["homodimer"]:
+                parents = landscape.merge_symmetric(active, parents, self.runs.select("run_id", F.length("seq_a").alias("n")))
+            return landscape.basin_members(landscape.resolve_parents(parents))
+
+        return self.stages.stage("members", make)
 
     @cached_property
     def basins(self) -> DataFrame:
         states, members = self.states, self.members
-        return self.stages.stage("basins", lambda: landscape.basin_summary(states, members))
+        return self.stages.stage("basins", lambda: landscape.basin_summary(states, members, self.celsius))
 
     @cached_property
     def transitions(self) -> DataFrame:
         moves, members = self.moves, self.members
-        return self.stages.stage("transitions", lambda: landscape.basin_transitions(moves, members))
+        return self.stages.stage("transitions", lambda: landscape.basin_transitions(moves, members, self.celsius))
 
     @cached_property
     def pruned(self) -> DataFrame:
         p, basins, transitions = self.settings["prune"], self.basins, self.transitions
         limits = graph.PruneLimits(p["max_outflow"], p["min_share"], p["min_rate"])
         nodes, edges = basins.select("run_id", F.col("basin").alias("b"), "z"), transitions.withColumnRenamed("z", "w")
-        return self.stages.stage("pruned", lambda: graph.prune(nodes, edges, limits))
+        asked = [p[f"{by}_{what}"] for what in ("outflow", "share") for by in ("number", "quantile")]
+        return self.stages.stage("pruned", lambda: graph.prune(nodes, edges, limits, graph.run_limits(nodes, edges, *asked)))
 
     @property
     def final_nodes(self) -> DataFrame:

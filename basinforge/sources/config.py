@@ -7,8 +7,9 @@ from typing import Any
 
 #: Default settings of the stages.
 DEFAULTS: dict[str, Any] = {
-    "enumerate": {"least": 3, "most": 8, "difference": 3, "max_hybrid": 700, "max_total": 1200},
-    "prune": {"max_outflow": 1e6, "min_share": 0.0, "min_rate": 5e-8, "number_outflow": 800, "number_share": 800},
+    "celsius": 37.0,
+    "enumerate": {"least": 3, "most": 8, "difference": 3, "max_hybrid": 700, "max_total": 1200, "model": False, "span": None, "homodimer": False},
+    "prune": {"max_outflow": 1e6, "min_share": 0.0, "min_rate": 5e-8, "number_outflow": 800, "quantile_outflow": None, "number_share": 800, "quantile_share": None},
     "solve": {"t0": 0.1, "end": 1e15, "factor": 1.2, "start": 0},
     "show": {"threshold": 0.02},
 }

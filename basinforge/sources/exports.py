@@ -2,10 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from basinforge.operators.graph import both_directions
+from basinforge.functions.energy import free_energy
+from basinforge.operators.graph import both_directions, equilibrium, outflow
+from basinforge.operators.lineage import numbered
+
+
+def general(value: Column, digits: int) -> Column:
+    """A number as C's %g writes it with that many digits."""
+    text = F.format_string(f"%.{digits - 1}e", value)
+    exponent = F.substring_index(text, "e", -1).cast("int")
+    bare = lambda s: F.when(s.contains("."), F.regexp_replace(s, "\\.?0+$", "")).otherwise(s)
+    fixed = F.call_function("format_string", F.concat(F.lit("%."), F.greatest(digits - 1 - exponent, F.lit(0)).cast("string"), F.lit("f")), value)
+    scientific = F.concat(bare(F.substring_index(text, "e", 1)), F.lit("e"), F.substring_index(text, "e", -1))
+    return F.when(value == 0, "0").when((exponent >= -4) & (exponent < digits), bare(fixed)).otherwise(scientific)
 
 
 def quantised(probabilities: DataFrame, least: float) -> DataFrame:
@@ -43,11 +55,50 @@ def pseudo_bar(nodes: DataFrame) -> DataFrame:
 
 def prune_track(parts: DataFrame, least: float = 1e-3) -> DataFrame:
     """(final, track): tab-separated basin:share of what each final state is made of, three digits."""
-    text = F.struct("basin", F.concat(F.col("basin").cast("string"), F.lit(":"), F.regexp_replace(F.format_string("%.3g", F.col("part")), "0+$", "")).alias("x"))
+    text = F.struct("basin", F.concat(F.col("basin").cast("string"), F.lit(":"), general(F.col("part"), 3)).alias("x"))
     rows = parts.where(F.col("part") >= least).groupBy("final").agg(F.array_sort(F.collect_list(text)).alias("xs"))
     return rows.select("final", F.array_join(F.transform("xs", lambda s: s["x"]), "\t").alias("track"))
 
 
+def stats_ladder(rates: DataFrame, shares: DataFrame) -> DataFrame:
+    """(n, max_outflow, min_p): for n, n/2, n/4, ... basins the outflow that n basins do not exceed and the share that n have."""
+    one = F.lit(0).alias("__one")
+    by_rate = numbered(rates.select(one, "out_rate"), "__one", [F.col("out_rate")], "k").select((F.col("k") + 1).alias("n"), F.col("out_rate").alias("max_outflow"))
+    total = rates.count()
+    by_share = numbered(shares.select(one, "p"), "__one", [F.col("p")], "k").select((total - F.col("k")).alias("n"), F.col("p").alias("min_p"))
+    wanted = [total >> k for k in range(total.bit_length()) if total >> k > 1]
+    return by_rate.where(F.col("n").isin(wanted)).join(by_share, "n") if wanted else by_rate.limit(0).join(by_share, "n")
+
+
+def kinetics_lines(kinetics: DataFrame) -> DataFrame:
+    """(t, line): a time and the probabilities of all basins in order, separated by spaces."""
+    p = F.array_sort(F.collect_list(F.struct("b", general(F.col("p"), 6).alias("x"))))
+    return kinetics.groupBy("t").agg(p.alias("ps")).select("t", F.concat_ws(" ", F.format_string("%.6e", "t"), F.array_join(F.transform("ps", lambda s: s["x"]), " ")).alias("line"))
+
+
+def rate_lines(rates: DataFrame) -> DataFrame:
+    """(i, line): a row of the rate matrix of basins numbered from 0, each rate in ten places with four digits; absent ones are zero."""
+    last = rates.agg(F.max("j")).first()[0] or 0
+    row = rates.groupBy("i").agg(F.map_from_entries(F.collect_list(F.struct("j", "rate"))).alias("row"))
+    cells = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(last).cast("long")), lambda j: F.lpad(general(F.coalesce(F.try_element_at("row", j), F.lit(0.0)), 4), 10, " "))
+    return row.select("i", F.array_join(cells, " ").alias("line"))
+
+
+def basin_track(members: DataFrame) -> DataFrame:
+    """(run_id, basin, track): the ranks of a basin's states, tab-separated, in order."""
+    return members.groupBy("run_id", "basin").agg(F.array_join(F.transform(F.array_sort(F.collect_list("rank")), lambda r: r.cast("string")), "\t").alias("track"))
+
+
+def basin_report(nodes: DataFrame, edges: DataFrame, summary: DataFrame, celsius: float = 37.0) -> DataFrame:
+    """(b, n_states, free_energy, p, out_rate, neighbours): a line's columns for each basin; neighbours ascend, joined by spaces.
+
+    ``summary`` has b and n_states.
+    """
+    near = both_directions(edges).groupBy(F.col("s").alias("b")).agg(F.array_join(F.transform(F.array_sort(F.collect_list("t")), lambda t: t.cast("string")), " ").alias("neighbours"))
+    flow, shares = outflow(nodes, edges).select("b", "out_rate"), equilibrium(nodes).select("b", "z", "p")
+    return shares.join(flow, "b").join(summary, "b").join(near, "b", "left").select("b", "n_states", free_energy(F.col("z"), celsius).alias("free_energy"), "p", "out_rate", F.coalesce("neighbours", F.lit("")).alias("neighbours"))
+
+
 def states_csv(states: DataFrame) -> DataFrame:
     """(line): energy with six decimals and positions, tab-separated."""
     return states.select(F.concat_ws("\t", F.format_string("%.6f", F.col("energy") / 100.0), *[F.col(c).cast("string") for c in ("i1", "i2", "j1", "j2")]).alias("line"))

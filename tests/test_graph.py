@@ -22,7 +22,13 @@ def tables(spark, z, w, run=0):
 
 def test_elimination_keeps_weight_and_matches_the_joins(spark):
     z, w = random_graph(8, 1)
-    kept, z2, w2, share = graph.prune_arrays(z, w, graph.PruneLimits(min_share=0.05))
+    near = [{j: v for j, v in enumerate(row) if v > 0} for row in w.tolist()]
+    kept, z2, near2, parts = graph.eliminate(z, near, graph.PruneLimits(min_share=0.05))
+    w2, share = np.zeros_like(w), np.zeros_like(w)
+    for i, row in enumerate(near2):
+        w2[i, list(row)] = list(row.values())
+    for i, row in enumerate(parts):
+        share[i, list(row)] = list(row.values())
     assert abs(z2.sum() - z.sum()) < 1e-9 and np.allclose(share[kept].sum(axis=0)[kept], 1, atol=0.2)
     gone = 3
     nodes, edges = tables(spark, z, w)

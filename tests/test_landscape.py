@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from basinforge.functions import energy, sequence
 from basinforge.functions.sequence import PAIRS
 from basinforge.operators import hybrid, landscape
+from basinforge.operators.lineage import numbered
 from basinforge.plans import bindings
 from oracle import TINY
 
@@ -190,3 +191,40 @@ def test_recovery_walks_down(spark):
     members = spark.createDataFrame([(0, 0, 0, 0), (0, 1, 0, 0)], "run_id long, rank int, root int, basin int")
     got = landscape.recover_members(members, ranked, edges, -60).collect()
     assert sorted(r["rank"] for r in got) == [0, 1, 2, 3, 4] and {r.basin for r in got} == {0}
+
+
+def test_input_modes(spark):
+    strands = spark.createDataFrame([(1, "ACGGU", "GGU"), (2, "ACGU", "ACGU")], "run_id long, seq_a string, seq_b string")
+    seen = {m: {r.run_id: (r.seq_b, r.same) for r in landscape.input_runs(strands, m).withColumn("same", landscape.is_homodimer(strands)).collect()} for m in ("pair", "homodimer", "antisense")}
+    assert seen["pair"] == {1: ("UGG", False), 2: ("UGCA", True)}
+    assert seen["homodimer"] == {1: ("UGGCA", True), 2: ("UGCA", True)}
+    assert seen["antisense"] == {1: ("UGCCA", False), 2: ("UGCA", True)}
+    with pytest.raises(ValueError):
+        landscape.input_runs(strands, "both")
+
+
+def test_windows_by_enumeration():
+    """Unpaired windows against refolding with the window closed to pairs, with and without a span."""
+    seq = "GGGAAACCCAUGCGCAU"
+    n = len(seq)
+    for span in (None, 9):
+        whole = hybrid.fold_tables(seq, span=span)[0][1, n]
+        for i, j, p in hybrid.unpaired_windows(seq, 5, span=span):
+            masked = seq[: i - 1] + "." * (j - i + 1) + seq[j:]
+            assert abs(p - hybrid.fold_tables(masked, span=span)[0][1, n] / whole) < 1e-12
+
+
+def test_long_strands_fold_in_seconds():
+    rng = random.Random(1)
+    assert len(hybrid.unpaired_windows("".join(rng.choice("ACGU") for _ in range(300)), 30)) == 30 * 300 - 435
+
+
+def test_numbers_across_partitions(spark):
+    rng = random.Random(2)
+    rows = [(k % 3 if k < 300 else 7, rng.randrange(1000), k) for k in range(1500)]
+    df = spark.createDataFrame(rows, "g long, v long, k long").repartition(9)
+    got = {(r.g, r.k): r.n for r in numbered(df, "g", [F.col("v"), F.col("k")], "n").collect()}
+    want = {}
+    for g in {r[0] for r in rows}:
+        want |= {(g, k): n for n, (_, v, k) in enumerate(sorted((r for r in rows if r[0] == g), key=lambda r: r[1:]))}
+    assert got == want

@@ -81,6 +81,11 @@ def test_stages(spark, tmp_path):
     assert dry.ran == ["states"]
     total = run.kinetics.groupBy("run_id", "t").agg(F.sum("p").alias("p")).agg(F.min("p"), F.max("p")).first()
     assert abs(total[0] - 1) < 1e-9 and abs(total[1] - 1) < 1e-9
+    few = config.load('{"celsius": 10, "enumerate": {"model": true, "span": 12}, "prune": {"number_outflow": 5, "number_share": 5}}')
+    small = stages.KineticsRun(runs, stages.Stages(spark, str(tmp_path / "few")), few)
+    sizes = {r.run_id: r.n for r in small.final_nodes.groupBy("run_id").agg(F.count("*").alias("n")).collect()}
+    assert set(sizes) == {r.run_id for r in runs.collect()} and max(sizes.values()) <= 6  # the first basin stays beside the five
+    assert small.basins.groupBy("run_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] > 6
 
 
 def test_stream(spark, tmp_path):
@@ -91,3 +96,10 @@ def test_stream(spark, tmp_path):
     query.awaitTermination(60)
     got = shares.shares(spark.table("counts"))
     assert abs(got.agg(F.sum("p")).first()[0] - spark.table("counts").select("t").distinct().count()) < 1e-9
+
+
+def test_numbers_as_c_writes_them(spark):
+    values = [0.0, 1.0, 0.5, 1234.5678, 123456.0, 1e-5, 0.0001234567, 9.9999e-5, 99999.5, -2.5e10, 1 / 3, 1e300, 999.95]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    for digits in (3, 4, 6):
+        assert [r[0] for r in df.select(exports.general(F.col("v"), digits)).collect()] == [f"{v:.{digits}g}" for v in values]
