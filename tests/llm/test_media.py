@@ -149,6 +149,44 @@ def test_scans_add_up(sampling, interval):
     assert d.rgb().shape == (37, 51, 3) and d.rgb().dtype == np.uint8
 
 
+def slow_plane(blocks, across, own, table):
+    """Samples of a component pixel by pixel, from the definition of the transform."""
+    rows, columns = own
+    zigzag = sorted(range(64), key=lambda k: (k // 8 + k % 8, (k // 8 if (k // 8 + k % 8) % 2 else k % 8)))
+    plane = np.zeros((8 * rows, 8 * columns))
+    cos = [[np.cos((2 * x + 1) * u * np.pi / 16) * (np.sqrt(0.5) if u == 0 else 1) / 2 for u in range(8)] for x in range(8)]
+    for r in range(rows):
+        for q in range(columns):
+            grid = np.zeros((8, 8))
+            for k, place in enumerate(zigzag):
+                grid[place // 8, place % 8] = blocks[r * across + q][k] * table[k]
+            for y in range(8):
+                for x in range(8):
+                    plane[8 * r + y, 8 * q + x] = sum(grid[v, u] * cos[y][v] * cos[x][u] for v in range(8) for u in range(8)) + 128
+    return plane
+
+
+@pytest.mark.parametrize("sampling", [[(1, 1)], [(2, 2), (1, 1), (1, 1)], [(2, 1), (1, 1), (1, 1)], [(1, 1)] * 3])
+def test_pixels_against_the_definition(sampling):
+    """Dequantising, the transform, chroma upsampling by repetition and the colour conversion, each pixel by itself."""
+    h, w = 19, 21
+    source = Writer(h, w, sampling, 3)
+    for c in source.blocks:  # small enough not to be clipped everywhere
+        c[:, 1:] = np.sign(c[:, 1:]) * (np.arange(63) < 6)
+        c[:, 0] %= 400
+    got = jpeg.ProgressiveDecoder(source.file()).rgb()
+    hm, vm = max(s[0] for s in sampling), max(s[1] for s in sampling)
+    planes = [slow_plane(b, source.mx * s[0], own, range(1, 65)) for b, s, own in zip(source.blocks, sampling, source.own)]
+    clipped = lambda v: min(max(round(float(v)), 0), 255)
+    worst = 0
+    for y in range(h):
+        for x in range(w):
+            v = [min(max(p[y * sv // vm, x * sh // hm], 0), 255) for p, (sh, sv) in zip(planes, sampling)]
+            want = [v[0]] * 3 if len(v) == 1 else [v[0] + 1.402 * (v[2] - 128), v[0] - 0.344136 * (v[1] - 128) - 0.714136 * (v[2] - 128), v[0] + 1.772 * (v[1] - 128)]
+            worst = max(worst, *(abs(int(g) - clipped(t)) for g, t in zip(got[y, x], want)))
+    assert worst <= 2  # samples are rounded before the conversion
+
+
 def test_inverse_transform():
     rng = np.random.default_rng(1)
     block = rng.integers(-100, 100, 64)

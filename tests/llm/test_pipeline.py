@@ -1,11 +1,17 @@
 """The registered queries on the smallest tables, and the pipeline's stages one by one."""
 
+import itertools
+import re
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import corpus_pipeline
-from basinforge.llm import queries
+from basinforge.llm import pii_crf, queries, zdict_quality
 from oracle import TINY, database, same_rows
+from test_lines import plain as plain_lines
 
 COLUMNS = {
     1: {"doc_id", "fingerprint", "component_id"},
@@ -53,6 +59,43 @@ def test_stages(spark, tmp_path):
     assert whole.agg(F.sum("length")).first()[0] == docs.agg(F.sum("length")).first()[0]
 
 
+def alike_first(texts):
+    """The least id of each text's group, by all pairs of sets of five-word shingles."""
+    sets = {}
+    for i, t in texts.items():
+        words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t))
+        sets[i] = {tuple(words[k : k + 5]) for k in range(max(len(words) - 4, 1))} if words else set()
+    first = {i: i for i in sets}
+    for a, b in itertools.combinations(sorted(sets), 2):
+        common = len(sets[a] & sets[b])
+        if first[a] != first[b] and (common >= 0.8 * (len(sets[a]) + len(sets[b]) - common) - 1e-9):
+            low, high = sorted((first[a], first[b]))
+            first = {i: low if f == high else f for i, f in first.items()}
+    return first
+
+
+def test_against_plain_passes(spark):
+    """Every document of the smallest tables through plain versions of the stages; only the fits are shared."""
+    docs, labels = spark.read.parquet(f"{TINY}/documents.parquet"), spark.read.parquet(f"{TINY}/labels.parquet")
+    model = zdict_quality.fit(docs, labels)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    kept = [i for i, s in zip(texts, model.scores([t.encode() for t in texts.values()])) if s >= 0.3]
+    cut = plain_lines([(i, texts[i]) for i in sorted(kept)], 50)
+    texts = {i: t for i, t, n in cut if not n or t.split()}
+    first = alike_first(texts)
+    texts = {i: t for i, t in texts.items() if first[i] == i}
+    field = pii_crf.fit(spark.createDataFrame(sorted(texts.items()), "doc_id long, text string"))
+    tokenizer = Tokenizer.from_file(queries.vocabulary("byte_bpe_50k.json"))
+    want = {}
+    for i, t in texts.items():
+        ids = tokenizer.encode(pii_crf.redact(t, pii_crf.find(t, field)[1]), add_special_tokens=False).ids + [0]
+        want[i] = np.array(ids, "<u4").tobytes()
+    got = {}
+    for r in sorted(corpus_pipeline.run(spark, TINY).collect(), key=lambda r: (r.doc_id, r.start)):
+        got[r.doc_id] = got.get(r.doc_id, b"") + bytes(r.ids)
+    assert got == want
+
+
 def test_odd_documents(spark, odd_docs, no_docs):
     for docs in (odd_docs.select(*corpus_pipeline.COLUMNS), no_docs.select(*corpus_pipeline.COLUMNS)):
         for _, stage in corpus_pipeline.STAGES:

@@ -1,7 +1,9 @@
 """The compression classifier and the compression bands."""
 
+import math
 import random
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -22,6 +24,24 @@ def test_held_out_accuracy(spark):
     assert share[1] > 0.97 and share[0] < 0.35
 
 
+def test_scores_against_a_plain_computation(spark):
+    """Each text compressed piece by piece with both dictionaries, and the logistic function written out."""
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    model = zdict_quality.fit(docs, labels)
+    some = docs.where("doc_id % 5 = 0").select("doc_id", "text")
+    scores = {r.doc_id: (r.score, r.predicted, r.held_out) for r in zdict_quality.score(some, model).collect()}
+    kept = {"write_content_size": False, "write_dict_id": False, "write_checksum": False}
+    sides = [zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(d), **kept) for d in (model.good, model.bad)]
+    for r in some.collect():
+        text = (r.text or "").encode()
+        good, bad = (sum(len(z.compress(text[k : k + 1024])) for k in range(0, max(len(text), 1), 1024)) for z in sides)
+        d, ratio, n = (bad - good) / max(good, bad), min(good, bad) / max(len(text), 1), math.log1p(len(text))
+        z = sum(w * x for w, x in zip(model.weights, (1, d, min(ratio, 2.0), max(0.15 - ratio, 0) * 10, n, d * n)))
+        score, predicted, held = scores[r.doc_id]
+        assert abs(score - 1 / (1 + math.exp(-min(max(z, -30), 30)))) < 0.02  # prepared dictionaries differ by a byte or two
+        assert predicted == int(score >= 0.3) and held == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
+
+
 def test_calibration_of_separable_labels():
     rng = np.random.default_rng(1)
     good = np.c_[rng.normal(0.2, 0.02, 400), rng.normal(0.5, 0.02, 400), rng.normal(7, 1, 400)]
