@@ -82,7 +82,7 @@ EDGES = f"""{RANKED},
 edges AS ({GROW} UNION ALL {SHIFT} UNION ALL {OPEN_CLOSE})"""
 
 PARENTS = f"""{EDGES},
-parents AS (
+parents AS MATERIALIZED (
   SELECT r.run_id, r.rank, CASE WHEN r.rank > 0 AND e.e_ts <= r.energy THEN e.dst ELSE r.rank END AS parent
   FROM ranked r LEFT JOIN (
     SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY run_id, src ORDER BY e_ts, kind, dst) AS k FROM edges WHERE dst < src) WHERE k = 1) e
