@@ -91,3 +91,46 @@ SELECT record_id, canonical AS canonical_url, captured, resolution,
               ELSE 'Content-Type=text/html;ETag=' || f_tag || ';Date=' || f_start || ';Server=s' || (f_page % 9) || ';last-modified=' || modified || ';Expires=' || (start + 90000) END END AS headers
 FROM k
 """
+
+#: The manifest's trees level by level; crc32 bit by bit.
+MERKLE_TRAVERSAL = r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS r, doc_id, lang, text, list_reduce(list_prepend(4294967295::UBIGINT, flatten(list_transform(string_split(coalesce(CAST(doc_id AS VARCHAR), ''), ''), lambda c: [ascii(c)::UBIGINT + 1000000, 0, 0, 0, 0, 0, 0, 0, 0]))),
+           lambda a, b: CASE WHEN b >= 1000000 THEN xor(a, b - 1000000) ELSE xor(a >> 1, 3988292384::UBIGINT * (a & 1)) END) AS crc,
+         coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-')
+           || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') AS head
+  FROM documents),
+h AS (
+  SELECT *, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+         CASE WHEN xor(crc, 4294967295::UBIGINT) % 3 = 0 THEN sha256(head || coalesce(strlen(text) || ':' || translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '-')) END AS changed
+  FROM d),
+o AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM h),
+t AS (SELECT lang, row_number() OVER (ORDER BY encode(lang) NULLS FIRST) - 1 AS tree FROM (SELECT DISTINCT lang FROM o)),
+q AS (SELECT o.*, tree FROM o JOIN t ON o.lang IS NOT DISTINCT FROM t.lang),
+low AS (
+  SELECT tree, 0 AS level, pos, leaf AS node, count(*) OVER (PARTITION BY tree) AS n FROM q
+  UNION ALL
+  SELECT tree, level + 1, pos // 8, sha256(string_agg(node, '' ORDER BY pos)), any_value((n + 7) // 8) FROM low WHERE n > 1 GROUP BY tree, level, pos // 8),
+sub AS (SELECT tree, node AS subroot FROM low WHERE n = 1),
+high AS (
+  SELECT 0 AS level, tree AS pos, subroot AS node, count(*) OVER () AS n FROM sub
+  UNION ALL
+  SELECT level + 1, pos // 8, sha256(string_agg(node, '' ORDER BY pos)), any_value((n + 7) // 8) FROM high WHERE n > 1 GROUP BY level, pos // 8),
+run AS (  -- each level's runs: low ones of a tree, then those over the subroots
+  SELECT tree, level, pos // 8 AS run, list(node ORDER BY pos) AS nodes FROM low WHERE n > 1 GROUP BY ALL
+  UNION ALL
+  SELECT NULL, level, pos // 8, list(node ORDER BY pos) FROM high WHERE n > 1 GROUP BY ALL),
+step AS (
+  SELECT r, 0 AS part, level, (pos // CAST(pow(8, level) AS BIGINT)) % 8 AS k, nodes FROM q JOIN run ON q.tree = run.tree AND run.run = pos // CAST(pow(8, level + 1) AS BIGINT)
+  UNION ALL
+  SELECT r, 1, level, (q.tree // CAST(pow(8, level) AS BIGINT)) % 8, nodes FROM q JOIN run ON run.tree IS NULL AND run.run = q.tree // CAST(pow(8, level + 1) AS BIGINT)),
+path AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY part, level) AS s FROM step),
+proof AS (SELECT r, sha256(string_agg(array_to_string(list_concat(nodes[:k], nodes[k + 2:]), ''), '' ORDER BY s)) AS proof_sha256, max(s) AS steps FROM path GROUP BY r),
+folded AS (
+  SELECT r, 0 AS s, coalesce(changed, leaf) AS node FROM q
+  UNION ALL
+  SELECT f.r, p.s, sha256(array_to_string(nodes[:k], '') || node || array_to_string(nodes[k + 2:], '')) FROM folded f JOIN path p ON p.r = f.r AND p.s = f.s + 1)
+SELECT doc_id, leaf, subroot, high.node AS root, coalesce(proof_sha256, sha256('')) AS proof_sha256, f.node AS folded_root, f.node = high.node AS verified
+FROM q JOIN sub USING (tree) JOIN high ON high.n = 1 LEFT JOIN proof USING (r) JOIN folded f ON f.r = q.r AND f.s = coalesce(steps, 0)
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basinforge.llm import compression_rules, interpolation_lm, line_winnow, oracle, packing, pii_crf, piece_bpe, progressive_jpeg, simhash, warc_revisit, zdict_quality
+from basinforge.llm import compression_rules, interpolation_lm, line_winnow, merkle, oracle, packing, pii_crf, piece_bpe, progressive_jpeg, simhash, warc_revisit, zdict_quality
 
 #: Where the public vocabulary files are; None asks the module ``public_tokenizers``.
 TOKENIZER_DIR: str | None = None
@@ -109,6 +109,11 @@ def op10_revisit_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("headers", line)
 
 
+def op11_merkle_traversal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    outputs = ("subroot", "root", "proof_sha256", "folded_root", "verified")
+    return merkle.authenticate(table(spark, sf_dir, "documents"), outputs=outputs, changed=merkle.lowered)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_deleted_interpolation": op2_deleted_interpolation,
@@ -120,9 +125,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_progressive_jpeg": op8_progressive_jpeg,
     "op9_compression_bands": op9_compression_bands,
     "op10_revisit_resolution": op10_revisit_resolution,
+    "op11_merkle_traversal": op11_merkle_traversal,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op4_line_winnowing": oracle.LINE_WINNOWING,
     "op10_revisit_resolution": oracle.REVISIT_RESOLUTION,
+    "op11_merkle_traversal": oracle.MERKLE_TRAVERSAL,
 }
