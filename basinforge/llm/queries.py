@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basinforge.llm import compression_rules, interpolation_lm, line_winnow, merkle, oracle, packing, pii_crf, piece_bpe, progressive_jpeg, simhash, warc_revisit, zdict_quality
+from basinforge.llm import compression_rules, interpolation_lm, line_winnow, merkle, oracle, packing, pii_crf, piece_bpe, prefix_hashes, progressive_jpeg, simhash, warc_revisit, zdict_quality
 
 #: Where the public vocabulary files are; None asks the module ``public_tokenizers``.
 TOKENIZER_DIR: str | None = None
@@ -114,6 +114,10 @@ def op11_merkle_traversal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.authenticate(table(spark, sf_dir, "documents"), outputs=outputs, changed=merkle.lowered)
 
 
+def op12_prefix_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_hashes.fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_deleted_interpolation": op2_deleted_interpolation,
@@ -126,6 +130,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_compression_bands": op9_compression_bands,
     "op10_revisit_resolution": op10_revisit_resolution,
     "op11_merkle_traversal": op11_merkle_traversal,
+    "op12_prefix_hashes": op12_prefix_hashes,
 }
 
 ORACLE_SQL: dict[str, str] = {
