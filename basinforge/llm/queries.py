@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basinforge.llm import compression_rules, interpolation_lm, line_winnow, merkle, oracle, packing, pii_crf, piece_bpe, prefix_hashes, progressive_jpeg, simhash, warc_revisit, zdict_quality
+from basinforge.llm import compression_rules, interpolation_lm, line_winnow, merkle, oracle, packing, pii_crf, piece_bpe, prefix_hashes, progressive_jpeg, simhash, token_alignment, warc_revisit, zdict_quality
 
 #: Where the public vocabulary files are; None asks the module ``public_tokenizers``.
 TOKENIZER_DIR: str | None = None
@@ -118,6 +118,11 @@ def op12_prefix_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_hashes.fingerprint_documents(table(spark, sf_dir, "documents"))
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    outputs = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+    return token_alignment.align_documents(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"), outputs)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_deleted_interpolation": op2_deleted_interpolation,
@@ -131,6 +136,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_revisit_resolution": op10_revisit_resolution,
     "op11_merkle_traversal": op11_merkle_traversal,
     "op12_prefix_hashes": op12_prefix_hashes,
+    "op13_token_alignment": op13_token_alignment,
 }
 
 ORACLE_SQL: dict[str, str] = {
