@@ -27,10 +27,10 @@ from pyspark.sql import types as T
 
 from basinforge.llm.packing import WordIds
 from basinforge.llm.piece_bpe import MARK, Encoder
-from basinforge.llm.textcols import checkpointed, held, slices, text_bytes, tidied, utf8
+from basinforge.llm.textcols import checkpointed, held, release, slices, text_bytes, tidied, utf8
 
 #: Bytes of texts that are merged side by side.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 2 << 20
 #: A pair of ids is A's id times this and B's id.
 PAIR = 1 << 20
 
@@ -38,6 +38,8 @@ PAIR = 1 << 20
 class PlainWordIds(WordIds):
     """The encoder of a tokenizers file to which the names of special tokens are plain text."""
 
+    MOST = 80_000
+
     def __init__(self, path: str):
         super().__init__(path)
         self._tokenizer.encode_special_tokens = True
@@ -53,6 +55,12 @@ class PlainWordIds(WordIds):
         return out
 
 
+class FewerPieces(Encoder):
+    """The encoder of a piece model beside another one in a worker."""
+
+    MOST = 60_000
+
+
 class Side:
     """One tokenizer's ids as bytes, as lengths, and as decimals with a mark behind: ``inside`` a group, or ``last`` of its tokens in it."""
 
@@ -64,7 +72,7 @@ class Side:
 
 class Aligner:
     def __init__(self, byte_bpe: str, piece_bpe: str):
-        self.words, self.pieces = PlainWordIds(byte_bpe), Encoder(piece_bpe)
+        self.words, self.pieces = PlainWordIds(byte_bpe), FewerPieces(piece_bpe)
         model = self.pieces.model
         tokens = [b""] * (1 + max([*model.ids.values(), *model.bytes.values()]))
         for text, i in model.ids.items():
@@ -236,6 +244,7 @@ def align_documents(
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), *[T.StructField(o, kinds[o]) for o in outputs]])
 
     def run(slice_: pa.Table, found: pa.Table) -> pa.Table:
+        release()  # the encoders
         unpack, own = zstandard.ZstdDecompressor().decompress, slice_.filter(pc.is_null(slice_["__nth"]))
         rows = slice_.filter(pc.is_valid(slice_["__nth"])).sort_by("__nth")
         count, best = np.zeros(found.num_rows, np.int64), np.zeros(found.num_rows, np.int64)
