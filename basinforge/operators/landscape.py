@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 
 from basinforge.functions import energy, sequence
 from basinforge.operators import hybrid as hybrid_model
-from basinforge.operators.lineage import checkpointed, numbered
+from basinforge.operators.lineage import checkpointed, forget, numbered
 
 SITE = ("i1", "i2", "j1", "j2")
 
@@ -260,9 +260,10 @@ def resolve_parents(parents: DataFrame) -> DataFrame:
     while True:
         up = now.select("run_id", F.col("rank").alias("parent"), F.col("parent").alias("next"))
         step = checkpointed(now.join(up, ["run_id", "parent"]).select("run_id", "rank", F.col("next").alias("parent"), (F.col("next") != F.col("parent")).alias("moved")))
-        now = step.drop("moved")
+        forget(now)
+        now = step
         if not step.where("moved").limit(1).count():
-            return now.withColumnRenamed("parent", "root")
+            return step.select("run_id", "rank", F.col("parent").alias("root"))
 
 
 def basin_members(roots: DataFrame) -> DataFrame:

@@ -4,21 +4,45 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+_KEPT_AT = "_basinforge_table"
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the session's ``spark.checkpoint.dir``; only a session on one machine that names none gets a temporary folder."""
-    sc = df.sparkSession.sparkContext
+
+def shared_folder(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``; only a session on one machine that names none gets a temporary folder."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = sc.getConf().get("spark.checkpoint.dir")
         if not named and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint(eager=True)
+    return sc.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` computed once and kept as a table in the shared folder.
+
+    A table, unlike a checkpoint, takes along nothing of the plan that made it, which would grow from round to round of a loop.
+    """
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4()}"
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.__dict__[_KEPT_AT] = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes what ``checkpointed`` has kept, once nothing reads it any more."""
+    for df in tables:
+        if path := df.__dict__.pop(_KEPT_AT, None):
+            sc = df.sparkSession.sparkContext
+            at = sc._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def numbered(df: DataFrame, group: str, order: list[Column], name: str) -> DataFrame:

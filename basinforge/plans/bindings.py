@@ -26,18 +26,24 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select(F.col("s_suppkey").alias("run_id"), as_sequence(F.col("s_name")).alias("seq_a"), as_sequence(F.col("n_name")).alias("seq_b"))
 
 
-def trade_edges(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Nodes (b, z) and edges (a, b, w): nations, and the order lines between customers' and suppliers' nations."""
+def trade_runs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes (run_id, b, z) and edges (run_id, a, b, w), a run for each year: nations, and the order lines between customers' and suppliers' nations."""
     line = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey")
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.year("o_orderdate").cast("long").alias("run_id"))
     customer = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").cast("long").alias("from"))
     supplier = table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").cast("long").alias("to"))
     # counts by order and supplier's nation first, so that the wide join carries few rows
     by_order = line.join(supplier, F.col("l_suppkey") == F.col("s_suppkey")).groupBy("l_orderkey", "to").agg(F.count(F.lit(1)).alias("n"))
-    origin = orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "from")
-    flow = by_order.join(origin, F.col("l_orderkey") == F.col("o_orderkey")).groupBy(F.least("from", "to").alias("a"), F.greatest("from", "to").alias("b")).agg(F.sum("n").cast("double").alias("w"))
-    ends = flow.select(F.explode(F.array("a", "b")).alias("b"), "w")
-    return ends.groupBy("b").agg(F.sum("w").alias("z")), flow.where("a <> b")
+    origin = orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "run_id", "from")
+    flow = by_order.join(origin, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("run_id", F.least("from", "to").alias("a"), F.greatest("from", "to").alias("b")).agg(F.sum("n").cast("double").alias("w"))
+    ends = flow.select("run_id", F.explode(F.array("a", "b")).alias("b"), "w")
+    return ends.groupBy("run_id", "b").agg(F.sum("w").alias("z")), flow.where("a <> b")
+
+
+def trade_edges(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes (b, z) and edges (a, b, w) of all years together."""
+    nodes, edges = trade_runs(spark, sf_dir)
+    return nodes.groupBy("b").agg(F.sum("z").alias("z")), edges.groupBy("a", "b").agg(F.sum("w").alias("w"))
 
 
 def event_chain(spark: SparkSession, sf_dir: str) -> DataFrame:

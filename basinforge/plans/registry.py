@@ -456,12 +456,13 @@ def min_pequ_by_quantile(spark, sf):
     return graph.min_equilibrium_by_quantile(graph.equilibrium(_trade(spark, sf)[0]), 30)
 
 
-@query("run_limits", f"""WITH {S.TRADE}, o AS (SELECT out_rate, row_number() OVER (ORDER BY out_rate) AS k, count(*) OVER () AS n FROM rates),
-s AS (SELECT p, row_number() OVER (ORDER BY p) AS k, count(*) OVER () AS n FROM shares)
-SELECT least((SELECT round(out_rate, 8) FROM o WHERE k = 20), (SELECT round(out_rate, 8) FROM o WHERE k = trunc(90 * (n - 1) / 100.0) + 1)) AS max_outflow,
-       greatest((SELECT round(p, 8) FROM s WHERE k = n - 20 + 1), (SELECT round(p, 8) FROM s WHERE k = trunc(n - 70 * n / 100.0) + 1)) AS min_share""")
+@query("run_limits", f"""WITH {S.TRADE_RUNS}, r AS (SELECT n.run_id, n.z / sum(n.z) OVER (PARTITION BY n.run_id) AS p, coalesce(o / n.z, 0) AS rate, count(*) OVER (PARTITION BY n.run_id) AS n
+  FROM rnodes n LEFT JOIN (SELECT run_id, s, sum(w) AS o FROM rends GROUP BY ALL) f ON n.run_id = f.run_id AND n.b = f.s),
+k AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY rate) AS kr, row_number() OVER (PARTITION BY run_id ORDER BY p) AS kp FROM r)
+SELECT run_id, round(least(max(rate) FILTER (WHERE kr = 20), max(rate) FILTER (WHERE kr = trunc(90 * (n - 1) / 100.0) + 1)), 8) AS max_outflow,
+       round(greatest(max(p) FILTER (WHERE kp = n - 20 + 1), max(p) FILTER (WHERE kp = trunc(n - 70 * n / 100.0) + 1)), 8) AS min_share FROM k GROUP BY run_id""")
 def run_limits(spark, sf):
-    return graph.run_limits(*_one_run(*_trade(spark, sf)), 20, 90, 20, 70).drop("run_id")
+    return graph.run_limits(*_trade_runs(spark, sf), 20, 90, 20, 70)
 
 
 @query("stats_ladder", f"""WITH {S.TRADE}, o AS (SELECT out_rate, row_number() OVER (ORDER BY out_rate) AS k, count(*) OVER () AS n FROM rates),
@@ -494,54 +495,75 @@ def association_prefactor(spark, sf):
     return graph.with_prefactor(_trade(spark, sf)[1], 0, 2.5)
 
 
+def _trade_runs(spark, sf):
+    nodes, edges = B.trade_runs(spark, sf)
+    return checkpointed(nodes), checkpointed(edges)
+
+
 _DISSOLVED = f"""WITH {S.TRADE},
-near AS (SELECT t AS b, w AS g, w / sum(w) OVER () AS f FROM ends WHERE s = 3),
-z0 AS (SELECT z FROM nodes WHERE b = 3)"""
+out3 AS (SELECT t AS b, w AS g, w / sum(w) OVER () AS f FROM ends WHERE s = 3),
+one AS (SELECT n.b, n.z + coalesce(f, 0) * (SELECT z FROM nodes WHERE b = 3) AS z FROM nodes n LEFT JOIN out3 USING (b) WHERE n.b <> 3),
+links AS (  -- both directions of a pair, and a basin with itself once
+  SELECT s, t, sum(w) AS w FROM (
+    SELECT s, t, w FROM ends WHERE s <> 3 AND t <> 3
+    UNION ALL SELECT x.b, y.b, x.g * y.f + y.g * x.f FROM out3 x CROSS JOIN out3 y) GROUP BY s, t),
+own AS (SELECT coalesce(sum(w), 0) AS w FROM links WHERE s = 7 AND t = 7),
+out7 AS (SELECT t AS b, w AS g, w / sum(w) OVER () AS f FROM links WHERE s = 7 AND t <> 7)"""
 
 
-@query("dissolve_nodes", f"{_DISSOLVED} SELECT n.b, round(n.z + coalesce(f, 0) * (SELECT z FROM z0), 6) AS z FROM nodes n LEFT JOIN near ON n.b = near.b WHERE n.b <> 3", 6)
+@query("dissolve_nodes", f"{_DISSOLVED} SELECT o.b, round(o.z + coalesce(f, 0) * (SELECT z FROM one WHERE b = 7), 6) AS z FROM one o LEFT JOIN out7 USING (b) WHERE o.b <> 7", 6)
 def dissolve_nodes(spark, sf):
-    return graph.dissolve(*_trade(spark, sf), 3)[0]
+    return graph.dissolve(*graph.dissolve(*_trade(spark, sf), 3), 7)[0]
 
 
-@query("dissolve_edges", f"""{_DISSOLVED} SELECT a, b, round(sum(w), 6) AS w FROM (
-  SELECT a, b, w FROM edges WHERE a <> 3 AND b <> 3
-  UNION ALL SELECT x.b, y.b, x.g * y.f + y.g * x.f FROM near x JOIN near y ON x.b < y.b) GROUP BY a, b""", 6)
+@query("dissolve_edges", f"""{_DISSOLVED} SELECT s AS a, t AS b, round(sum(w), 6) AS w FROM (
+  SELECT s, t, w FROM links WHERE s <> 7 AND t <> 7
+  UNION ALL SELECT x.b, y.b, x.g * y.f + y.g * x.f + (SELECT w FROM own) * x.f * y.f FROM out7 x CROSS JOIN out7 y) WHERE s <= t GROUP BY s, t""", 6)
 def dissolve_edges(spark, sf):
-    return graph.dissolve(*_trade(spark, sf), 3)[1]
+    return graph.dissolve(*graph.dissolve(*_trade(spark, sf), 3), 7)[1]
+
+
+_RARE = graph.PruneLimits(min_share=0.041)
 
 
-def _one_run(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    return nodes.withColumn("run_id", F.lit(0).cast("long")), edges.withColumn("run_id", F.lit(0).cast("long"))
+def _without_parts(pruned: DataFrame) -> DataFrame:
+    return pruned.where("kind <> 'part'").select("run_id", "kind", "a", "b", "value")
 
 
-@query("prune_graph", f"""WITH RECURSIVE {S.PRUNED} SELECT 'node' AS kind, b AS a, b, round(l.z[k], 6) AS value FROM (SELECT z FROM last) l, ids WHERE l.z[ids.k] > 0
-UNION ALL SELECT 'edge', x.b, y.b, round(l.w[x.k][y.k], 6) FROM last l, ids x, ids y WHERE x.k < y.k AND l.w[x.k][y.k] > 0""", 6)
+@query("prune_graph", f"WITH RECURSIVE {S.PRUNED} {S.LEFT}", 6)
 def prune_graph(spark, sf):
-    pruned = graph.prune(*_one_run(*_trade(spark, sf)), graph.PruneLimits(min_share=0.041))
-    return pruned.where("kind <> 'part'").select("kind", "a", "b", "value")
+    return _without_parts(graph.prune(*_trade_runs(spark, sf), _RARE))
 
 
-@query("prune_contributions", f"WITH RECURSIVE {S.PRUNED} SELECT x.b AS final, y.b AS basin, round(l.part[x.k][y.k], 6) AS part FROM last l, ids x, ids y WHERE l.part[x.k][y.k] >= 1e-3", 6)
+@query("prune_by_flow", f"WITH RECURSIVE {S.PRUNED_BY_FLOW} {S.LEFT}", 6)
+def prune_by_flow(spark, sf):
+    return _without_parts(graph.prune(*_trade_runs(spark, sf), graph.PruneLimits(max_outflow=0.95, min_share=0.02, min_rate=0.05)))
+
+
+@query("prune_in_rounds", f"WITH RECURSIVE {S.PRUNED_SPARSE}, {S.PARTS} SELECT * FROM ({S.LEFT}) UNION ALL SELECT run_id, 'part', final, basin, round(part, 6) FROM parts", 6)
+def prune_in_rounds(spark, sf):
+    nodes, edges = _trade_runs(spark, sf)
+    return graph.prune_in_rounds(nodes, graph.filter_by_rate(nodes, edges, S.SPARSE_RUNS), _RARE)
+
+
+@query("prune_contributions", f"WITH RECURSIVE {S.PRUNED}, {S.PARTS} SELECT run_id, final, basin, round(part, 6) AS part FROM parts WHERE part >= 1e-3", 6)
 def prune_contributions(spark, sf):
-    pruned = graph.prune(*_one_run(*_trade(spark, sf)), graph.PruneLimits(min_share=0.041))
-    return pruned.where("kind = 'part'").select(F.col("a").alias("final"), F.col("b").alias("basin"), F.col("value").alias("part"))
+    pruned = graph.prune(*_trade_runs(spark, sf), _RARE)
+    return pruned.where("kind = 'part' AND value >= 1e-3").select("run_id", F.col("a").alias("final"), F.col("b").alias("basin"), F.col("value").alias("part"))
 
 
-@query("reduce_basins", f"""WITH RECURSIVE {S.REDUCED} SELECT 'node' AS kind, b AS a, b, round(l.z[k], 6) AS value FROM (SELECT z FROM last) l, ids WHERE l.z[ids.k] > 0
-UNION ALL SELECT 'edge', x.b, y.b, round(l.w[x.k][y.k], 6) FROM last l, ids x, ids y WHERE x.k < y.k AND l.w[x.k][y.k] > 0""", 6)
+@query("reduce_basins", f"WITH RECURSIVE {S.REDUCED} {S.LEFT}", 6)
 def reduce_basins(spark, sf):
-    return graph.prune(*_one_run(*_trade(spark, sf)), keep=S.KEEP).where("kind <> 'part'").select("kind", "a", "b", "value")
+    return _without_parts(graph.prune(*_trade_runs(spark, sf), keep=S.KEEP))
 
 
-@query("pruned_pair_probabilities", f"""WITH RECURSIVE {S.PRUNED}, {S.COARSE},
-parts AS (SELECT x.b AS a, y.b AS b, l.part[x.k][y.k] AS part, l.z[x.k] AS final FROM last l, ids x, ids y WHERE l.part[x.k][y.k] >= 1e-3)
-SELECT a, i, j, round(sum(part * n.z * ne.p) / any_value(final), 6) AS p FROM parts JOIN nodes n USING (b) JOIN ne ON ne.state = parts.b GROUP BY a, i, j""", 6)
+@query("pruned_pair_probabilities", f"""WITH RECURSIVE {S.PRUNED}, {S.COARSE}, {S.PARTS}
+SELECT p.run_id, final AS a, i, j, round(sum(part * n.z * ne.p) / any_value(p.z), 6) AS p FROM parts p JOIN rnodes n ON n.run_id = p.run_id AND n.b = p.basin JOIN ne ON ne.state = p.basin GROUP BY ALL""", 6)
 def pruned_pair_probabilities(spark, sf):
-    nodes, edges = _trade(spark, sf)
-    pruned = checkpointed(graph.prune(*_one_run(nodes, edges), graph.PruneLimits(min_share=0.041)))
-    parts = pruned.where("kind = 'part'").select("a", "b", F.col("value").alias("part"))
-    final = pruned.where("kind = 'node'").select("a", F.col("value").alias("z"))
+    nodes, edges = _trade_runs(spark, sf)
+    pruned = checkpointed(graph.prune(nodes, edges, _RARE))
+    parts = pruned.where("kind = 'part'").select("run_id", "a", "b", F.col("value").alias("part"))
+    final = pruned.where("kind = 'node'").select("run_id", "a", F.col("value").alias("z"))
     return graph.pruned_pair_probabilities(parts, nodes, B.nation_events(spark, sf).withColumnRenamed("state", "b"), final)
 
 
@@ -625,19 +647,19 @@ def time_grid(spark, sf):
     return ctmc.time_grid(spark, end=1e15).select("k", F.log10("t").alias("log_t"))
 
 
-@query("solve_kinetics", f"WITH RECURSIVE {S.SOLVED} SELECT round(t, 8) AS t, b, round(p, 8) AS p FROM solved", 8)
+@query("solve_kinetics", f"WITH RECURSIVE {S.SOLVED} SELECT run_id, round(t, 8) AS t, b, round(p, 8) AS p FROM solved", 8)
 def solve_kinetics(spark, sf):
-    return ctmc.solve(*_one_run(*_trade(spark, sf)), ctmc.SolveSpec(t0=0.01, end=1e3)).drop("run_id")
+    return ctmc.solve(*_trade_runs(spark, sf), ctmc.SolveSpec(t0=0.01, end=1e2))
 
 
-@query("mfpt", f"WITH RECURSIVE {S.PASSAGE} SELECT a, b, round(time, 6) AS time FROM passage", 6)
+@query("mfpt", f"WITH RECURSIVE {S.PASSAGE} SELECT run_id, a, b, round(time, 6) AS time FROM passage", 6)
 def mfpt(spark, sf):
-    return ctmc.passage_times(*_one_run(*_trade(spark, sf))).drop("run_id")
+    return ctmc.passage_times(*_trade_runs(spark, sf))
 
 
-@query("absorption_times", f"WITH RECURSIVE {S.PASSAGE} SELECT a, round(time, 6) AS time FROM passage WHERE b = 0", 6)
+@query("absorption_times", f"WITH RECURSIVE {S.PASSAGE} SELECT run_id, a, round(time, 6) AS time FROM passage WHERE b = 0", 6)
 def absorption_times(spark, sf):
-    return ctmc.passage_times(*_one_run(*_trade(spark, sf)), target=0).select("a", "time")
+    return ctmc.passage_times(*_trade_runs(spark, sf), target=0).select("run_id", "a", "time")
 
 
 @query("convergence_time", f"""WITH {S.KINETICS}, pi AS (SELECT state, avg(p) AS q FROM kin GROUP BY state),

@@ -186,52 +186,79 @@ unpaired AS (
   JOIN masks m ON m.strand = s.strand GROUP BY s.strand, s.i, s.d)"""
 
 
-#: The trade graph as lists: basins in order, rows of rates, and the waiting time and next basin's probabilities of each.
-LISTS = f"""{TRADE},
-ids AS (SELECT b, z, CAST(row_number() OVER (ORDER BY b) AS INT) AS k FROM nodes),
+TRADE_RUNS = """rflow AS (
+  SELECT CAST(year(o_orderdate) AS BIGINT) AS run_id, CAST(least(c_nationkey, s_nationkey) AS BIGINT) AS a, CAST(greatest(c_nationkey, s_nationkey) AS BIGINT) AS b, CAST(count(*) AS DOUBLE) AS w
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL),
+rnodes AS (SELECT run_id, b, sum(w) AS z FROM (SELECT run_id, a AS b, w FROM rflow UNION ALL SELECT run_id, b, w FROM rflow) GROUP BY ALL),
+redges AS (SELECT * FROM rflow WHERE a <> b),
+rends AS (SELECT run_id, a AS s, b AS t, w FROM redges UNION ALL SELECT run_id, b, a, w FROM redges)"""
+
+#: Each run's graph as lists: basins in order, rows of rates, and the waiting time and next basin's probabilities of each.
+LISTS = f"""{TRADE_RUNS},
+ids AS (SELECT run_id, b, z, CAST(row_number() OVER (PARTITION BY run_id ORDER BY b) AS INT) AS k FROM rnodes),
 rate AS (
-  SELECT x.k AS i, y.k AS j, coalesce(e.w, 0) AS w, coalesce(e.w, 0) / x.z AS r
-  FROM ids x CROSS JOIN ids y LEFT JOIN ends e ON e.s = x.b AND e.t = y.b),
-per AS (SELECT i, sum(r) AS o, list(r ORDER BY j) AS r, list(w ORDER BY j) AS w FROM rate GROUP BY i),
+  SELECT x.run_id, x.k AS i, y.k AS j, coalesce(e.w, 0) AS w, coalesce(e.w, 0) / x.z AS r
+  FROM ids x JOIN ids y ON x.run_id = y.run_id LEFT JOIN rends e ON e.run_id = x.run_id AND e.s = x.b AND e.t = y.b),
+per AS (SELECT run_id, i, sum(r) AS o, list(r ORDER BY j) AS r, list(w ORDER BY j) AS w FROM rate GROUP BY run_id, i),
 m AS MATERIALIZED (
-  SELECT count(*) AS n, list(1 / o ORDER BY i) AS wait, list(list_transform(r, lambda x: x / o) ORDER BY i) AS hop,
-         list(w ORDER BY i) AS w, max(o) AS most, list(list_transform(r, lambda x: x) ORDER BY i) AS r, list(o ORDER BY i) AS o FROM per)"""
+  SELECT run_id, count(*) AS n, list(1 / o ORDER BY i) AS wait, list(list_transform(r, lambda x: x / o) ORDER BY i) AS hop,
+         list(w ORDER BY i) AS w, max(o) AS most, list(list_transform(r, lambda x: x) ORDER BY i) AS r, list(o ORDER BY i) AS o FROM per GROUP BY run_id)"""
 
 #: First passage times by repeated use of their equations: a wait, and then the times from where the chain goes.
 PASSAGE = f"""{LISTS},
 step AS (
-  SELECT CAST(target AS INT) AS target, 0 AS k, list_transform(range(n), lambda x: CAST(0 AS DOUBLE)) AS v FROM m, (SELECT unnest(range(1, 26)) AS target) WHERE target <= n
+  SELECT run_id, CAST(target AS INT) AS target, 0 AS k, list_transform(range(n), lambda x: CAST(0 AS DOUBLE)) AS v FROM m, (SELECT unnest(range(1, 26)) AS target) WHERE target <= n
   UNION ALL
-  SELECT target, k + 1, list_transform(range(1, n + 1), lambda i: CASE WHEN i = target THEN 0 ELSE wait[i] + list_dot_product(hop[i], v) END) FROM step, m WHERE k < 5000),
+  SELECT s.run_id, target, k + 1, list_transform(range(1, n + 1), lambda i: CASE WHEN i = target THEN 0 ELSE wait[i] + list_dot_product(hop[i], v) END) FROM step s JOIN m USING (run_id) WHERE k < 5000),
 passage AS (
-  SELECT x.b AS a, y.b AS b, v[x.k] AS time FROM (SELECT * FROM step WHERE k = 5000) s JOIN ids y ON y.k = s.target CROSS JOIN ids x)"""
+  SELECT x.run_id, x.b AS a, y.b AS b, v[x.k] AS time FROM (SELECT * FROM step WHERE k = 5000) s JOIN ids y ON y.run_id = s.run_id AND y.k = s.target JOIN ids x ON x.run_id = s.run_id)"""
 
 #: Probabilities over time by uniformisation: jumps at one rate for all basins, some of which stay.
 SOLVED = f"""{LISTS},
 jump AS (
-  SELECT 0 AS k, list_transform(range(n), lambda x: CAST(CASE WHEN x = 0 THEN 1 ELSE 0 END AS DOUBLE)) AS v FROM m
+  SELECT run_id, 0 AS k, list_transform(range(n), lambda x: CAST(CASE WHEN x = 0 THEN 1 ELSE 0 END AS DOUBLE)) AS v FROM m
   UNION ALL
-  SELECT k + 1, list_transform(range(1, n + 1), lambda j: v[j] * (1 - o[j] / most) + list_sum(list_transform(range(1, n + 1), lambda i: v[i] * r[i][j] / most))) FROM jump, m WHERE k < 1600),
-times AS (SELECT 0.01 * pow(1.2, k) AS t FROM (SELECT unnest(range(0, 64)) AS k) WHERE 0.01 * pow(1.2, k) < 1e3),
-poisson AS (SELECT t, j.k, exp(j.k * ln(most * t) - most * t - lgamma(j.k + 1)) AS q FROM times, jump j, m),
-solved AS (SELECT t, x.b, sum(q * v[x.k]) / sum(q) AS p FROM poisson JOIN jump j USING (k) CROSS JOIN ids x GROUP BY t, x.b)"""
+  SELECT g.run_id, k + 1, list_transform(range(1, n + 1), lambda j: v[j] * (1 - o[j] / most) + list_sum(list_transform(range(1, n + 1), lambda i: v[i] * r[i][j] / most))) FROM jump g JOIN m USING (run_id) WHERE k < 300),
+times AS (SELECT 0.01 * pow(1.2, k) AS t FROM (SELECT unnest(range(0, 64)) AS k) WHERE 0.01 * pow(1.2, k) < 1e2),
+poisson AS (SELECT g.run_id, t, g.k, exp(g.k * ln(most * t) - most * t - lgamma(g.k + 1)) AS q FROM times, jump g JOIN m USING (run_id)),
+solved AS (SELECT p.run_id, t, x.b, sum(q * v[x.k]) / sum(q) AS p FROM poisson p JOIN jump g ON g.run_id = p.run_id AND g.k = p.k JOIN ids x ON x.run_id = p.run_id GROUP BY ALL)"""
 
-#: Elimination of the basins under a share, in ascending order of their first weight; the first basin stays.
+#: Elimination of basins in ascending order of their first weight, one of each run after the other. A gone basin's paths go to the
+#: pairs of its neighbours, each with itself too; edges below the least rate go at a basin's turn, and sums that stay below it are not taken.
 _PRUNED = """{lists},
-turns AS (SELECT list(k ORDER BY z, k) AS turns, sum(z) AS total, list(z ORDER BY k) AS z FROM ids),
+turns AS (SELECT run_id, list(k ORDER BY round(ln(z), 9), k) AS turns, sum(z) AS total, list(z ORDER BY k) AS z, list(b ORDER BY k) AS names FROM ids GROUP BY run_id),
 cut AS (
-  SELECT 0 AS k, z, w, list_transform(range(1, n + 1), lambda i: list_transform(range(1, n + 1), lambda j: CAST(CASE WHEN i = j THEN 1 ELSE 0 END AS DOUBLE))) AS part FROM m, turns
+  SELECT run_id, 0 AS k, z, w, list_transform(range(1, n + 1), lambda i: list_transform(range(1, n + 1), lambda j: CAST(CASE WHEN i = j THEN 1 ELSE 0 END AS DOUBLE))) AS part FROM m JOIN turns USING (run_id)
   UNION ALL
-  SELECT k + 1,
-    CASE WHEN go THEN list_transform(range(1, n + 1), lambda i: CASE WHEN i = x THEN 0 ELSE z[i] + f[i] * z[x] END) ELSE z END,
-    CASE WHEN go THEN list_transform(range(1, n + 1), lambda i: list_transform(range(1, n + 1), lambda j: CASE WHEN i = x OR j = x OR i = j THEN 0 ELSE w[i][j] + w[x][i] * f[j] + w[x][j] * f[i] END)) ELSE w END,
-    CASE WHEN go THEN list_transform(range(1, n + 1), lambda i: list_transform(range(1, n + 1), lambda j: CASE WHEN i = x THEN 0 ELSE part[i][j] + CASE WHEN part[x][j] * f[i] < 1e-3 / n THEN 0 ELSE part[x][j] * f[i] END END)) ELSE part END
-  FROM (SELECT c.*, m.n, turns[k + 1] AS x, list_transform(c.w[turns[k + 1]], lambda v: v / list_sum(c.w[turns[k + 1]])) AS f,
-               ({goes}) AND list_sum(c.w[turns[k + 1]]) > 0 AS go
-        FROM cut c, m, turns WHERE k < m.n)),
-last AS (SELECT c.* FROM cut c, m WHERE c.k = m.n)"""
-PRUNED = _PRUNED.format(lists=LISTS, goes="turns[k + 1] <> 1 AND c.z[turns[k + 1]] / total < 0.041")
-
-#: Basins (from 0) that a graph is reduced to.
+  SELECT run_id, k + 1, nz,
+    list_transform(range(1, n + 1), lambda i: list_transform(range(1, n + 1), lambda j:
+      CASE WHEN go AND (i = x OR j = x) THEN 0 WHEN i = x THEN wx[j] WHEN j = x THEN wx[i]
+           WHEN NOT go OR f[i] = 0 OR f[j] = 0 THEN w[i][j]
+           WHEN (w[i][j] + wx[i] * f[j] + wx[j] * f[i] + wx[x] * f[i] * f[j]) / least(nz[i], nz[j]) < {min_rate} THEN w[i][j]
+           ELSE w[i][j] + wx[i] * f[j] + wx[j] * f[i] + wx[x] * f[i] * f[j] END)),
+    list_transform(range(1, n + 1), lambda i: list_transform(range(1, n + 1), lambda j:
+      CASE WHEN i = x THEN CASE WHEN go OR part[i][j] < 1e-3 THEN 0 ELSE part[i][j] END
+           WHEN go AND part[x][j] * f[i] >= 1e-3 / n THEN part[i][j] + part[x][j] * f[i] ELSE part[i][j] END))
+  FROM (SELECT *, list_transform(range(1, n + 1), lambda i: CASE WHEN NOT go THEN z[i] WHEN i = x THEN 0 ELSE z[i] + f[i] * z[x] END) AS nz
+        FROM (SELECT *, list_transform(range(1, n + 1), lambda i: CASE WHEN i = x OR wx[i] = 0 THEN 0 ELSE wx[i] / flow END) AS f, {goes} AS go
+              FROM (SELECT *, list_sum(list_transform(range(1, n + 1), lambda i: CASE WHEN i = x THEN 0 ELSE wx[i] END)) AS flow
+                    FROM (SELECT c.*, m.n, t.total, t.names, turns[k + 1] AS x,
+                                 list_transform(range(1, m.n + 1), lambda j: CASE WHEN c.w[turns[k + 1]][j] = 0 OR c.w[turns[k + 1]][j] / least(c.z[turns[k + 1]], c.z[j]) < {min_rate} THEN 0 ELSE c.w[turns[k + 1]][j] END) AS wx
+                          FROM cut c JOIN m ON m.run_id = c.run_id JOIN turns t ON t.run_id = c.run_id WHERE k < m.n))))),
+last AS (SELECT c.* FROM cut c JOIN m ON m.run_id = c.run_id WHERE c.k = m.n)"""
+#: Basins under a share go, but for each run's first; or fast ones, with a least rate.
+PRUNED = _PRUNED.format(lists=LISTS, goes="x <> 1 AND z[x] / total < 0.041", min_rate=0)
+#: The same over the edges of at least that rate.
+SPARSE_RUNS = 0.13
+PRUNED_SPARSE = _PRUNED.format(
+    lists=LISTS.replace("redges AS (SELECT * FROM rflow WHERE a <> b)", f"redges AS (SELECT f.* FROM rflow f JOIN rnodes x ON x.run_id = f.run_id AND x.b = f.a JOIN rnodes y ON y.run_id = f.run_id AND y.b = f.b WHERE f.a <> f.b AND w / least(x.z, y.z) >= {SPARSE_RUNS})"),
+    goes="x <> 1 AND z[x] / total < 0.041", min_rate=0)
+PRUNED_BY_FLOW = _PRUNED.format(lists=LISTS, goes="x <> 1 AND (z[x] / total < 0.02 OR flow / z[x] > 0.95)", min_rate=0.05)
+LEFT = """SELECT l.run_id, 'node' AS kind, b AS a, b, round(l.z[ids.k], 6) AS value FROM last l JOIN ids ON ids.run_id = l.run_id WHERE l.z[ids.k] > 0
+UNION ALL SELECT l.run_id, CASE WHEN x.k = y.k THEN 'self' ELSE 'edge' END, x.b, y.b, round(l.w[x.k][y.k], 6)
+FROM last l JOIN ids x ON x.run_id = l.run_id JOIN ids y ON y.run_id = l.run_id WHERE x.k <= y.k AND l.w[x.k][y.k] > 0"""
+PARTS = "parts AS (SELECT l.run_id, x.b AS final, y.b AS basin, l.part[x.k][y.k] AS part, l.z[x.k] AS z FROM last l JOIN ids x ON x.run_id = l.run_id JOIN ids y ON y.run_id = l.run_id WHERE l.part[x.k][y.k] > 0)"
+
+#: Basins that graphs are reduced to.
 KEEP = (0, 3, 7, 11, 20)
-REDUCED = _PRUNED.format(lists=LISTS, goes=f"turns[k + 1] NOT IN ({', '.join(str(k + 1) for k in KEEP)})")
+REDUCED = _PRUNED.format(lists=LISTS, goes=f"NOT list_contains({list(KEEP)}, names[x])", min_rate=0)

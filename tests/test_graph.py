@@ -20,27 +20,124 @@ def tables(spark, z, w, run=0):
     return nodes, edges
 
 
-def test_elimination_keeps_weight_and_matches_the_joins(spark):
+def sparse(w):
+    return [{j: v for j, v in enumerate(row) if v > 0} for row in w.tolist()]
+
+
+def in_turn(z, w, goes, min_rate=0.0, min_part=1e-3):
+    """Elimination on full matrices, step by step from its definition: z, w, shares."""
+    z, w, n, z0 = z.copy(), w.copy(), len(z), z.copy()
+    part = np.eye(n)
+    for x in sorted(range(n), key=lambda x: (z0[x], x)):
+        for y in range(n):
+            if w[x, y] and w[x, y] / min(z[x], z[y]) < min_rate:
+                w[x, y] = w[y, x] = 0
+        out = w[x].sum() - w[x, x]
+        if not goes(x, z, out):
+            part[x][part[x] < min_part] = 0
+            continue
+        f = w[x] / out
+        f[x] = 0
+        z = z + f * z[x]
+        z[x] = 0
+        for p in np.flatnonzero(f):
+            for q in np.flatnonzero(f):
+                if q <= p:
+                    new = w[p, q] + w[x, p] * f[q] + w[x, q] * f[p] + w[x, x] * f[p] * f[q]
+                    if new / min(z[p], z[q]) >= min_rate:
+                        w[p, q] = w[q, p] = new
+            kept = part[x] * f[p]
+            part[p] += np.where(kept >= min_part / n, kept, 0)
+        w[x], w[:, x], part[x] = 0, 0, 0
+    return z, w, part
+
+
+def as_arrays(n, z, near, parts):
+    w, share = np.zeros((n, n)), np.zeros((n, n))
+    for out, rows in ((w, near), (share, parts)):
+        for i, row in enumerate(rows):
+            out[i, list(row)] = list(row.values())
+    return z, w, share
+
+
+@pytest.mark.parametrize("seed, min_rate, max_outflow", [(1, 0.0, 1e6), (2, 0.0, 0.3), (3, 0.02, 1e6), (4, 0.05, 0.5), (5, 0.0, 1e6)])
+def test_elimination_against_full_matrices(seed, min_rate, max_outflow):
+    z, w = random_graph(14, seed)
+    w[2, 2] = 0.3  # a self-transition that is there from the start
+    limits = graph.PruneLimits(max_outflow, 0.05, min_rate)
+    total = z.sum()
+    want = in_turn(z, w, lambda x, z, out: x != 0 and (z[x] / total < 0.05 or out / z[x] > max_outflow), min_rate)
+    kept, *got = graph.eliminate(z, sparse(w), limits)
+    for ours, theirs in zip(as_arrays(14, *got), want):
+        assert np.allclose(ours, theirs)
+    assert kept.tolist() == np.flatnonzero(want[0]).tolist()
+
+
+def test_five_basins_of_which_two_go():
+    """Paths from a neighbour to itself make self-transitions, which later turns count."""
+    z = np.array([5.0, 4.0, 3.0, 1.0, 2.0])
+    w = np.zeros((5, 5))
+    for a, b, v in ((0, 1, 0.3), (0, 3, 0.2), (1, 3, 0.5), (2, 3, 0.4), (3, 4, 0.6), (2, 4, 0.7), (1, 4, 0.1)):
+        w[a, b] = w[b, a] = v
+    _, got, near, _ = graph.eliminate(z, sparse(w), graph.PruneLimits(), keep={0, 1, 2})
+    f = w[3] / w[3].sum()
+    one = w + np.outer(w[3], f) + np.outer(f, w[3])
+    one[3], one[:, 3] = 0, 0
+    g = one[4].copy()
+    own, g[4] = g[4], 0
+    h = g / g.sum()
+    two = one + np.outer(g, h) + np.outer(h, g) + own * np.outer(h, h)
+    assert own > 0
+    for x in range(3):
+        for y in range(3):
+            assert near[x].get(y, 0.0) == pytest.approx(two[x, y])
+
+
+def test_a_sum_below_the_least_rate_leaves_the_old_edge():
+    z = np.array([1.0, 1.0, 10.0])  # both have had their turn when the third goes
+    w = np.array([[0, 0.1, 0.1], [0.1, 0, 0.1], [0.1, 0.1, 0]])
+    _, _, near, _ = graph.eliminate(z, sparse(w), graph.PruneLimits(min_rate=0.05), keep={0, 1})
+    assert near[0][1] == 0.1 and 0 not in near[0]
+
+
+def test_dissolution_by_joins(spark):
     z, w = random_graph(8, 1)
-    near = [{j: v for j, v in enumerate(row) if v > 0} for row in w.tolist()]
-    kept, z2, near2, parts = graph.eliminate(z, near, graph.PruneLimits(min_share=0.05))
-    w2, share = np.zeros_like(w), np.zeros_like(w)
-    for i, row in enumerate(near2):
-        w2[i, list(row)] = list(row.values())
-    for i, row in enumerate(parts):
-        share[i, list(row)] = list(row.values())
-    assert abs(z2.sum() - z.sum()) < 1e-9 and np.allclose(share[kept].sum(axis=0)[kept], 1, atol=0.2)
-    gone = 3
     nodes, edges = tables(spark, z, w)
-    n2, e2 = graph.dissolve(nodes.drop("run_id"), edges.drop("run_id"), gone)
-    f = w[gone] / w[gone].sum()
-    for r in n2.collect():
-        assert abs(r.z - (z[r.b] + f[r.b] * z[gone])) < 1e-9
+    n2, e2 = nodes.drop("run_id"), edges.drop("run_id")
+    for gone in (3, 5):
+        n2, e2 = graph.dissolve(n2, e2, gone)
+    one = in_turn(np.where(np.arange(8) == 3, 1e-9, z), w, lambda x, *_: x == 3)
+    f = w[3] / w[3].sum()
+    z1 = np.where(np.arange(8) == 3, 0, z + f * z[3])
+    g = np.where(np.arange(8) == 5, 0, one[1][5])
+    h = g / g.sum()
+    two = one[1] + np.outer(g, h) + np.outer(h, g) + one[1][5, 5] * np.outer(h, h)
     made = {(r.a, r.b): r.w for r in e2.collect()}
+    for r in n2.collect():
+        assert r.z == pytest.approx(z1[r.b] + h[r.b] * z1[5])
     for a in range(8):
-        for b in range(a + 1, 8):
-            if gone not in (a, b):
-                assert abs(made.get((a, b), 0) - (w[a, b] + w[a, gone] * f[b] + w[b, gone] * f[a])) < 1e-9
+        for b in range(a, 8):
+            if not {a, b} & {3, 5}:
+                assert made.get((a, b), 0.0) == pytest.approx(two[a, b])
+
+
+@pytest.mark.parametrize("keep", [None, (0, 2, 9)])
+def test_rounds_give_what_turns_give(spark, keep):
+    first, second = random_graph(14, 6, 0.2), random_graph(10, 7, 0.15)
+    (n1, e1), (n2, e2) = tables(spark, *first), tables(spark, *second, run=1)
+    nodes, edges = n1.unionByName(n2), e1.unionByName(e2)
+    limits = graph.PruneLimits(max_outflow=0.6, min_share=0.04)
+    key = lambda df: {(r.run_id, r.kind, r.a, r.b): r.value for r in df.collect()}
+    ours, theirs = key(graph.prune_in_rounds(nodes, edges, limits, keep)), key(graph.prune(nodes, edges, limits, keep=keep))
+    assert ours.keys() == theirs.keys() and all(ours[k] == pytest.approx(theirs[k]) for k in ours)
+
+
+def test_basins_without_neighbours_go_with_their_weight(spark):
+    nodes = spark.createDataFrame([(0, 0, 5.0), (0, 1, 1.0), (0, 2, 0.1)], "run_id long, b long, z double")
+    edges = spark.createDataFrame([(0, 0, 1, 0.5)], "run_id long, a long, b long, w double")
+    for found in (graph.prune(nodes, edges, keep=(0,)), graph.prune_in_rounds(nodes, edges, keep=(0,))):
+        assert {(r.kind, r.a): r.value for r in found.collect() if r.kind == "node"} == {("node", 0): 6.0}
+        assert {(r.kind, r.a, r.b): r.value for r in found.collect() if r.kind == "self"} == {("self", 0, 0): pytest.approx(1.0)}
 
 
 @pytest.mark.parametrize("seed", range(4))
