@@ -30,7 +30,7 @@ from basinforge.llm.piece_bpe import MARK, Encoder
 from basinforge.llm.textcols import checkpointed, held, release, slices, text_bytes, tidied, utf8
 
 #: Bytes of texts that are merged side by side.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 3 << 20
 #: A pair of ids is A's id times this and B's id.
 PAIR = 1 << 20
 
@@ -38,7 +38,7 @@ PAIR = 1 << 20
 class PlainWordIds(WordIds):
     """The encoder of a tokenizers file to which the names of special tokens are plain text."""
 
-    MOST = 80_000
+    MOST = 120_000
 
     def __init__(self, path: str):
         super().__init__(path)
@@ -58,7 +58,7 @@ class PlainWordIds(WordIds):
 class FewerPieces(Encoder):
     """The encoder of a piece model beside another one in a worker."""
 
-    MOST = 60_000
+    MOST = 100_000
 
 
 class Side:
