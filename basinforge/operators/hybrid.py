@@ -146,25 +146,167 @@ def unpaired_windows(seq: str, most: int, celsius: float = 37.0, span: int | Non
     return out
 
 
-def unpaired_probabilities(runs: DataFrame, most: int = 4, celsius: float = 37.0, span: int | None = None) -> DataFrame:
-    """(strand, i, j, p) of each distinct strand among the runs, read from its 5' end."""
+def _codes(seq: str) -> np.ndarray:
+    """Letters as 0 to 3, others as 4."""
+    return np.array(["ACGU".find(c) if c in "ACGU" else 4 for c in seq], np.int64)
+
+
+def _fold_weights(celsius: float) -> tuple[np.ndarray, np.ndarray]:
+    """(whether two letters pair, the weight of a stack by its outer and its inner letters)."""
+    rt = energy.thermal_energy(celsius)
+    pairs, stacks = np.zeros((5, 5), bool), np.zeros((5, 5, 5, 5))
+    for p in PAIRS:
+        pairs["ACGU".find(p[0]), "ACGU".find(p[1])] = True
+    for letters, e in _STACK.items():
+        x = ["ACGU".find(c) for c in letters]
+        stacks[x[0], x[1], x[2], x[3]] = math.exp(-e / 100 / rt)
+    return pairs, stacks
+
+
+def local_unpaired_windows(seq: str, most: int, window: int, span: int | None = None, celsius: float = 37.0, least_loop: int = 3) -> list[tuple[int, int, float]]:
+    """(i, j, p): the mean, over all stretches of ``window`` letters that hold i..j, of the probability that i..j is unpaired in the stretch's fold.
+
+    Paired positions are less than ``span`` apart.  All stretches share one table of weights by start and length, and the sum over stretches of the logarithms of
+    their weights is differentiated backwards once; work is done for all starts at a time, and memory
+    grows with letters times ``window``.  A stretch of all letters makes it the fold of the whole strand.
+    """
+    n = len(seq)
+    if not n:
+        return []
+    window = min(window, n)
+    span = min(span or window, window)
+    x, (pairs, stacks), closing = _codes(seq), _fold_weights(celsius), math.exp(-4.0 / energy.thermal_energy(celsius))
+    # q[d + 1][i] is the weight of i..i + d (from 0), b[d][i] that of the pair (i, i + d), at[d] its stack on the pair within
+    q = [np.ones(n + 1)]
+    b: list[np.ndarray] = []
+    at: list[np.ndarray] = []
+    for d in range(window):
+        m = n - d
+        if least_loop < d < span:
+            inner = np.zeros(m) if d < least_loop + 3 else np.where(b[d - 2][1 : m + 1] > 0, stacks[x[:m], x[d:], x[1 : m + 1], x[d - 1 : n - 1]], 0.0)
+            at.append(inner)
+            b.append(np.where(pairs[x[:m], x[d:]], closing * q[d - 1][1 : m + 1] + (inner * b[d - 2][1 : m + 1] if d >= 2 else 0.0), 0.0))
+        else:
+            at.append(np.zeros(m))
+            b.append(np.zeros(m))
+        whole = q[d][:m].copy()
+        for k in range(least_loop + 1, min(d, span - 1) + 1):
+            whole += q[d - k][:m] * b[k][d - k : d - k + m]
+        q.append(whole)
+    dq, db = [np.zeros_like(v) for v in q], [np.zeros_like(v) for v in b]
+    dq[window] += 1 / q[window]
+    for d in range(window - 1, -1, -1):
+        m, g = n - d, dq[d + 1]
+        dq[d][:m] += g
+        for k in range(least_loop + 1, min(d, span - 1) + 1):
+            db[k][d - k : d - k + m] += g * q[d - k][:m]
+            dq[d - k][:m] += g * b[k][d - k : d - k + m]
+        if least_loop < d < span:
+            h = np.where(b[d] > 0, db[d], 0.0)
+            dq[d - 1][1 : m + 1] += h * closing
+            db[d - 2][1 : m + 1] += h * at[d]
+    around = [np.where(w > 0, v, 0.0) * closing for v, w in zip(db, b)]
+    # what stands left of position i within the innermost pair whose right end is i + e
+    left = [np.zeros(n + 1) for _ in range(span)]
+    for e in range(span):
+        for back in range(1, span - e):
+            d = e + back  # the pair (i - back, i + e)
+            if d > least_loop and n - d > 0:
+                left[e][back : n - e] += q[back - 1][1 : n - d + 1] * around[d]
+    out = []
+    for u in range(1, min(most, window) + 1):
+        starts = n - u + 1
+        total = np.zeros(starts)
+        for before in range(window - u + 1):  # letters of the stretch before i
+            lo, hi = before, n - window + before + 1
+            first = np.arange(lo, hi)
+            total[lo:hi] += q[before][first - before] * q[window - u - before][first + u] / q[window][first - before]
+        for y in range(1, span - u + 1):
+            e = u - 1 + y
+            if e < span and n - e > 0:
+                total[: n - e] += left[e][: n - e] * q[y - 1][u : u + n - e]
+        i = np.arange(starts)
+        stretches = np.minimum(i, n - window) - np.maximum(i + u - window, 0) + 1
+        out += [(int(k) + 1, int(k) + u, float(v)) for k, v in zip(i, total / stretches)]
+    return sorted(out)
+
+
+def conditional_windows(seq: str, most: int, least: int = 1, distance: int = 0, celsius: float = 37.0, span: int | None = None) -> list[tuple[int, int, int, int, float]]:
+    """(i, j, k, l, p): the probability that k..l is unpaired given that i..j is, for windows of ``least`` to ``most`` letters with at least ``distance`` letters between them.
+
+    A strand whose first window is closed to pairs is folded for each first window; its fold gives all second ones.
+    """
+    out = []
+    n = len(seq)
+    for i in range(1, n + 1):
+        for j in range(i + least - 1, min(n - distance - least, i + most - 1) + 1):
+            out += [(i, j, k, l, p) for k, l, p in windows_given(seq, i, j, most, celsius, span) if k > j + distance and l - k + 1 >= least]
+    return out
+
+
+def windows_given(seq: str, i: int, j: int, most: int, celsius: float = 37.0, span: int | None = None) -> list[tuple[int, int, float]]:
+    """(k, l, p): probability that k..l is unpaired in the folds that leave i..j unpaired."""
+    closed = seq[: i - 1] + "." * (j - i + 1) + seq[j:]
+    return local_unpaired_windows(closed, most, len(seq), span, celsius)
+
+
+def unpaired_probabilities(runs: DataFrame, most: int = 4, celsius: float = 37.0, span: int | None = None, window: int | None = None) -> DataFrame:
+    """(strand, i, j, p) of each distinct strand among the runs, read from its 5' end.
+
+    With ``window`` the mean over local folds of that many letters; else of the fold of the whole strand.
+    """
     strands = runs.select(F.explode(F.array("seq_a", "seq_b")).alias("strand")).distinct()
 
     def run(batches):
         for pdf in batches:
-            out = [(s, *x) for s in pdf.strand for x in unpaired_windows(s, most, celsius, span)]
+            out = [(s, *x) for s in pdf.strand for x in local_unpaired_windows(s, most, window or len(s), span, celsius)]
             yield pd.DataFrame(out, columns=["strand", "i", "j", "p"])
 
     return strands.mapInPandas(run, "strand string, i int, j int, p double")
 
 
-def strand_windows(runs: DataFrame, most: int, celsius: float = 37.0, span: int | None = None) -> tuple[DataFrame, DataFrame]:
+def conditional_probabilities(runs: DataFrame, most: int, least: int = 1, distance: int = 0, celsius: float = 37.0, span: int | None = None) -> DataFrame:
+    """(strand, i, j, k, l, p) of each distinct strand: p is the probability that k..l is unpaired given that i..j is.
+
+    A row of the kernel's input is one first window, so a long strand's folds spread over tasks.
+    """
+    strands = runs.select(F.explode(F.array("seq_a", "seq_b")).alias("strand")).distinct()
+    n = F.length("strand")
+    firsts = strands.where(n >= 2 * least + distance).select("strand", F.explode(F.sequence(F.lit(1), n - 2 * least - distance + 1)).alias("i"))
+    firsts = firsts.select("strand", "i", F.explode(F.sequence(F.col("i") + least - 1, F.least(n - distance - least, F.col("i") + most - 1))).alias("j"))
+
+    def run(batches):
+        for pdf in batches:
+            out = [(s, i, j, k, l, p) for s, i, j in zip(pdf.strand, pdf.i, pdf.j) for k, l, p in windows_given(s, i, j, most, celsius, span) if k > j + distance and l - k + 1 >= least]
+            yield pd.DataFrame(out, columns=["strand", "i", "j", "k", "l", "p"])
+
+    dealt = firsts.repartition("strand", "i")  # else a strand's folds stay in the task that made its rows
+    return dealt.mapInPandas(run, "strand string, i int, j int, k int, l int, p double")
+
+
+def joint_windows(runs: DataFrame, most: int, least: int, distance: int, celsius: float = 37.0, span: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(run_id, i, j, k, l, p) for the first and for the second strand, in each run's own positions: the probability that both windows are unpaired.
+
+    It is that of the one times that of the other given the one.
+    """
+    turned = runs.select("run_id", "seq_a", F.reverse("seq_b").alias("seq_b"))
+    single = unpaired_probabilities(turned, most, celsius, span).withColumnRenamed("p", "p1")
+    given = conditional_probabilities(turned, most, least, distance, celsius, span)
+    both = given.join(single, ["strand", "i", "j"]).select("strand", "i", "j", "k", "l", (F.col("p") * F.col("p1")).alias("p"))
+    n = F.length("seq_b")
+    first = turned.join(both, F.col("seq_a") == F.col("strand")).select("run_id", "i", "j", "k", "l", "p")
+    ends = {"i": "l", "j": "k", "k": "j", "l": "i"}
+    second = turned.join(both, F.col("seq_b") == F.col("strand")).select("run_id", *[(n - F.col(b) + 1).alias(a) for a, b in ends.items()], "p")
+    return first, second
+
+
+def strand_windows(runs: DataFrame, most: int, celsius: float = 37.0, span: int | None = None, window: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(run_id, i, j, p) for the first and for the second strand, in each run's own positions.
 
     The second strand is counted from its 3' end, and is turned round to be folded.
     """
     turned = runs.select("run_id", "seq_a", F.reverse("seq_b").alias("seq_b"))
-    windows = unpaired_probabilities(turned, most, celsius, span)
+    windows = unpaired_probabilities(turned, most, celsius, span, window)
     first = turned.join(windows, F.col("seq_a") == F.col("strand")).select("run_id", "i", "j", "p")
     n = F.length("seq_b")
     second = turned.join(windows, F.col("seq_b") == F.col("strand")).select("run_id", (n - F.col("j") + 1).alias("i"), (n - F.col("i") + 1).alias("j"), "p")

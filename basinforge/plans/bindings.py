@@ -26,6 +26,16 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select(F.col("s_suppkey").alias("run_id"), as_sequence(F.col("s_name")).alias("seq_a"), as_sequence(F.col("n_name")).alias("seq_b"))
 
 
+def long_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(run_id, seq_a, seq_b): a run for each supplier, its name against its nation's and region's."""
+    region = table(spark, sf_dir, "region").select("r_regionkey", "r_name")
+    nation = table(spark, sf_dir, "nation").join(F.broadcast(region), F.col("n_regionkey") == F.col("r_regionkey"))  # five regions, 25 nations at any scale
+    place = nation.select("n_nationkey", F.concat("n_name", "r_name").alias("place"))
+    supplier = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey")
+    both = supplier.join(F.broadcast(place), F.col("s_nationkey") == F.col("n_nationkey"))
+    return both.select(F.col("s_suppkey").alias("run_id"), as_sequence(F.col("s_name")).alias("seq_a"), as_sequence(F.col("place")).alias("seq_b"))
+
+
 def trade_runs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Nodes (run_id, b, z) and edges (run_id, a, b, w), a run for each year: nations, and the order lines between customers' and suppliers' nations."""
     line = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from basinforge.functions import energy, sequence
-from basinforge.operators import analysis, ctmc, graph, hybrid, landscape
+from basinforge.operators import analysis, ctmc, graph, hybrid, landscape, two_sites
 from basinforge.operators.lineage import checkpointed
 from basinforge.plans import bindings as B
 from basinforge.plans import sql as S
@@ -206,6 +206,24 @@ def unpaired_probabilities(spark, sf):
     return hybrid.unpaired_probabilities(B.runs(spark, sf))
 
 
+@query("local_unpaired_probabilities", f"""WITH RECURSIVE {S.RUNS}, whole AS ({_STRANDS}),
+piece AS (SELECT strand, s, substr(strand, CAST(s AS INT), 10) AS letters FROM (SELECT strand, unnest(range(1, greatest(length(strand) - 10, 0) + 2)) AS s FROM whole)),
+{S.folds("SELECT DISTINCT letters AS strand FROM piece")}, {S.windows(4)}
+SELECT w.strand, u.i + s - 1 AS i, u.j + s - 1 AS j, round(avg(p), 8) AS p FROM piece w JOIN unpaired u ON u.strand = w.letters GROUP BY ALL""", 8)
+def local_unpaired_probabilities(spark, sf):
+    return hybrid.unpaired_probabilities(B.runs(spark, sf), window=10)
+
+
+_TWO_WINDOWS = """SELECT x.strand, x.i, x.i + x.d AS j, y.i AS k, y.i + y.d AS l FROM
+  (SELECT *, unnest(range(2, 4)) AS d FROM (SELECT strand, unnest(range(1, length(strand) + 1)) AS i FROM strands)) x
+  JOIN (SELECT *, unnest(range(2, 4)) AS d FROM (SELECT strand, unnest(range(1, length(strand) + 1)) AS i FROM strands)) y ON x.strand = y.strand AND y.i > x.i + x.d + 2 AND y.i + y.d <= length(y.strand)"""
+
+
+@query("conditional_unpaired", f"WITH RECURSIVE {S.RUNS}, {S.folds(_STRANDS)}, {S.joint(_TWO_WINDOWS)} SELECT strand, i, j, k, l, round(p / p1, 8) AS p FROM joint", 8)
+def conditional_unpaired(spark, sf):
+    return hybrid.conditional_probabilities(B.runs(spark, sf), most=4, least=3, distance=2)
+
+
 _MODEL_SITES = f"""{S.folds("SELECT seq_a AS strand FROM runs UNION SELECT reverse(seq_b) FROM runs")},
 {S.windows(8)},
 span_a AS (SELECT run_id, i, j, p FROM runs JOIN unpaired ON strand = seq_a),
@@ -418,6 +436,52 @@ def basin_pair_weights(spark, sf):
     return weights.select("run_id", "basin", "k1", "k2", energy.free_energy(F.col("w")).alias("energy"))
 
 
+# states of up to two sites
+
+
+def _two_sites(spark, sf):
+    """Ranked states and moves of longer runs, at least six bases between two sites."""
+    r = B.long_runs(spark, sf)
+    sites = checkpointed(landscape.enumerate_sites(r))
+    ranked = checkpointed(two_sites.states(r, sites, two_sites.double_states(sites)))
+    return ranked, two_sites.moves(ranked, two_sites.sites_between(r))
+
+
+@query("two_site_states", f"WITH {S.TWO_STATES} SELECT run_id, rank, {', '.join(f'coalesce({c}, 0) AS {c}' for c in (*SITE, *landscape.SECOND))}, hybrid, energy FROM ranked")
+def two_site_states(spark, sf):
+    ranked, _ = _two_sites(spark, sf)
+    return ranked.select("run_id", "rank", *[F.coalesce(c, F.lit(0)).alias(c) for c in (*SITE, *landscape.SECOND)], "hybrid", "energy")
+
+
+@query("two_site_moves", f"WITH {S.TWO_EDGES} SELECT run_id, src, dst, CAST(kind AS BIGINT) AS kind, e_src, e_dst, e_ts FROM edges")
+def two_site_moves(spark, sf):
+    return _two_sites(spark, sf)[1]
+
+
+@query("two_site_basins", f"WITH RECURSIVE {S.TWO_BASINS} SELECT * FROM members")
+def two_site_basins(spark, sf):
+    ranked, moves = _two_sites(spark, sf)
+    return landscape.basin_members(landscape.resolve_parents(landscape.gradient_parents(ranked, moves)))
+
+
+_LONG_PAIRS = """pair AS (
+  SELECT x.run_id, x.i1, x.i2, x.j1, x.j2, y.i1 AS k1, y.i2 AS k2, y.j1 AS l1, y.j2 AS l2, x.hybrid + y.hybrid AS hybrid, seq_a, reverse(seq_b) AS seq_r, length(seq_b) + 1 AS n
+  FROM sites x JOIN sites y ON x.run_id = y.run_id AND y.i1 >= x.j1 + 7 AND y.i2 >= x.j2 + 7 JOIN runs r ON r.run_id = x.run_id)"""
+_LONG_JOINT = S.joint("SELECT seq_a AS strand, i1 AS i, j1 AS j, k1 AS k, l1 AS l FROM pair UNION SELECT seq_r, n - l2, n - k2, n - j2, n - i2 FROM pair")
+
+
+@query("two_site_energy_model", f"""{_PATHS.replace(S.RUNS, S.LONG_RUNS)}, {_MODEL_SITES}, {_LONG_PAIRS}, {_LONG_JOINT}
+SELECT * FROM (
+  SELECT run_id, i1, i2, j1, j2, k1, k2, l1, l2, hybrid, CAST(hybrid + round(-100 * {S.RT!r} * ln(a.p) - 100 * {S.RT!r} * ln(b.p)) AS BIGINT) AS energy
+  FROM pair p JOIN joint a ON a.strand = seq_a AND a.i = i1 AND a.j = j1 AND a.k = k1 AND a.l = l1
+  JOIN joint b ON b.strand = seq_r AND b.i = n - l2 AND b.j = n - k2 AND b.k = n - j2 AND b.l = n - i2) WHERE energy <= 1200""")
+def two_site_energy_model(spark, sf):
+    r, limits = B.long_runs(spark, sf), landscape.SiteLimits()
+    sites = checkpointed(landscape.enumerate_sites(r, limits, landscape.model_energies(r, limits)))
+    joint = two_sites.JointUnpaired(*hybrid.joint_windows(r, limits.most, limits.least, limits.distance))
+    return two_sites.double_states(sites, limits, joint).drop("h1", "h2")
+
+
 # graphs
 
 

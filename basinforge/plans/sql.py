@@ -81,21 +81,23 @@ OPEN_CLOSE = f"""
 EDGES = f"""{RANKED},
 edges AS ({GROW} UNION ALL {SHIFT} UNION ALL {OPEN_CLOSE})"""
 
-PARENTS = f"""{EDGES},
-parents AS MATERIALIZED (
+_PARENTS = """parents AS MATERIALIZED (
   SELECT r.run_id, r.rank, CASE WHEN r.rank > 0 AND e.e_ts <= r.energy THEN e.dst ELSE r.rank END AS parent
   FROM ranked r LEFT JOIN (
     SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY run_id, src ORDER BY e_ts, kind, dst) AS k FROM edges WHERE dst < src) WHERE k = 1) e
   ON r.run_id = e.run_id AND r.rank = e.src)"""
+PARENTS = f"""{EDGES},
+{_PARENTS}"""
 
-BASINS = f"""{PARENTS},
-walk AS (
+_WALK = """walk AS (
   SELECT run_id, rank, parent FROM parents
   UNION ALL
   SELECT w.run_id, w.rank, p.parent FROM walk w JOIN parents p ON w.run_id = p.run_id AND w.parent = p.rank WHERE p.parent <> p.rank),
 members AS (
   SELECT run_id, rank, root, dense_rank() OVER (PARTITION BY run_id ORDER BY root) - 1 AS basin
   FROM (SELECT run_id, rank, min(parent) AS root FROM walk GROUP BY run_id, rank))"""
+BASINS = f"""{PARENTS},
+{_WALK}"""
 
 SUMMARY = f"""{BASINS},
 summary AS (
@@ -193,6 +195,16 @@ rnodes AS (SELECT run_id, b, sum(w) AS z FROM (SELECT run_id, a AS b, w FROM rfl
 redges AS (SELECT * FROM rflow WHERE a <> b),
 rends AS (SELECT run_id, a AS s, b AS t, w FROM redges UNION ALL SELECT run_id, b, a, w FROM redges)"""
 
+def joint(asked: str) -> str:
+    """CTE after ``folds``: joint has, for each row (strand, i, j, k, l) of the query ``asked``, p, that of both windows unpaired, and p1, that of the first."""
+    mask = lambda i, j: f"(((1::BIGINT << CAST({j} - {i} + 1 AS INT)) - 1) << CAST({i} AS INT))"
+    return f"""both_masks AS (SELECT strand, paired, sum(w) AS w FROM fold GROUP BY ALL),
+asked AS ({asked}),
+joint AS (
+  SELECT s.strand, i, j, k, l, sum(w) FILTER (WHERE paired & ({mask("i", "j")} | {mask("k", "l")}) = 0) / sum(w) AS p, sum(w) FILTER (WHERE paired & {mask("i", "j")} = 0) / sum(w) AS p1
+  FROM asked s JOIN both_masks m ON m.strand = s.strand GROUP BY ALL)"""
+
+
 #: Each run's graph as lists: basins in order, rows of rates, and the waiting time and next basin's probabilities of each.
 LISTS = f"""{TRADE_RUNS},
 ids AS (SELECT run_id, b, z, CAST(row_number() OVER (PARTITION BY run_id ORDER BY b) AS INT) AS k FROM rnodes),
@@ -262,3 +274,61 @@ PARTS = "parts AS (SELECT l.run_id, x.b AS final, y.b AS basin, l.part[x.k][y.k]
 #: Basins that graphs are reduced to.
 KEEP = (0, 3, 7, 11, 20)
 REDUCED = _PRUNED.format(lists=LISTS, goes=f"NOT list_contains({list(KEEP)}, names[x])", min_rate=0)
+
+#: States of up to two sites, at least six bases between them, and their moves; every pair of states of a run is looked at.
+LONG_RUNS = f"""runs AS (
+  SELECT s_suppkey AS run_id, {_sequence("s_name")} AS seq_a, {_sequence("n_name || r_name")} AS seq_b
+  FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"""
+_EIGHT = "i1, i2, j1, j2, k1, k2, l1, l2"
+
+
+def _short(site: str) -> tuple[str, str]:
+    a, b = f"(l.{site[2:4]} - l.{site[:2]})", f"(l.{site[6:8]} - l.{site[4:6]})"
+    return f"{a} <= 7 AND {b} <= 7", _LOOP.format(a, b)
+
+
+def _changed(site: tuple[str, ...], kinds: tuple[int, int]) -> str:
+    """From each state l to the smaller s that differs in one end of that site."""
+    others = [c for c in ("i1", "i2", "j1", "j2", "k1", "k2", "l1", "l2") if c not in site]
+    same = " AND ".join(f"l.{c} IS NOT DISTINCT FROM s.{c}" for c in others)
+    i1, i2, j1, j2 = site
+    left, right = f"l.{i1} = s.{i1} AND l.{i2} = s.{i2}", f"l.{j1} = s.{j1} AND l.{j2} = s.{j2}"
+    ends = []
+    for kind, fixed, d in ((kinds[0], right, (f"(s.{i1} - l.{i1})", f"(s.{i2} - l.{i2})")), (kinds[1], left, (f"(l.{j1} - s.{j1})", f"(l.{j2} - s.{j2})"))):
+        ends.append(f"SELECT l.run_id, l.rank AS l, s.rank AS s, {kind} AS there, {kind} AS back, l.energy AS el, s.energy AS es, s.hybrid + l.energy - l.hybrid + {_LOOP.format(*d)} AS e_ts FROM ranked l JOIN ranked s ON l.run_id = s.run_id AND {same} AND {fixed} WHERE {d[0]} BETWEEN 1 AND 5 AND {d[1]} BETWEEN 1 AND 5")
+    for end, sign in ((i1, 1), (i2, 1), (j1, -1), (j2, -1)):
+        fixed = " AND ".join(f"l.{c} = s.{c}" for c in site if c != end)
+        ends.append(f"SELECT l.run_id, l.rank, s.rank, 4, 4, l.energy, s.energy, s.hybrid + l.energy - l.hybrid FROM ranked l JOIN ranked s ON l.run_id = s.run_id AND {same} AND {fixed} WHERE {sign} * (s.{end} - l.{end}) BETWEEN 1 AND 3")
+    return " UNION ALL ".join(ends)
+
+
+_ONE, _OTHER = _short("i1j1i2j2"), _short("k1l1k2l2")
+TWO_STATES = f"""{SITES.replace(RUNS, LONG_RUNS)},
+double AS (
+  SELECT x.run_id, x.i1, x.i2, x.j1, x.j2, y.i1 AS k1, y.i2 AS k2, y.j1 AS l1, y.j2 AS l2, x.hybrid AS h1, y.hybrid AS h2, x.hybrid + y.hybrid AS hybrid, x.energy + y.energy AS energy
+  FROM sites x JOIN sites y ON x.run_id = y.run_id AND y.i1 >= x.j1 + 7 AND y.i2 >= x.j2 + 7 WHERE x.energy + y.energy <= 1200),
+states AS (
+  SELECT * FROM double
+  UNION ALL SELECT run_id, i1, i2, j1, j2, NULL, NULL, NULL, NULL, hybrid, NULL, hybrid, energy FROM sites
+  UNION ALL SELECT run_id, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 0, -{energy.DUPLEX_INIT} FROM runs),
+ranked AS MATERIALIZED (
+  SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY i1 IS NOT NULL, energy, concat_ws(chr(9), printf('%.6f', energy / 100.0), {_EIGHT})) - 1 AS rank FROM states)"""
+TWO_EDGES = f"""{TWO_STATES},
+half AS (
+  {_changed(("i1", "i2", "j1", "j2"), (0, 1))}
+  UNION ALL {_changed(("k1", "k2", "l1", "l2"), (2, 3))}
+  UNION ALL SELECT l.run_id, l.rank, s.rank, 5, 6, l.energy, s.energy, l.energy - l.hybrid + {_ONE[1]} FROM ranked l JOIN ranked s ON l.run_id = s.run_id AND s.i1 IS NULL WHERE l.k1 IS NULL AND {_ONE[0]}
+  UNION ALL SELECT l.run_id, l.rank, s.rank, 5, 7, l.energy, s.energy, l.energy - l.hybrid + {_ONE[1]} + l.h2
+    FROM ranked l JOIN ranked s ON l.run_id = s.run_id AND s.k1 IS NULL AND s.i1 = l.k1 AND s.i2 = l.k2 AND s.j1 = l.l1 AND s.j2 = l.l2 WHERE {_ONE[0]}
+  UNION ALL SELECT l.run_id, l.rank, s.rank, 5, 8, l.energy, s.energy, l.energy - l.hybrid + {_OTHER[1]} + l.h1
+    FROM ranked l JOIN ranked s ON l.run_id = s.run_id AND s.k1 IS NULL AND s.i1 = l.i1 AND s.i2 = l.i2 AND s.j1 = l.j1 AND s.j2 = l.j2 WHERE {_OTHER[0]}
+  UNION ALL SELECT l.run_id, l.rank, s.rank, 9, 10, l.energy, s.energy, s.energy - s.hybrid + l.hybrid + n.along - m.along
+    FROM ranked l JOIN ranked s ON l.run_id = s.run_id AND s.k1 IS NULL AND s.i1 = l.i1 AND s.i2 = l.i2 AND s.j1 = l.l1 AND s.j2 = l.l2
+    JOIN grid m ON m.run_id = l.run_id AND m.i1 = l.j1 AND m.i2 = l.j2 JOIN grid n ON n.run_id = l.run_id AND n.i1 = l.k1 AND n.i2 = l.k2
+    WHERE l.k1 = l.j1 + 7 AND l.k2 = l.j2 + 7),
+edges AS (
+  SELECT run_id, l AS src, s AS dst, there AS kind, el AS e_src, es AS e_dst, CAST(e_ts AS BIGINT) AS e_ts FROM half
+  UNION ALL SELECT run_id, s, l, back, es, el, CAST(e_ts AS BIGINT) FROM half)"""
+TWO_BASINS = f"""{TWO_EDGES},
+{_PARENTS},
+{_WALK}"""
