@@ -7,65 +7,146 @@ is: they are the groups of the kernels.
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basinforge.functions import energy
+from basinforge.functions import energy, loops
 from basinforge.functions.sequence import PAIRS
 
 
 @dataclass(frozen=True)
 class HybridSpec:
-    """Greatest site length and length difference, unpaired bases in a loop, temperature."""
+    """Greatest site length and length difference, unpaired bases in a loop, temperature, loop parameters."""
 
     most: int = 8
     difference: int = 8
     loop: int = 6
     celsius: float = 37.0
+    table: loops.LoopTable = field(default_factory=loops.LoopTable.plain)
 
 
 _STACK = energy.stack_table()
-
-
-def step_energy(a: str, b: str, a2: str, b2: str, d1: int, d2: int) -> int:
-    """Stack or interior loop between two pairs, in hundredths of kcal/mol."""
-    if d1 == 1 and d2 == 1:
-        return _STACK[a + b + a2 + b2]
-    return 100 + 20 * (d1 + d2 - 2) + 50 * abs(d1 - d2)
+#: Numbers that a batch of left ends may hold at once.
+BATCH_VALUES = 2_000_000
+
+
+class HybridBatch:
+    """The weights of all sites of many left ends at once: one step for each pair of offsets and each loop, over all left ends."""
+
+    def __init__(self, strands: list[tuple[str, str]], lefts: list[tuple[int, int]], spec: HybridSpec):
+        self.spec = spec
+        kept = {s: loops.codes(s) for pair in set(strands) for s in pair}
+        self.letters = np.full((2, len(lefts), spec.most + 1), loops.OTHER, np.int64)
+        for r, (pair, at) in enumerate(zip(strands, lefts)):
+            for k in (0, 1):
+                own = kept[pair[k]][at[k] - 1 : at[k] + spec.most]
+                self.letters[k, r, : len(own)] = own
+        self.q = np.zeros((spec.most, spec.most, len(lefts)))
+        self.q[0, 0] = 1.0
+        self.can = loops.pairable()
+
+    def steps(self, a: int, b: int) -> list[tuple[int, int, np.ndarray]]:
+        """(d1, d2, weight): of sites to the offsets a and b whose last pair but one is d1 and d2 before."""
+        out, x, spec = [], self.letters, self.spec
+        rt = energy.thermal_energy(spec.celsius)
+        here = self.can[x[0, :, a], x[1, :, b]]
+        for d1 in range(1, min(a, spec.loop + 1) + 1):
+            for d2 in range(1, min(b, spec.loop + 2 - d1) + 1):
+                before = self.q[a - d1, b - d2]
+                rows = np.flatnonzero(here & (before > 0))
+                if len(rows):
+                    c, e = a - d1, b - d2
+                    at = lambda i, j: np.stack([x[0, rows, i], x[1, rows, j]])  # noqa: B023, E731
+                    weight = np.zeros(len(before))
+                    weight[rows] = before[rows] * np.exp(-spec.table.energies(d1, d2, at(c, e), at(a, b), at(c + 1, e + 1), at(a - 1, b - 1)) / 100 / rt)
+                    out.append((d1, d2, weight))
+        return out
+
+    def run(self) -> HybridBatch:
+        for a in range(1, self.spec.most):
+            for b in range(1, self.spec.most):
+                for _, _, weight in self.steps(a, b):
+                    self.q[a, b] += weight
+        return self
+
+    def _near(self) -> np.ndarray:
+        n = np.arange(self.spec.most)
+        return np.abs(n[:, None] - n[None, :]) <= self.spec.difference
+
+    def sites(self) -> tuple[np.ndarray, ...]:
+        """(left end's place, offset, offset, weight) of all sites within the length difference."""
+        a, b, left = np.nonzero((self.q > 0) & self._near()[:, :, None])
+        return left, a, b, self.q[a, b, left]
+
+    def conditional(self) -> tuple[np.ndarray, ...]:
+        """(left end's place, offset, offset, u1, u2, weight): of each site with u1 and u2 letters before its last pair unpaired.
+
+        The steps to a site lie in a table by the letters that they leave unpaired; sums over it from both sides give all u1 and u2.
+        """
+        near, parts = self._near(), []
+        most = self.spec.loop + 1
+        for a in range(1, self.spec.most):
+            for b in range(1, self.spec.most):
+                if not near[a, b]:
+                    continue
+                table = np.zeros((most, most, self.q.shape[2]))
+                for d1, d2, weight in self.steps(a, b):
+                    table[d1 - 1, d2 - 1] = weight
+                sums = table[::-1, ::-1].cumsum(axis=0).cumsum(axis=1)[::-1, ::-1]
+                u1, u2, left = np.nonzero(sums)
+                parts.append((left, np.full(len(left), a), np.full(len(left), b), u1, u2, sums[u1, u2, left]))
+        return tuple(np.concatenate(c) for c in zip(*parts)) if parts else (np.zeros(0, np.int64),) * 5 + (np.zeros(0),)
 
 
 def hybrid_weights(seq_a: str, seq_b: str, i1: int, i2: int, spec: HybridSpec) -> list[tuple[int, int, float]]:
     """(j1, j2, q) with q > 0 of all right ends for the left end (i1, i2), positions from 1."""
-    rt = energy.thermal_energy(spec.celsius)
-    q = {(i1, i2): 1.0}
-    for j1 in range(i1 + 1, min(i1 + spec.most - 1, len(seq_a)) + 1):
-        for j2 in range(i2 + 1, min(i2 + spec.most - 1, len(seq_b)) + 1):
-            if seq_a[j1 - 1] + seq_b[j2 - 1] not in PAIRS:
-                continue
-            total = 0.0
-            for (k1, k2), w in q.items():
-                d1, d2 = j1 - k1, j2 - k2
-                if d1 > 0 and d2 > 0 and d1 + d2 - 2 <= spec.loop:
-                    total += w * math.exp(-step_energy(seq_a[k1 - 1], seq_b[k2 - 1], seq_a[j1 - 1], seq_b[j2 - 1], d1, d2) / 100 / rt)
-            if total > 0:
-                q[j1, j2] = total
-    return [(j1, j2, w) for (j1, j2), w in q.items() if abs((j1 - i1) - (j2 - i2)) <= spec.difference]
+    _, a, b, q = HybridBatch([(seq_a, seq_b)], [(i1, i2)], spec).run().sites()
+    return [(i1 + int(x), i2 + int(y), float(w)) for x, y, w in zip(a, b, q)]
+
+
+def _by_batches(rows: DataFrame, spec: HybridSpec, made: Callable[[HybridBatch], dict[str, np.ndarray]], schema: str) -> DataFrame:
+    """``made``'s rows of batches of left ends (run_id, i1, i2, seq_a, seq_b), offsets as positions."""
+    size = max(1, BATCH_VALUES // (spec.most * spec.most))
+
+    def run(batches):
+        for whole in batches:
+            for k in range(0, len(whole), size):
+                pdf = whole.iloc[k : k + size]
+                out = made(HybridBatch(list(zip(pdf.seq_a, pdf.seq_b)), list(zip(pdf.i1, pdf.i2)), spec).run())
+                left = out.pop("left")
+                i1, i2 = pdf.i1.to_numpy()[left], pdf.i2.to_numpy()[left]
+                yield pd.DataFrame({"run_id": pdf.run_id.to_numpy()[left], "i1": i1, "i2": i2, "j1": i1 + out.pop("a"), "j2": i2 + out.pop("b"), **out})
+
+    return rows.mapInPandas(run, schema)
 
 
 def hybrid_partition(runs: DataFrame, left_ends: DataFrame, spec: HybridSpec = HybridSpec()) -> DataFrame:
     """(run_id, i1, i2, j1, j2, q) of all sites from the pairable left ends (run_id, i1, i2)."""
     rows = left_ends.join(runs.select("run_id", "seq_a", "seq_b"), "run_id")
+    made = lambda batch: dict(zip(("left", "a", "b", "q"), batch.sites()))
+    return _by_batches(rows, spec, made, "run_id long, i1 int, i2 int, j1 int, j2 int, q double")
 
-    def run(batches):
-        for pdf in batches:
-            out = [(r, a, b, *x) for r, a, b, s, t in zip(pdf.run_id, pdf.i1, pdf.i2, pdf.seq_a, pdf.seq_b) for x in hybrid_weights(s, t, a, b, spec)]
-            yield pd.DataFrame(out, columns=["run_id", "i1", "i2", "j1", "j2", "q"])
 
-    return rows.mapInPandas(run, "run_id long, i1 int, i2 int, j1 int, j2 int, q double")
+def conditional_hybrid(runs: DataFrame, left_ends: DataFrame, spec: HybridSpec = HybridSpec(), left: bool = False) -> DataFrame:
+    """(run_id, i1, i2, j1, j2, u1, u2, q): weights of sites with u1 and u2 letters next to their right end's pair (``left``: the left end's) unpaired.
+
+    The left ends' weights are the right ends' of both strands turned round and exchanged.
+    """
+    made = lambda batch: dict(zip(("left", "a", "b", "u1", "u2", "q"), batch.conditional()))
+    schema = "run_id long, i1 int, i2 int, j1 int, j2 int, u1 int, u2 int, q double"
+    strands = runs.select("run_id", "seq_a", "seq_b")
+    if not left:
+        return _by_batches(left_ends.join(strands, "run_id"), spec, made, schema)
+    n1, n2 = F.length("seq_a"), F.length("seq_b")
+    turned = left_ends.join(strands, "run_id").select("run_id", (n2 - F.col("i2") + 1).alias("i1"), (n1 - F.col("i1") + 1).alias("i2"), F.reverse("seq_b").alias("seq_a"), F.reverse("seq_a").alias("seq_b"))
+    found = _by_batches(turned, replace(spec, table=spec.table.turned()), made, schema).join(runs.select("run_id", n1.alias("n1"), n2.alias("n2")), "run_id")
+    back = {"i1": F.col("n1") - F.col("j2") + 1, "i2": F.col("n2") - F.col("j1") + 1, "j1": F.col("n1") - F.col("i2") + 1, "j2": F.col("n2") - F.col("i1") + 1}
+    return found.select("run_id", *[v.cast("int").alias(k) for k, v in back.items()], F.col("u2").alias("u1"), F.col("u1").alias("u2"), "q")
 
 
 def interaction_probability(hybrid: DataFrame) -> DataFrame:
@@ -146,21 +227,11 @@ def unpaired_windows(seq: str, most: int, celsius: float = 37.0, span: int | Non
     return out
 
 
-def _codes(seq: str) -> np.ndarray:
-    """Letters as 0 to 3, others as 4."""
-    return np.array(["ACGU".find(c) if c in "ACGU" else 4 for c in seq], np.int64)
-
-
 def _fold_weights(celsius: float) -> tuple[np.ndarray, np.ndarray]:
-    """(whether two letters pair, the weight of a stack by its outer and its inner letters)."""
-    rt = energy.thermal_energy(celsius)
-    pairs, stacks = np.zeros((5, 5), bool), np.zeros((5, 5, 5, 5))
-    for p in PAIRS:
-        pairs["ACGU".find(p[0]), "ACGU".find(p[1])] = True
-    for letters, e in _STACK.items():
-        x = ["ACGU".find(c) for c in letters]
-        stacks[x[0], x[1], x[2], x[3]] = math.exp(-e / 100 / rt)
-    return pairs, stacks
+    """(whether two letters pair, the weight of a stack by its outer and its inner letters; none where letters can't pair)."""
+    pairs = loops.pairable()
+    both = pairs[:, :, None, None] & pairs[None, None, :, :]
+    return pairs, np.where(both, np.exp(-loops.LoopTable.plain().stack / 100 / energy.thermal_energy(celsius)), 0.0)
 
 
 def local_unpaired_windows(seq: str, most: int, window: int, span: int | None = None, celsius: float = 37.0, least_loop: int = 3) -> list[tuple[int, int, float]]:
@@ -175,7 +246,7 @@ def local_unpaired_windows(seq: str, most: int, window: int, span: int | None =
         return []
     window = min(window, n)
     span = min(span or window, window)
-    x, (pairs, stacks), closing = _codes(seq), _fold_weights(celsius), math.exp(-4.0 / energy.thermal_energy(celsius))
+    x, (pairs, stacks), closing = loops.codes(seq), _fold_weights(celsius), math.exp(-4.0 / energy.thermal_energy(celsius))
     # q[d + 1][i] is the weight of i..i + d (from 0), b[d][i] that of the pair (i, i + d), at[d] its stack on the pair within
     q = [np.ones(n + 1)]
     b: list[np.ndarray] = []

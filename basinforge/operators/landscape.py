@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from basinforge.functions import energy, sequence
+from basinforge.functions.loops import LoopTable
 from basinforge.operators import hybrid as hybrid_model
 from basinforge.operators.lineage import checkpointed, forget, numbered
 
@@ -64,11 +65,13 @@ class ModelEnergies:
     celsius: float = 37.0
 
 
-def model_energies(runs: DataFrame, limits: SiteLimits = SiteLimits(), celsius: float = 37.0, span: int | None = None) -> ModelEnergies:
-    """The partition functions that the sites within the limits need."""
-    spec = hybrid_model.HybridSpec(limits.most, limits.difference, limits.unpaired_in_loop, celsius)
+def model_energies(
+    runs: DataFrame, limits: SiteLimits = SiteLimits(), celsius: float = 37.0, span: int | None = None, window: int | None = None, table: LoopTable | None = None
+) -> ModelEnergies:
+    """The partition functions that the sites within the limits need; with local folds of ``window`` letters and the loop parameters of ``table``, if given."""
+    spec = hybrid_model.HybridSpec(limits.most, limits.difference, limits.unpaired_in_loop, celsius, table or LoopTable.plain())
     hybrid = hybrid_model.hybrid_partition(runs, pairable_positions(runs), spec)
-    return ModelEnergies(hybrid, *hybrid_model.strand_windows(runs, limits.most, celsius, span), celsius)
+    return ModelEnergies(hybrid, *hybrid_model.strand_windows(runs, limits.most, celsius, span, window), celsius)
 
 
 def _within(sites: DataFrame, limits: SiteLimits) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from basinforge.functions.sequence import PAIRS
+
 LETTERS, BASES = "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "ACGU" * 9
 
 
@@ -36,6 +38,22 @@ def long_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select(F.col("s_suppkey").alias("run_id"), as_sequence(F.col("s_name")).alias("seq_a"), as_sequence(F.col("place")).alias("seq_b"))
 
 
+def loop_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(kind, key, value) loop parameters made of ``part``: mean prices by size for loops, numbers of parts for letters."""
+    part, k = table(spark, sf_dir, "part"), F.col("k")
+    kept = part.select((F.col("p_size") % 6 + 1).alias("n"), F.col("p_retailprice").alias("v"), F.pmod("p_partkey", F.lit(96)).cast("int").alias("k"))
+    mean = kept.groupBy("n").agg(F.floor(F.avg("v")).cast("int").alias("v"))
+    letters = F.array(*map(F.lit, "ACGU"))
+    pair = F.element_at(F.array(*map(F.lit, PAIRS)), (k % 6 + 1).cast("int"))
+    letter = lambda by: F.element_at(letters, (F.floor(k / by) % 4 + 1).cast("int"))
+    counts = kept.groupBy("k").agg(F.count(F.lit(1)).cast("int").alias("c"))
+    row = lambda kind, key, value: [F.lit(kind).alias("kind"), key.cast("string").alias("key"), value.cast("int").alias("value")]
+    out = mean.select(*row("bulge", F.col("n"), F.col("v") % 200 + 200)).unionByName(mean.select(*row("interior", F.col("n"), F.col("v") % 150 + 90)))
+    out = out.unionByName(counts.select(*row("mismatch", F.concat(pair, letter(6), letter(24)), -(F.col("c") * 7 + k) % 90)))
+    out = out.unionByName(counts.where("k < 6").select(*row("terminal", pair, F.col("c") % 60)))
+    return out.unionByName(spark.range(1).select(*row("stacked_bulge", F.lit(""), F.lit(1))))
+
+
 def trade_runs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Nodes (run_id, b, z) and edges (run_id, a, b, w), a run for each year: nations, and the order lines between customers' and suppliers' nations."""
     line = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from basinforge.functions import energy, sequence
+from basinforge.functions.loops import LoopTable
 from basinforge.operators import analysis, ctmc, graph, hybrid, landscape, two_sites
 from basinforge.operators.lineage import checkpointed
 from basinforge.plans import bindings as B
@@ -190,6 +191,52 @@ def hybrid_pf(spark, sf):
     return _hybrid(spark, sf).select("run_id", *SITE, energy.free_energy(F.col("q")).alias("energy"))
 
 
+_PARAMETERS = """kept AS (SELECT p_size % 6 + 1 AS n, p_retailprice AS v, CAST(p_partkey % 96 AS INT) AS k FROM part),
+mean AS (SELECT map_from_entries(list((CAST(n AS INT), CAST(v AS INT)))) AS m FROM (SELECT n, floor(avg(v)) AS v FROM kept GROUP BY n)),
+counts AS (SELECT k, count(*) AS c, ['AU', 'CG', 'GC', 'GU', 'UA', 'UG'][k % 6 + 1] AS pair, ['A', 'C', 'G', 'U'][k // 6 % 4 + 1] || ['A', 'C', 'G', 'U'][k // 24 % 4 + 1] AS behind FROM kept GROUP BY k),
+mismatch AS (SELECT map_from_entries(list((pair || behind, CAST(-(c * 7 + k) % 90 AS INT)))) AS m FROM counts),
+terminal AS (SELECT map_from_entries(list((pair, CAST(c % 60 AS INT)))) AS m FROM counts WHERE k < 6)"""
+_D1, _D2 = "(r.i1 - p.j1)", "(r.i2 - p.j2)"
+_TABLE_STEP = f"""CASE WHEN {_D1} = 1 AND {_D2} = 1 THEN k.e
+  WHEN {_D1} = 1 OR {_D2} = 1 THEN (SELECT m FROM mean)[{_D1} + {_D2} - 2] % 200 + 200 + CASE WHEN {_D1} + {_D2} = 3 THEN k.e ELSE (SELECT m FROM terminal)[l.a || l.b] + (SELECT m FROM terminal)[r.a || r.b] END
+  ELSE (SELECT m FROM mean)[{_D1} + {_D2} - 2] % 150 + 90 + 50 * abs({_D1} - {_D2})
+    + coalesce((SELECT m FROM mismatch)[l.a || l.b || substr(z.seq_a, CAST(p.j1 + 1 AS INT), 1) || substr(z.seq_b, CAST(p.j2 + 1 AS INT), 1)], 0)
+    + coalesce((SELECT m FROM mismatch)[r.b || r.a || substr(z.seq_b, CAST(r.i2 - 1 AS INT), 1) || substr(z.seq_a, CAST(r.i1 - 1 AS INT), 1)], 0) END"""
+_PLAIN_STEP = "CASE WHEN r.i1 = p.j1 + 1 AND r.i2 = p.j2 + 1 THEN k.e ELSE 100 + 20 * (r.i1 - p.j1 + r.i2 - p.j2 - 2) + 50 * abs((r.i1 - p.j1) - (r.i2 - p.j2)) END"
+
+
+def _loop_table(spark, sf) -> LoopTable:
+    return LoopTable.from_rows(map(tuple, B.loop_rows(spark, sf).collect()))  # about a hundred rows at any scale
+
+
+@query("hybrid_pf_tables", f"""{_PATHS.replace(_PLAIN_STEP, _TABLE_STEP).replace("LEFT JOIN stack k", "JOIN runs z ON z.run_id = p.run_id LEFT JOIN stack k").replace("path AS (", _PARAMETERS + ",\npath AS (", 1)}
+SELECT run_id, i1, i2, j1, j2, round(-{S.RT!r} * ln(q), 6) AS energy FROM hybrid""", 6)
+def hybrid_pf_tables(spark, sf):
+    r = B.runs(spark, sf)
+    found = hybrid.hybrid_partition(r, landscape.pairable_positions(r), hybrid.HybridSpec(table=_loop_table(spark, sf)))
+    return found.select("run_id", *SITE, energy.free_energy(F.col("q")).alias("energy"))
+
+
+_STEP_TO = f"JOIN grid r ON r.run_id = p.run_id AND r.pairs AND r.i1 > p.j1 AND r.i2 > p.j2 AND r.i1 - p.j1 + r.i2 - p.j2 - 2 <= 6 LEFT JOIN stack k ON k.k = l.a || l.b || r.a || r.b"
+_FREE = "(SELECT unnest(range(0, 7)) AS u1) JOIN (SELECT unnest(range(0, 7)) AS u2) ON true"
+
+
+@query("conditional_hybrid_pf", f"""{_PATHS},
+ends AS (
+  SELECT 'right' AS side, p.run_id, p.i1, p.i2, r.i1 AS j1, r.i2 AS j2, {_D1} AS d1, {_D2} AS d2, p.q * exp(-{_PLAIN_STEP} / 100.0 / {S.RT!r}) AS q
+  FROM hybrid p JOIN grid l ON l.run_id = p.run_id AND l.i1 = p.j1 AND l.i2 = p.j2 {_STEP_TO} WHERE r.i1 - p.i1 <= 7 AND r.i2 - p.i2 <= 7
+  UNION ALL
+  SELECT 'left', p.run_id, p.j1, p.j2, h.j1, h.j2, {_D1}, {_D2}, h.q * exp(-{_PLAIN_STEP} / 100.0 / {S.RT!r})
+  FROM (SELECT run_id, i1 AS j1, i2 AS j2 FROM grid WHERE pairs) p JOIN grid l ON l.run_id = p.run_id AND l.i1 = p.j1 AND l.i2 = p.j2 {_STEP_TO}
+  JOIN hybrid h ON h.run_id = p.run_id AND h.i1 = r.i1 AND h.i2 = r.i2 WHERE h.j1 - p.j1 <= 7 AND h.j2 - p.j2 <= 7)
+SELECT side, run_id, i1, i2, j1, j2, u1, u2, round(-{S.RT!r} * ln(sum(q)), 6) AS energy FROM ends, (SELECT * FROM {_FREE}) WHERE d1 > u1 AND d2 > u2 GROUP BY ALL""", 6)
+def conditional_hybrid_pf(spark, sf):
+    r = B.runs(spark, sf)
+    pairs = landscape.pairable_positions(r)
+    right, left = (hybrid.conditional_hybrid(r, pairs, left=at_left).withColumn("side", F.lit(side)) for side, at_left in (("right", False), ("left", True)))
+    return right.unionByName(left).select("side", "run_id", *SITE, "u1", "u2", energy.free_energy(F.col("q")).alias("energy"))
+
+
 @query("interaction_probability", f"""{_PATHS}
 SELECT l.run_id, l.i1, l.i2, w.j1, w.j2, l.j1 AS k1, l.j2 AS k2, round(l.q * r.q / w.q, 6) AS p
 FROM hybrid l JOIN hybrid r ON l.run_id = r.run_id AND l.j1 = r.i1 AND l.j2 = r.i2

@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from basinforge.functions.loops import LoopTable
 from basinforge.functions.sequence import is_sequence, normalize
 
 STOP = 2**64 - 1
@@ -45,6 +46,11 @@ def states(spark: SparkSession, path: str) -> DataFrame:
     return state_lines(spark.read.text(path).where(F.trim("value") != ""))
 
 
+def loop_table(spark: SparkSession, path: str) -> LoopTable:
+    """Loop parameters of a tab-separated file of kind, key and value (hundredths of kcal/mol); a few thousand rows at most, which the driver takes."""
+    return LoopTable.from_rows(map(tuple, spark.read.csv(path, sep="\t", schema="kind string, key string, value int").collect()))
+
+
 def basin_graph(spark: SparkSession, path: str) -> DataFrame:
     """(path, i, j, w) of binary basin graphs; rows with i = j hold the basin's weight.
 
