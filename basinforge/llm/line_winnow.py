@@ -5,11 +5,15 @@ the fewest lines with ``least_words`` words.  The least line hash of each window
 is its fingerprint (winnowing, with windows measured in words): two equal runs
 of lines with that many words contain two equal windows, and those select the same
 line.  Only selected lines are kept as rows, each with the lines about it as far as the windows
-that selected it reach.  Their positions are joined by fingerprint; one that stands at a single place is no
-repeat.  From each of the others the match is extended to the left and the right, line hash by line hash, and must
-fill a window; the window's first place, in order of id and line, is kept, and at a later place
-it is a repeat.  Repeats that overlap or adjoin make one run, which is deleted with the blank lines
-inside.
+that selected it reach.
+
+Their positions are joined by fingerprint: each place with the first one, in order of id and line.  The match is
+extended from the selected line to the left and to the right, line hash by line hash, over both places' lines; a window that
+it fills is a repeat of the first place, unless it overlaps that in one document.  Where a window goes beyond the match,
+others that are equal to it leave the first place at the same line with the same hash: they meet again under that, in a
+further round, whose first place agrees with them for at least one line more.  So rounds are no more than a window's lines, no
+pairs are made but with first places, and a fingerprint at a single place is none's repeat.
+Repeats that overlap or adjoin make one run, which is deleted with the blank lines inside.
 
 So a line is deleted just if it lies in a run of at least ``least_words`` words
 that stands earlier in the table and does not overlap that earlier place.  Lines are
@@ -22,6 +26,8 @@ kept as they are.  An empty table gives no rows.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -44,9 +50,9 @@ def selected_lines(docs: DataFrame, least_words: int, id_col: str = "doc_id", te
 
     ``windows`` is in order; each has its first and last line, among all lines and among those
     with words (``_nth``), and the words before it and up to its end.  ``about`` has
-    the hashes of the lines with words from the first window's start to the last one's end.
+    the hashes and places of the lines with words from the first window's start to the last one's end, ``chosen`` the selected line's place.
     """
-    line = F.struct(F.xxhash64("__line").alias("h"), F.crc32(F.col("__line").cast("binary")).alias("c"))
+    line = F.struct(F.xxhash64("__line").alias("h"), F.crc32(F.col("__line").cast("binary")).alias("c"), F.col("__at").alias("at"))
     lines = (
         _keyed(docs, id_col, text_col, F.posexplode(F.split(docs[text_col].cast("string"), "\n")).alias("__at", "__line"))
         .withColumn("__words", F.regexp_count("__line", F.lit(WORD)))
@@ -74,21 +80,74 @@ def selected_lines(docs: DataFrame, least_words: int, id_col: str = "doc_id", te
     )
     one, other = F.element_at("windows", 1), F.element_at("windows", -1)
     rest = F.slice("tail", one["last_nth"] - other["first_nth"] + 2, other["last_nth"] - one["last_nth"])
-    return marks.select(*_KEY, "fingerprint", "windows", F.concat("head", rest).alias("about"))
+    return marks.select(*_KEY, "fingerprint", (-F.col("chosen")).alias("chosen"), "windows", F.concat("head", rest).alias("about"))
+
+
+def _agrees(own: Column, other: Column) -> Column:
+    """How many of the first lines of two arrays are equal."""
+    same = F.zip_with(own, other, lambda a, b: F.coalesce((a["h"] == b["h"]) & (a["c"] == b["c"]), F.lit(False)))
+    differs = F.array_position(same, F.lit(False))
+    return F.when(differs == 0, F.size(same)).otherwise(differs - 1).cast("int")
+
+
+def _sides(about: Column, chosen: Column) -> tuple[Column, Column]:
+    """The lines left of the chosen one, nearest first, and those right of it."""
+    return F.reverse(F.filter(about, lambda x: x["at"] < chosen)), F.filter(about, lambda x: x["at"] > chosen)
+
+
+def _extended(places: DataFrame) -> DataFrame:
+    """Each window of each place with the match between its place and the first one that shares its ``join`` key.
+
+    (key, w, own place, left and right lines, l and r: the window's lines on both sides, agree_l and agree_r: the lines that
+    agree, first: the first place, with its lines).  Keys at a single place are left out.
+    """
+    common = places.groupBy("join").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("join")
+    met = spread_join(places, common, "join")
+    place = F.struct(*_KEY, "chosen")
+    firsts = met.groupBy("join").agg(F.min_by(F.struct(*_KEY, "chosen", "about"), place).alias("first"))
+    both = spread_join(met, firsts, "join")
+    own, other = _sides(F.col("about"), F.col("chosen")), _sides(F.col("first.about"), F.col("first.chosen"))
+    both = both.select(*_KEY, "join", "chosen", "first", "windows", own[0].alias("left"), own[1].alias("right"), other[0].alias("first_left"), other[1].alias("first_right"))
+    both = both.withColumn("agree_l", _agrees(F.col("left"), F.col("first_left"))).withColumn("agree_r", _agrees(F.col("right"), F.col("first_right")))
+    each = both.withColumn("w", F.explode("windows")).drop("windows")
+    inside = lambda side, ok: F.size(F.filter(F.col(side), ok))
+    return each.withColumn("l", inside("left", lambda x: x["at"] >= F.col("w.first"))).withColumn("r", inside("right", lambda x: x["at"] <= F.col("w.last")))
+
+
+def _repeats(found: DataFrame) -> DataFrame:
+    """The windows that the match with a first place fills, but for that place's own and those that overlap it."""
+    filled = found.where("l <= agree_l AND r <= agree_r")
+    last = F.when(F.col("r") > 0, F.element_at(F.col("first_right.at"), F.greatest(F.col("r"), F.lit(1)))).otherwise(F.col("first.chosen"))
+    same_doc = F.col("first.__id").eqNullSafe(F.col("__id")) & (F.col("first.__hash") == F.col("__hash"))
+    return filled.where(~same_doc | (F.col("w.first") > last)).select(*_KEY, "w.*")
+
+
+def _beyond(found: DataFrame) -> DataFrame:
+    """The windows that go beyond the match, as places that meet again where and how they leave it."""
+    to_left = F.col("l") > F.col("agree_l")
+    line = F.when(to_left, F.element_at("left", F.col("agree_l") + 1)).otherwise(F.element_at("right", F.col("agree_r") + 1))
+    key = F.xxhash64("join", to_left, F.when(to_left, F.col("agree_l")).otherwise(F.col("agree_r")), line["h"], line["c"])
+    chosen = F.filter(F.col("first.about"), lambda x: x["at"] == F.col("first.chosen"))
+    own = F.transform(chosen, lambda x: F.struct(x["h"].alias("h"), x["c"].alias("c"), F.col("chosen").alias("at")))
+    about = F.concat(F.reverse(F.slice("left", F.lit(1), F.col("l"))), own, F.slice("right", F.lit(1), F.col("r")))
+    open_ = found.where("l > agree_l OR r > agree_r")
+    return open_.select(*_KEY, key.alias("join"), "chosen", F.array("w").alias("windows"), about.alias("about"))
 
 
 def repeated_runs(docs: DataFrame, least_words: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(key of the document, first, last, lines, words) of each run to delete; lines count from 0."""
-    marks = checkpointed(selected_lines(docs, least_words, id_col, text_col))
-    common = marks.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("fingerprint")
-    met = spread_join(marks, common, "fingerprint").select(*_KEY, "fingerprint", "about", F.element_at("windows", 1)["first_nth"].alias("from"), F.explode("windows").alias("w"))
-    # the selected line's neighbours to the left and to the right, as far as the window reaches
-    run = F.slice("about", F.col("w.first_nth") - F.col("from") + 1, F.col("w.last_nth") - F.col("w.first_nth") + 1)
-    met = met.select(*_KEY, "w.*", run.alias("run")).withColumn("content", F.xxhash64("run"))
-    place = F.struct(*_KEY, "first", "last")
-    firsts = met.groupBy("content", "run").agg(F.min(place).alias("origin"), F.count(F.lit(1)).alias("n")).where("n > 1").select("content", F.col("run").alias("first_run"), "origin")
-    same_doc = F.col("origin.__id").eqNullSafe(F.col("__id")) & (F.col("origin.__hash") == F.col("__hash"))
-    later = spread_join(met, firsts, "content").where(F.col("run") == F.col("first_run")).where(~same_doc | (F.col("first") > F.col("origin.last")))
+    places = checkpointed(selected_lines(docs, least_words, id_col, text_col).withColumnRenamed("fingerprint", "join"))
+    repeats: list[DataFrame] = []
+    while True:
+        found = checkpointed(_extended(places))
+        forget(places)
+        repeats.append(checkpointed(_repeats(found)))
+        places = checkpointed(_beyond(found))
+        forget(found)
+        if not places.limit(1).count():
+            forget(places)
+            break
+    later = reduce(DataFrame.unionByName, repeats)
     of = Window.partitionBy(*_KEY).orderBy("first")
     reach = F.max("last_nth").over(of.rowsBetween(Window.unboundedPreceding, -1))
     runs = later.withColumn("__new", F.when(F.col("first_nth") <= reach + 1, 0).otherwise(1)).withColumn("__run", F.sum("__new").over(of.rowsBetween(Window.unboundedPreceding, 0)))
@@ -100,7 +159,7 @@ def repeated_runs(docs: DataFrame, least_words: int = 50, id_col: str = "doc_id"
             (F.max("end") - F.min("start")).cast("long").alias("words"),
         )
     )
-    forget(marks)
+    forget(*repeats)
     return found
 
 

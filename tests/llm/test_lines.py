@@ -66,3 +66,33 @@ def test_odd_documents(odd_docs, no_docs):
     first = next(r for r in rows if r.doc_id is None and r.text)
     assert first.n_deleted_lines == 0  # a null id sorts first
     assert line_winnow.drop_repeated_lines(no_docs, 50).count() == 0
+
+
+def test_a_passage_behind_other_neighbours_of_the_same_line(spark):
+    """The chosen line's first place has other surroundings than the repeated passages, which meet in a further round."""
+    rng = random.Random(4)
+    middle = prose(rng, 6, 100)
+    first = "\n".join([prose(rng, 30, 100), middle, prose(rng, 30, 100)])
+    left, right, other = prose(rng, 30, 100), prose(rng, 30, 100), prose(rng, 30, 100)
+    docs = [(0, first), (1, f"{left}\n{middle}\n{right}"), (2, f"{left}\n{middle}\n{other}"), (3, f"{left}\n{middle}\n{right}"), (4, f"{left}\n{middle}\n{other}"), (5, first)]
+    got = {r.doc_id: r.text for r in line_winnow.drop_repeated_lines(spark.createDataFrame(docs, "doc_id long, text string"), 50).collect()}
+    assert got == {i: t for i, t, _ in plain(docs, 50)} and [got[k] == "" for k in range(6)] == [False, False, False, True, True, True]
+
+
+def test_without_the_join_of_positions_nothing_is_found(spark, monkeypatch):
+    rng = random.Random(2)
+    text = "\n".join(prose(rng, 20, 100) for _ in range(4))
+    docs = spark.createDataFrame([(k, text) for k in range(3)], "doc_id long, text string")
+    count = lambda: line_winnow.repeated_runs(docs, 50).count()
+    assert count() == 2
+    monkeypatch.setattr(line_winnow, "spread_join", lambda many, one, key: many.join(one.limit(0), key))
+    assert count() == 0
+
+
+def test_a_match_that_is_not_extended_finds_no_more_than_the_line(spark, monkeypatch):
+    rng = random.Random(2)
+    text = "\n".join(prose(rng, 20, 100) for _ in range(4))
+    docs = spark.createDataFrame([(k, text) for k in range(2)], "doc_id long, text string")
+    monkeypatch.setattr(line_winnow, "_agrees", lambda own, other: line_winnow.F.lit(0))
+    monkeypatch.setattr(line_winnow, "_beyond", lambda found: found.where("false"))
+    assert line_winnow.repeated_runs(docs, 50).count() == 0
