@@ -16,6 +16,8 @@ from __future__ import annotations
 import gzip
 import hashlib
 import io
+import re
+import zlib
 from collections.abc import Iterator
 from datetime import datetime, timezone
 from itertools import islice
@@ -97,8 +99,10 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     "no response" or "no key" (null URL or time); only the first two have a payload.
     The entity tag, compared weakly, decides before the date.  Null headers are
     none.  Repeated records are resolved each.  Kinds but response and revisit are ignored.
-    An empty table gives no rows.
+    Where ``records`` has ``problem``, responses that have one are left out.  An empty table gives no rows.
     """
+    if "problem" in records.columns:
+        records = records.where((F.col("kind") != "response") | F.col("problem").isNull())
     headers = F.coalesce(F.col("headers"), F.array().cast(HEADERS))
     row = F.struct("record_id", "url", "captured", headers.alias("headers"), "payload_sha256", "payload_bytes")
     usable = records.where(F.col("kind").isin("response", "revisit")).select(canonical_url(F.col("url")).alias("canonical"), "captured", "kind", row.alias("row"))
@@ -137,11 +141,14 @@ class _Part(io.RawIOBase):
     """The next ``size`` bytes of a stream as a stream of its own."""
 
     def __init__(self, stream: io.BufferedReader, size: int):
-        self._stream, self._left = stream, size
+        self._stream, self._size, self._left = stream, size, size
 
     def readable(self) -> bool:
         return True
 
+    def tell(self) -> int:
+        return self._size - self._left
+
     def readinto(self, into) -> int:
         data = self._stream.read(min(len(into), self._left))
         into[: len(data)] = data
@@ -166,16 +173,75 @@ def _lines(stream: io.BufferedReader, first: bytes = b"") -> list[tuple[str, str
     return out
 
 
+#: What a damaged stream raises: cut off, a bad checksum, something that is not packed.
+_DAMAGE = (EOFError, OSError, zlib.error)
+_START = re.compile(rb"(?:\r?\n){2}(?=WARC/1\.[0-9]\r?\n)")
+
+
+class _Block:
+    """A record's block, read once: its HTTP headers, and the digest and size of what follows.
+
+    ``cut`` is the place in the file of a record that seems to start within the block, and with it the digest and
+    size up to there, which hold if the length turns out to be wrong; ``whole`` tells whether all bytes were there.
+    """
+
+    def __init__(self, stream: io.BufferedReader, size: int, hashed: bool):
+        part = io.BufferedReader(_Part(stream, size))
+        begin = stream.tell()
+        self.headers = [(k, v) for k, v in _lines(part) if k] if hashed else []
+        digest, self.size, self.cut = hashlib.sha256(), 0, None
+        tail, at = b"", begin + part.tell()
+        while data := part.read(1 << 20):
+            seen = tail + data
+            if self.cut is None and (found := _START.search(seen)):
+                before = digest.copy()
+                # the digest lags by the tail, so that it can stop before a record that starts in it
+                before.update(seen[: found.start()])
+                self.cut = (at - len(tail) + found.end(), before.hexdigest(), self.size - len(tail) + found.start())
+            digest.update(seen[:-16])
+            tail = seen[-16:]
+            self.size += len(data)
+            at += len(data)
+        digest.update(tail)
+        self.digest, self.whole = digest.hexdigest(), at - begin >= size
+
+
+def _when(text: str) -> int | None:
+    """Seconds since 1970 of a date; one without a zone is UTC."""
+    try:
+        found = datetime.fromisoformat(text.replace("Z", "+00:00"))
+    except ValueError:
+        return None
+    return int((found if found.tzinfo else found.replace(tzinfo=timezone.utc)).timestamp())
+
+
 def parse_warc(data: bytes) -> Iterator[dict]:
     """Response and not-modified revisit records of a file, plain or gzipped (by record or as a whole).
 
     The file is unpacked and hashed as it is read, so no record need fit in memory.  Records of
     other kinds are passed over, among them revisits for an identical digest, which name their
-    payload themselves.  After a record without a length reading goes on at the next one.
+    payload themselves.  A date without a zone is UTC.
+
+    ``problem`` is null, or "truncated" for a record that the file ends in, or "length" for one whose length is wrong: too
+    long if another record starts within, and then the payload ends before that and reading goes on there; too short if no
+    empty line follows, and then it is the part that the length names.  A record without a length is passed over.  A file that is cut off or damaged gives what stands before the
+    damage, and a last row of kind "damaged" whose problem is the error's name.
     """
     source = io.BytesIO(data)
     stream = io.BufferedReader(gzip.GzipFile(fileobj=source) if data[:2] == b"\x1f\x8b" else source)
-    nth, first = 0, b""
+    nth = 0
+    try:
+        for nth, record in enumerate(_records(stream)):
+            if record:
+                yield {"nth": nth} | record
+    except _DAMAGE as e:
+        none = dict.fromkeys(("url", "captured", "payload_sha256", "payload_bytes"))
+        yield {"nth": nth + 1, **none, "kind": "damaged", "headers": [], "problem": type(e).__name__}
+
+
+def _records(stream: io.BufferedReader) -> Iterator[dict | None]:
+    """A file's records in order, None for those that are passed over."""
+    first = b""
     while True:
         head, first = _lines(stream, first), b""
         if not head:
@@ -187,46 +253,47 @@ def parse_warc(data: bytes) -> Iterator[dict]:
         if not (length.isascii() and length.isdigit()):  # the record's end is unknown
             while (first := stream.readline()) and not first.startswith(b"WARC/"):
                 pass
-            nth += 1
+            yield None
             continue
-        block = io.BufferedReader(_Part(stream, int(length)))
         kind = fields.get("warc-type", "")
-        not_modified = kind == "revisit" and fields.get("warc-profile", "").endswith("server-not-modified")
-        if kind == "response" or not_modified:
-            http = [(k, v) for k, v in _lines(block) if k]
-            payload, size = hashlib.sha256(), 0
-            while part := block.read(1 << 20):
-                payload.update(part)
-                size += len(part)
-            try:
-                when = int(datetime.fromisoformat(fields.get("warc-date", "").replace("Z", "+00:00")).astimezone(timezone.utc).timestamp())
-            except ValueError:
-                when = None
-            yield {
-                "nth": nth,
-                "url": fields.get("warc-target-uri", "").strip("<>") or None,
-                "captured": when,
-                "kind": kind,
-                "headers": [{"name": k, "value": v} for k, v in http],
-                "payload_sha256": payload.hexdigest() if kind == "response" else None,
-                "payload_bytes": size if kind == "response" else None,
-            }
-        while block.read(1 << 20):
-            pass
-        nth += 1
+        wanted = kind == "response" or kind == "revisit" and fields.get("warc-profile", "").endswith("server-not-modified")
+        block = _Block(stream, int(length), wanted)
+        digest, size = block.digest, block.size
+        follows = stream.peek(2)[:2]
+        problem = None if block.whole and (follows[:1] == b"\n" or follows in (b"\r\n", b"")) else "length" if block.whole else "truncated"
+        if problem and block.cut:
+            problem, (at, digest, size) = "length", block.cut
+            stream.seek(at)
+        elif problem == "length":  # what is left of it stands before the next record
+            while (first := stream.readline()) and not first.startswith(b"WARC/"):
+                pass
+        if not wanted:
+            yield None
+            continue
+        yield {
+            "url": fields.get("warc-target-uri", "").strip("<>") or None,
+            "captured": _when(fields.get("warc-date", "")),
+            "kind": kind,
+            "headers": [{"name": k, "value": v} for k, v in block.headers],
+            "payload_sha256": digest if kind == "response" else None,
+            "payload_bytes": size if kind == "response" else None,
+            "problem": problem,
+        }
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """Records of the WARC files under ``path``; record_id is made of the file's name and the record's place in it.
 
-    A file as it is stored, unpacked or not, is one row of Spark's binary reader, and so at most 2 GB.
+    A file as it is stored, unpacked or not, is one row of Spark's binary reader, and so at most 2 GB.  ``problem`` tells what is
+    wrong with a record or, in a row of kind "damaged", with the rest of a file (see ``parse_warc``); no file stops the job.
+    Responses with a problem are none that revisits are resolved by.  An empty folder gives no rows.
     """
-    schema = "path string, nth long, " + RECORDS.partition(", ")[2]
+    schema = "path string, nth long, " + RECORDS.partition(", ")[2] + ", problem string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         headers = pa.list_(pa.struct([("name", pa.string()), ("value", pa.string())]))
         kinds = {"path": pa.string(), "nth": pa.int64(), "url": pa.string(), "captured": pa.int64(), "kind": pa.string()}
-        kinds |= {"headers": headers, "payload_sha256": pa.string(), "payload_bytes": pa.int64()}
+        kinds |= {"headers": headers, "payload_sha256": pa.string(), "payload_bytes": pa.int64(), "problem": pa.string()}
         for batch in batches:
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1)):
                 records = ({"path": name} | r for r in parse_warc(content.as_py()))
@@ -234,4 +301,4 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                     yield pa.RecordBatch.from_pylist(some, schema=pa.schema(list(kinds.items())))
 
     rows = spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, schema)
-    return rows.select(F.xxhash64("path", "nth").alias("record_id"), "url", "captured", "kind", "headers", "payload_sha256", "payload_bytes")
+    return rows.select(F.xxhash64("path", "nth").alias("record_id"), "url", "captured", "kind", "headers", "payload_sha256", "payload_bytes", "problem")

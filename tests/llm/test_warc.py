@@ -94,3 +94,68 @@ def test_a_bad_length_costs_one_record():
     for bad in ("x", "-1", "-5", ""):
         data = one("http://a", 21) + one("http://b", bad) + one("http://c", 21)
         assert [(r["nth"], r["url"], r["payload_bytes"]) for r in warc.parse_warc(data)] == [(0, "http://a", 2), (2, "http://c", 2)]
+
+
+def plain_record(url, body, length=None, date="2024-01-01T00:00:00Z"):
+    http = b"HTTP/1.1 200 OK\r\n\r\n" + body
+    return f"WARC/1.0\r\nWARC-Type: response\r\nWARC-Target-URI: {url}\r\nWARC-Date: {date}\r\nContent-Length: {len(http) if length is None else length}\r\n\r\n".encode() + http + b"\r\n\r\n"
+
+
+def seen(data):
+    return [(r["url"], r["kind"], r["payload_bytes"], r["problem"]) for r in warc.parse_warc(data)]
+
+
+def test_a_length_that_is_too_long_swallows_no_record():
+    data = plain_record("http://a", b"x" * 21, 4000) + plain_record("http://b", b"yy")
+    assert seen(data) == [("http://a", "response", 21, "length"), ("http://b", "response", 2, None)]
+    packed = seen(gzip.compress(data))
+    assert packed == seen(data)
+    import hashlib
+
+    assert next(warc.parse_warc(data))["payload_sha256"] == hashlib.sha256(b"x" * 21).hexdigest()
+    for n in (15, 16, 17, 31, 32, 33, (1 << 20) - 25, (1 << 20) - 19, (1 << 20) - 3, 1 << 20):  # where reads end
+        data = plain_record("http://a", b"x" * n, n + 100) + plain_record("http://b", b"yy" * 40)
+        assert seen(data) == [("http://a", "response", n, "length"), ("http://b", "response", 80, None)]
+
+
+def test_a_length_that_is_too_short_costs_one_record():
+    data = plain_record("http://a", b"x" * 30, 40) + plain_record("http://b", b"yy")
+    assert seen(data) == [("http://a", "response", 21, "length"), ("http://b", "response", 2, None)]
+
+
+def test_a_payload_that_holds_a_record():
+    inner = plain_record("http://inner", b"zz")
+    data = plain_record("http://a", b"see\r\n\r\n" + inner) + plain_record("http://b", b"yy")
+    assert [r[0] for r in seen(data)] == ["http://a", "http://b"] and {r[3] for r in seen(data)} == {None}
+
+
+def test_cut_off_and_damaged_files():
+    one, two = plain_record("http://a", b"x" * 500), plain_record("http://b", b"y" * 5000)
+    assert seen((one + two)[:-1000]) == [("http://a", "response", 500, None), ("http://b", "response", 4004, "truncated")]
+    whole = gzip.compress(one) + gzip.compress(two)
+    assert seen(whole) == [("http://a", "response", 500, None), ("http://b", "response", 5000, None)]
+    assert [r[1:] for r in seen(whole[:-20])][-1] == ("damaged", None, "EOFError")
+    assert seen(gzip.compress(one) + b"junk that is not packed")[-1][1:] == ("damaged", None, "BadGzipFile")
+    bad = bytearray(gzip.compress(one))
+    bad[-6] ^= 255  # the checksum
+    assert seen(bytes(bad) + gzip.compress(two))[-1][1] == "damaged"
+    broken = bytearray(whole)
+    broken[15:40] = b"\xff" * 25
+    assert seen(bytes(broken))[-1][1] == "damaged"
+    assert seen(b"") == [] and seen(b"\x1f\x8b")[-1][1] == "damaged" and seen(b"nothing of the kind") == []
+
+
+def test_dates_without_a_zone_are_utc():
+    for date, want in (("2024-01-01T00:00:00", 1704067200), ("2024-01-01T01:00:00+01:00", 1704067200), ("2024-01-01", 1704067200), ("soon", None), ("", None)):
+        assert [r["captured"] for r in warc.parse_warc(plain_record("http://a", b"x", date=date))] == [want]
+
+
+def test_bad_files_stop_no_job_and_resolve_nothing(spark, tmp_path):
+    (tmp_path / "good.warc").write_bytes(plain_record("http://a", b"x"))
+    (tmp_path / "bad.warc.gz").write_bytes(gzip.compress(plain_record("http://b", b"y" * 999))[:-9])
+    (tmp_path / "cut.warc").write_bytes(plain_record("http://c", b"z" * 999)[:-500])
+    revisit = b"WARC/1.0\r\nWARC-Type: revisit\r\nWARC-Profile: server-not-modified\r\nWARC-Target-URI: http://c\r\nWARC-Date: 2025-01-01T00:00:00Z\r\nContent-Length: 0\r\n\r\n\r\n\r\n"
+    (tmp_path / "later.warc").write_bytes(revisit)
+    records = warc.read_warc(spark, str(tmp_path)).cache()
+    assert {(r.url, r.kind, r.problem) for r in records.collect()} >= {("http://a", "response", None), ("http://c", "response", "truncated"), (None, "damaged", "EOFError"), ("http://c", "revisit", None)}
+    assert [r.resolution for r in warc.resolve_revisits(records).collect()] == ["no response"]
