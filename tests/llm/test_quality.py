@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -128,10 +129,32 @@ def test_bands_are_learned_from_good_rows(spark):
 
 def test_bands_without_labels_or_with_odd_ones(spark, odd_docs):
     rules = compression_rules.CompressionRules()
-    assert compression_rules.fit(odd_docs, spark.createDataFrame([(1, 1), (1, 0), (2, None), (None, 1), (8, 1)], "doc_id long, quality int")) == rules
+    assert compression_rules.fit(odd_docs, spark.createDataFrame([(1, 1), (1, 0), (2, None), (None, 1), (8, 1)], "doc_id long, quality int")) == replace(rules, learned_from=1)  # the one good row lies within the bands
     sizes = np.repeat([100, 1000, 9000], 60)
     ratios = np.tile(np.linspace(0.5, 0.6, 60), 3)
     learned = compression_rules.learn_bands(sizes, ratios, np.zeros(0), rules, compression_rules.BandSpec(per_class=60))
     assert [b[0] for b in learned.bands] == [0, 1000, 9000] and learned.chunk_band == rules.chunk_band
     assert all(low <= 0.5 and high >= 0.6 for _, low, high in learned.bands)
     assert learned.band(50)[1] > learned.band(100)[1] and learned.band(90_000)[0] < learned.band(9000)[0]
+
+
+def test_few_rows_widen_the_given_bands():
+    rules = compression_rules.CompressionRules()
+    sizes, ratios = np.array([300, 300, 5000]), np.array([0.1, 0.7, 0.95])
+    few = compression_rules.learn_bands(sizes, ratios, np.array([0.9]), rules, compression_rules.BandSpec())
+    assert few.band(300) == (0.1, 1.0) and few.band(5000) == (0.28, 0.95) and few.band(2000) == rules.band(2000)
+    assert few.chunk_band == (0.28, 0.9) and few.learned_from == 3
+    assert compression_rules.learn_bands(np.zeros(0, int), np.zeros(0), np.zeros(0), rules, compression_rules.BandSpec()) == rules
+
+
+def test_long_rows_give_all_their_chunks_to_the_draw(spark):
+    """A dictionary can hold what stands at any place of a long text."""
+    spec = zdict_quality.QualitySpec()
+    text = b"".join(b"%08d" % k * 128 for k in range(400))
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array([text, b"short"]), pa.array([1, 0], pa.int32())], names=["text", "label"])
+    (out,) = zdict_quality._pieces_of(spec)([batch])
+    assert b"".join(out.column("piece").to_pylist()[:-1]) == text and out.column("piece").to_pylist()[-1] == b"short"
+    places = np.array(out.column("place").to_pylist()[:-1])
+    assert (places > 0).all() and places.mean() > 10  # 400 chunks of one row weigh as sixteen
