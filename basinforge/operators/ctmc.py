@@ -150,13 +150,14 @@ def symmetry_gap(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def solve(nodes: DataFrame, edges: DataFrame, spec: SolveSpec = SolveSpec()) -> DataFrame:
-    """(run_id, t, b, p): state probabilities of each run over the time grid; each run must have ``start`` and ``absorb``."""
+    """(run_id, t, b, p): state probabilities of each run over the time grid; each run must have ``start`` and ``absorb``, but for one of a single basin, which starts there."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         ids, z, w = _arrays(pdf)
         count = int(np.ceil(np.log(spec.end / spec.t0) / np.log(spec.factor)))
         t = spec.t0 * spec.factor ** np.arange(count)
-        p = probabilities(z, w, t, _place(ids, spec.start), None if spec.absorb is None else _place(ids, spec.absorb), spec.mode)
+        start = _place(ids, spec.start) if len(ids) > 1 else 0
+        p = probabilities(z, w, t, start, None if spec.absorb is None else _place(ids, spec.absorb), spec.mode)
         return pd.DataFrame({"run_id": pdf["run_id"].iloc[0], "t": np.repeat(t, len(ids)), "b": np.tile(ids, count), "p": p.ravel()})
 
     return _together(nodes, edges).groupBy("run_id").applyInPandas(run, "run_id long, t double, b long, p double")

@@ -189,17 +189,20 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def keep_component(nodes: DataFrame, edges: DataFrame, components: DataFrame, basin: int) -> tuple[DataFrame, DataFrame]:
-    """The nodes and edges of that basin's component."""
-    wanted = components.where(F.col("b") == basin).select("component")
-    kept = components.join(F.broadcast(wanted), "component", "left_semi").select("b")
-    return nodes.join(kept, "b", "left_semi"), edges.join(kept.select(F.col("b").alias("a")), "a", "left_semi")
+    """The nodes and edges of that basin's component; of each run, where there is ``run_id``."""
+    of = ["run_id"] if "run_id" in nodes.columns else []
+    wanted = components.where(F.col("b") == basin).select(*of, "component")
+    kept = components.join(wanted, [*of, "component"], "left_semi").select(*of, "b")
+    return nodes.join(kept, [*of, "b"], "left_semi"), edges.join(kept.select(*of, F.col("b").alias("a")), [*of, "a"], "left_semi")
 
 
 def connect_components(nodes: DataFrame, components: DataFrame, min_rate: float) -> DataFrame:
-    """(a, b, w): an edge between the heaviest basins of each two components, of ``min_rate`` times the lesser weight."""
-    heads = nodes.join(components, "b").groupBy("component").agg(F.max_by("b", F.struct("z", -F.col("b"))).alias("b"), F.max("z").alias("z"))
-    x, y = heads.select(F.col("b").alias("a"), F.col("z").alias("za")), heads.select("b", "z")
-    return x.join(y, F.col("a") < F.col("b")).select("a", "b", (min_rate * F.least("za", "z")).alias("w"))
+    """(a, b, w): an edge between the heaviest basins of each two components, of ``min_rate`` times the lesser weight; of each run, where there is ``run_id``."""
+    of = ["run_id"] if "run_id" in nodes.columns else []
+    heads = nodes.join(components, [*of, "b"]).groupBy(*of, "component").agg(F.max_by("b", F.struct("z", -F.col("b"))).alias("b"), F.max("z").alias("z"))
+    x, y = heads.select(*of, F.col("b").alias("a"), F.col("z").alias("za")), heads.select(*of, "b", "z")
+    both = x.join(y, of).where("a < b") if of else x.join(y, F.col("a") < F.col("b"))
+    return both.select(*of, "a", "b", (min_rate * F.least("za", "z")).alias("w"))
 
 
 def reindex(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -356,6 +359,82 @@ def prune_in_rounds(nodes: DataFrame, edges: DataFrame, limits: PruneLimits = Pr
     return out.unionByName(parts.select("run_id", F.lit("part").alias("kind"), "a", "b", F.col("part").alias("value")))
 
 
+@dataclass(frozen=True)
+class PruneSteps:
+    """All that a prune run does with each run's graph.
+
+    ``prefactor`` multiplies the edges of the first basin; limits go by value, by number and by quantile, and the strictest hold; ``simplify`` is
+    whether basins are pruned at all; ``keep`` names basins as they are numbered then; components are connected, or only that of the first basin stays.
+    """
+
+    limits: PruneLimits = PruneLimits()
+    prefactor: float = 1.0
+    number_outflow: int | None = None
+    quantile_outflow: float | None = None
+    number_share: int | None = None
+    quantile_share: float | None = None
+    simplify: bool = True
+    keep: tuple[int, ...] | None = None
+    connect: bool = True
+
+
+def _renumbered(pruned: DataFrame, swap: bool) -> DataFrame:
+    """The rows of ``prune`` with basins numbered from 0 in their order in each run; ``swap``: the first two exchanged, where there are two."""
+    ids = numbered(pruned.where("kind = 'node'").select("run_id", F.col("a").alias("old")), "run_id", [F.col("old")], "new")
+    if swap:
+        both = ids.where("new = 1").select("run_id", F.lit(True).alias("two"))
+        ids = ids.join(both, "run_id", "left").select("run_id", "old", F.when(F.col("two") & (F.col("new") < 2), 1 - F.col("new")).otherwise(F.col("new")).alias("new"))
+    ids = checkpointed(ids)
+    a = pruned.join(ids.select("run_id", F.col("old").alias("a"), F.col("new").alias("na")), ["run_id", "a"])
+    # the basins that a share comes from keep their numbers
+    both = a.join(ids.select("run_id", F.col("old").alias("b"), F.col("new").alias("nb")), ["run_id", "b"], "left")
+    part = F.col("kind") == "part"
+    return both.select("run_id", "kind", F.when(part, F.col("na")).otherwise(F.least("na", "nb")).alias("a"), F.when(part, F.col("b")).otherwise(F.greatest("na", "nb")).alias("b"), "value")
+
+
+def graph_of(pruned: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes (run_id, b, z) and edges (run_id, a, b, w), self-transitions too, of the rows of ``prune``."""
+    nodes = pruned.where("kind = 'node'").select("run_id", F.col("a").alias("b"), F.col("value").alias("z"))
+    return nodes, pruned.where("kind IN ('edge', 'self')").select("run_id", "a", "b", F.col("value").alias("w"))
+
+
+def _composed(later: DataFrame, earlier: DataFrame) -> DataFrame:
+    """Shares of shares: what the final basins are made of, by way of those between."""
+    between = earlier.where("kind = 'part'").select("run_id", F.col("a").alias("m"), F.col("b").alias("input"), F.col("value").alias("v"))
+    parts = later.where("kind = 'part'").withColumnRenamed("b", "m").join(between, ["run_id", "m"])
+    return parts.groupBy("run_id", "kind", "a", F.col("input").alias("b")).agg(F.sum(F.col("value") * F.col("v")).alias("value"))
+
+
+def prune_run(nodes: DataFrame, edges: DataFrame, steps: PruneSteps = PruneSteps()) -> DataFrame:
+    """The rows of ``prune`` after all steps of a prune run, in their order.
+
+    Prefactor, strictest limits, pruning, new numbers, the first two exchanged (so that the open state has number 1), reduction to the basins to
+    keep and new numbers again, components connected at ``min_rate``, or those without the first basin left out and new numbers once more.
+    """
+    limits = steps.limits
+    if limits.special_first and steps.prefactor != 1.0:
+        edges = with_prefactor(edges, 0, steps.prefactor)
+    if steps.simplify:
+        asked = run_limits(nodes, edges, steps.number_outflow, steps.quantile_outflow, steps.number_share, steps.quantile_share)
+        found = prune(nodes, edges, limits, asked)
+    else:
+        kind = F.when(F.col("a") == F.col("b"), F.lit("self")).otherwise(F.lit("edge"))
+        found = nodes.select("run_id", F.lit("node").alias("kind"), F.col("b").alias("a"), "b", F.col("z").alias("value"))
+        found = found.unionByName(edges.select("run_id", kind.alias("kind"), "a", "b", F.col("w").alias("value")))
+        found = found.unionByName(nodes.select("run_id", F.lit("part").alias("kind"), F.col("b").alias("a"), "b", F.lit(1.0).alias("value")))
+    found = checkpointed(_renumbered(checkpointed(found), swap=limits.special_first))
+    if steps.keep is not None:
+        reduced = checkpointed(_renumbered(checkpointed(prune(*graph_of(found), limits, keep=steps.keep)), swap=False))
+        found = checkpointed(reduced.where("kind <> 'part'").unionByName(_composed(reduced, found)))
+    left, links = graph_of(found)
+    components = connected_components(left, links.where("a <> b"))
+    if steps.connect:
+        more = connect_components(left, components, limits.min_rate)
+        return found.unionByName(more.select("run_id", F.lit("edge").alias("kind"), "a", "b", F.col("w").alias("value")))
+    own, _ = keep_component(left, links, components, 0)
+    return _renumbered(found.join(own.select("run_id", F.col("b").alias("a")), ["run_id", "a"], "left_semi"), swap=False)
+
+
 def component_sizes(nodes: DataFrame, components: DataFrame) -> DataFrame:
     """(component, basins, z): how many basins each component has and what they weigh."""
     return nodes.join(components, "b").groupBy("component").agg(F.count(F.lit(1)).alias("basins"), F.sum("z").alias("z"))

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from basinforge.functions import energy, sequence
 from basinforge.functions.loops import LoopTable
-from basinforge.operators import analysis, ctmc, graph, hybrid, landscape, two_sites
+from basinforge.operators import analysis, ctmc, events, graph, hybrid, landscape, two_sites
 from basinforge.operators.lineage import checkpointed
 from basinforge.plans import bindings as B
 from basinforge.plans import sql as S
@@ -483,6 +483,53 @@ def basin_pair_weights(spark, sf):
     return weights.select("run_id", "basin", "k1", "k2", energy.free_energy(F.col("w")).alias("energy"))
 
 
+_MATTER = f"""WITH {_SUMMARY}, {S.folds("SELECT seq_a AS strand FROM runs UNION SELECT reverse(seq_b) FROM runs")},
+share AS (SELECT run_id, basin, z, z / sum(z) OVER (PARTITION BY run_id) AS p FROM summary),
+matter AS (  -- states of one basin or more that hold a hundredth
+  SELECT r.*, s.basin, seq_a, reverse(seq_b) AS seq_r, length(seq_b) AS n, exp(-r.energy / 100.0 / {S.RT!r}) / s.z AS part
+  FROM share s JOIN members m ON m.run_id = s.run_id AND m.basin = s.basin JOIN ranked r ON r.run_id = m.run_id AND r.rank = m.rank JOIN runs ON runs.run_id = s.run_id
+  WHERE s.p >= 0.01 AND exp(-r.energy / 100.0 / {S.RT!r}) / s.z * s.p >= 0.01),
+held AS (
+  SELECT run_id, basin, rank, part, 'a' AS strand, seq_a AS letters, coalesce(i1, 1) AS i, coalesce(j1, 0) AS j FROM matter
+  UNION ALL SELECT run_id, basin, rank, part, 'b', seq_r, coalesce(n - j2 + 1, 1), coalesce(n - i2 + 1, 0) FROM matter),
+open_folds AS (
+  SELECT h.letters, h.i, h.j, pairs, w / sum(w) OVER (PARTITION BY h.letters, h.i, h.j) AS p
+  FROM (SELECT DISTINCT letters, i, j FROM held) h JOIN fold f ON f.strand = h.letters AND paired & (((1::BIGINT << CAST(h.j - h.i + 1 AS INT)) - 1) << CAST(h.i AS INT)) = 0),
+event AS (SELECT letters, i, j, q.k AS k, q.l AS l, sum(p) AS p FROM (SELECT *, unnest(pairs) AS q FROM open_folds) GROUP BY ALL HAVING sum(p) >= 0.01)"""
+
+
+def _basin_events(spark, sf):
+    r = B.runs(spark, sf)
+    ranked, _, members = _basins(spark, sf)
+    summary = checkpointed(landscape.basin_summary(ranked, members))
+    most = ctmc.stationary(summary.select("run_id", F.col("basin").alias("b"), "z"))
+    alone = summary.select("run_id", F.col("basin").alias("coarse"), F.col("basin").alias("fine"), F.lit(1.0).alias("part"))
+    matter = events.relevant_states(most, alone, summary, members, ranked)
+    own = events.pair_events(ranked.join(matter.select("run_id", "rank"), ["run_id", "rank"]), r)
+    return most, events.basin_events(own, members, ranked)
+
+
+@query("basin_events", f"{_MATTER} SELECT run_id, basin, h.strand, e.k AS i, e.l AS j, round(sum(part * e.p), 6) AS p FROM held h JOIN event e ON e.letters = h.letters AND e.i = h.i AND e.j = h.j GROUP BY ALL", 6)
+def basin_events(spark, sf):
+    return _basin_events(spark, sf)[1]
+
+
+@query("paired_at_equilibrium", f"""{_MATTER}
+SELECT h.run_id, h.strand, e.k AS i, e.l AS j, round(sum(s.p * part * e.p), 6) AS p FROM held h JOIN share s ON s.run_id = h.run_id AND s.basin = h.basin JOIN event e ON e.letters = h.letters AND e.i = h.i AND e.j = h.j GROUP BY ALL""", 6)
+def paired_at_equilibrium(spark, sf):
+    most, found = _basin_events(spark, sf)
+    return events.paired_over_time(most.withColumn("t", F.lit(0.0)), found.withColumnRenamed("basin", "b")).drop("t")
+
+
+@query("paired_over_time", None, 6)
+def paired_over_time(spark, sf):
+    most, found = _basin_events(spark, sf)
+    ranked, edges, members = _basins(spark, sf)
+    nodes = landscape.basin_summary(ranked, members).select("run_id", F.col("basin").alias("b"), "z")
+    solved = ctmc.solve(nodes, landscape.basin_transitions(edges, members).withColumnRenamed("z", "w"), ctmc.SolveSpec(end=1e5))
+    return events.paired_over_time(solved, found.withColumnRenamed("basin", "b"))
+
+
 # states of up to two sites
 
 
@@ -657,6 +704,15 @@ def prune_in_rounds(spark, sf):
     return graph.prune_in_rounds(nodes, graph.filter_by_rate(nodes, edges, S.SPARSE_RUNS), _RARE)
 
 
+@query("prune_run", f"""WITH RECURSIVE {S.PRUNE_RUN} SELECT run_id, 'node' AS kind, b AS a, b, round(z, 6) AS value FROM named
+UNION ALL SELECT run_id, CASE WHEN s = t THEN 'self' ELSE 'edge' END, s, t, round(w, 6) FROM links WHERE s <= t
+UNION ALL SELECT x.run_id, 'edge', x.b, y.b, round(0.05 * least(x.z, y.z), 6) FROM heads x JOIN heads y ON x.run_id = y.run_id AND x.b < y.b""", 6)
+def prune_run(spark, sf):
+    nodes, edges = _trade_runs(spark, sf)
+    steps = graph.PruneSteps(graph.PruneLimits(min_share=0.041, min_rate=0.05), prefactor=2.5)
+    return _without_parts(graph.prune_run(nodes, graph.filter_by_rate(nodes, edges, S.SPARSE_RUNS), steps))
+
+
 @query("prune_contributions", f"WITH RECURSIVE {S.PRUNED}, {S.PARTS} SELECT run_id, final, basin, round(part, 6) AS part FROM parts WHERE part >= 1e-3", 6)
 def prune_contributions(spark, sf):
     pruned = graph.prune(*_trade_runs(spark, sf), _RARE)

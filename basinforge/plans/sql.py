@@ -266,6 +266,22 @@ PRUNED_SPARSE = _PRUNED.format(
     lists=LISTS.replace("redges AS (SELECT * FROM rflow WHERE a <> b)", f"redges AS (SELECT f.* FROM rflow f JOIN rnodes x ON x.run_id = f.run_id AND x.b = f.a JOIN rnodes y ON y.run_id = f.run_id AND y.b = f.b WHERE f.a <> f.b AND w / least(x.z, y.z) >= {SPARSE_RUNS})"),
     goes="x <> 1 AND z[x] / total < 0.041", min_rate=0)
 PRUNED_BY_FLOW = _PRUNED.format(lists=LISTS, goes="x <> 1 AND (z[x] / total < 0.02 OR flow / z[x] > 0.95)", min_rate=0.05)
+#: All steps: prefactor, pruning, new numbers, exchange of the first two, and the components connected at the least rate.
+PRUNE_RUN = _PRUNED.format(
+    lists=PRUNED_SPARSE.split("turns AS (")[0].rstrip().rstrip(",").replace("SELECT f.* FROM rflow f", "SELECT f.run_id, f.a, f.b, CASE WHEN f.a = 0 THEN 2.5 * f.w ELSE f.w END AS w FROM rflow f").replace("WHERE f.a <> f.b AND w / least", "WHERE f.a <> f.b AND f.w / least"),
+    goes="x <> 1 AND z[x] / total < 0.041", min_rate=0.05) + """,
+kept AS (
+  SELECT l.run_id, ids.k, l.z[ids.k] AS z, row_number() OVER (PARTITION BY l.run_id ORDER BY ids.k) - 1 AS pos, count(*) OVER (PARTITION BY l.run_id) AS n
+  FROM last l JOIN ids ON ids.run_id = l.run_id WHERE l.z[ids.k] > 0),
+named AS (SELECT *, CASE WHEN n > 1 AND pos < 2 THEN 1 - pos ELSE pos END AS b FROM kept),
+links AS (
+  SELECT x.run_id, x.b AS s, y.b AS t, l.w[x.k][y.k] AS w FROM last l JOIN named x ON x.run_id = l.run_id JOIN named y ON y.run_id = l.run_id WHERE l.w[x.k][y.k] > 0),
+reach AS (
+  SELECT run_id, b AS s, b AS t FROM named
+  UNION
+  SELECT r.run_id, r.s, e.t FROM reach r JOIN links e ON e.run_id = r.run_id AND e.s = r.t),
+heads AS (
+  SELECT n.run_id, c, arg_max(b, (z, -b)) AS b, max(z) AS z FROM named n JOIN (SELECT run_id, s, min(t) AS c FROM reach GROUP BY ALL) r ON r.run_id = n.run_id AND r.s = n.b GROUP BY n.run_id, c)"""
 LEFT = """SELECT l.run_id, 'node' AS kind, b AS a, b, round(l.z[ids.k], 6) AS value FROM last l JOIN ids ON ids.run_id = l.run_id WHERE l.z[ids.k] > 0
 UNION ALL SELECT l.run_id, CASE WHEN x.k = y.k THEN 'self' ELSE 'edge' END, x.b, y.b, round(l.w[x.k][y.k], 6)
 FROM last l JOIN ids x ON x.run_id = l.run_id JOIN ids y ON y.run_id = l.run_id WHERE x.k <= y.k AND l.w[x.k][y.k] > 0"""

@@ -9,7 +9,8 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basinforge.operators import analysis, ctmc, graph, landscape
+from basinforge.operators import analysis, ctmc, events, graph, hybrid, landscape, two_sites
+from basinforge.operators.lineage import checkpointed
 from basinforge.sources import config
 
 
@@ -43,28 +44,40 @@ class KineticsRun:
 
     ``runs`` has run_id, seq_a and seq_b, the second strand from its 3' end.  The settings' temperature
     holds for all; with ``model`` states have the energies of partition functions, with ``homodimer`` mirror images are
-    one state; basins are pruned by the strictest of the limits given, by value, by number and by quantile.
+    one state (of one site); basins are pruned by the strictest of the limits given, by value, by number and by quantile, in all steps of ``graph.prune_run``.
     """
 
     def __init__(self, runs: DataFrame, stages: Stages, settings: dict | None = None):
         self.runs, self.stages, self.settings = runs, stages, settings or config.load()
         self.celsius = self.settings["celsius"]
-        self.limits = landscape.SiteLimits(**{k: self.settings["enumerate"][k] for k in ("least", "most", "difference", "max_hybrid", "max_total")})
+        self.limits = landscape.SiteLimits(**{k: self.settings["enumerate"][k] for k in ("least", "most", "difference", "distance", "max_hybrid", "max_total")})
+
+    def _energies(self) -> landscape.ModelEnergies | None:
+        asked = self.settings["enumerate"]
+        return landscape.model_energies(self.runs, self.limits, self.celsius, asked["span"], asked["window"]) if asked["model"] else None
 
     @cached_property
     def states(self) -> DataFrame:
+        """Ranked states; with ``double`` those of two sites, too, which a model gives the probability that both spans are unpaired."""
         asked = self.settings["enumerate"]
 
         def make() -> DataFrame:
-            energies = landscape.model_energies(self.runs, self.limits, self.celsius, asked["span"]) if asked["model"] else None
-            return landscape.rank_states(landscape.with_open_state(self.runs, landscape.enumerate_sites(self.runs, self.limits, energies)))
+            sites = landscape.enumerate_sites(self.runs, self.limits, self._energies())
+            if not asked["double"]:
+                return landscape.rank_states(landscape.with_open_state(self.runs, sites))
+            sites, joint = checkpointed(sites), None
+            if asked["model"]:
+                joint = two_sites.JointUnpaired(*hybrid.joint_windows(self.runs, self.limits.most, self.limits.least, self.limits.distance, self.celsius, asked["span"]), self.celsius)
+            return two_sites.states(self.runs, sites, two_sites.double_states(sites, self.limits, joint))
 
         return self.stages.stage("states", make)
 
     @cached_property
     def moves(self) -> DataFrame:
         states = self.states
-        return self.stages.stage("moves", lambda: landscape.moves(states, self.limits))
+        if not self.settings["enumerate"]["double"]:
+            return self.stages.stage("moves", lambda: landscape.moves(states, self.limits))
+        return self.stages.stage("moves", lambda: two_sites.moves(states, two_sites.sites_between(self.runs, self.limits, self._energies()), self.limits))
 
     @cached_property
     def members(self) -> DataFrame:
@@ -73,7 +86,7 @@ class KineticsRun:
         def make() -> DataFrame:
             active = landscape.without_frozen(states, moves)
             parents = landscape.gradient_parents(active, moves)
-            if self.settings["enumerate"]["homodimer"]:
+            if self.settings["enumerate"]["homodimer"] and not self.settings["enumerate"]["double"]:
                 parents = landscape.merge_symmetric(active, parents, self.runs.select("run_id", F.length("seq_a").alias("n")))
             return landscape.basin_members(landscape.resolve_parents(parents))
 
@@ -91,11 +104,13 @@ class KineticsRun:
 
     @cached_property
     def pruned(self) -> DataFrame:
+        """What the prune run leaves: basins numbered anew, the open state's basin 1 where there are two."""
         p, basins, transitions = self.settings["prune"], self.basins, self.transitions
-        limits = graph.PruneLimits(p["max_outflow"], p["min_share"], p["min_rate"])
+        limits = graph.PruneLimits(p["max_outflow"], p["min_share"], p["min_rate"], p["special_first"])
+        asked = {f"{by}_{what}": p[f"{by}_{what}"] for what in ("outflow", "share") for by in ("number", "quantile")}
+        steps = graph.PruneSteps(limits, p["prefactor"], **asked, simplify=p["simplify"], keep=None if p["keep"] is None else tuple(p["keep"]), connect=p["connect"])
         nodes, edges = basins.select("run_id", F.col("basin").alias("b"), "z"), transitions.withColumnRenamed("z", "w")
-        asked = [p[f"{by}_{what}"] for what in ("outflow", "share") for by in ("number", "quantile")]
-        return self.stages.stage("pruned", lambda: graph.prune(nodes, edges, limits, graph.run_limits(nodes, edges, *asked)))
+        return self.stages.stage("pruned", lambda: graph.prune_run(nodes, edges, steps))
 
     @property
     def final_nodes(self) -> DataFrame:
@@ -115,6 +130,27 @@ class KineticsRun:
         spec = ctmc.SolveSpec(s["t0"], s["end"], s["factor"], s["start"])
         return self.stages.stage("kinetics", lambda: ctmc.until_converged(ctmc.solve(nodes, edges, spec), ctmc.stationary(nodes)))
 
+    @cached_property
+    def final_events(self) -> DataFrame:
+        """(run_id, b, strand, i, j, p): base pairs within the strands in final states, from the states that matter at some time."""
+        if self.settings["enumerate"]["double"]:
+            raise ValueError("events are those of states of one site")
+        states, members, basins, kinetics, threshold = self.states, self.members, self.basins, self.kinetics, self.settings["show"]["event"]
+        most = kinetics.groupBy("run_id", "b").agg(F.max("p").alias("p"))
+
+        def make() -> DataFrame:
+            matter = events.relevant_states(most, self.contributions, basins, members, states, threshold, self.celsius)
+            own = events.pair_events(states.join(matter.select("run_id", "rank"), ["run_id", "rank"]), self.runs, threshold, self.celsius)
+            return events.final_events(events.basin_events(own, members, states, self.celsius), self.contributions, basins)
+
+        return self.stages.stage("final_events", make)
+
+    @cached_property
+    def paired(self) -> DataFrame:
+        """(run_id, t, strand, i, j, p): probability of each base pair over time."""
+        kinetics, found = self.kinetics, self.final_events
+        return self.stages.stage("paired", lambda: events.paired_over_time(kinetics, found))
+
     def prominent(self, run_id: int) -> DataFrame:
         """Basins of one run that reach the shown threshold at some time."""
         own = self.kinetics.where(F.col("run_id") == run_id).select("t", F.col("b").alias("state"), "p")

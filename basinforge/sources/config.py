@@ -8,10 +8,11 @@ from typing import Any
 #: Default settings of the stages.
 DEFAULTS: dict[str, Any] = {
     "celsius": 37.0,
-    "enumerate": {"least": 3, "most": 8, "difference": 3, "max_hybrid": 700, "max_total": 1200, "model": False, "span": None, "homodimer": False},
-    "prune": {"max_outflow": 1e6, "min_share": 0.0, "min_rate": 5e-8, "number_outflow": 800, "quantile_outflow": None, "number_share": 800, "quantile_share": None},
-    "solve": {"t0": 0.1, "end": 1e15, "factor": 1.2, "start": 0},
-    "show": {"threshold": 0.02},
+    "enumerate": {"least": 3, "most": 8, "difference": 3, "distance": 6, "double": False, "max_hybrid": 700, "max_total": 1200, "model": False, "span": None, "window": None, "homodimer": False},
+    "prune": {"max_outflow": 1e6, "min_share": 0.0, "min_rate": 5e-8, "number_outflow": 800, "quantile_outflow": None, "number_share": 800, "quantile_share": None,
+              "prefactor": 1.0, "special_first": True, "simplify": True, "keep": None, "connect": True},
+    "solve": {"t0": 0.1, "end": 1e15, "factor": 1.2, "start": 1},
+    "show": {"threshold": 0.02, "event": 0.01},
 }
 
 

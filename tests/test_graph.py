@@ -200,3 +200,48 @@ def test_limits_and_exchange(spark):
     assert graph.swap_first_two(one, edges)[0].collect() == one.collect()
     ids, moved = graph.reindex(nodes, edges)
     assert sorted((r.b, r.old) for r in ids.collect()) == [(0, 0), (1, 1), (2, 5)] and (0, 2) in {(r.a, r.b) for r in moved.collect()}
+
+
+def rows_of(found):
+    return {(r.run_id, r.kind, r.a, r.b): r.value for r in found.collect()}
+
+
+def test_steps_of_a_prune_run(spark):
+    z, w = random_graph(9, 11, 0.3)
+    (n1, e1), (n2, e2) = tables(spark, z, w), tables(spark, np.array([3.0]), np.zeros((1, 1)), run=1)
+    nodes, edges = n1.unionByName(n2), e1.unionByName(e2)
+    steps = graph.PruneSteps(graph.PruneLimits(min_share=0.06), prefactor=3.0, keep=(0, 1, 3))
+    found = rows_of(graph.prune_run(nodes, edges, steps))
+    w = w.copy()
+    w[0], w[:, 0] = w[0] * 3, w[:, 0] * 3
+    z1, w1, part = in_turn(z, w, lambda x, zz, out: x != 0 and zz[x] / z.sum() < 0.06)
+    left = np.flatnonzero(z1)
+    order = [left[1], left[0], *left[2:]] if len(left) > 1 else left  # the first two are exchanged
+    z2, w2, part = z1[order], w1[np.ix_(order, order)], part[order]
+    assert len(order) > 3
+    z3, w3, again = in_turn(z2, w2, lambda x, *_: x not in (0, 1, 3))
+    kept = np.flatnonzero(z3)
+    assert kept.tolist() == [0, 1, 3]
+    for new, old in enumerate(kept):
+        assert found[0, "node", new, new] == pytest.approx(z3[old])
+        for other, second in enumerate(kept):
+            if new < other and w3[old, second]:
+                assert found[0, "edge", new, other] == pytest.approx(w3[old, second])
+    shares = again[kept] @ part
+    for (run, kind, a, b), v in found.items():
+        if run == 0 and kind == "part":
+            assert shares[a, b] == pytest.approx(v)
+    assert found[1, "node", 0, 0] == 3.0 and found[1, "part", 0, 0] == 1.0
+
+
+def test_components_are_connected_or_left_out(spark):
+    nodes = spark.createDataFrame([(r, b, z) for r in (0, 1) for b, z in enumerate((4.0, 9.0, 2.0, 5.0, 1.0))], "run_id long, b long, z double")
+    edges = spark.createDataFrame([(0, 0, 1, 1.0), (0, 2, 3, 1.0), (1, 0, 4, 0.5)], "run_id long, a long, b long, w double")
+    limits = graph.PruneLimits(min_rate=0.01)
+    joined = rows_of(graph.prune_run(nodes, edges, graph.PruneSteps(limits, simplify=False)))
+    made = {(r, a, b): v for (r, kind, a, b), v in joined.items() if kind == "edge"}
+    assert made == {(0, 0, 1): 1.0, (0, 2, 3): 1.0, (0, 0, 3): 0.05, (0, 0, 4): 0.01, (0, 3, 4): 0.01,
+                    (1, 1, 4): 0.5, (1, 0, 1): pytest.approx(0.04), (1, 0, 2): 0.02, (1, 0, 3): 0.05, (1, 1, 2): 0.02, (1, 1, 3): pytest.approx(0.04), (1, 2, 3): 0.02}
+    first = rows_of(graph.prune_run(nodes, edges, graph.PruneSteps(limits, simplify=False, connect=False)))
+    assert {k: v for k, v in first.items() if k[1] == "node"} == {(0, "node", 0, 0): 9.0, (0, "node", 1, 1): 4.0, (1, "node", 0, 0): 9.0}
+    assert {k for k in first if k[1] == "part"} == {(0, "part", 0, 1), (0, "part", 1, 0), (1, "part", 0, 1)}

@@ -2,6 +2,8 @@
 
 import struct
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from basinforge.operators import analysis
@@ -58,7 +60,7 @@ def test_track_round_trip(spark):
 
 def test_config():
     merged = config.load('{"solve": {"t0": 1}, "show": {"list": [1]}}')
-    assert merged["solve"]["t0"] == 1 and merged["solve"]["end"] == 1e15 and merged["show"] == {"threshold": 0.02, "list": [1]}
+    assert merged["solve"]["t0"] == 1 and merged["solve"]["end"] == 1e15 and merged["show"] == {"threshold": 0.02, "event": 0.01, "list": [1]}
     assert [config.parse_region(t, 1, 10) for t in ("2-5", "4", "-3", "0")] == [(2, 5), (1, 4), (8, 10), (1, 10)]
 
 
@@ -88,6 +90,24 @@ def test_stages(spark, tmp_path):
     assert small.basins.groupBy("run_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] > 6
 
 
+def test_whole_run_with_events_and_with_two_sites(spark, tmp_path):
+    runs = bindings.runs(spark, TINY).where("run_id IN (1, 2)")
+    kept = config.load('{"prune": {"number_outflow": 6, "number_share": 6, "prefactor": 2.0}, "solve": {"end": 1e4}}')
+    run = stages.KineticsRun(runs, stages.Stages(spark, str(tmp_path / "one")), kept)
+    paired = run.paired.collect()
+    assert paired and {r.strand for r in paired} <= {"a", "b"} and all(0 <= r.p <= 1 + 1e-9 for r in paired)
+    parts = run.contributions.groupBy("run_id", "fine").agg(F.sum("part").alias("p")).collect()
+    assert all(r.p <= 1 + 1e-9 for r in parts)
+    first = run.kinetics.groupBy("run_id").agg(F.min_by(F.struct("b", "p"), "t").alias("x")).collect()
+    assert first and {r.b for r in run.final_nodes.collect()} >= {0, 1}  # the open state is basin 1
+    long = bindings.long_runs(spark, TINY).where("run_id = 3")
+    two = config.load('{"enumerate": {"double": true, "distance": 3, "most": 5}, "prune": {"number_outflow": 6, "number_share": 6}, "solve": {"end": 1e4}}')
+    both = stages.KineticsRun(long, stages.Stages(spark, str(tmp_path / "two")), two)
+    assert both.states.where("code2 <> 0").count() and both.kinetics.count()
+    with pytest.raises(ValueError):
+        both.final_events
+
+
 def test_stream(spark, tmp_path):
     events = spark.read.parquet(f"{TINY}/events.parquet")
     events.withColumn("ts", F.col("ts").cast("timestamp")).repartition(2).write.parquet(str(tmp_path / "in"))
