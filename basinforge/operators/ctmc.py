@@ -12,9 +12,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from basinforge.operators.graph import both_directions
+from basinforge.operators.graph import both_directions, both_directions_by_run
 
 
 def symmetrize(entries: DataFrame) -> DataFrame:
@@ -24,9 +23,11 @@ def symmetrize(entries: DataFrame) -> DataFrame:
 
 
 def rate_matrix(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(i, j, rate): the off-diagonal rates, and on the diagonal minus a row's sum."""
-    off = both_directions(edges).where("s <> t").join(nodes.select(F.col("b").alias("s"), "z"), "s").select(F.col("s").alias("i"), F.col("t").alias("j"), (F.col("w") / F.col("z")).alias("rate"))
-    diagonal = off.groupBy("i").agg((-F.sum("rate")).alias("rate")).select("i", F.col("i").alias("j"), "rate")
+    """(i, j, rate): the off-diagonal rates, and on the diagonal minus a row's sum; of each run, where there is ``run_id``."""
+    of = ["run_id"] if "run_id" in nodes.columns else []
+    ends = both_directions_by_run(edges) if of else both_directions(edges)
+    off = ends.where("s <> t").join(nodes.select(*of, F.col("b").alias("s"), "z"), [*of, "s"]).select(*of, F.col("s").alias("i"), F.col("t").alias("j"), (F.col("w") / F.col("z")).alias("rate"))
+    diagonal = off.groupBy(*of, "i").agg((-F.sum("rate")).alias("rate")).select(*of, "i", F.col("i").alias("j"), "rate")
     return off.unionByName(diagonal)
 
 
@@ -36,6 +37,13 @@ def time_grid(spark: SparkSession, t0: float = 0.1, end: float = 1e16, factor: f
     return spark.range(last + 1).select(F.col("id").alias("k"), (t0 * F.pow(F.lit(factor), F.col("id"))).alias("t")).where(F.col("t") < end)
 
 
+def run_time_grids(ends: DataFrame, t0: float = 0.1, factor: float = 1.2) -> DataFrame:
+    """(run_id, k, t): t0 * factor**k below each run's ``end`` (run_id, end)."""
+    last = F.floor(F.log(F.col("end") / t0) / float(np.log(factor))) + 1
+    steps = ends.where(F.col("end") > t0).select("run_id", "end", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("k"))
+    return steps.select("run_id", "k", (t0 * F.pow(F.lit(factor), F.col("k"))).alias("t"), "end").where(F.col("t") < F.col("end")).drop("end")
+
+
 @dataclass(frozen=True)
 class SolveSpec:
     """``start`` and ``absorb`` are basins; an absorbing one has no way out."""
@@ -194,4 +202,5 @@ def passage_times(nodes: DataFrame, edges: DataFrame, target: int | None = None)
 
 def stationary(nodes: DataFrame) -> DataFrame:
     """(run_id, b, p): shares of a run's weight."""
-    return nodes.select("run_id", "b", (F.col("z") / F.sum("z").over(Window.partitionBy("run_id"))).alias("p"))
+    total = nodes.groupBy("run_id").agg(F.sum("z").alias("total"))
+    return nodes.join(total, "run_id").select("run_id", "b", (F.col("z") / F.col("total")).alias("p"))

@@ -145,11 +145,11 @@ def is_homodimer(runs: DataFrame) -> Column:
     return F.reverse("seq_a") == F.col("seq_b")
 
 
-def with_open_state(runs: DataFrame, sites: DataFrame) -> DataFrame:
-    """The sites and each run's open state, whose positions are null."""
+def with_open_state(runs: DataFrame, sites: DataFrame, max_total: int | None = None) -> DataFrame:
+    """The sites and each run's open state, whose positions are null; not if its energy is over ``max_total``."""
     nothing = [F.lit(None).cast("int").alias(c) for c in SITE]
     opened = runs.select("run_id", *nothing, F.lit(0).cast("long").alias("hybrid"), F.lit(-energy.DUPLEX_INIT).cast("long").alias("energy"))
-    return opened.unionByName(sites)
+    return (opened if max_total is None else opened.where(F.col("energy") <= max_total)).unionByName(sites)
 
 
 def state_line() -> Column:

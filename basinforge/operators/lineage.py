@@ -58,3 +58,17 @@ def numbered(df: DataFrame, group: str, order: list[Column], name: str) -> DataF
     before = counts.select(group, "__part", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
     here = dealt.withColumn("__here", F.row_number().over(Window.partitionBy(group, "__part").orderBy(*keys)))
     return here.join(before, [group, "__part"]).withColumn(name, F.col("__before") + F.col("__here") - 1).drop(*keys, "__part", "__here", "__before")
+
+
+def with_previous(df: DataFrame, group: str, order: str, value: str, name: str) -> DataFrame:
+    """``df`` with ``name``: ``value`` of the row before in its group, by distinct ``order``; null for a group's first.
+
+    Rows are dealt by range of group and order; the last value of each range goes to the next one that has rows of the group.
+    """
+    dealt = checkpointed(df.repartitionByRange(group, order).withColumn("__part", F.spark_partition_id()))
+    lasts = dealt.groupBy(group, "__part").agg(F.max_by(value, order).alias("__last"))
+    carried = lasts.select(group, "__part", F.lag("__last").over(Window.partitionBy(group).orderBy("__part")).alias("__carried"))
+    here = F.lag(value).over(Window.partitionBy(group, "__part").orderBy(order))
+    first = F.row_number().over(Window.partitionBy(group, "__part").orderBy(order)) == 1
+    within = dealt.withColumn("__here", here).withColumn("__first", first)
+    return within.join(carried, [group, "__part"]).withColumn(name, F.when(F.col("__first"), F.col("__carried")).otherwise(F.col("__here"))).drop("__part", "__here", "__first", "__carried")

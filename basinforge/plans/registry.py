@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from basinforge.functions import energy, sequence
 from basinforge.functions.loops import LoopTable
-from basinforge.operators import analysis, ctmc, events, graph, hybrid, landscape, two_sites
+from basinforge.operators import analysis, checks, ctmc, events, graph, hybrid, landscape, two_sites
 from basinforge.operators.lineage import checkpointed
 from basinforge.plans import bindings as B
 from basinforge.plans import sql as S
@@ -147,7 +147,7 @@ def reorient_states(spark, sf):
 
 @query("region_filter", f"WITH {S.SITES} SELECT * FROM sites WHERE i1 >= 9 AND j1 <= 16 AND i2 >= 1 AND j2 <= 7")
 def region_filter(spark, sf):
-    return _sites(spark, sf).where((F.col("i1") >= 9) & (F.col("j1") <= 16) & (F.col("i2") >= 1) & (F.col("j2") <= 7))
+    return _sites(spark, sf).where(~landscape.outside_region((9, 16), (1, 7)))
 
 
 @query("encode_states", f"WITH {S.SITES} SELECT run_id, (i1 << 48) | (i2 << 32) | (j1 << 16) | j2 AS code, i1, j2, greatest(j1 - i1, j2 - i2) + 1 AS max_size FROM sites")
@@ -391,22 +391,6 @@ def basin_kinetics(spark, sf):
     return ctmc.until_converged(ctmc.solve(nodes, weights, ctmc.SolveSpec()), ctmc.stationary(nodes))
 
 
-@query("basin_pair_probs", f"""{_PATHS},
-w AS (
-  SELECT l.run_id, l.j1 AS k1, l.j2 AS k2, sum(l.q * r.q) AS z FROM hybrid l JOIN hybrid r ON l.run_id = r.run_id AND l.j1 = r.i1 AND l.j2 = r.i2 GROUP BY ALL),
-total AS (SELECT run_id, sum(q) AS z FROM hybrid GROUP BY run_id)
-SELECT w.run_id, k1, k2, round(round(w.z / total.z / 0.01) * 0.01, 6) AS p FROM w JOIN total USING (run_id) WHERE w.z / total.z > 0.01""", 6)
-def basin_pair_probs(spark, sf):
-    q = checkpointed(_hybrid(spark, sf))
-    left = q.select("run_id", F.col("j1").alias("k1"), F.col("j2").alias("k2"), F.col("q").alias("ql"))
-    # the sums over left and over right parts factor, so no row per site is made
-    ends = left.groupBy("run_id", "k1", "k2").agg(F.sum("ql").alias("ql"))
-    starts = q.groupBy("run_id", F.col("i1").alias("k1"), F.col("i2").alias("k2")).agg(F.sum("q").alias("qr"))
-    z = ends.join(starts, ["run_id", "k1", "k2"]).select("run_id", "k1", "k2", (F.col("ql") * F.col("qr")).alias("z"))
-    total = q.groupBy("run_id").agg(F.sum("q").alias("total"))
-    return exports.quantised(z.join(total, "run_id").select("run_id", "k1", "k2", (F.col("z") / F.col("total")).alias("p")), 0.01)
-
-
 _DOUBLE = f"""{S.SITES},
 double AS (
   SELECT x.run_id, x.i1, x.i2, x.j1, x.j2, y.i1 AS k1, y.i2 AS k2, y.j1 AS l1, y.j2 AS l2, x.hybrid + y.hybrid AS hybrid,
@@ -576,6 +560,45 @@ def two_site_energy_model(spark, sf):
     return two_sites.double_states(sites, limits, joint).drop("h1", "h2")
 
 
+@query("basin_pair_probs", f"""{_PATHS.replace("hybrid AS (", S.SITES.replace(S.GRID + ",", "").lstrip() + "," + S.SUMMARY.replace(S.SITES + ",", "") + ", hybrid AS (", 1)}
+SELECT run_id, basin, k1, k2, round(round(p / 0.01) * 0.01, 6) AS p FROM (
+  SELECT m.run_id, m.basin, l.j1 AS k1, l.j2 AS k2, sum(exp(-r.energy / 100.0 / {S.RT!r}) * l.q * h.q / w.q) / any_value(s.z) AS p
+  FROM members m JOIN ranked r ON m.run_id = r.run_id AND m.rank = r.rank JOIN summary s ON s.run_id = m.run_id AND s.basin = m.basin
+  JOIN hybrid w ON w.run_id = r.run_id AND w.i1 = r.i1 AND w.i2 = r.i2 AND w.j1 = r.j1 AND w.j2 = r.j2
+  JOIN hybrid l ON l.run_id = r.run_id AND l.i1 = r.i1 AND l.i2 = r.i2
+  JOIN hybrid h ON h.run_id = r.run_id AND h.i1 = l.j1 AND h.i2 = l.j2 AND h.j1 = r.j1 AND h.j2 = r.j2
+  GROUP BY m.run_id, m.basin, l.j1, l.j2) WHERE p > 0.01""", 6)
+def basin_pair_probs(spark, sf):
+    ranked, _, members = _basins(spark, sf)
+    states = members.join(ranked.where("i1 is not null"), ["run_id", "rank"]).select("run_id", "basin", *SITE, energy.boltzmann(F.col("energy") / 100.0).alias("z"))
+    weights = hybrid.basin_pair_weights(states, checkpointed(_hybrid(spark, sf)))
+    total = landscape.basin_summary(ranked, members).select("run_id", "basin", "z")
+    return exports.quantised(weights.join(total, ["run_id", "basin"]).select("run_id", "basin", "k1", "k2", (F.col("w") / F.col("z")).alias("p")), 0.01)
+
+
+@query("basin_track_lines", f"""WITH {_SUMMARY}, x AS (
+  SELECT m.run_id, m.basin, m.rank, energy, CASE WHEN i1 IS NULL THEN '{{}}' ELSE '{{(' || i1 || ',' || i2 || ')-(' || j1 || ',' || j2 || ')}}' END AS s FROM members m JOIN ranked r ON r.run_id = m.run_id AND r.rank = m.rank)
+SELECT x.run_id, x.basin, concat_ws(chr(9), x.basin, any_value(n_states), printf('%.6g', round(-{S.RT!r} * ln(any_value(z)), 9)), arg_min(s, (energy, x.rank)), printf('%.6g', min(energy) / 100.0), string_agg(s, ' ' ORDER BY x.rank)) AS line
+FROM x JOIN summary y ON y.run_id = x.run_id AND y.basin = x.basin GROUP BY x.run_id, x.basin""")
+def basin_track_lines(spark, sf):
+    ranked, _, members = _basins(spark, sf)
+    return exports.basin_track_lines(ranked, members, landscape.basin_summary(ranked, members))
+
+
+@query("input_errors", f"""WITH {S.RANKED},
+read AS (
+  SELECT run_id, rank AS line, i1, i2, CASE WHEN rank % 13 = 4 THEN i1 + 1 ELSE j1 END AS j1, j2, energy / 100.0 + CASE WHEN rank % 11 = 5 THEN 2.0 ELSE 0 END AS e FROM ranked WHERE i1 IS NOT NULL),
+b AS (SELECT r.*, lag(e) OVER (PARTITION BY r.run_id ORDER BY line) AS before, length(seq_a) AS n, length(seq_b) AS m FROM read r JOIN runs ON runs.run_id = r.run_id)
+SELECT run_id, line, 'invalid' AS error, NULL::DOUBLE AS value FROM b WHERE NOT (j1 <= n AND j2 <= m AND j1 - i1 >= 2 AND j2 - i2 >= 2)
+UNION ALL SELECT run_id, line, 'unsorted', round(before, 8) FROM b WHERE e + 1e-6 < before
+UNION ALL SELECT run_id, line, 'outside', NULL FROM b WHERE i1 < 2 OR j1 > 15 OR i2 < 1 OR j2 > 9""")
+def input_errors(spark, sf):
+    r, line = B.runs(spark, sf), F.col("rank")
+    read = _ranked(spark, sf).select("run_id", line.alias("line"), "i1", "i2", F.when(line % 13 == 4, F.col("i1") + 1).otherwise(F.col("j1")).alias("j1"), "j2", *[F.lit(None).cast("int").alias(c) for c in landscape.SECOND],
+                                     (F.col("energy") / 100.0 + F.when(line % 11 == 5, 2.0).otherwise(0.0)).alias("energy"))
+    return checks.input_errors(read, r, regions=((2, 15), (1, 9)))
+
+
 # graphs
 
 
@@ -809,9 +832,11 @@ def stationary_distribution(spark, sf):
     return graph.equilibrium(weight).select(F.col("b").alias("state"), "p")
 
 
-@query("time_grid", "SELECT k, round(log10(0.1 * pow(1.2, k)), 8) AS log_t FROM (SELECT unnest(range(0, 300)) AS k) WHERE 0.1 * pow(1.2, k) < 1e15")
+@query("time_grid", f"""WITH {S.TRADE_RUNS}, ends AS (SELECT run_id, sum(z) * 1e9 AS stop FROM rnodes GROUP BY run_id)
+SELECT run_id, k, round(log10(0.1 * pow(1.2, k)), 8) AS log_t FROM ends, (SELECT unnest(range(0, 300)) AS k) WHERE 0.1 * pow(1.2, k) < stop""")
 def time_grid(spark, sf):
-    return ctmc.time_grid(spark, end=1e15).select("k", F.log10("t").alias("log_t"))
+    ends = B.trade_runs(spark, sf)[0].groupBy("run_id").agg((F.sum("z") * 1e9).alias("end"))
+    return ctmc.run_time_grids(ends).select("run_id", "k", F.log10("t").alias("log_t"))
 
 
 @query("solve_kinetics", f"WITH RECURSIVE {S.SOLVED} SELECT run_id, round(t, 8) AS t, b, round(p, 8) AS p FROM solved", 8)
@@ -945,12 +970,12 @@ def pseudo_bar(spark, sf):
     return exports.pseudo_bar(_trade(spark, sf)[0])
 
 
-@query("rate_lines", f"""WITH {S.TRADE}, off AS (SELECT s AS i, t AS j, w / z AS r FROM ends JOIN nodes ON b = s),
-every AS (SELECT i, j, r FROM off UNION ALL SELECT i, i, -sum(r) FROM off GROUP BY i)
-SELECT x.i, string_agg(lpad(printf('%.4g', coalesce(r, 0)), 10, ' '), ' ' ORDER BY y.j) AS line
-FROM (SELECT DISTINCT i FROM every) x CROSS JOIN (SELECT unnest(range((SELECT max(j) + 1 FROM every))) AS j) y LEFT JOIN every e ON e.i = x.i AND e.j = y.j GROUP BY x.i""")
+@query("rate_lines", f"""WITH {S.TRADE_RUNS}, off AS (SELECT e.run_id, s AS i, t AS j, w / z AS r FROM rends e JOIN rnodes n ON n.run_id = e.run_id AND b = s),
+every AS (SELECT run_id, i, j, r FROM off UNION ALL SELECT run_id, i, i, -sum(r) FROM off GROUP BY run_id, i),
+cell AS (SELECT x.run_id, i, unnest(range(last + 1)) AS j FROM (SELECT DISTINCT run_id, i FROM every) x JOIN (SELECT run_id, max(j) AS last FROM every GROUP BY run_id) y ON x.run_id = y.run_id)
+SELECT c.run_id, c.i, string_agg(lpad(printf('%.4g', coalesce(r, 0)), 10, ' '), ' ' ORDER BY c.j) AS line FROM cell c LEFT JOIN every e ON e.run_id = c.run_id AND e.i = c.i AND e.j = c.j GROUP BY c.run_id, c.i""")
 def rate_lines(spark, sf):
-    return exports.rate_lines(ctmc.rate_matrix(*_trade(spark, sf)))
+    return exports.rate_lines(ctmc.rate_matrix(*_trade_runs(spark, sf)))
 
 
 @query("kinetics_lines", f"WITH {S.KINETICS} SELECT t, printf('%.6e', CAST(t AS DOUBLE)) || ' ' || string_agg(printf('%.6g', p), ' ' ORDER BY state) AS line FROM kin GROUP BY t")

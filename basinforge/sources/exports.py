@@ -10,14 +10,40 @@ from basinforge.operators.graph import both_directions, equilibrium, outflow
 from basinforge.operators.lineage import numbered
 
 
+def _off_ties(value: Column, digits: int) -> Column:
+    """The value, moved a little to the side that C rounds it to where it is about half way between two numbers of that many digits.
+
+    C rounds what the bits stand for, half to even; Java the shortest decimal, half up.  The product with a power of ten and its rounding
+    error, from products of half numbers, tell exactly on which side of the middle a value is.
+    """
+    k = (digits - 1 - F.floor(F.log10(F.abs(value)))).cast("int")
+    tens = F.array(*[F.lit(10.0**n) for n in range(23)])
+    ten = F.try_element_at(tens, F.abs(k) + 1)
+
+    def halves(x: Column) -> tuple[Column, Column]:
+        high = x * 134217729.0 - (x * 134217729.0 - x)
+        return high, x - high
+
+    size = F.abs(value)
+    product = size * ten
+    (a, b), (c, d) = halves(size), halves(ten)
+    error = ((a * c - product) + a * d + b * c) + b * d
+    low = F.when(k >= 0, F.floor(product)).otherwise(F.floor(size / ten))
+    beyond = F.when(k >= 0, (product - (low + 0.5)) + error).otherwise(size - (low + 0.5) * ten)
+    near = F.abs(F.when(k >= 0, product).otherwise(size / ten) - (low + 0.5)) < 1e-7
+    up = (beyond > 0) | ((beyond == 0) & (low % 2 == 1))
+    return F.when(near & ten.isNotNull(), F.when(up, value * (1 + 1e-12)).otherwise(value * (1 - 1e-12))).otherwise(value)
+
+
 def general(value: Column, digits: int) -> Column:
     """A number as C's %g writes it with that many digits."""
+    value = _off_ties(value, digits)
     text = F.format_string(f"%.{digits - 1}e", value)
     exponent = F.substring_index(text, "e", -1).cast("int")
     bare = lambda s: F.when(s.contains("."), F.regexp_replace(s, "\\.?0+$", "")).otherwise(s)
     fixed = F.call_function("format_string", F.concat(F.lit("%."), F.greatest(digits - 1 - exponent, F.lit(0)).cast("string"), F.lit("f")), value)
     scientific = F.concat(bare(F.substring_index(text, "e", 1)), F.lit("e"), F.substring_index(text, "e", -1))
-    return F.when(value == 0, "0").when((exponent >= -4) & (exponent < digits), bare(fixed)).otherwise(scientific)
+    return F.when(value == 0, F.when(text.startswith("-"), "-0").otherwise("0")).when((exponent >= -4) & (exponent < digits), bare(fixed)).otherwise(scientific)
 
 
 def quantised(probabilities: DataFrame, least: float) -> DataFrame:
@@ -77,11 +103,29 @@ def kinetics_lines(kinetics: DataFrame) -> DataFrame:
 
 
 def rate_lines(rates: DataFrame) -> DataFrame:
-    """(i, line): a row of the rate matrix of basins numbered from 0, each rate in ten places with four digits; absent ones are zero."""
-    last = rates.agg(F.max("j")).first()[0] or 0
-    row = rates.groupBy("i").agg(F.map_from_entries(F.collect_list(F.struct("j", "rate"))).alias("row"))
-    cells = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(last).cast("long")), lambda j: F.lpad(general(F.coalesce(F.try_element_at("row", j), F.lit(0.0)), 4), 10, " "))
-    return row.select("i", F.array_join(cells, " ").alias("line"))
+    """(i, line): a row of the rate matrix of basins numbered from 0, each rate in ten places with four digits; absent ones are zero.
+
+    With ``run_id``, of each run, whose rows are as wide as its own basins.
+    """
+    of = ["run_id"] if "run_id" in rates.columns else []
+    width = rates.groupBy(*of).agg(F.max("j").cast("long").alias("last"))
+    row = rates.groupBy(*of, "i").agg(F.map_from_entries(F.collect_list(F.struct("j", "rate"))).alias("row"))
+    row = row.join(width, of) if of else row.withColumn("last", F.lit(width.first()[0] or 0).cast("long"))
+    cells = F.transform(F.sequence(F.lit(0).cast("long"), F.col("last")), lambda j: F.lpad(general(F.coalesce(F.try_element_at("row", j), F.lit(0.0)), 4), 10, " "))
+    return row.select(*of, "i", F.array_join(cells, " ").alias("line"))
+
+
+def basin_track_lines(states: DataFrame, members: DataFrame, summary: DataFrame, celsius: float = 37.0) -> DataFrame:
+    """(run_id, basin, line): number, states, free energy, lowest state, its energy, and all states in order of rank, tab-separated.
+
+    ``states`` has run_id, rank, the site (null: open) and energy; ``summary`` is that of the basins.
+    """
+    text = F.when(F.col("i1").isNull(), "{}").otherwise(F.format_string("{(%d,%d)-(%d,%d)}", "i1", "i2", "j1", "j2"))
+    each = members.select("run_id", "basin", "rank").join(states.select("run_id", "rank", text.alias("x"), (F.col("energy") / 100.0).alias("e")), ["run_id", "rank"])
+    listed = each.groupBy("run_id", "basin").agg(F.array_sort(F.collect_list(F.struct("rank", "x"))).alias("xs"), F.min(F.struct("e", "rank", "x")).alias("low"))
+    both = listed.join(summary.select("run_id", "basin", "n_states", "z"), ["run_id", "basin"])
+    columns = [F.col("basin").cast("string"), F.col("n_states").cast("string"), general(free_energy(F.col("z"), celsius), 6), F.col("low.x"), general(F.col("low.e"), 6), F.array_join(F.transform("xs", lambda s: s["x"]), " ")]
+    return both.select("run_id", "basin", F.concat_ws("\t", *columns).alias("line"))
 
 
 def basin_track(members: DataFrame) -> DataFrame:

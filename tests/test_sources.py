@@ -119,7 +119,9 @@ def test_stream(spark, tmp_path):
 
 
 def test_numbers_as_c_writes_them(spark):
-    values = [0.0, 1.0, 0.5, 1234.5678, 123456.0, 1e-5, 0.0001234567, 9.9999e-5, 99999.5, -2.5e10, 1 / 3, 1e300, 999.95]
+    values = [0.0, -0.0, 1.0, 0.5, 1234.5678, 123456.0, 1e-5, 0.0001234567, 9.9999e-5, 99999.5, -2.5e10, 1 / 3, 1e300, 999.95]
+    values += [5 / 32, 7 / 32, 2.675, 1.0005, 1.00005, 0.00125, 3.0625, 12.345, 0.1034482758620689, 9.9995, 99.995, 123455.0, 1234550.0, 12345500.0, -0.15625, 0.5 + 2**-14, 1 / 1024, 1 / 4096, 2.5, 0.25, 0.125, 0.0625]
+    values += [n / 64 for n in range(1, 200)] + [n / 1000 + 0.0005 for n in range(40)]
     df = spark.createDataFrame([(v,) for v in values], "v double")
     for digits in (3, 4, 6):
         assert [r[0] for r in df.select(exports.general(F.col("v"), digits)).collect()] == [f"{v:.{digits}g}" for v in values]
