@@ -186,18 +186,21 @@ def _site_moves(ranked: DataFrame, limits: SiteLimits, kinds: tuple[str, ...]) -
     The smaller sites are looked up by their whole key, one offset at a time, so no
     join makes all sites that share an end.
     """
-    offsets = F.array(*[F.struct(F.lit(KINDS.index(k)).alias("kind"), *[F.lit(d).alias(f"d_{c}") for c, d in zip(SITE, moved)], F.lit(loop).alias("loop")) for k, *moved, loop in _shrinks(limits, kinds)])
+    shrinks = _shrinks(limits, kinds)
+    table = F.array(*[F.struct(F.lit(KINDS.index(k)).alias("kind"), *[F.lit(d).alias(c) for c, d in zip(SITE, moved)], F.lit(loop).alias("loop")) for k, *moved, loop in shrinks])
+    # a row carries its offset's number and the target's code, not the columns that they stand for
+    d = F.element_at(table, F.col("at") + 1)
     sites = ranked.where("i1 is not null")
-    target = {c: F.col(c) + F.col(f"d.d_{c}") for c in SITE}
-    large = sites.select("run_id", *[F.col(c).alias(c) for c in SITE], *[F.col(c).alias(f"l_{c}") for c in ("rank", "energy", "hybrid")], F.explode(offsets).alias("d"))
+    target = {c: F.col(c) + d[c] for c in SITE}
+    large = sites.select("run_id", *SITE, *[F.col(c).alias(f"l_{c}") for c in ("rank", "energy", "hybrid")], F.explode(F.array(*[F.lit(n) for n in range(len(shrinks))])).alias("at"))
     large = large.where((target["j1"] - target["i1"] + 1 >= limits.least) & (target["j2"] - target["i2"] + 1 >= limits.least))
-    large = large.select("run_id", "d", "l_rank", "l_energy", "l_hybrid", *[target[c].alias(c) for c in SITE])
-    small = sites.select("run_id", *SITE, *[F.col(c).alias(f"s_{c}") for c in ("rank", "energy", "hybrid")])
-    both = large.join(small, ["run_id", *SITE])
-    d1, d2 = (F.abs(F.col(f"d.d_{i}") + F.col(f"d.d_{j}")) for i, j in (("i1", "j1"), ("i2", "j2")))
-    saddle = F.col("s_hybrid") + F.when(F.col("d.loop"), energy.loop_energy(d1, d2)).otherwise(0) + F.col("l_energy") - F.col("l_hybrid")
-    both = both.withColumn("e_ts", saddle.cast("long"))
-    end = lambda x, y: F.struct(F.col(f"{x}_rank").alias("src"), F.col(f"{y}_rank").alias("dst"), F.col("d.kind").alias("kind"), F.col(f"{x}_energy").alias("e_src"), F.col(f"{y}_energy").alias("e_dst"), "e_ts")
+    large = large.select("run_id", "at", "l_rank", "l_energy", "l_hybrid", sequence.encode_site(*target.values()).alias("code"))
+    small = sites.select("run_id", sequence.encode_site(*[F.col(c) for c in SITE]).alias("code"), *[F.col(c).alias(f"s_{c}") for c in ("rank", "energy", "hybrid")])
+    both = large.join(small, ["run_id", "code"])
+    d1, d2 = (F.abs(d[i] + d[j]) for i, j in (("i1", "j1"), ("i2", "j2")))
+    saddle = F.col("s_hybrid") + F.when(d["loop"], energy.loop_energy(d1, d2)).otherwise(0) + F.col("l_energy") - F.col("l_hybrid")
+    both = both.withColumn("e_ts", saddle.cast("long")).withColumn("kind", d["kind"])
+    end = lambda x, y: F.struct(F.col(f"{x}_rank").alias("src"), F.col(f"{y}_rank").alias("dst"), "kind", F.col(f"{x}_energy").alias("e_src"), F.col(f"{y}_energy").alias("e_dst"), "e_ts")
     return both.select("run_id", F.explode(F.array(end("l", "s"), end("s", "l"))).alias("e")).select("run_id", "e.*")
 
 
@@ -221,8 +224,8 @@ def open_close_moves(ranked: DataFrame, limits: SiteLimits = SiteLimits()) -> Da
     most = limits.unpaired_in_loop + 1
     saddle = F.col("energy") - F.col("hybrid") + energy.loop_energy(d1, d2)
     short = ranked.where((d1 <= most) & (d2 <= most)).select("run_id", F.col("rank").alias("s_rank"), F.col("energy").alias("s_energy"), saddle.alias("saddle"))
-    opened = ranked.where("i1 is null").select("run_id", F.col("rank").alias("t_rank"), F.col("energy").alias("t_energy"))
-    both = short.join(opened, "run_id")
+    # every run's open state has rank 0 and one energy, so that it needs no join
+    both = short.withColumn("t_rank", F.lit(0).cast("long")).withColumn("t_energy", F.lit(-energy.DUPLEX_INIT).cast("long"))
     back = both.select("run_id", F.col("t_rank").alias("s_rank"), F.col("t_energy").alias("s_energy"), "saddle", F.col("s_rank").alias("t_rank"), F.col("s_energy").alias("t_energy"))
     return _edges(both, "remove", F.col("saddle")).unionByName(_edges(back, "new", F.col("saddle")))
 
