@@ -578,7 +578,7 @@ def basin_pair_probs(spark, sf):
 
 @query("basin_track_lines", f"""WITH {_SUMMARY}, x AS (
   SELECT m.run_id, m.basin, m.rank, energy, CASE WHEN i1 IS NULL THEN '{{}}' ELSE '{{(' || i1 || ',' || i2 || ')-(' || j1 || ',' || j2 || ')}}' END AS s FROM members m JOIN ranked r ON r.run_id = m.run_id AND r.rank = m.rank)
-SELECT x.run_id, x.basin, concat_ws(chr(9), x.basin, any_value(n_states), printf('%.6g', round(-{S.RT!r} * ln(any_value(z)), 9)), arg_min(s, (energy, x.rank)), printf('%.6g', min(energy) / 100.0), string_agg(s, ' ' ORDER BY x.rank)) AS line
+SELECT x.run_id, x.basin, concat_ws(chr(9), x.basin, any_value(n_states), printf('%.6g', round(-{S.RT!r} * ln(any_value(z)), 9) + 0.0), arg_min(s, (energy, x.rank)), printf('%.6g', min(energy) / 100.0), string_agg(s, ' ' ORDER BY x.rank)) AS line
 FROM x JOIN summary y ON y.run_id = x.run_id AND y.basin = x.basin GROUP BY x.run_id, x.basin""")
 def basin_track_lines(spark, sf):
     ranked, _, members = _basins(spark, sf)

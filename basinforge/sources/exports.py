@@ -116,7 +116,7 @@ def rate_lines(rates: DataFrame) -> DataFrame:
 
 
 def basin_track_lines(states: DataFrame, members: DataFrame, summary: DataFrame, celsius: float = 37.0) -> DataFrame:
-    """(run_id, basin, line): number, states, free energy, lowest state, its energy, and all states in order of rank, tab-separated.
+    """(run_id, basin, line): number, states, free energy (rounded to nine decimals before it is written), lowest state, its energy, and all states in order of rank, tab-separated.
 
     ``states`` has run_id, rank, the site (null: open) and energy; ``summary`` is that of the basins.
     """
@@ -124,7 +124,7 @@ def basin_track_lines(states: DataFrame, members: DataFrame, summary: DataFrame,
     each = members.select("run_id", "basin", "rank").join(states.select("run_id", "rank", text.alias("x"), (F.col("energy") / 100.0).alias("e")), ["run_id", "rank"])
     listed = each.groupBy("run_id", "basin").agg(F.array_sort(F.collect_list(F.struct("rank", "x"))).alias("xs"), F.min(F.struct("e", "rank", "x")).alias("low"))
     both = listed.join(summary.select("run_id", "basin", "n_states", "z"), ["run_id", "basin"])
-    columns = [F.col("basin").cast("string"), F.col("n_states").cast("string"), general(free_energy(F.col("z"), celsius), 6), F.col("low.x"), general(F.col("low.e"), 6), F.array_join(F.transform("xs", lambda s: s["x"]), " ")]
+    columns = [F.col("basin").cast("string"), F.col("n_states").cast("string"), general(F.round(free_energy(F.col("z"), celsius), 9) + 0.0, 6), F.col("low.x"), general(F.col("low.e"), 6), F.array_join(F.transform("xs", lambda s: s["x"]), " ")]
     return both.select("run_id", "basin", F.concat_ws("\t", *columns).alias("line"))
 
 
