@@ -6,14 +6,16 @@ balance, so one symmetric eigendecomposition of a run serves all its times.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from basinforge.operators.graph import both_directions, both_directions_by_run
+from basinforge.operators.lineage import checkpointed, forget
 
 
 def symmetrize(entries: DataFrame) -> DataFrame:
@@ -171,6 +173,62 @@ def solve(nodes: DataFrame, edges: DataFrame, spec: SolveSpec = SolveSpec()) ->
     return _together(nodes, edges).groupBy("run_id").applyInPandas(run, "run_id long, t double, b long, p double")
 
 
+#: Steps of a propagation that are planned together before their result is kept as a table.
+STEPS_AT_ONCE = 6
+
+
+def _terms(most: float, tolerance: float) -> int:
+    """How many jumps hold all but ``tolerance`` of a Poisson law of that mean."""
+    k, log_p, left = 0, -most, 1.0
+    while (left := left - math.exp(log_p)) > tolerance or k < most:
+        k += 1
+        log_p += math.log(most) - math.log(k)
+    return k + 1
+
+
+def propagate(nodes: DataFrame, edges: DataFrame, times: list[float], start: int = 0, tolerance: float = 1e-10, most_terms: int = 500) -> DataFrame:
+    """(run_id, t, b, p): probabilities at a few times by jumps at one rate (uniformisation), as joins over edges.
+
+    No run's matrix is held: a step joins the probabilities with the rates and sums them by basin, and every time takes its share of
+    each step.  Steps are as many as the fastest run's jumps up to the last time, and some more for ``tolerance``; over ``most_terms`` is an error, and ``solve`` is for
+    such times.  A run that lacks ``start`` has no rows.
+    """
+    ends = both_directions_by_run(edges.where("a <> b")).join(nodes.select("run_id", F.col("b").alias("s"), "z"), ["run_id", "s"])
+    off = ends.select("run_id", "s", "t", (F.col("w") / F.col("z")).alias("r"))
+    out = off.groupBy("run_id", "s").agg(F.sum("r").alias("o"))
+    top = out.groupBy("run_id").agg(F.max("o").alias("rate"))
+    every = nodes.select("run_id", F.col("b").alias("s")).join(out, ["run_id", "s"], "left").join(top, "run_id", "left").withColumn("rate", F.coalesce("rate", F.lit(1.0)))
+    stay = every.select("run_id", "s", F.col("s").alias("t"), (1 - F.coalesce("o", F.lit(0.0)) / F.col("rate")).alias("p"), F.lit(1.0).alias("own"))
+    steps = checkpointed(off.join(top, "run_id").select("run_id", "s", "t", (F.col("r") / F.col("rate")).alias("p"), F.lit(0.0).alias("own")).unionByName(stay))
+    fastest = every.agg(F.max("rate")).first()[0]
+    if fastest is None:
+        return nodes.select("run_id", F.lit(0.0).alias("t"), "b", F.lit(0.0).alias("p")).limit(0)
+    terms = _terms(fastest * max(times), tolerance)
+    if terms > most_terms:
+        raise ValueError(f"{terms} steps are needed, more than {most_terms}")
+    held = nodes.where(F.col("b") == start).select("run_id")
+    sums = [f"sum_{n}" for n in range(len(times))]
+
+    def share(k: int, t: float) -> Column:
+        mean = F.col("rate") * t
+        return F.when(mean > 0, F.exp(k * F.log(mean) - mean - math.lgamma(k + 1))).otherwise(float(k == 0))
+
+    state = every.join(held, "run_id", "left_semi").select("run_id", "s", "rate", (F.col("s") == start).cast("double").alias("v"))
+    state = checkpointed(state.select("*", *[(share(0, t) * F.col("v")).alias(c) for c, t in zip(sums, times)]))
+    kept = state
+    for k in range(1, terms):
+        joined = state.join(steps, ["run_id", "s"])
+        state = joined.groupBy("run_id", F.col("t").alias("s")).agg(F.max("rate").alias("rate"), F.sum(F.col("v") * F.col("p")).alias("v"), *[F.sum(F.col(c) * F.col("own")).alias(c) for c in sums])
+        state = state.select("run_id", "s", "rate", "v", *[(F.col(c) + share(k, t) * F.col("v")).alias(c) for c, t in zip(sums, times)])
+        if k % STEPS_AT_ONCE == 0 or k == terms - 1:
+            state = checkpointed(state)
+            forget(kept)
+            kept = state
+    forget(steps)
+    each = F.explode(F.array(*[F.struct(F.lit(float(t)).alias("t"), F.col(c).alias("p")) for c, t in zip(sums, times)]))
+    return state.select("run_id", "s", each.alias("x")).select("run_id", "x.t", F.col("s").alias("b"), "x.p")
+
+
 def until_converged(kinetics: DataFrame, stationary: DataFrame, tolerance: float = 5e-3) -> DataFrame:
     """The rows up to and with the first time at which the probabilities are stationary within ``tolerance``."""
     gap = kinetics.join(stationary.select("run_id", "b", F.col("p").alias("pi")), ["run_id", "b"]).groupBy("run_id", "t").agg(F.sum(F.abs(F.col("p") - F.col("pi"))).alias("gap"))

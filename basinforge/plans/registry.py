@@ -844,6 +844,15 @@ def solve_kinetics(spark, sf):
     return ctmc.solve(*_trade_runs(spark, sf), ctmc.SolveSpec(t0=0.01, end=1e2))
 
 
+_TIMES = (0.5, 1.0, 2.0, 4.0)
+
+
+@query("propagate", f"""WITH RECURSIVE {S.SOLVED.replace("SELECT 0.01 * pow(1.2, k) AS t FROM (SELECT unnest(range(0, 64)) AS k) WHERE 0.01 * pow(1.2, k) < 1e2", f"SELECT CAST(unnest({list(_TIMES)}) AS DOUBLE) AS t")}
+SELECT run_id, t, b, round(p, 8) AS p FROM solved""", 8)
+def propagate(spark, sf):
+    return ctmc.propagate(*_trade_runs(spark, sf), list(_TIMES))
+
+
 @query("mfpt", f"WITH RECURSIVE {S.PASSAGE} SELECT run_id, a, b, round(time, 6) AS time FROM passage", 6)
 def mfpt(spark, sf):
     return ctmc.passage_times(*_trade_runs(spark, sf))

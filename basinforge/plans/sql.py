@@ -221,9 +221,9 @@ PASSAGE = f"""{LISTS},
 step AS (
   SELECT run_id, CAST(target AS INT) AS target, 0 AS k, list_transform(range(n), lambda x: CAST(0 AS DOUBLE)) AS v FROM m, (SELECT unnest(range(1, 26)) AS target) WHERE target <= n
   UNION ALL
-  SELECT s.run_id, target, k + 1, list_transform(range(1, n + 1), lambda i: CASE WHEN i = target THEN 0 ELSE wait[i] + list_dot_product(hop[i], v) END) FROM step s JOIN m USING (run_id) WHERE k < 5000),
+  SELECT s.run_id, target, k + 1, list_transform(range(1, n + 1), lambda i: CASE WHEN i = target THEN 0 ELSE wait[i] + list_dot_product(hop[i], v) END) FROM step s JOIN m USING (run_id) WHERE k < 12000),
 passage AS (
-  SELECT x.run_id, x.b AS a, y.b AS b, v[x.k] AS time FROM (SELECT * FROM step WHERE k = 5000) s JOIN ids y ON y.run_id = s.run_id AND y.k = s.target JOIN ids x ON x.run_id = s.run_id)"""
+  SELECT x.run_id, x.b AS a, y.b AS b, v[x.k] AS time FROM (SELECT * FROM step WHERE k = 12000) s JOIN ids y ON y.run_id = s.run_id AND y.k = s.target JOIN ids x ON x.run_id = s.run_id)"""
 
 #: Probabilities over time by uniformisation: jumps at one rate for all basins, some of which stay.
 SOLVED = f"""{LISTS},

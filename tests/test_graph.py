@@ -245,3 +245,21 @@ def test_components_are_connected_or_left_out(spark):
     first = rows_of(graph.prune_run(nodes, edges, graph.PruneSteps(limits, simplify=False, connect=False)))
     assert {k: v for k, v in first.items() if k[1] == "node"} == {(0, "node", 0, 0): 9.0, (0, "node", 1, 1): 4.0, (1, "node", 0, 0): 9.0}
     assert {k for k in first if k[1] == "part"} == {(0, "part", 0, 1), (0, "part", 1, 0), (1, "part", 0, 1)}
+
+
+def test_propagation_by_joins_agrees_with_the_eigen_form(spark):
+    first, second = random_graph(7, 21, 0.3), random_graph(5, 22)
+    (n1, e1), (n2, e2) = tables(spark, *first), tables(spark, *second, run=1)
+    alone = spark.createDataFrame([(2, 0, 2.0)], "run_id long, b long, z double")
+    times = [0.0, 0.05, 0.3]
+    rates = max((w / z[:, None]).sum(axis=1).max() for z, w in (first, second))
+    times = [t / rates * 8 for t in times]
+    found = {(r.run_id, round(r.t, 12), r.b): r.p for r in ctmc.propagate(n1.unionByName(n2).unionByName(alone), e1.unionByName(e2), times).collect()}
+    for run, (z, w) in enumerate((first, second)):
+        want = ctmc.probabilities(z, w, np.array(times), 0)
+        for k, t in enumerate(times):
+            assert np.allclose([found[run, round(t, 12), b] for b in range(len(z))], want[k], atol=1e-8)
+    assert all(found[2, round(t, 12), 0] == pytest.approx(1) for t in times)
+    with pytest.raises(ValueError):
+        ctmc.propagate(n1, e1, [1e6])
+    assert ctmc.propagate(n1.limit(0), e1.limit(0), [1.0]).count() == 0 and ctmc.propagate(n1, e1, [0.0], start=77).count() == 0
