@@ -100,7 +100,11 @@ def states(runs: DataFrame, sites: DataFrame, double: DataFrame) -> DataFrame:
 
 def _both_ways(pairs: DataFrame, there: Column, back: Column) -> DataFrame:
     """Edges from l to s (kind ``there``) and from s to l (``back``) over their saddle e_ts."""
-    end = lambda x, y, kind: F.struct(F.col(f"{x}_rank").alias("src"), F.col(f"{y}_rank").alias("dst"), kind.cast("int").alias("kind"), F.col(f"{x}_energy").alias("e_src"), F.col(f"{y}_energy").alias("e_dst"), F.col("e_ts").cast("long").alias("e_ts"))
+
+    def end(x: str, y: str, kind: Column) -> Column:
+        ends = [F.col(f"{a}_{of}").alias(name) for of, names in (("rank", ("src", "dst")), ("energy", ("e_src", "e_dst"))) for a, name in zip((x, y), names)]
+        return F.struct(*ends[:2], kind.cast("int").alias("kind"), *ends[2:], F.col("e_ts").cast("long").alias("e_ts"))
+
     return pairs.select("run_id", F.explode(F.array(end("l", "s", there), end("s", "l", back))).alias("e")).select("run_id", "e.*")
 
 
@@ -122,7 +126,8 @@ def end_moves(ranked: DataFrame, limits: SiteLimits = SiteLimits()) -> DataFrame
     places = F.array(*[F.lit(k) for k in range(len(offsets))])
     table = F.array(*[F.struct(F.lit(site).alias("site"), F.lit(kind).alias("kind"), *[F.lit(d).alias(c) for c, d in zip(SITE, moved)], F.lit(loop).alias("loop")) for site, kind, moved, loop in offsets])
     half = len(offsets) // 2  # those of the second site need one
-    large = ranked.where("code1 <> 0").select("run_id", "code1", "code2", *SITE, *SECOND, *[F.col(c).alias(f"l_{c}") for c in ("rank", "energy", "hybrid")], F.explode(F.when(F.col("code2") == 0, F.slice(places, 1, half)).otherwise(places)).alias("at"))
+    own = F.when(F.col("code2") == 0, F.slice(places, 1, half)).otherwise(places)
+    large = ranked.where("code1 <> 0").select(*_KEY, *SITE, *SECOND, *[F.col(c).alias(f"l_{c}") for c in ("rank", "energy", "hybrid")], F.explode(own).alias("at"))
     d = F.element_at(table, F.col("at") + 1)
     moved = {c: F.coalesce(F.when(d["site"] == 0, F.col(a)).otherwise(F.col(b)), F.lit(0)) + d[c] for c, a, b in zip(SITE, SITE, SECOND)}
     fits = (moved["j1"] - moved["i1"] + 1 >= limits.least) & (moved["j2"] - moved["i2"] + 1 >= limits.least)
