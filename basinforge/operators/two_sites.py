@@ -2,7 +2,7 @@
 
 A state is known by run_id and the codes of its sites, 0 for none.  Pairs of sites come from a join on
 power-of-two ranges of one strand, so that only pairs in order on that strand are made.  Moves
-are looked up by the target's whole key, one offset at a time.  Parents, basins and transitions are
+of one end are joins on all that stays, others on the target's whole key.  Parents, basins and transitions are
 those of ``landscape``, which knows states by their ranks alone.
 
 A move and its reverse have one saddle, and where published bounds differ between the two the wider one holds.
@@ -11,6 +11,7 @@ A move and its reverse have one saddle, and where published bounds differ betwee
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from basinforge.functions import energy, sequence
 from basinforge.operators import landscape
 from basinforge.operators.landscape import SECOND, SITE, SiteLimits
-from basinforge.operators.lineage import numbered
+from basinforge.operators.lineage import numbered, unbroadcast
 
 #: Order of the kinds of moves, which decides ties: each end of each site, shifts, a site less, a first, left or right one more, two in one, one in two.
 KINDS = ("first_left", "first_right", "second_left", "second_right", "shift", "remove", "new", "new_left", "new_right", "merge", "split")
@@ -118,25 +119,15 @@ def _number(kind: str) -> Column:
 
 def end_moves(ranked: DataFrame, limits: SiteLimits = SiteLimits()) -> DataFrame:
     """Moves of one end of one site, on both strands in the same direction or on one: both directions of each."""
-    offsets = []
-    for site in (0, 1):
-        for kind, *moved, loop in landscape._shrinks(limits, landscape.KINDS[:3]):
-            name = "shift" if kind == "shift" else ("first", "second")[site] + kind.removeprefix("grow")
-            offsets.append((site, KINDS.index(name), moved, loop))
-    places = F.array(*[F.lit(k) for k in range(len(offsets))])
-    table = F.array(*[F.struct(F.lit(site).alias("site"), F.lit(kind).alias("kind"), *[F.lit(d).alias(c) for c, d in zip(SITE, moved)], F.lit(loop).alias("loop")) for site, kind, moved, loop in offsets])
-    half = len(offsets) // 2  # those of the second site need one
-    own = F.when(F.col("code2") == 0, F.slice(places, 1, half)).otherwise(places)
-    large = ranked.where("code1 <> 0").select(*_KEY, *SITE, *SECOND, *[F.col(c).alias(f"l_{c}") for c in ("rank", "energy", "hybrid")], F.explode(own).alias("at"))
-    d = F.element_at(table, F.col("at") + 1)
-    moved = {c: F.coalesce(F.when(d["site"] == 0, F.col(a)).otherwise(F.col(b)), F.lit(0)) + d[c] for c, a, b in zip(SITE, SITE, SECOND)}
-    fits = (moved["j1"] - moved["i1"] + 1 >= limits.least) & (moved["j2"] - moved["i2"] + 1 >= limits.least)
-    target = sequence.encode_site(*[moved[c] for c in SITE])
-    large = large.where(fits).select("run_id", "at", "l_rank", "l_energy", "l_hybrid", F.when(d["site"] == 0, target).otherwise(F.col("code1")).alias("code1"), F.when(d["site"] == 1, target).otherwise(F.col("code2")).alias("code2"))
-    both = large.join(_as(ranked, "s"), _KEY)
-    a, b = F.abs(d["i1"] + d["j1"]), F.abs(d["i2"] + d["j2"])
-    loop = F.when(d["loop"], energy.loop_energy(a, b)).otherwise(0)
-    return _both_ways(both.withColumn("e_ts", F.col("s_hybrid") + loop + F.col("l_energy") - F.col("l_hybrid")), d["kind"], d["kind"])
+    made = []
+    for name, ends, fixed in (("first", SITE, ["code2"]), ("second", SECOND, ["code1"])):
+        a, b, c, d = (F.col(x) for x in ends)
+        own = ranked.where(F.col("code1" if name == "first" else "code2") != 0).where((c - a + 1 >= limits.least) & (d - b + 1 >= limits.least))
+        for side, moved, kept in (("left", ends[:2], ends[2:]), ("right", ends[2:], ends[:2])):
+            keys = [F.col(x) for x in (*kept, *fixed)]
+            made.append(landscape.end_pairs(own, keys, moved, side == "left", limits, (KINDS.index(f"{name}_{side}"), KINDS.index("shift"))))
+    pairs = reduce(DataFrame.unionByName, made)
+    return _both_ways(pairs, F.col("kind"), F.col("kind"))
 
 
 def site_moves(ranked: DataFrame, limits: SiteLimits = SiteLimits()) -> DataFrame:
@@ -159,7 +150,7 @@ def site_moves(ranked: DataFrame, limits: SiteLimits = SiteLimits()) -> DataFram
     large = ranked.where("code1 <> 0").select("run_id", *[F.col(c).alias(f"l_{c}") for c in ("rank", "energy")], F.explode(gone).alias("g")).select("run_id", "l_rank", "l_energy", "g.*")
     # every run's open state has rank 0 and one energy, so that it needs no join
     opened = large.where("code1 = 0").withColumn("s_rank", F.lit(0).cast("long")).withColumn("s_energy", F.lit(-energy.DUPLEX_INIT).cast("long"))
-    other = large.where("code1 <> 0").join(ranked.select(*_KEY, F.col("rank").alias("s_rank"), F.col("energy").alias("s_energy")), _KEY)
+    other = large.where("code1 <> 0").join(unbroadcast(ranked.select(*_KEY, F.col("rank").alias("s_rank"), F.col("energy").alias("s_energy"))), _KEY)
     columns = ["run_id", "l_rank", "l_energy", "s_rank", "s_energy", "back", "e_ts"]
     return _both_ways(opened.select(*columns).unionByName(other.select(*columns)), _number("remove"), F.col("back"))
 
@@ -175,7 +166,7 @@ def merge_moves(ranked: DataFrame, between: DataFrame, limits: SiteLimits = Site
     over = sequence.encode_site(F.col("i1"), F.col("i2"), F.col("l1"), F.col("l2"))
     near = near.select("run_id", over.alias("code1"), F.lit(0).cast("long").alias("code2"), "j1", "j2", *[F.col(c).alias(f"l_{c}") for c in ("rank", "energy", "hybrid")])
     middle = between.where((F.col("j1") == F.col("i1") + gap) & (F.col("j2") == F.col("i2") + gap)).select("run_id", F.col("i1").alias("j1"), F.col("i2").alias("j2"), F.col("hybrid").alias("middle"))
-    both = near.join(_as(ranked, "s"), _KEY).join(middle, ["run_id", "j1", "j2"])
+    both = near.join(unbroadcast(_as(ranked, "s")), _KEY).join(middle, ["run_id", "j1", "j2"])
     return _both_ways(both.withColumn("e_ts", F.col("s_energy") - F.col("s_hybrid") + F.col("l_hybrid") + F.col("middle")), _number("merge"), _number("split"))
 
 
