@@ -2,8 +2,8 @@
 
 zstandard's ratio (compressed over plain bytes) of a whole text and of its fixed
 chunks must lie in a band that depends on the text's length: below it the text
-repeats itself, above it the text is noise.  The bands are learned from a bounded
-sample of rows labelled good (``fit``).  Beside that stand counts of words,
+repeats itself, above it the text is noise.  The bands are learned from every
+row labelled good outside the held-out fold (``fit``).  Beside that stand counts of words,
 symbols, repeated lines and repeated eight-word windows with two limits of
 their own.
 """
@@ -41,13 +41,13 @@ FRAME = 18
 
 @dataclass(frozen=True)
 class BandSpec:
-    """The bands are learned from at most ``rows`` rows labelled good, with crc32(id) modulo ``folds`` not ``held_out``.
+    """The bands are learned from all rows labelled good, with crc32(id) modulo ``folds`` not ``held_out``.
 
-    Each class of length holds ``per_class`` rows; a band reaches as far as they do, and ``spread`` standard
+    Each class of length holds ``per_class`` rows or more, and is made of whole cells, ``cells`` to a doubling of length; a band reaches as far as they do, and ``spread`` standard
     deviations from their mean at least.  Fewer than ``least_rows`` rows (or chunks) only widen the given bands so that they hold those, too.
     """
 
-    rows: int = 4000
+    cells: int = 8
     folds: int = 5
     held_out: int = 0
     per_class: int = 100
@@ -157,47 +157,117 @@ def measure(text: bytes, rules: CompressionRules, compressor: zstandard.ZstdComp
     return n, word_chars, symbols, repeated_lines, repeats, ratio, outside, failed, kept
 
 
+#: Sums are of whole numbers of this part, so that they don't depend on the order of the rows.
+_PART = 1 << 30
+
+
+@dataclass(frozen=True)
+class _Spread:
+    """Number, least, greatest, sum and sum of squares (in parts) of some ratios."""
+
+    n: int = 0
+    least: float = np.inf
+    most: float = -np.inf
+    total: int = 0
+    squares: int = 0
+
+    @staticmethod
+    def of(x: np.ndarray) -> _Spread:
+        parts = (int(np.rint(v * _PART).astype(np.int64).sum()) for v in (x, x * x))
+        return _Spread(len(x), float(x.min(initial=np.inf)), float(x.max(initial=-np.inf)), *parts)
+
+    def __add__(self, other: _Spread) -> _Spread:
+        return _Spread(self.n + other.n, min(self.least, other.least), max(self.most, other.most), self.total + other.total, self.squares + other.squares)
+
+    def reach(self, deviations: float) -> tuple[float, float]:
+        mean = self.total / _PART / self.n
+        far = deviations * max(self.squares / _PART / self.n - mean * mean, 0.0) ** 0.5
+        return min(self.least, mean - far), max(self.most, mean + far)
+
+
+def _cells(sizes: np.ndarray, rules: CompressionRules, spec: BandSpec) -> tuple[np.ndarray, np.ndarray]:
+    """The given band of each size and its cell on a grid of lengths."""
+    given = np.searchsorted([least for least, *_ in rules.bands], sizes, side="right") - 1
+    return given.astype(np.int64), np.floor(spec.cells * np.log2(np.maximum(sizes, 1))).astype(np.int64)
+
+
+def _from_cells(cells: list[tuple[int, int, int, _Spread]], chunks: _Spread, rules: CompressionRules, spec: BandSpec) -> CompressionRules:
+    """The rules with the bands of cells (given band, least and greatest size, ratios) and of chunks."""
+    wider = lambda band, x: (min(band[0], x.least), max(band[1], x.most))
+    band = chunks.reach(spec.spread) if chunks.n >= spec.least_rows else wider(rules.chunk_band, chunks)
+    n = sum(ratios.n for *_, ratios in cells)
+    if n < spec.least_rows:
+        bands = list(rules.bands)
+        for k, _, _, ratios in cells:
+            bands[k] = (bands[k][0], *wider(bands[k][1:], ratios))
+        return replace(rules, bands=tuple(bands), chunk_band=band, learned_from=n)
+    classes: list[tuple[int, _Spread]] = []
+    for _, least, _, ratios in sorted(cells, key=lambda c: c[1]):
+        if classes and classes[-1][1].n < spec.per_class:
+            classes[-1] = classes[-1][0], classes[-1][1] + ratios
+        else:
+            classes.append((least if classes else 0, ratios))
+    if len(classes) > 1 and classes[-1][1].n < spec.per_class:
+        *classes, (start, before), (_, rest) = classes
+        classes.append((start, before + rest))
+    bands = tuple((start, *ratios.reach(spec.spread)) for start, ratios in classes)
+    return replace(rules, bands=bands, chunk_band=band, shortest=min(c[1] for c in cells), longest=max(c[2] for c in cells), learned_from=n)
+
+
 def learn_bands(sizes: np.ndarray, ratios: np.ndarray, chunks: np.ndarray, rules: CompressionRules, spec: BandSpec) -> CompressionRules:
     """The rules with the bands of these texts and of these chunks, and how many texts those were."""
-    reach = lambda x: (float(min(x.min(), x.mean() - spec.spread * x.std())), float(max(x.max(), x.mean() + spec.spread * x.std())))
-    wider = lambda band, x: (min(band[0], float(x.min(initial=band[0]))), max(band[1], float(x.max(initial=band[1]))))
-    band = reach(chunks) if len(chunks) >= spec.least_rows else wider(rules.chunk_band, chunks)
-    if len(sizes) < spec.least_rows:
-        own = np.searchsorted([least for least, *_ in rules.bands], sizes, side="right") - 1
-        bands = tuple((least, *wider((low, high), ratios[own == k])) for k, (least, low, high) in enumerate(rules.bands))
-        return replace(rules, bands=bands, chunk_band=band, learned_from=len(sizes))
-    order = np.lexsort((ratios, sizes))
-    classes = np.array_split(order, max(1, len(order) // spec.per_class))
-    starts = [0] + [int(sizes[c[0]]) for c in classes[1:]]
-    bands = tuple((start, *reach(ratios[c])) for start, c in zip(starts, classes))
-    return replace(rules, bands=bands, chunk_band=band, shortest=int(sizes.min()), longest=int(sizes.max()), learned_from=len(sizes))
+    given, grid = _cells(sizes, rules, spec)
+    cells = []
+    for k, g in sorted(set(zip(given.tolist(), grid.tolist()))):
+        own = (given == k) & (grid == g)
+        cells.append((k, int(sizes[own].min()), int(sizes[own].max()), _Spread.of(ratios[own])))
+    return _from_cells(cells, _Spread.of(chunks), rules, spec)
 
 
 def fit(
     docs: DataFrame, labels: DataFrame, rules: CompressionRules = CompressionRules(), spec: BandSpec = BandSpec(), id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality"
 ) -> CompressionRules:
-    """The rules with bands learned from good rows that pass the other rules.
+    """The rules with bands learned from all good rows that pass the other rules.
 
-    Labels with a null id or of two kinds are left out; without labels the rules stay as they are.
+    Labels with a null id or of two kinds are left out; without labels the rules stay as they are.  Rows of
+    the held-out fold are not read; of the others numbers are joined with the labels, not texts, and summed by length.
     """
     good = labels.select(labels[id_col].alias("__id"), labels[label_col].cast("int").alias("label")).where(F.col("__id").isNotNull())
     good = good.groupBy("__id").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low = 1 and high = 1").where(crc_bucket(F.col("__id"), spec.folds) != spec.held_out)
-    some = good.select("__id", F.xxhash64(F.col("__id").cast("string")).alias("h")).orderBy("h", "__id").limit(spec.rows).select("__id")
-    text = docs.select(docs[id_col].alias("__id"), text_bytes(docs, text_col).alias("text"))
+    text = docs.select(docs[id_col].alias("__id"), text_bytes(docs, text_col).alias("text")).where(F.col("__id").isNotNull() & (crc_bucket(F.col("__id"), spec.folds) != spec.held_out))
+    sums = ("n", "least", "most", "total", "squares")
+    kinds = [("size", pa.int64()), ("given", pa.int64()), ("grid", pa.int64())]
+    kinds += [(f"{of}_{c}", pa.float64() if c in ("least", "most") else pa.int64()) for of in ("text", "chunk") for c in sums]
+    names = {pa.int64(): T.LongType(), pa.float64(): T.DoubleType()}
+    schema = T.StructType([T.StructField("__id", docs.schema[id_col].dataType), *[T.StructField(n, names[k]) for n, k in kinds]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         compressor = _compressor(rules)
-        for batch in slices(batches, 0):
-            found = [(t, measure(t, rules, compressor)) for t in set(batch.column(0).to_pylist())]
-            found = [(len(t), m[5], [r for r, _ in chunk_ratios(t, rules.chunk, compressor)]) for t, m in found if not m[7]]
-            kinds = (pa.int64(), pa.float64(), pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], kind) for k, kind in enumerate(kinds)], names=["size", "ratio", "chunks"])
-
-    # at most the sample's ids are broadcast, and its ratios come to the driver
-    found = text.join(F.broadcast(some), "__id").select("text").mapInArrow(tidied(run), "size long, ratio double, chunks array<double>").toArrow()
-    chunks = found.column("chunks").combine_chunks().flatten() if found.num_rows else pa.array([], pa.float64())
-    return learn_bands(found.column("size").to_numpy(), found.column("ratio").to_numpy(), chunks.to_numpy(zero_copy_only=False), rules, spec)
+
+        def one(text: bytes) -> tuple | None:
+            m = measure(text, rules, compressor)
+            if m[7]:
+                return None
+            (given,), (grid,) = _cells(np.array([len(text)]), rules, spec)
+            spreads = (_Spread.of(np.array([m[5]])), _Spread.of(np.array([r for r, _ in chunk_ratios(text, rules.chunk, compressor)])))
+            return len(text), int(given), int(grid), *[getattr(x, c) for x in spreads for c in sums]
+
+        for batch in slices(batches, 1):
+            texts = batch.column(1).to_pylist()
+            known = {t: one(t) for t in set(texts)}
+            at = [k for k, t in enumerate(texts) if known[t]]
+            columns = list(zip(*[known[texts[k]] for k in at])) or [()] * len(kinds)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *(pa.array(c, k) for c, (_, k) in zip(columns, kinds))], names=schema.names)
+
+    of_good = text.mapInArrow(tidied(run), schema).join(good.select("__id"), "__id", "left_semi")
+    how = {"n": F.sum, "least": F.min, "most": F.max, "total": F.sum, "squares": F.sum}
+    every = [how[c](f"{of}_{c}").alias(f"{of}_{c}") for of in ("text", "chunk") for c in sums]
+    # a row for each cell of lengths, of which there are a few hundred at any scale
+    rows = of_good.groupBy("given", "grid").agg(F.min("size").alias("low"), F.max("size").alias("high"), *every).collect()
+    spread = lambda r, of: _Spread(*[r[f"{of}_{c}"] for c in sums])
+    cells = [(r.given, r.low, r.high, spread(r, "text")) for r in rows]
+    return _from_cells(cells, sum((spread(r, "chunk") for r in rows), _Spread()), rules, spec)
 
 
 def apply_rules(docs: DataFrame, rules: CompressionRules = CompressionRules(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
