@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from basinforge.functions import energy, sequence
 from basinforge.operators import landscape
 from basinforge.operators.landscape import SECOND, SITE, SiteLimits
-from basinforge.operators.lineage import numbered, unbroadcast
+from basinforge.operators.lineage import checkpointed, numbered, unbroadcast
 
 #: Order of the kinds of moves, which decides ties: each end of each site, shifts, a site less, a first, left or right one more, two in one, one in two.
 KINDS = ("first_left", "first_right", "second_left", "second_right", "shift", "remove", "new", "new_left", "new_right", "merge", "split")
@@ -95,8 +95,9 @@ def states(runs: DataFrame, sites: DataFrame, double: DataFrame) -> DataFrame:
     columns = ["run_id", *SITE, *SECOND, "h1", "h2", "hybrid", "energy"]
     every = opened.withColumns(second).select(*columns).unionByName(double.select(*columns))
     every = every.withColumn("code1", _code(SITE)).withColumn("code2", _code(SECOND))
-    line = F.concat_ws("\t", F.format_string("%.6f", F.col("energy") / 100.0), *[F.col(c).cast("string") for c in (*SITE, *SECOND)])
-    return numbered(every, "run_id", [F.col("i1").isNotNull(), F.col("energy"), line], "rank")
+    line = F.concat_ws("\t", *[F.col(c).cast("string") for c in (*SITE, *SECOND)])  # lines of one energy begin alike
+    # kept, for ranges are found from a sample, for which the pairs would be made twice
+    return numbered(checkpointed(every), "run_id", [F.col("i1").isNotNull(), F.col("energy"), line], "rank")
 
 
 def _both_ways(pairs: DataFrame, there: Column, back: Column) -> DataFrame:
