@@ -37,21 +37,23 @@ class JointUnpaired:
     celsius: float = 37.0
 
 
-def _odd_ranges(at: Column, rounded_up: bool) -> Column:
+def _odd_ranges(at: Column, rounded_up: bool, bits: int) -> Column:
     """The ranges of odd number, of each size 2**b, that hold a position; or that begin at it when it is rounded up to the size."""
     one = lambda b: F.shiftright((at + ((1 << b) - 1 if rounded_up else 0)).cast("int"), b)
-    every = [F.when(one(b) % 2 == 1, F.struct(F.lit(b).alias("size"), one(b).alias("range"))) for b in range(POSITION_BITS)]
+    every = [F.when(one(b) % 2 == 1, F.struct(F.lit(b).alias("size"), one(b).alias("range"))) for b in range(bits)]
     return F.array_compact(F.array(*every))
 
 
-def in_order(left: DataFrame, right: DataFrame, bound: Column, start: str) -> DataFrame:
+def in_order(left: DataFrame, right: DataFrame, bound: Column, start: str, bits: int = POSITION_BITS) -> DataFrame:
     """``left`` joined with the rows of ``right`` of the same run whose ``start`` is at least ``bound``, which is 1 or more.
 
+    Starts are below two to the power of ``bits``; a row of ``left`` travels once for each of its ranges, so fewer bits are fewer rows.
+
     The positions from a bound on fall into ranges whose sizes are different powers of two and whose numbers are odd; a
     position lies in just one of them.  So this is an equi-join that makes the result's rows and no others.
     """
-    many = left.withColumn("__range", F.explode(_odd_ranges(bound, True)))
-    one = right.withColumn("__range", F.explode(_odd_ranges(F.col(start), False)))
+    many = left.withColumn("__range", F.explode(_odd_ranges(bound, True, bits)))
+    one = right.withColumn("__range", F.explode(_odd_ranges(F.col(start), False, bits)))
     return many.join(one, ["run_id", "__range"]).drop("__range")
 
 
@@ -60,7 +62,8 @@ def pairs_of_sites(sites: DataFrame, limits: SiteLimits = SiteLimits()) -> DataF
     gap = limits.distance + 1
     first = sites.select("run_id", *SITE, F.col("hybrid").alias("h1"), F.col("energy").alias("e1"))
     second = sites.select("run_id", *[F.col(a).alias(b) for a, b in zip(SITE, SECOND)], F.col("hybrid").alias("h2"), F.col("energy").alias("e2"))
-    return in_order(first, second, F.col("j1") + gap, "k1").where(F.col("k2") >= F.col("j2") + gap)
+    bits = (sites.agg(F.max("i1")).first()[0] or 0).bit_length()
+    return in_order(first, second, F.col("j1") + gap, "k1", bits).where(F.col("k2") >= F.col("j2") + gap)
 
 
 def double_states(sites: DataFrame, limits: SiteLimits = SiteLimits(), joint: JointUnpaired | None = None) -> DataFrame:

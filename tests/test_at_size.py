@@ -67,3 +67,16 @@ def test_strands_are_folded_once(spark):
     for first, second in (hybrid.joint_windows(runs, 4, 3, 1), hybrid.strand_windows(runs, 4)):
         assert "MapInPandas" not in plan_of(first) + plan_of(second)
         assert first.count() and second.count()
+
+
+def test_pairs_travel_by_the_ranges_that_starts_reach(spark, monkeypatch):
+    """As many sizes of ranges as the last start needs, and all pairs up to it."""
+    seen = []
+    whole = two_sites._odd_ranges
+    monkeypatch.setattr(two_sites, "_odd_ranges", lambda at, up, bits: (seen.append(bits), whole(at, up, bits))[1])
+    at = [(1, k, k, k + 2, k + 2, 0, 0) for k in (1, 2, 5, 7, 8, 15, 16)]
+    sites = spark.createDataFrame(at, "run_id long, i1 int, i2 int, j1 int, j2 int, hybrid long, energy long")
+    found = two_sites.pairs_of_sites(sites, SiteLimits(distance=1)).select("i1", "k1").collect()
+    assert sorted(map(tuple, found)) == sorted((x[1], y[1]) for x in at for y in at if y[1] >= x[3] + 2)
+    assert seen == [5, 5]
+    assert two_sites.pairs_of_sites(sites.where("false")).count() == 0
