@@ -80,3 +80,11 @@ def test_pairs_travel_by_the_ranges_that_starts_reach(spark, monkeypatch):
     assert sorted(map(tuple, found)) == sorted((x[1], y[1]) for x in at for y in at if y[1] >= x[3] + 2)
     assert seen == [5, 5]
     assert two_sites.pairs_of_sites(sites.where("false")).count() == 0
+
+
+def test_folds_of_regions_spread_over_tasks(spark):
+    """Few bytes, each costing a fold: they are not left in the one task that finds the distinct ones."""
+    regions = lineage.checkpointed(spark.createDataFrame([("GGGAAACCC", i, i + 2) for i in range(1, 8)] * 3, "strand string, i int, j int"))
+    folded = hybrid.region_pair_probabilities(regions)
+    assert folded.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions")) > 1
+    assert {r.i for r in folded.collect()} == {2, 3, 4, 5, 6}  # the first and the last hold all of one letter
